@@ -75,3 +75,37 @@ def holey_customer(spark: SparkSession, sf_dir: str) -> Sheet:
     """Holey customer as a sheet, ordered by the original key."""
     s = Sheet.from_df(holey_customer_df(spark, sf_dir), [F.col("__key")])
     return Sheet(s.df.drop("__key"))
+
+
+# -- edit batches -------------------------------------------------------------
+def cell_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell edits from events: seq = event_id, row = user_id, col = event_id
+    % 8 (some out of range), new value = event_type, '' for errors."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("row"),
+        (F.col("event_id") % 8).cast("int").alias("col"),
+        F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")).alias("new_value"),
+    )
+
+
+CELL_EDITS_SQL = (
+    "SELECT event_id AS seq, user_id AS row, CAST(event_id % 8 AS INTEGER) AS col, "
+    "CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS new_value FROM events"
+)
+
+# Fixed structural batch interleaved with the cell edits by seq.
+STRUCTURAL_BATCH = [
+    {"seq": 500, "type": "row", "action": "create", "index": 5, "amount": 3},
+    {"seq": 1200, "type": "col", "action": "create", "index": 2, "amount": 2},
+    {"seq": 1800, "type": "row", "action": "remove", "index": 0, "amount": 2},
+    {"seq": 2500, "type": "col", "action": "remove", "index": 0, "amount": 1},
+    {"seq": 3100, "type": "row", "action": "create", "index": 100, "amount": 1},
+    {"seq": 3900, "type": "row", "action": "remove", "index": 50, "amount": 10},
+    {"seq": 4400, "type": "col", "action": "create", "index": 7, "amount": 1},
+    {"seq": 5200, "type": "row", "action": "create", "index": 1000000, "amount": 2},
+    {"seq": 6000, "type": "col", "action": "remove", "index": 3, "amount": 2},
+    {"seq": 6800, "type": "row", "action": "remove", "index": 20, "amount": 1},
+    {"seq": 7500, "type": "row", "action": "create", "index": 0, "amount": 1},
+    {"seq": 8300, "type": "col", "action": "create", "index": 0, "amount": 1},
+]

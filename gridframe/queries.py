@@ -78,3 +78,71 @@ def col_letters(spark, sf):
     p = fx.table(spark, sf, "part").select("p_partkey")
     letters = L.column_letters("p_partkey")
     return p.select("p_partkey", letters.alias("letters"), L.column_index(letters).alias("back"))
+
+
+# -- E1-E14 edits ----------------------------------------------------------------
+from gridframe.operators import edits as ed  # noqa: E402
+from gridframe.oracles import batch_sql  # noqa: E402
+
+_CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_CUST_N = "SELECT count(*) FROM customer"
+_ORD_N = "SELECT count(*) FROM orders"
+
+
+@query("cells_update", batch_sql(fx.CUSTOMER_SHEET_SQL, _CUST_COLS, set(_CUST_COLS), [], fx.CELL_EDITS_SQL, _CUST_N))
+def cells_update(spark, sf):
+    return ed.update_cells(fx.customer_sheet(spark, sf), fx.cell_edits(spark, sf)).sheet.df
+
+
+@query("cells_touched", batch_sql(fx.CUSTOMER_SHEET_SQL, _CUST_COLS, set(_CUST_COLS), [], fx.CELL_EDITS_SQL,
+                                  _CUST_N, "touched"))
+def cells_touched(spark, sf):
+    return ed.update_cells(fx.customer_sheet(spark, sf), fx.cell_edits(spark, sf)).touched
+
+
+_ROWS_INSERT = [{"seq": 1, "type": "row", "action": "create", "index": 10, "amount": 5},
+                {"seq": 2, "type": "row", "action": "create", "index": 10**9, "amount": 2}]
+_ROWS_REMOVE = [{"seq": 1, "type": "row", "action": "remove", "index": 3, "amount": 100},
+                {"seq": 2, "type": "row", "action": "remove", "index": 0, "amount": 1}]
+
+
+@query("rows_insert", batch_sql(fx.ORDERS_SHEET_SQL, fx.ORDERS_COLS, set(), _ROWS_INSERT, None, _ORD_N))
+def rows_insert(spark, sf):
+    return ed.apply_batch(fx.orders_sheet(spark, sf), _ROWS_INSERT).sheet.df
+
+
+@query("rows_remove", batch_sql(fx.ORDERS_SHEET_SQL, fx.ORDERS_COLS, set(), _ROWS_REMOVE, None, _ORD_N))
+def rows_remove(spark, sf):
+    return ed.apply_batch(fx.orders_sheet(spark, sf), _ROWS_REMOVE).sheet.df
+
+
+_COLS_INSERT = [{"seq": 1, "type": "col", "action": "create", "index": 1, "amount": 2},
+                {"seq": 2, "type": "col", "action": "create", "index": 7, "amount": 1}]
+_COLS_REMOVE = [{"seq": 1, "type": "col", "action": "remove", "index": 3, "amount": 10}]
+
+
+@query("cols_insert", batch_sql(fx.CUSTOMER_SHEET_SQL, _CUST_COLS, set(), _COLS_INSERT, None, _CUST_N))
+def cols_insert(spark, sf):
+    return ed.apply_batch(fx.customer_sheet(spark, sf), _COLS_INSERT).sheet.df
+
+
+@query("cols_remove", batch_sql(fx.CUSTOMER_SHEET_SQL, _CUST_COLS, set(), _COLS_REMOVE, None, _CUST_N))
+def cols_remove(spark, sf):
+    return ed.apply_batch(fx.customer_sheet(spark, sf), _COLS_REMOVE).sheet.df
+
+
+@query("cols_drop_letters", f"SELECT _row, c_name, c_acctbal FROM ({fx.CUSTOMER_SHEET_SQL}) s")
+def cols_drop_letters(spark, sf):
+    return ed.drop_cols_by_letters(fx.customer_sheet(spark, sf), ["A", "C", "E"]).df
+
+
+@query("mixed_batch", batch_sql(fx.ORDERS_SHEET_SQL, fx.ORDERS_COLS, set(fx.ORDERS_COLS), fx.STRUCTURAL_BATCH,
+                                fx.CELL_EDITS_SQL, _ORD_N))
+def mixed_batch(spark, sf):
+    return ed.apply_batch(fx.orders_sheet(spark, sf), fx.STRUCTURAL_BATCH, fx.cell_edits(spark, sf)).sheet.df
+
+
+@query("mixed_touched", batch_sql(fx.ORDERS_SHEET_SQL, fx.ORDERS_COLS, set(fx.ORDERS_COLS), fx.STRUCTURAL_BATCH,
+                                  fx.CELL_EDITS_SQL, _ORD_N, "touched"))
+def mixed_touched(spark, sf):
+    return ed.apply_batch(fx.orders_sheet(spark, sf), fx.STRUCTURAL_BATCH, fx.cell_edits(spark, sf)).touched

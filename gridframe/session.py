@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GRIDFRAME_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
