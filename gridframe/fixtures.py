@@ -109,3 +109,102 @@ STRUCTURAL_BATCH = [
     {"seq": 7500, "type": "row", "action": "create", "index": 0, "amount": 1},
     {"seq": 8300, "type": "col", "action": "create", "index": 0, "amount": 1},
 ]
+
+
+def changed_customer(spark: SparkSession, sf_dir: str) -> Sheet:
+    """Next version of the customer sheet: c_nationkey dropped, flag added,
+    c_name changed if key % 13 = 0, c_acctbal nulled if key % 17 = 0,
+    c_custkey turned into a double (equal by value), last 10 rows dropped."""
+    s = customer_sheet(spark, sf_dir)
+    k = F.col("c_custkey")
+    df = s.df.where(F.col("_row") < s.n_rows - 10).select(
+        "_row", k.cast("double").alias("c_custkey"),
+        F.when(k % 13 == 0, F.concat(F.col("c_name"), F.lit("*"))).otherwise(F.col("c_name")).alias("c_name"),
+        F.when(k % 17 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+        "c_mktsegment", (k % 2).cast("int").alias("flag"))
+    return Sheet(df)
+
+
+CHANGED_CUSTOMER_SQL = f"""
+SELECT _row, CAST(c_custkey AS DOUBLE) AS c_custkey,
+  CASE WHEN c_custkey % 13 = 0 THEN c_name || '*' ELSE c_name END AS c_name,
+  CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment,
+  CAST(c_custkey % 2 AS INTEGER) AS flag
+FROM ({CUSTOMER_SHEET_SQL}) s WHERE _row < (SELECT count(*) FROM customer) - 10"""
+
+
+def typed_part(spark: SparkSession, sf_dir: str) -> Sheet:
+    """Part plus typed columns: bool, bool with nulls, integer-valued double,
+    all-null, timestamp, string; ordered by (p_retailprice desc, p_partkey)."""
+    p = table(spark, sf_dir, "part")
+    df = p.select(
+        "*", (F.col("p_size") % 2 == 0).alias("is_even"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_size") % 2 == 0).alias("maybe_even"),
+        F.col("p_size").cast("double").alias("size_d"),
+        F.lit(None).cast("double").alias("nothing"),
+        F.timestamp_add("MINUTE", F.col("p_partkey"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("seen"),
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"))
+    return Sheet.from_df(df, [F.col("p_retailprice").desc(), F.col("p_partkey")])
+
+
+TYPED_PART_SQL = """
+SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS _row, *,
+  p_size % 2 = 0 AS is_even, CASE WHEN p_size % 3 <> 0 THEN p_size % 2 = 0 END AS maybe_even,
+  CAST(p_size AS DOUBLE) AS size_d, CAST(NULL AS DOUBLE) AS nothing,
+  TIMESTAMP '2020-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS seen, 'P' || CAST(p_partkey AS VARCHAR) AS code
+FROM part"""
+TYPED_PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice", "is_even",
+                   "maybe_even", "size_d", "nothing", "seen", "code"]
+
+
+def nation_text(spark: SparkSession, sf_dir: str) -> Sheet:
+    """Nation as a raw text sheet: header row, then rows as text (c0, c1, c2)."""
+    n = table(spark, sf_dir, "nation")
+    head = spark.range(1).select(F.lit(-1).alias("k"), F.lit("n_nationkey").alias("c0"),
+                                 F.lit("n_name").alias("c1"), F.lit("n_regionkey").alias("c2"))
+    body = n.select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("string").alias("c0"),
+                    F.col("n_name").alias("c1"), F.col("n_regionkey").cast("string").alias("c2"))
+    s = Sheet.from_df(head.unionByName(body), [F.col("k")])
+    return Sheet(s.df.drop("k"))
+
+
+def text_stack(spark: SparkSession, sf_dir: str) -> Sheet:
+    """Stacked tables in one text sheet: header + nation, blank row,
+    header + region, blank row, header + nation again."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+
+    def block(part, head, body_df, key, cols):
+        h = spark.range(1).select(F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("k"),
+                                  *[F.lit(x).alias(f"c{i}") for i, x in enumerate(head)],
+                                  *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(head), 3)])
+        b = body_df.select(F.lit(part).alias("part"), F.col(key).cast("bigint").alias("k"),
+                           *[F.col(x).cast("string").alias(f"c{i}") for i, x in enumerate(cols)],
+                           *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(cols), 3)])
+        return h.unionByName(b)
+
+    def gap(part):
+        return spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("k"),
+                                     *[F.lit(None).cast("string").alias(f"c{i}") for i in range(3)])
+
+    ncols = ["n_nationkey", "n_name", "n_regionkey"]
+    parts = [block(0, ncols, n, "n_nationkey", ncols), gap(1),
+             block(2, ["r_regionkey", "r_name"], r, "r_regionkey", ["r_regionkey", "r_name"]), gap(3),
+             block(4, ncols, n, "n_nationkey", ncols)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    s = Sheet.from_df(df, [F.col("part"), F.col("k")])
+    return Sheet(s.df.drop("part", "k"))
+
+
+TEXT_STACK_SQL = """
+SELECT row_number() OVER (ORDER BY part, k) - 1 AS _row, c0, c1, c2 FROM (
+  SELECT 0 AS part, -1 AS k, 'n_nationkey' AS c0, 'n_name' AS c1, 'n_regionkey' AS c2
+  UNION ALL SELECT 0, n_nationkey, CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation
+  UNION ALL SELECT 1, 0, NULL, NULL, NULL
+  UNION ALL SELECT 2, -1, 'r_regionkey', 'r_name', NULL
+  UNION ALL SELECT 2, r_regionkey, CAST(r_regionkey AS VARCHAR), r_name, NULL FROM region
+  UNION ALL SELECT 3, 0, NULL, NULL, NULL
+  UNION ALL SELECT 4, -1, 'n_nationkey', 'n_name', 'n_regionkey'
+  UNION ALL SELECT 4, n_nationkey, CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation)"""

@@ -71,3 +71,25 @@ def assign_ordinals(
 def ordinal_oracle_sql(table: str, order_sql: str, cols: str = "*") -> str:
     """DuckDB text for the same ordinals (used by the correctness oracle)."""
     return f"SELECT row_number() OVER (ORDER BY {order_sql}) - 1 AS _row, {cols} FROM {table}"
+
+
+def dense_reindex(df: DataFrame, n_hint: int | None = None, name: str = ROW) -> DataFrame:
+    """Renumber ``name`` to 0..k-1 keeping its order, after a filter left gaps.
+
+    No global sort and no checkpoint: the order is in the values, so rows are
+    cut into buckets of ``_row`` (bucket counts -> small prefix table,
+    broadcast) and numbered inside each bucket by a window partitioned by the
+    bucket.  Deterministic whatever the partition layout."""
+    from gridframe.plans.running import bucket_width
+    from pyspark.sql import Window
+
+    w = bucket_width(n_hint)
+    b = F.floor(F.col(name) / F.lit(w)).cast("bigint")
+    staged = df.withColumn("__b", b)
+    counts = staged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    cw = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(cw), F.lit(0)).alias("__off"))
+    inner = F.row_number().over(Window.partitionBy("__b").orderBy(name)) - 1
+    out = staged.withColumn("__in", inner).join(F.broadcast(offsets), "__b")
+    cols = [c for c in df.columns if c != name]
+    return out.select((F.col("__off") + F.col("__in")).alias(name), *cols)

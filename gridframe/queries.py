@@ -146,3 +146,176 @@ def mixed_batch(spark, sf):
                                   fx.CELL_EDITS_SQL, _ORD_N, "touched"))
 def mixed_touched(spark, sf):
     return ed.apply_batch(fx.orders_sheet(spark, sf), fx.STRUCTURAL_BATCH, fx.cell_edits(spark, sf)).touched
+
+
+# -- E5-E9 column operators --------------------------------------------------------
+@query("derived_sum", """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+  l_quantity + l_extendedprice AS total FROM lineitem""")
+def derived_sum(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    from gridframe.sheet import Sheet
+    sheet = Sheet(li.withColumn("_row", F.lit(0).cast("bigint")))
+    return ed.derived_sum(sheet, "C", "l_extendedprice", "total").values()
+
+
+@query("blank_template", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row,
+  CAST(NULL AS INTEGER) AS n_nationkey, CAST(NULL AS VARCHAR) AS n_name, CAST(NULL AS INTEGER) AS n_regionkey
+  FROM nation""")
+def blank_template(spark, sf):
+    from gridframe.sheet import Sheet
+    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
+    return ed.blank_template(s).df
+
+
+@query("error_column", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, n_nationkey, n_name,
+  n_regionkey, 'Failed to process command: quota exceeded' AS "ERROR" FROM nation""")
+def error_column(spark, sf):
+    from gridframe.sheet import Sheet
+    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
+    return ed.error_column(s, "quota exceeded").df
+
+
+@query("append_row", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, n_nationkey, n_name,
+  n_regionkey FROM nation UNION ALL SELECT (SELECT count(*) FROM nation), NULL, NULL, NULL""")
+def append_row(spark, sf):
+    from gridframe.sheet import Sheet
+    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
+    return ed.append_row(s).df
+
+
+# -- C1-C5 cleaning -------------------------------------------------------------------
+from gridframe.operators import clean  # noqa: E402
+from gridframe.functions.text import shape_sql  # noqa: E402
+
+_HOLEY_BLANK = ("(c_custkey IS NULL AND c_name IS NULL AND c_nationkey IS NULL AND c_acctbal IS NULL "
+                "AND (c_mktsegment IS NULL OR trim(c_mktsegment) = '') AND blank_col IS NULL)")
+
+
+@query("blank_rows", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, c_custkey, c_name, c_nationkey,
+  c_acctbal, c_mktsegment, blank_col FROM ({fx.HOLEY_CUSTOMER_SQL}) h WHERE NOT {_HOLEY_BLANK}""")
+def blank_rows(spark, sf):
+    return clean.drop_blank_rows(fx.holey_customer(spark, sf)).df
+
+
+@query("blank_cols", f"""SELECT _row, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+  FROM ({fx.HOLEY_CUSTOMER_SQL}) h""")
+def blank_cols(spark, sf):
+    return clean.drop_blank_cols(fx.holey_customer(spark, sf)).df
+
+
+_EXAMPLES = ["Customer#000000001", "BUILDING"]
+_SHAPES = "list_value(" + ", ".join(shape_sql(c) for c in
+                                    ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "blank_col"]) + ")"
+
+
+@query("rows_by_example", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, c_custkey, c_name,
+  c_nationkey, c_acctbal, c_mktsegment, blank_col FROM ({fx.HOLEY_CUSTOMER_SQL}) h
+  WHERE coalesce(list_contains({_SHAPES}, 'A#9'), false) AND coalesce(list_contains({_SHAPES}, 'A'), false)""")
+def rows_by_example(spark, sf):
+    return clean.keep_rows_by_example(fx.holey_customer(spark, sf), _EXAMPLES).df
+
+
+@query("iso_to_date", f"""SELECT _row, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate,
+  strftime(o_orderdate, '%Y-%m-%d') AS iso_text, o_orderpriority FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def iso_to_date(spark, sf):
+    from gridframe.sheet import Sheet
+    s = fx.orders_sheet(spark, sf)
+    df = s.df.select("_row", "o_orderkey", "o_orderdate",
+                     F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso_text"), "o_orderpriority")
+    return clean.iso_to_date(Sheet(df)).df
+
+
+# -- D1 diff ----------------------------------------------------------------------------
+from gridframe.operators import diff  # noqa: E402
+
+
+@query("modified_cells", f"""
+WITH o AS ({fx.CUSTOMER_SHEET_SQL}), n AS ({fx.CHANGED_CUSTOMER_SQL})
+SELECT n._row AS row, CAST(0 AS BIGINT) AS col FROM o JOIN n USING (_row) WHERE o.c_custkey IS DISTINCT FROM n.c_custkey
+UNION ALL SELECT n._row, 1 FROM o JOIN n USING (_row) WHERE o.c_name IS DISTINCT FROM n.c_name
+UNION ALL SELECT n._row, 2 FROM o JOIN n USING (_row) WHERE o.c_acctbal IS DISTINCT FROM n.c_acctbal
+UNION ALL SELECT n._row, 3 FROM o JOIN n USING (_row) WHERE o.c_mktsegment IS DISTINCT FROM n.c_mktsegment
+UNION ALL SELECT _row, 4 FROM n""")
+def modified_cells(spark, sf):
+    return diff.modified_cells(fx.customer_sheet(spark, sf), fx.changed_customer(spark, sf))
+
+
+# -- P1-P7 profiling ---------------------------------------------------------------------
+from gridframe.operators import profile as prof  # noqa: E402
+
+_TYPES = {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string",
+          "p_size": "integer", "p_retailprice": None, "is_even": "integer", "maybe_even": "string",
+          "size_d": "integer", "nothing": "unknown", "seen": "datetime", "code": "string"}
+
+
+def _types_sql():
+    rows = []
+    for i, c in enumerate(fx.TYPED_PART_COLS):
+        t = _TYPES[c]
+        kind = f"'{t}'" if t else f"CASE WHEN bool_and({c} % 1 = 0) THEN 'integer' ELSE 'float' END"
+        if c == "nothing":
+            kind = "'unknown'"
+        rows.append(f"SELECT {i} AS position, '{c}' AS name, {kind} AS type, count({c}) AS non_null FROM t")
+    return f"WITH t AS ({fx.TYPED_PART_SQL}) " + " UNION ALL ".join(rows)
+
+
+@query("profile_types", _types_sql())
+def profile_types(spark, sf):
+    return prof.column_types_df(fx.typed_part(spark, sf))
+
+
+def _samples_sql():
+    parts = []
+    for i, c in enumerate(fx.TYPED_PART_COLS):
+        v = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c == "seen" else (
+            f"CASE WHEN {c} THEN 'true' ELSE 'false' END" if c in ("is_even", "maybe_even") and False else
+            f"CAST({c} AS VARCHAR)")
+        parts.append(f"SELECT {i} AS position, _row, {v} AS value FROM t WHERE {c} IS NOT NULL")
+    return (f"WITH t AS ({fx.TYPED_PART_SQL}), c AS ({' UNION ALL '.join(parts)}) "
+            "SELECT CAST(position AS INTEGER) AS position, rank, value, row FROM (SELECT position, "
+            "row_number() OVER (PARTITION BY position ORDER BY _row) AS rank, value, _row AS row FROM c) "
+            "WHERE rank <= 3")
+
+
+@query("profile_samples", _samples_sql())
+def profile_samples(spark, sf):
+    return prof.sample_values(fx.typed_part(spark, sf))
+
+
+@query("profile_counts", f"SELECT count(*) AS row_count, {len(fx.TYPED_PART_COLS)} AS column_count FROM part")
+def profile_counts(spark, sf):
+    return prof.profile_counts(fx.typed_part(spark, sf))
+
+
+@query("sample_rows", f"SELECT * FROM ({fx.TYPED_PART_SQL}) WHERE _row < 5")
+def sample_rows(spark, sf):
+    return prof.sample_rows(fx.typed_part(spark, sf))
+
+
+@query("sheet_context", """
+SELECT n_regionkey, to_json({'headers': ['n_nationkey', 'n_name'], 'rows': count(*),
+  'sample': list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)
+            FILTER (WHERE rn <= 5)}) AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation)
+GROUP BY n_regionkey""")
+def sheet_context(spark, sf):
+    return prof.sheet_context(fx.table(spark, sf, "nation"), "n_regionkey", "n_nationkey")
+
+
+@query("schema_compare", """
+WITH s(position, name, type) AS (VALUES (0, 'c_custkey', 'integer'), (1, 'c_name', 'string'),
+  (2, 'c_nationkey', 'integer'), (3, 'c_acctbal', 'float'), (4, 'c_mktsegment', 'string')),
+t(position, name, type) AS (VALUES (0, 's_suppkey', 'integer'), (1, 's_name', 'string'),
+  (2, 's_nationkey', 'integer'), (3, 's_acctbal', 'float')),
+sk AS (SELECT regexp_replace(regexp_replace(lower(name), '^[a-z]_', ''), '[^a-z0-9]', '', 'g') AS key, * FROM s),
+tk AS (SELECT regexp_replace(regexp_replace(lower(name), '^[a-z]_', ''), '[^a-z0-9]', '', 'g') AS key, * FROM t)
+SELECT coalesce(sk.key, tk.key) AS key, sk.name AS source_name, sk.type AS source_type,
+  sk.position AS source_position, tk.name AS target_name, tk.type AS target_type, tk.position AS target_position,
+  CASE WHEN sk.name IS NULL THEN 'missing' WHEN tk.name IS NULL THEN 'extra'
+       WHEN sk.type = tk.type THEN 'matched' ELSE 'type_changed' END AS status
+FROM sk FULL OUTER JOIN tk ON sk.key = tk.key""")
+def schema_compare(spark, sf):
+    from gridframe.sheet import Sheet
+    c = Sheet.from_df(fx.table(spark, sf, "customer"), ["c_custkey"])
+    s = Sheet.from_df(fx.table(spark, sf, "supplier"), ["s_suppkey"])
+    return prof.schema_compare(prof.column_types_df(c), prof.column_types_df(s))
