@@ -208,3 +208,31 @@ SELECT row_number() OVER (ORDER BY part, k) - 1 AS _row, c0, c1, c2 FROM (
   UNION ALL SELECT 3, 0, NULL, NULL, NULL
   UNION ALL SELECT 4, -1, 'n_nationkey', 'n_name', 'n_regionkey'
   UNION ALL SELECT 4, n_nationkey, CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation)"""
+
+
+# -- file listing from documents -------------------------------------------------
+_CLASSES = ["upload", "download", "json", "script", "temp"]
+_EXTS = [".csv", ".XLSX", ".xls", ".txt", ""]
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, length, modified, class derived from documents."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    cls = F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), (F.floor(i / 5) % 5 + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(e) for e in _EXTS]), (i % 5 + 1).cast("int"))
+    name = (F.when((cls == "script") & (i % 2 == 0), F.concat(F.lit("script_"), i.cast("string"), F.lit(".py")))
+            .when(i % 50 == 7, F.lit(".gitkeep")).when(i % 50 == 17, F.lit("manifest.json"))
+            .otherwise(F.concat(F.lit("f"), i.cast("string"), ext)))
+    modified = F.timestamp_add("MINUTE", -i, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    return d.select(F.concat(cls, F.lit("/"), name).alias("path"), (F.col("n_chars") * 4096).alias("length"),
+                    modified.alias("modified"), cls.alias("class"))
+
+
+FILE_LISTING_SQL = """
+SELECT cls || '/' || CASE WHEN cls = 'script' AND doc_id % 2 = 0 THEN 'script_' || doc_id || '.py'
+    WHEN doc_id % 50 = 7 THEN '.gitkeep' WHEN doc_id % 50 = 17 THEN 'manifest.json'
+    ELSE 'f' || doc_id || ext END AS path,
+  n_chars * 4096 AS length, TIMESTAMP '2025-01-01 00:00:00' - doc_id * INTERVAL 1 MINUTE AS modified, cls AS class
+FROM (SELECT *, ['upload', 'download', 'json', 'script', 'temp'][CAST((doc_id // 5) % 5 + 1 AS INTEGER)] AS cls,
+  ['.csv', '.XLSX', '.xls', '.txt', ''][CAST(doc_id % 5 + 1 AS INTEGER)] AS ext FROM documents)"""

@@ -319,3 +319,399 @@ def schema_compare(spark, sf):
     c = Sheet.from_df(fx.table(spark, sf, "customer"), ["c_custkey"])
     s = Sheet.from_df(fx.table(spark, sf, "supplier"), ["s_suppkey"])
     return prof.schema_compare(prof.column_types_df(c), prof.column_types_df(s))
+
+
+# -- E6/E7, P8, P9 -------------------------------------------------------------------------
+from gridframe.operators import conform as cf  # noqa: E402
+
+
+@query("header_promote", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row,
+  CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation""")
+def header_promote(spark, sf):
+    s = cf.promote_header(fx.nation_text(spark, sf))
+    return cf.override_header(s, ["too", "few"]).df
+
+
+_CUST_TARGET = [("c_custkey", "integer"), ("c_name", "string"), ("c_nationkey", "integer"),
+                ("c_acctbal", "float"), ("c_mktsegment", "string")]
+
+
+def _supplier_sheet(spark, sf):
+    from gridframe.sheet import Sheet
+    return Sheet.from_df(fx.table(spark, sf, "supplier"), [F.col("s_acctbal").desc(), F.col("s_suppkey")])
+
+
+@query("conform", """SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS _row,
+  CAST(s_suppkey AS BIGINT) AS c_custkey, s_name AS c_name, CAST(s_nationkey AS BIGINT) AS c_nationkey,
+  CAST(s_acctbal AS DOUBLE) AS c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM supplier""")
+def conform_q(spark, sf):
+    return cf.conform(_supplier_sheet(spark, sf), _CUST_TARGET, {"c_custkey": "s_suppkey"})[0].df
+
+
+@query("conform_failures", """SELECT CAST(0 AS BIGINT) AS c_custkey, CAST(0 AS BIGINT) AS c_name,
+  CAST(0 AS BIGINT) AS c_nationkey, CAST(0 AS BIGINT) AS c_acctbal, CAST(0 AS BIGINT) AS c_mktsegment
+  FROM (SELECT count(*) FROM supplier)""")
+def conform_failures(spark, sf):
+    return cf.conform(_supplier_sheet(spark, sf), _CUST_TARGET, {"c_custkey": "s_suppkey"})[1]
+
+
+@query("stacked_split", f"""
+WITH s AS ({fx.TEXT_STACK_SQL}),
+b AS (SELECT *, CAST(c0 IS NULL AND c1 IS NULL AND c2 IS NULL AS INTEGER) AS blank FROM s),
+t AS (SELECT *, sum(blank) OVER (ORDER BY _row) AS table_id FROM b),
+d AS (SELECT * FROM t WHERE blank = 0),
+h AS (SELECT table_id, arg_min([c0, c1, c2], _row) AS header, min(_row) AS at FROM d GROUP BY table_id),
+k AS (SELECT *, array_to_string(list_transform(header,
+        lambda x: coalesce(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), '')), '|') AS hk FROM h),
+sim AS (SELECT hk, min(table_id) AS similar_to FROM k GROUP BY hk)
+SELECT d.table_id, sim.similar_to, k.header, d._row - k.at - 1 AS _row, d.c0, d.c1, d.c2
+FROM d JOIN k USING (table_id) JOIN sim USING (hk) WHERE d._row > k.at""")
+def stacked_split(spark, sf):
+    return cf.split_stacked(fx.text_stack(spark, sf))
+
+
+# -- H1-H5 history, U1-U3 steps ------------------------------------------------------------
+from gridframe.operators import history as hist  # noqa: E402
+
+_ACTIONS = ("CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'commit' END")
+
+
+@query("history_replay", f"""
+WITH RECURSIVE a AS (SELECT user_id AS sheet_id, event_id AS seq, {_ACTIONS} AS action,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT sheet_id, seq, action, n, CASE WHEN action = 'commit' THEN 0 ELSE -1 END AS pos,
+        CASE WHEN action = 'commit' THEN 1 ELSE 0 END AS len FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.sheet_id, a.seq, a.action, a.n,
+    CASE WHEN a.action = 'commit' THEN r.pos + 1 WHEN a.action = 'undo' AND r.pos > 0 THEN r.pos - 1
+         WHEN a.action = 'redo' AND r.pos < r.len - 1 THEN r.pos + 1 ELSE r.pos END,
+    CASE WHEN a.action = 'commit' THEN r.pos + 2 ELSE r.len END
+  FROM r JOIN a ON a.sheet_id = r.sheet_id AND a.n = r.n + 1)
+SELECT sheet_id, seq, action, CAST(pos AS BIGINT) AS pos, CAST(len AS BIGINT) AS len,
+  pos > 0 AS can_undo, pos < len - 1 AS can_redo FROM r""")
+def history_replay(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    action = (F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo")
+              .otherwise("commit"))
+    log = ev.select(F.col("user_id").alias("sheet_id"), F.col("event_id").alias("seq"), action.alias("action"))
+    return hist.replay(log)
+
+
+@query("version_read", batch_sql(fx.CUSTOMER_SHEET_SQL, _CUST_COLS, set(), [
+    {"seq": 1, "type": "row", "action": "remove", "index": 3, "amount": 100}], None, _CUST_N))
+def version_read(spark, sf):
+    v0 = fx.customer_sheet(spark, sf)
+    v1 = ed.remove_rows(v0, 3, 100)
+    path = hist.write_versions([v0, v1])
+    return hist.read_version(spark, path, 1).df
+
+
+@query("transform_step", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, o_orderkey, o_totalprice,
+  o_totalprice * 2 AS double_price FROM ({fx.ORDERS_SHEET_SQL}) s WHERE o_orderstatus = 'F'""")
+def transform_step(spark, sf):
+    s = fx.orders_sheet(spark, sf)
+    return s.transform(lambda d: d.where(F.col("o_orderstatus") == "F").select(
+        "_row", "o_orderkey", "o_totalprice", (F.col("o_totalprice") * 2).alias("double_price"))).df
+
+
+@query("sql_step", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, o_orderkey, o_totalprice
+  FROM ({fx.ORDERS_SHEET_SQL}) s WHERE o_orderpriority = '1-URGENT'""")
+def sql_step(spark, sf):
+    s = fx.orders_sheet(spark, sf)
+    return s.sql("SELECT _row, o_orderkey, o_totalprice FROM sheet WHERE o_orderpriority = '1-URGENT'").df
+
+
+def _price_band(batches):
+    for b in batches:
+        b = b[["_row", "o_orderkey", "o_totalprice"]].copy()
+        b["price_band"] = (b["o_totalprice"] // 100000).astype("int64")
+        yield b
+
+
+@query("rowblock_step", f"""SELECT _row, o_orderkey, o_totalprice, CAST(floor(o_totalprice / 100000) AS BIGINT)
+  AS price_band FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def rowblock_step(spark, sf):
+    s = fx.orders_sheet(spark, sf)
+    return s.map_blocks(_price_band, "_row bigint, o_orderkey bigint, o_totalprice double, price_band bigint").df
+
+
+# -- L1-L10 logs -------------------------------------------------------------------------------
+from gridframe.operators import logs  # noqa: E402
+
+
+def _prompt_log(spark, sf):
+    c = fx.table(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("prompt"))
+
+
+@query("prompt_append", """SELECT conv_id AS session_id, turn AS seq, replace(text, chr(10), ' ') AS prompt
+  FROM conversations WHERE role = 'user'""")
+def prompt_append(spark, sf):
+    return logs.prompt_append(_prompt_log(spark, sf))
+
+
+@query("prompt_nth", """SELECT session_id, seq, prompt FROM (SELECT conv_id AS session_id, turn AS seq,
+  text AS prompt, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations
+  WHERE role = 'user' AND trim(text) <> '') WHERE rn = 2""")
+def prompt_nth(spark, sf):
+    return logs.prompt_nth(_prompt_log(spark, sf), 1)
+
+
+_FIRST_WORD_SQL = r"regexp_extract(text, '^\s*(\S+)', 1)"
+
+
+def _first_words(spark, sf, cond=None):
+    c = fx.table(spark, sf, "conversations")
+    if cond is not None:
+        c = c.where(cond)
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+                    F.regexp_extract("text", r"^\s*(\S+)", 1).alias("prompt"))
+
+
+def _library(spark, sf):
+    pre = spark.createDataFrame([(-4 + i, p) for i, p in enumerate(logs.PREDEFINED_PROMPTS)], "seq bigint, prompt string")
+    return pre.unionByName(_first_words(spark, sf, F.col("role") == "assistant"))
+
+
+_PRE_SQL = ("SELECT * FROM (VALUES (-4, 'Remove row'), (-3, 'Remove column'), (-2, 'Add row'), "
+            "(-1, 'Add column')) t(seq, prompt)")
+
+
+@query("library_add", f"""
+WITH lib AS ({_PRE_SQL} UNION ALL SELECT conv_id * 1000 + turn, {_FIRST_WORD_SQL} FROM conversations
+  WHERE role = 'assistant'),
+s AS (SELECT conv_id * 1000 + turn AS seq, trim({_FIRST_WORD_SQL}) AS prompt FROM conversations WHERE role = 'user')
+SELECT min(seq) AS seq, prompt FROM s WHERE prompt <> '' AND prompt NOT IN (SELECT trim(prompt) FROM lib)
+GROUP BY prompt""")
+def library_add(spark, sf):
+    return logs.library_add(_library(spark, sf), _first_words(spark, sf, F.col("role") == "user"))
+
+
+@query("library_delete", f"""
+WITH lib AS (SELECT conv_id * 1000 + turn AS seq, trim({_FIRST_WORD_SQL}) AS prompt FROM conversations),
+req AS (SELECT DISTINCT trim({_FIRST_WORD_SQL}) AS prompt FROM conversations WHERE turn = 0
+        UNION SELECT 'Add row'),
+ok AS (SELECT prompt FROM req WHERE prompt <> '' AND prompt NOT IN ('Remove row', 'Remove column', 'Add row', 'Add column')),
+l AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY seq) AS rn FROM lib WHERE prompt <> '')
+SELECT seq, prompt FROM l WHERE NOT (rn = 1 AND prompt IN (SELECT prompt FROM ok))""")
+def library_delete(spark, sf):
+    lib = _first_words(spark, sf)
+    req = _first_words(spark, sf, F.col("turn") == 0).select("prompt").unionByName(
+        spark.createDataFrame([("Add row",)], "prompt string"))
+    return logs.library_delete(lib, req)
+
+
+@query("library_list", f"""
+{_PRE_SQL} UNION ALL SELECT conv_id * 1000 + turn, trim({_FIRST_WORD_SQL}) FROM conversations
+WHERE role = 'assistant' AND trim({_FIRST_WORD_SQL}) <> ''
+  AND trim({_FIRST_WORD_SQL}) NOT IN ('Remove row', 'Remove column', 'Add row', 'Add column')""")
+def library_list(spark, sf):
+    return logs.library_list(_first_words(spark, sf, F.col("role") == "assistant"))
+
+
+@query("session_attrs", """SELECT user_id AS session_id, event_type AS key,
+  arg_max(value, event_id) AS value FROM events
+  WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) GROUP BY user_id, event_type""")
+def session_attrs(spark, sf):
+    ev = fx.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+                                              F.col("event_type").alias("key"), "value")
+    sessions = fx.table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 3).select(
+        F.col("c_custkey").alias("session_id"))
+    return logs.session_attrs(ev, sessions)
+
+
+_EXTRA_ACCESSES_SQL = ("SELECT * FROM (VALUES (-1, TIMESTAMP '2000-01-01 00:00:00'), (-1, TIMESTAMP '2000-01-01 01:00:00'), "
+                       "(-1, TIMESTAMP '2000-01-01 02:00:01')) t(session_id, ts)")
+
+
+def _accesses(spark, sf):
+    ev = fx.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts")
+    extra = spark.createDataFrame([(-1, "2000-01-01 00:00:00"), (-1, "2000-01-01 01:00:00"),
+                                   (-1, "2000-01-01 02:00:01")], "session_id bigint, ts string")
+    return ev.unionByName(extra.select("session_id", F.col("ts").cast("timestamp_ntz").alias("ts")))
+
+
+@query("sessionize", f"""
+WITH a AS (SELECT user_id AS session_id, ts FROM events UNION ALL {_EXTRA_ACCESSES_SQL}),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000
+  THEN 1 ELSE 0 END AS s FROM a WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT session_id, min(ts) AS session_start, max(ts) AS last_access, count(*) AS accesses
+FROM n GROUP BY session_id, k""")
+def sessionize(spark, sf):
+    return logs.sessionize(_accesses(spark, sf))
+
+
+@query("session_sweep", f"""
+WITH a AS (SELECT user_id AS session_id, ts FROM events UNION ALL {_EXTRA_ACCESSES_SQL}),
+l AS (SELECT session_id, max(ts) AS last_access FROM a GROUP BY session_id),
+t AS (SELECT max(ts) AS t_at FROM events)
+SELECT session_id, last_access, CAST((epoch_us(t_at) - epoch_us(last_access)) // 1000000 AS BIGINT) AS idle_s
+FROM l, t WHERE epoch_us(t_at) - epoch_us(last_access) > 3600000000""")
+def session_sweep(spark, sf):
+    at = fx.table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return logs.session_sweep(_accesses(spark, sf), F.lit(at).cast("timestamp_ntz"))
+
+
+@query("retention", f"""
+WITH l AS ({fx.FILE_LISTING_SQL}),
+p(class, max_age_h, exempt, name_rule) AS (VALUES ('upload', 24, ['.gitkeep'], NULL),
+  ('download', 24, [], NULL), ('json', 72, ['manifest.json'], NULL), ('script', 24, [], '^script_.*\\.py$'),
+  ('temp', NULL, ['.gitkeep', 'prompts.txt'], NULL)),
+j AS (SELECT l.*, p.max_age_h, p.exempt, p.name_rule, regexp_extract(path, '([^/]*)$', 1) AS name,
+  epoch(TIMESTAMP '2025-01-01 18:00:00') - epoch(modified) AS age_s FROM l JOIN p USING (class))
+SELECT path, class, CAST(age_s AS BIGINT) AS age_s FROM j
+WHERE (max_age_h IS NULL OR age_s > max_age_h * 3600) AND NOT list_contains(exempt, name)
+  AND (name_rule IS NULL OR regexp_matches(name, name_rule))""")
+def retention(spark, sf):
+    return logs.retention(fx.file_listing(spark, sf), F.lit("2025-01-01 18:00:00").cast("timestamp_ntz"))
+
+
+@query("file_intake", f"""
+WITH l AS ({fx.FILE_LISTING_SQL}), e AS (SELECT path, length, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS extension FROM l)
+SELECT path, length, extension,
+  extension IN ('xlsx', 'xls', 'csv') AND length <= 16777216 AS accepted,
+  CASE WHEN extension NOT IN ('xlsx', 'xls', 'csv') THEN 'unsupported format'
+       WHEN length > 16777216 THEN 'too large' END AS reason,
+  CASE WHEN extension IN ('xlsx', 'xls', 'csv') AND length <= 16777216 THEN
+    CASE WHEN extension IN ('xlsx', 'xls') THEN 'excel' ELSE 'csv' END END AS kind FROM e""")
+def file_intake(spark, sf):
+    return logs.file_intake(fx.file_listing(spark, sf))
+
+
+_FENCED = "(turn // 2) % 2 = 0"
+
+
+def _responses(spark, sf):
+    c = fx.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    fenced = F.floor(F.col("turn") / 2) % 2 == 0
+    resp = (F.when(fenced & (F.col("conv_id") % 50 == 0), F.lit("```\n```"))
+            .when(fenced, F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```")))
+            .otherwise(F.col("text")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), resp.alias("response"))
+
+
+@query("code_block", f"""
+WITH r AS (SELECT conv_id * 1000 + turn AS id,
+  CASE WHEN {_FENCED} AND conv_id % 50 = 0 THEN '```' || chr(10) || '```'
+       WHEN {_FENCED} THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END AS response
+  FROM conversations WHERE role = 'assistant')
+SELECT id, regexp_replace(CASE WHEN regexp_matches(response, '```(?:python)?\\s*([\\s\\S]*?)\\s*```')
+  THEN regexp_extract(response, '```(?:python)?\\s*([\\s\\S]*?)\\s*```', 1) ELSE response END,
+  '^\\s+|\\s+$', '', 'g') AS code FROM r""")
+def code_block_q(spark, sf):
+    return logs.code_blocks(_responses(spark, sf))
+
+
+# -- A4-A7 selections, A9/A10 tags, A11/A12 listing ---------------------------------------------
+from gridframe.functions import selection as S  # noqa: E402
+from gridframe.functions import tags as T  # noqa: E402
+
+
+def _sel_parts():
+    a, b = F.col("o_custkey") % 30, F.col("o_orderkey") % 7
+    x, y = F.col("o_orderkey") % 1000, F.col("o_custkey") % 500
+    La, Lb = L.column_letters(a), L.column_letters(b)
+    s = lambda v: (v + 1).cast("string")
+    kind = F.col("o_orderkey") % 4
+    return (F.when(kind == 0, F.concat(La, s(x), F.lit(":"), Lb, s(y)))
+            .when(kind == 1, F.concat(La, F.lit(":"), Lb))
+            .when(kind == 2, F.concat(s(x), F.lit(":"), s(y)))
+            .otherwise(F.concat(F.lower(La), s(x), F.lit(", "), s(y))))
+
+
+def _fmt_sql(r1, c1, r2, c2):
+    Lc1, Lc2 = L.letters_sql(c1), L.letters_sql(c2)
+    return (f"CASE WHEN {r1} = 0 AND {r2} = 999 THEN (CASE WHEN {c1} = {c2} THEN {Lc1} ELSE {Lc1} || ':' || {Lc2} END) "
+            f"WHEN {c1} = 0 AND {c2} = 25 THEN (CASE WHEN {r1} = {r2} THEN CAST({r1} + 1 AS VARCHAR) "
+            f"ELSE CAST({r1} + 1 AS VARCHAR) || ':' || CAST({r2} + 1 AS VARCHAR) END) "
+            f"WHEN {r1} = {r2} AND {c1} = {c2} THEN {Lc1} || CAST({r1} + 1 AS VARCHAR) "
+            f"ELSE {Lc1} || CAST({r1} + 1 AS VARCHAR) || ':' || {Lc2} || CAST({r2} + 1 AS VARCHAR) END")
+
+
+@query("selection_roundtrip", f"""
+WITH v AS (SELECT o_orderkey, o_orderkey % 4 AS kind, o_custkey % 30 AS a, o_orderkey % 7 AS b,
+  o_orderkey % 1000 AS x, o_custkey % 500 AS y FROM orders),
+r AS (SELECT o_orderkey, kind, a, b, x, y,
+  CASE kind WHEN 0 THEN least(x, y) WHEN 1 THEN 0 WHEN 2 THEN least(x, y) ELSE x END AS r1,
+  CASE kind WHEN 0 THEN least(a, b) WHEN 1 THEN least(a, b) WHEN 2 THEN 0 ELSE a END AS c1,
+  CASE kind WHEN 0 THEN greatest(x, y) WHEN 1 THEN NULL WHEN 2 THEN greatest(x, y) ELSE x END AS r2,
+  CASE kind WHEN 0 THEN greatest(a, b) WHEN 1 THEN greatest(a, b) WHEN 2 THEN NULL ELSE a END AS c2 FROM v),
+f AS (SELECT *, coalesce(r2, 999) AS rr2, coalesce(c2, 25) AS cc2 FROM r)
+SELECT o_orderkey,
+  CASE kind WHEN 0 THEN {L.letters_sql('a')} || CAST(x + 1 AS VARCHAR) || ':' || {L.letters_sql('b')} || CAST(y + 1 AS VARCHAR)
+    WHEN 1 THEN {L.letters_sql('a')} || ':' || {L.letters_sql('b')}
+    WHEN 2 THEN CAST(x + 1 AS VARCHAR) || ':' || CAST(y + 1 AS VARCHAR)
+    ELSE lower({L.letters_sql('a')}) || CAST(x + 1 AS VARCHAR) || ', ' || CAST(y + 1 AS VARCHAR) END AS sel,
+  CASE WHEN kind = 3 THEN 2 ELSE 1 END AS n_rects, r1, c1, r2, c2,
+  CASE WHEN kind = 3 THEN {_fmt_sql('r1', 'c1', 'rr2', 'cc2')} || ', ' || {_fmt_sql('y', '0', 'y', '25')}
+       ELSE {_fmt_sql('r1', 'c1', 'rr2', 'cc2')} END AS formatted,
+  cc2 < 26 AND rr2 < 1000 AS in_bounds
+FROM f""")
+def selection_roundtrip(spark, sf):
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey").withColumn("sel", _sel_parts())
+    rects = S.parse_selection(F.col("sel"))
+    first = F.element_at(rects, 1)
+    n, m = F.lit(1000).cast("bigint"), F.lit(26).cast("bigint")
+    return o.select("o_orderkey", "sel", F.size(rects).alias("n_rects"), first.r1.alias("r1"), first.c1.alias("c1"),
+                    first.r2.alias("r2"), first.c2.alias("c2"), S.format_selection(rects, n, m).alias("formatted"),
+                    S.selection_in_bounds(rects, n, m).alias("in_bounds"))
+
+
+def _commands(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    a, b = F.col("o_custkey") % 30, F.col("o_orderkey") % 7
+    x, y = (F.col("o_orderkey") % 1000 + 1).cast("string"), (F.col("o_custkey") % 500 + 1).cast("string")
+    La, Lb = L.column_letters(a), L.column_letters(b)
+    cmd = F.concat(F.lit("sum #"), La, x, F.lit(":"), Lb, y, F.lit(", clear #"), Lb, F.lit(" and row #"), x,
+                   F.lit(" or #"), La, F.lit(":#"), Lb)
+    return o.select("o_orderkey", cmd.alias("command"))
+
+
+_CMD_SQL = (f"'sum #' || {L.letters_sql('o_custkey % 30')} || CAST(o_orderkey % 1000 + 1 AS VARCHAR) || ':' || "
+            f"{L.letters_sql('o_orderkey % 7')} || CAST(o_custkey % 500 + 1 AS VARCHAR) || ', clear #' || "
+            f"{L.letters_sql('o_orderkey % 7')} || ' and row #' || CAST(o_orderkey % 1000 + 1 AS VARCHAR) || ' or #' || "
+            f"{L.letters_sql('o_custkey % 30')} || ':#' || {L.letters_sql('o_orderkey % 7')}")
+
+
+@query("tag_extract", f"""SELECT o_orderkey, array_to_string(regexp_extract_all({_CMD_SQL}, '#([A-Za-z0-9:]+)', 1), ', ')
+  AS tags FROM orders""")
+def tag_extract(spark, sf):
+    return _commands(spark, sf).select("o_orderkey", T.extract_tags("command").alias("tags"))
+
+
+@query("tag_rewrite", f"""SELECT o_orderkey, 'sum cells in range from ' || {L.letters_sql('o_custkey % 30')} ||
+  CAST(o_orderkey % 1000 + 1 AS VARCHAR) || ' to ' || {L.letters_sql('o_orderkey % 7')} ||
+  CAST(o_custkey % 500 + 1 AS VARCHAR) || ', clear column ' || {L.letters_sql('o_orderkey % 7')} ||
+  ' and row row ' || CAST(o_orderkey % 1000 + 1 AS VARCHAR) || ' or ' ||
+  CASE WHEN o_custkey % 30 >= 26 THEN 'column ' ELSE '#' END || {L.letters_sql('o_custkey % 30')} ||
+  ':column ' || {L.letters_sql('o_orderkey % 7')} AS rewritten FROM orders""")
+def tag_rewrite(spark, sf):
+    return _commands(spark, sf).select("o_orderkey", T.rewrite_tags("command").alias("rewritten"))
+
+
+def _preview_sql(v):
+    return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN '' ELSE substr({v}, 1, 15) || "
+            f"CASE WHEN length({v}) > 15 THEN '...' ELSE '' END END")
+
+
+_LISTING_SQL = f"""
+WITH s AS ({fx.CUSTOMER_SHEET_SQL})
+SELECT 0 AS kind, CAST(1 AS BIGINT) AS col, CAST(-1 AS BIGINT) AS row, 'B' AS text, 'Column B' AS description
+UNION ALL SELECT 0, 4, -1, 'E', 'Column E'
+UNION ALL SELECT 1, -1, _row, CAST(_row + 1 AS VARCHAR), 'Row ' || CAST(_row + 1 AS VARCHAR) FROM s
+UNION ALL SELECT 2, 1, _row, 'B' || CAST(_row + 1 AS VARCHAR), CASE WHEN {_preview_sql('c_name')} = ''
+  THEN 'Cell B' || CAST(_row + 1 AS VARCHAR) ELSE 'Cell B' || CAST(_row + 1 AS VARCHAR) || ': ' || {_preview_sql('c_name')} END FROM s
+UNION ALL SELECT 2, 4, _row, 'E' || CAST(_row + 1 AS VARCHAR), CASE WHEN {_preview_sql('c_mktsegment')} = ''
+  THEN 'Cell E' || CAST(_row + 1 AS VARCHAR) ELSE 'Cell E' || CAST(_row + 1 AS VARCHAR) || ': ' || {_preview_sql('c_mktsegment')} END FROM s"""
+
+
+@query("cell_listing", _LISTING_SQL)
+def cell_listing(spark, sf):
+    return address.cell_listing(fx.customer_sheet(spark, sf), ["c_name", "c_mktsegment"])
+
+
+@query("cell_search", f"""SELECT * FROM ({_LISTING_SQL}) WHERE contains(lower(text), 'uildin')
+  OR contains(lower(description), 'uildin') ORDER BY kind, col, row LIMIT 10""")
+def cell_search(spark, sf):
+    return address.cell_search(fx.customer_sheet(spark, sf), "uildin", 10, ["c_name", "c_mktsegment"])

@@ -65,7 +65,9 @@ class Sheet:
         must give ``order_by``."""
         out = fn(self.df)
         if ROW in out.columns:
-            return Sheet.from_df(out, [F.col(ROW)])
+            from gridframe.plans.ordinals import dense_reindex
+
+            return Sheet(dense_reindex(out, self._n_rows))
         if not order_by:
             raise ValueError("the step dropped _row; give order_by to fix the row order")
         return Sheet.from_df(out, order_by)
