@@ -715,3 +715,69 @@ def cell_listing(spark, sf):
   OR contains(lower(description), 'uildin') ORDER BY kind, col, row LIMIT 10""")
 def cell_search(spark, sf):
     return address.cell_search(fx.customer_sheet(spark, sf), "uildin", 10, ["c_name", "c_mktsegment"])
+
+
+# -- S1/S3-S5 sources and sinks, T1/T2 streams ----------------------------------------------------
+from gridframe.session import scratch_path  # noqa: E402
+from gridframe.sources import csv as csvsrc, records  # noqa: E402
+
+
+@query("csv_roundtrip", f"""SELECT _row, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def csv_roundtrip(spark, sf):
+    path = csvsrc.write_csv_sheet(fx.orders_sheet(spark, sf), scratch_path(spark, "csv"))
+    return csvsrc.read_csv_sheet(spark, path).df
+
+
+_REC = ("to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, "
+        "'o_totalprice': o_totalprice, 'o_orderdate': coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ''), "
+        "'o_orderpriority': o_orderpriority})")
+
+
+@query("json_records_sink", f"SELECT _row, {_REC} AS record FROM ({fx.ORDERS_SHEET_SQL}) s")
+def json_records_sink(spark, sf):
+    return records.to_records(fx.orders_sheet(spark, sf))
+
+
+@query("json_records", f"""SELECT _row, o_orderpriority, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+  CAST(NULL AS VARCHAR) AS o_comment, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate
+  FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def json_records(spark, sf):
+    recs = records.to_records(fx.orders_sheet(spark, sf))
+    return records.from_records(recs, ["o_orderpriority", "o_totalprice", "o_comment", "o_orderdate"]).df
+
+
+def _edit_source(spark, sf):
+    """Events as cell edits, written as two files (even and odd event ids)."""
+    ev = fx.table(spark, sf, "events")
+    edits = ev.select(F.lit(0).cast("bigint").alias("sheet_id"), F.col("event_id").alias("seq"),
+                      F.col("user_id").alias("row"), (F.col("event_id") % 8).alias("col"),
+                      F.col("event_type").alias("value"))
+    src = scratch_path(spark, "edits-src")
+    for parity in (0, 1):
+        edits.where(F.col("seq") % 2 == parity).coalesce(1).write.mode("append").parquet(src)
+    return src
+
+
+@query("edit_stream", """SELECT CAST(0 AS BIGINT) AS sheet_id, user_id AS row, event_id % 8 AS col,
+  max(event_id) AS seq, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id, event_id % 8""")
+def edit_stream(spark, sf):
+    from gridframe.streaming.edits import run_edit_stream
+    src = _edit_source(spark, sf)
+    return run_edit_stream(spark, src, scratch_path(spark, "cells"), scratch_path(spark, "edits-ckpt"))
+
+
+@query("session_stream", f"""
+WITH a AS (SELECT user_id AS session_id, ts FROM events),
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000
+  THEN 1 ELSE 0 END AS s FROM a WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT session_id, min(ts) AS session_start, max(ts) AS last_access, count(*) AS accesses
+      FROM n GROUP BY session_id, k)
+SELECT * FROM s WHERE epoch_us(last_access) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events)""")
+def session_stream(spark, sf):
+    from gridframe.streaming.sessions import run_session_stream
+    ev = fx.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts")
+    src = scratch_path(spark, "access-src")
+    ev.write.parquet(src)
+    return run_session_stream(spark, src, scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ckpt"))
