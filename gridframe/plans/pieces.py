@@ -190,15 +190,14 @@ def map_by_segments(
         mapped = df.withColumn(out, expr if expr is not None else F.lit(None).cast("bigint"))
         return mapped.where(F.col(out).isNotNull()) if how == "inner" else mapped
     spark = df.sparkSession
-    span = max((f0 + n for _, f0, n, _ in segments), default=1)
-    width = max(1, math.ceil(span / (4 * len(segments))))
-    rows = []
-    for g, f0, n, t0 in segments:
-        if n <= 0:
-            continue
-        for b in range(f0 // width, (f0 + n - 1) // width + 1):
-            rows.append((g, b, f0, n, t0))
-    seg_df = spark.createDataFrame(rows, "__sg BIGINT, __sb BIGINT, __f0 BIGINT, __n BIGINT, __t0 BIGINT")
+    covered = sum(n for _, _, n, _ in segments if n > 0)
+    # Bucket rows ~ covered / width + segments: keep them near 5x segments.
+    width = max(1, math.ceil(covered / (4 * len(segments))))
+    seg_rows = [(g, f0, n, t0) for g, f0, n, t0 in segments if n > 0]
+    seg_df = spark.createDataFrame(seg_rows, "__sg BIGINT, __f0 BIGINT, __n BIGINT, __t0 BIGINT", verifySchema=False)
+    first_b = F.floor(F.col("__f0") / F.lit(width)).cast("bigint")
+    last_b = F.floor((F.col("__f0") + F.col("__n") - 1) / F.lit(width)).cast("bigint")
+    seg_df = seg_df.withColumn("__sb", F.explode(F.sequence(first_b, last_b)))
     staged = df.withColumn("__key", key).withColumn("__kb", F.floor(F.col("__key") / F.lit(width)).cast("bigint"))
     cond = (staged["__kb"] == seg_df["__sb"]) & (staged["__key"] >= seg_df["__f0"]) & (
         staged["__key"] < seg_df["__f0"] + seg_df["__n"])
