@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def qc(name: str) -> Column:
+    """Column by exact name (dots and other specials quoted)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _c(x: str | Column) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return qc(x) if isinstance(x, str) else x
 
 
 def blank(c: str | Column, dtype: str = "string") -> Column:

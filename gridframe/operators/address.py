@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.functions.letters import column_letters
 from gridframe.functions import selection as sel
 from gridframe.plans.ordinals import ROW
@@ -95,7 +97,7 @@ def read_range(sheet: Sheet, selection: str) -> DataFrame:
         row_filter = cond if row_filter is None else row_filter | cond
     out = sheet.df.where(row_filter)
     if len(spans) == 1:
-        return out.select(ROW, *[cols[c] for c in wanted])
+        return out.select(ROW, *[qc(cols[c]) for c in wanted])
     projected = []
     for c in wanted:
         cond = None
@@ -103,7 +105,7 @@ def read_range(sheet: Sheet, selection: str) -> DataFrame:
             if c1 <= c <= c2:
                 k = in_rows(r1, r2)
                 cond = k if cond is None else cond | k
-        projected.append(F.when(cond, F.col(cols[c])).alias(cols[c]))
+        projected.append(F.when(cond, qc(cols[c])).alias(cols[c]))
     return out.select(ROW, *projected)
 
 
@@ -114,9 +116,9 @@ def grid_page(sheet: Sheet, start: int, stop: int) -> DataFrame:
     out = []
     for c in sheet.columns:
         if types[c].startswith("timestamp") or types[c] == "date":
-            out.append(F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c))
+            out.append(F.coalesce(F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(qc(c))
     return sheet.df.where((F.col(ROW) >= start) & (F.col(ROW) < stop)).select(ROW, *out)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.functions.text import blank, iso_to_date_text, value_shape
 from gridframe.plans.ordinals import ROW, dense_reindex
 from gridframe.sheet import Sheet
@@ -33,7 +35,7 @@ def drop_blank_cols(sheet: Sheet) -> Sheet:
     if row["rows"] == 0:
         return sheet
     keep = [c for i, c in enumerate(sheet.columns) if row[f"n{i}"] > 0]
-    return Sheet(sheet.df.select(ROW, *keep), row["rows"])
+    return Sheet(sheet.df.select(ROW, *[qc(c) for c in keep]), row["rows"])
 
 
 def shape_of(example: str) -> str:
@@ -61,7 +63,7 @@ def iso_to_date(sheet: Sheet) -> Sheet:
         if t[c] == "string":
             out.append(iso_to_date_text(c).alias(c))
         elif t[c].startswith("timestamp"):
-            out.append(F.to_date(c).alias(c))
+            out.append(F.to_date(qc(c)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(qc(c))
     return Sheet(sheet.df.select(ROW, *out), sheet._n_rows)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.functions.text import blank
 from gridframe.operators.address import index_to_letters
 from gridframe.operators.profile import normalized_name
@@ -40,7 +42,7 @@ def promote_header(sheet: Sheet) -> Sheet:
     """If any cell of row 0 is non-blank, row 0 becomes the header and
     leaves the data (``_row`` shifts down by one); else letter names.
     Blank header cells are named ``Column<n>`` (1-based position)."""
-    first = sheet.df.where(F.col(ROW) == 0).select(*[F.col(c).cast("string") for c in sheet.columns]).first()
+    first = sheet.df.where(F.col(ROW) == 0).select(*[qc(c).cast("string") for c in sheet.columns]).first()
     cells = list(first) if first is not None else []
     use = any(v is not None and v != "" for v in cells)
     if not use:
@@ -48,7 +50,7 @@ def promote_header(sheet: Sheet) -> Sheet:
         return Sheet(sheet.df.toDF(ROW, *names), sheet._n_rows)
     names = _unique([v if v not in (None, "") else f"Column{j + 1}" for j, v in enumerate(cells)])
     body = sheet.df.where(F.col(ROW) > 0).select(
-        (F.col(ROW) - 1).alias(ROW), *[F.col(c).alias(n) for c, n in zip(sheet.columns, names)])
+        (F.col(ROW) - 1).alias(ROW), *[qc(c).alias(n) for c, n in zip(sheet.columns, names)])
     n = None if sheet._n_rows is None else sheet._n_rows - 1
     return Sheet(body, n)
 
@@ -80,9 +82,9 @@ def conform(sheet: Sheet, target: list[tuple[str, str]], mapping: dict[str, str]
             out.append(F.lit(None).cast(t).alias(name))
             fails.append(F.lit(0).cast("bigint").alias(name))
             continue
-        v = F.col(src).cast("string").try_cast(t) if t != "string" else F.col(src).cast("string")
+        v = qc(src).cast("string").try_cast(t) if t != "string" else qc(src).cast("string")
         out.append(v.alias(name))
-        fails.append(F.count(F.when(F.col(src).isNotNull() & v.isNull(), 1)).alias(name))
+        fails.append(F.count(F.when(qc(src).isNotNull() & v.isNull(), 1)).alias(name))
     conformed = Sheet(sheet.df.select(ROW, *out), sheet._n_rows)
     failures = sheet.df.agg(*fails)
     return conformed, failures
@@ -106,7 +108,7 @@ def split_stacked(sheet: Sheet) -> DataFrame:
     df = running_sum(df, ROW, F.col("__blank"), "table_id", sheet._n_rows)
     df = df.where(F.col("__blank") == 0)
     # Header = first row of each table: one aggregate row per table.
-    header = F.array(*[F.col(c).cast("string") for c in sheet.columns])
+    header = F.array(*[qc(c).cast("string") for c in sheet.columns])
     heads = df.groupBy("table_id").agg(F.min_by(F.struct(header.alias("names"), F.col(ROW).alias("at")),
                                                 F.col(ROW)).alias("__hdr"))
     key = F.array_join(F.transform(F.col("__hdr.names"), lambda x: F.coalesce(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.plans.ordinals import ROW
 from gridframe.sheet import Sheet
 
@@ -56,8 +58,8 @@ def modified_cells(old: Sheet, new: Sheet) -> DataFrame:
     added = [new_cols.index(c) for c in new_cols if c not in to]
     parts = []
     if common:
-        o = old.df.select(ROW, *[F.col(c).alias(f"o{i}") for i, c in enumerate(common)])
-        n = new.df.select(ROW, *[F.col(c).alias(f"n{i}") for i, c in enumerate(common)])
+        o = old.df.select(ROW, *[qc(c).alias(f"o{i}") for i, c in enumerate(common)])
+        n = new.df.select(ROW, *[qc(c).alias(f"n{i}") for i, c in enumerate(common)])
         j = o.join(n, ROW, "inner")
         flags = [F.when(_unequal(F.col(f"o{i}"), to[c], F.col(f"n{i}"), tn[c]), F.lit(new_cols.index(c)).cast("bigint"))
                  for i, c in enumerate(common)]

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.plans.ordinals import ROW
 from gridframe.plans.pieces import EditError, PieceTable, compile_edits, map_by_segments
 from gridframe.plans.running import carry_last
@@ -122,9 +124,9 @@ def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
         # Original value of each edited cell (source rows and columns only).
         orig_expr = None
         for k, name in enumerate(src_cols):
-            v = _norm(F.col(name), resolved[k])
+            v = _norm(qc(name), resolved[k])
             orig_expr = F.when(F.col("__ck") == k, v) if orig_expr is None else orig_expr.when(F.col("__ck") == k, v)
-        base = ids.select("__id", *src_cols) if src_cols else ids.select("__id")
+        base = ids.select("__id", *[qc(c) for c in src_cols])
         c = c.join(base, "__id", "left").withColumn("__orig", orig_expr if orig_expr is not None else F.lit(None).cast("string"))
         c = c.select("seq", "row", "col", "new_value", "__id", "__ck", "__new", "__orig")
 
@@ -154,7 +156,7 @@ def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
         name = pt.col_names[k]
         t = resolved.get(k, "string")
         if k < len(src_cols):
-            base_v = F.col(src_cols[k])
+            base_v = qc(src_cols[k])
             base_v = base_v if types[src_cols[k]] == t else _norm(base_v, types[src_cols[k]]).cast(t)
         else:
             base_v = F.lit(None).cast(t)
@@ -210,7 +212,7 @@ def drop_cols_by_letters(sheet: Sheet, letters: list[str]) -> Sheet:
     if -1 in idx:
         raise EditError(f"bad column letters {letters}")
     keep = [c for i, c in enumerate(sheet.columns) if i not in idx]
-    return Sheet(sheet.df.select(ROW, *keep), sheet._n_rows)
+    return Sheet(sheet.df.select(ROW, *[qc(c) for c in keep]), sheet._n_rows)
 
 
 def _operand(sheet: Sheet, ref: str) -> Column:

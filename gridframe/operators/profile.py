@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.plans.ordinals import ROW
 from gridframe.sheet import Sheet
 
@@ -21,7 +23,7 @@ def column_types(sheet: Sheet) -> DataFrame:
     t = dict(sheet.df.dtypes)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(sheet.columns):
-        x = F.col(c)
+        x = qc(c)
         if t[c] in ("double", "float"):
             x = F.when(~F.isnan(x), x)
             aggs.append(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)).alias(f"i{i}"))
@@ -53,7 +55,7 @@ def column_types_df(sheet: Sheet) -> DataFrame:
     t = dict(sheet.df.dtypes)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(sheet.columns):
-        x = F.col(c)
+        x = qc(c)
         if t[c] in ("double", "float"):
             x = F.when(~F.isnan(x), x)
             aggs.append(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)).alias(f"i{i}"))

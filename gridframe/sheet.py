@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
 from gridframe.plans.ordinals import ROW, assign_ordinals
 
 
@@ -17,7 +18,7 @@ class Sheet:
     def __init__(self, df: DataFrame, n_rows: int | None = None):
         if ROW not in df.columns:
             raise ValueError("a Sheet DataFrame needs a _row column; use Sheet.from_df")
-        self.df = df.select(ROW, *[c for c in df.columns if c != ROW])
+        self.df = df.select(ROW, *[qc(c) for c in df.columns if c != ROW])
         self._n_rows = n_rows
 
     # -- construction -------------------------------------------------
@@ -51,7 +52,7 @@ class Sheet:
 
     def values(self) -> DataFrame:
         """The value columns only, in sheet order (order itself is in ``_row``)."""
-        return self.df.select(*self.columns)
+        return self.df.select(*[qc(c) for c in self.columns])
 
     def with_df(self, df: DataFrame, n_rows: int | None = None) -> "Sheet":
         return Sheet(df, n_rows)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
+
 from gridframe.plans.ordinals import ROW, assign_ordinals
 from gridframe.sheet import Sheet
 
@@ -57,7 +59,7 @@ def read_csv_sheet(spark: SparkSession, path: str, multiline: bool = True) -> Sh
     names = header_names([head[c] if head is not None else None for c in fields])
     body = numbered.where(F.col(ROW) > 0).select(
         (F.col(ROW) - 1).alias(ROW),
-        *[F.when(~F.col(c).isin(NULL_TOKENS), F.col(c)).alias(n) for c, n in zip(fields, names)])
+        *[F.when(~qc(c).isin(NULL_TOKENS), qc(c)).alias(n) for c, n in zip(fields, names)])
     return infer_types(Sheet(body))
 
 
@@ -67,7 +69,7 @@ def infer_types(sheet: Sheet) -> Sheet:
     text.  Dates stay text.  One aggregate decides all columns."""
     aggs = []
     for i, c in enumerate(sheet.columns):
-        x = F.col(c)
+        x = qc(c)
         aggs += [F.count(x).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"i{i}"),
                  F.count(x.try_cast("double")).alias(f"d{i}"),
                  F.count(F.when(x.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
@@ -78,13 +80,13 @@ def infer_types(sheet: Sheet) -> Sheet:
     for i, c in enumerate(sheet.columns):
         n = r[f"n{i}"]
         if n and r[f"i{i}"] == n:
-            out.append(F.col(c).try_cast("bigint").alias(c))
+            out.append(qc(c).try_cast("bigint").alias(c))
         elif n and r[f"d{i}"] == n:
-            out.append(F.col(c).try_cast("double").alias(c))
+            out.append(qc(c).try_cast("double").alias(c))
         elif n and r[f"b{i}"] == n:
-            out.append(F.col(c).isin(TRUE_TOKENS).alias(c))
+            out.append(qc(c).isin(TRUE_TOKENS).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(qc(c))
     return Sheet(sheet.df.select(ROW, *out), sheet._n_rows)
 
 
@@ -95,8 +97,8 @@ def write_csv_sheet(sheet: Sheet, path: str, partitions: int | None = None) -> s
     the first part only."""
     spark = sheet.df.sparkSession
     t = dict(sheet.df.dtypes)
-    cols = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t[c].startswith("timestamp") else
-            F.col(c).cast("string").alias(c) for c in sheet.columns]
+    cols = [F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss").alias(c) if t[c].startswith("timestamp") else
+            qc(c).cast("string").alias(c) for c in sheet.columns]
     body = sheet.df.select(ROW, *cols)
     head = spark.range(1).select(F.lit(-1).cast("bigint").alias(ROW), *[F.lit(c).alias(c) for c in sheet.columns])
     both = head.unionByName(body)

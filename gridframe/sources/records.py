@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from gridframe.functions.text import qc
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridframe.plans.ordinals import ROW
@@ -18,11 +20,11 @@ def to_records(sheet: Sheet) -> DataFrame:
     cols = []
     for c in sheet.columns:
         if t[c].startswith("timestamp") or t[c] == "date":
-            cols.append(F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c))
+            cols.append(F.coalesce(F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c))
         elif t[c] in ("double", "float"):
-            cols.append(F.when(~F.isnan(c), F.col(c)).alias(c))
+            cols.append(F.when(~F.isnan(qc(c)), qc(c)).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(qc(c))
     return sheet.df.select(ROW, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("record"))
 
 
