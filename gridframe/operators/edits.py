@@ -127,7 +127,9 @@ def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
             v = _norm(qc(name), resolved[k])
             orig_expr = F.when(F.col("__ck") == k, v) if orig_expr is None else orig_expr.when(F.col("__ck") == k, v)
         base = ids.select("__id", *[qc(c) for c in src_cols])
-        c = c.join(base, "__id", "left").withColumn("__orig", orig_expr if orig_expr is not None else F.lit(None).cast("string"))
+        # sheet RIGHT JOIN edits: the edit side may be broadcast (AQE, runtime
+        # size) so a small batch never shuffles the whole sheet.
+        c = base.join(c, "__id", "right").withColumn("__orig", orig_expr if orig_expr is not None else F.lit(None).cast("string"))
         c = c.select("seq", "row", "col", "new_value", "__id", "__ck", "__new", "__orig")
 
         # Effective value: '' on a missing cell leaves it missing.
