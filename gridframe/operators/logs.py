@@ -13,6 +13,13 @@ PREDEFINED_PROMPTS = ["Remove row", "Remove column", "Add row", "Add column"]
 SESSION_TIMEOUT_S = 3600
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (or timestamp)
+    value, free of the session time zone (no DST shifts in gaps)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+
+
 def prompt_append(log: DataFrame) -> DataFrame:
     """L1: newlines become spaces (a log line per prompt)."""
     return log.withColumn("prompt", F.regexp_replace("prompt", "\n", " "))
@@ -79,7 +86,7 @@ def sessionize(accesses: DataFrame, timeout_s: int = SESSION_TIMEOUT_S) -> DataF
     each access's session start is carried the same way, so a user holding a
     third of all accesses is spread over time buckets; sessions are then
     plain aggregates (partial aggregation before the shuffle)."""
-    a = accesses.select("session_id", "ts").withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
+    a = accesses.select("session_id", "ts").withColumn("__t", _micros(F.col("ts")))
     width = 3600 * 1_000_000  # one hour of microseconds per bucket: bounds a hot user per task
     a = carry_last(a, ["session_id"], "__t", F.col("__t"), F.lit(True), "__p", width)
     # Ties (same instant) keep one session: only a gap > timeout starts one.
@@ -87,18 +94,15 @@ def sessionize(accesses: DataFrame, timeout_s: int = SESSION_TIMEOUT_S) -> DataF
     a = a.withColumn("__s", starts)
     a = carry_last(a, ["session_id"], "__t", F.col("__t"), F.col("__s"), "__sc", width)
     a = a.withColumn("__start", F.when(F.col("__s"), F.col("__t")).otherwise(F.col("__sc.v")))
-    g = a.groupBy("session_id", "__start").agg(F.count(F.lit(1)).alias("accesses"), F.max("__t").alias("__end"))
-    return g.select(
-        "session_id",
-        F.timestamp_micros("__start").cast("timestamp_ntz").alias("session_start"),
-        F.timestamp_micros("__end").cast("timestamp_ntz").alias("last_access"),
-        "accesses")
+    g = a.groupBy("session_id", "__start").agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("accesses"))
+    return g.select("session_id", "session_start", "last_access", "accesses")
 
 
 def session_sweep(accesses: DataFrame, at: Column, timeout_s: int = SESSION_TIMEOUT_S) -> DataFrame:
     """Sessions expired at instant ``at`` (idle strictly over timeout)."""
     last = accesses.groupBy("session_id").agg(F.max("ts").alias("last_access"))
-    idle = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("last_access").cast("timestamp"))
+    idle = _micros(at) - _micros(F.col("last_access"))
     return last.withColumn("idle_s", (idle / 1_000_000).cast("bigint")).where(idle > timeout_s * 1_000_000)
 
 
@@ -121,7 +125,7 @@ def retention(listing: DataFrame, now: Column) -> DataFrame:
     pol = spark.createDataFrame(RETENTION_POLICY, "class string, max_age_h int, exempt array<string>, name_rule string")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     j = listing.withColumn("name", name).join(F.broadcast(pol), "class")
-    age_s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("modified").cast("timestamp"))
+    age_s = F.floor((_micros(now) - _micros(F.col("modified"))) / 1_000_000).cast("bigint")
     due = (F.col("max_age_h").isNull() | (age_s > F.col("max_age_h") * 3600))
     due = due & ~F.array_contains("exempt", F.col("name"))
     due = due & (F.col("name_rule").isNull() | F.regexp_like(F.col("name"), F.col("name_rule")))
