@@ -6,20 +6,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.operators.logs import SESSION_TIMEOUT_S
+from gridframe.operators.logs import SESSION_TIMEOUT_S, _micros
+
+_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _to_ntz(ts):
+    """Inverse of the UTC-reading mapping below: instant -> wall clock."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), _EPOCH_NTZ)
 
 
 def run_session_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                        delay: str = "0 seconds", max_files: int = 1) -> DataFrame:
     stream = (spark.readStream.schema("session_id bigint, ts timestamp_ntz")
               .option("maxFilesPerTrigger", max_files).parquet(source_dir))
-    ts = F.col("ts").cast("timestamp")
+    # Watermarks need TIMESTAMP: map each wall-clock value to the instant
+    # with the same UTC reading, so gaps never depend on the session zone.
+    ts = F.timestamp_micros(_micros(F.col("ts")))
     sessions = (stream.withColumn("ts", ts).withWatermark("ts", delay)
                 .groupBy("session_id", F.session_window("ts", f"{SESSION_TIMEOUT_S} seconds").alias("w"))
                 .agg(F.count(F.lit(1)).alias("accesses"), F.max("ts").alias("last_access")))
     out = sessions.select(
-        "session_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("last_access").cast("timestamp_ntz").alias("last_access"), "accesses")
+        "session_id", _to_ntz(F.col("w.start")).alias("session_start"),
+        _to_ntz(F.col("last_access")).alias("last_access"), "accesses")
     q = (out.writeStream.outputMode("append").format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

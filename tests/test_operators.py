@@ -82,3 +82,17 @@ def test_listing_and_search(spark, sheet_of):
     assert lst[(0, -1)] == "Column A" and lst[(2, 1)] == "Cell A2: a very long val..." and lst[(2, 2)] == "Cell A3"
     top = address.cell_search(s, "alp").collect()
     assert [r.text for r in top] == ["A1"]
+
+
+def test_sessions_ignore_session_time_zone(spark):
+    rows = [(1, "2024-03-10 01:30:00"), (1, "2024-03-10 03:00:00"), (1, "2024-03-10 03:45:00")]
+    df = spark.createDataFrame(rows, "session_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = sorted((r.accesses, str(r.session_start)) for r in logs.sessionize(df).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    utc = sorted((r.accesses, str(r.session_start)) for r in logs.sessionize(df).collect())
+    # 01:30 -> 03:00 is 90 minutes of wall clock: two sessions in any zone
+    assert la == utc == [(1, "2024-03-10 01:30:00"), (2, "2024-03-10 03:00:00")]
