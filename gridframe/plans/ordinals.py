@@ -80,10 +80,10 @@ def dense_reindex(df: DataFrame, n_hint: int | None = None, name: str = ROW) ->
     cut into buckets of ``_row`` (bucket counts -> small prefix table,
     broadcast) and numbered inside each bucket by a window partitioned by the
     bucket.  Deterministic whatever the partition layout."""
-    from gridframe.plans.running import bucket_width
+    from gridframe.plans.running import bucket_width, span_of
     from pyspark.sql import Window
 
-    w = bucket_width(n_hint)
+    w = bucket_width(span_of(df, name, n_hint))
     b = F.floor(F.col(name) / F.lit(w)).cast("bigint")
     staged = df.withColumn("__b", b)
     counts = staged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))

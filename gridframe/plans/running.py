@@ -20,9 +20,16 @@ _MIN_WIDTH = 1 << 12
 
 def bucket_width(n_rows: int | None) -> int:
     """Bucket width keeping the bucket table under ``_MAX_BUCKETS`` rows."""
-    if not n_rows:
-        return 1 << 16
-    return max(_MIN_WIDTH, math.ceil(n_rows / _MAX_BUCKETS))
+    return max(_MIN_WIDTH, math.ceil((n_rows or 0) / _MAX_BUCKETS))
+
+
+def span_of(df: DataFrame, order_col: str, n_rows: int | None) -> int:
+    """Upper bound of a non-negative order column: the given row count, or
+    one aggregate when unknown, so the bucket table size is always bounded."""
+    if n_rows is not None:
+        return n_rows
+    top = df.agg(F.max(order_col)).first()[0]
+    return 0 if top is None else int(top) + 1
 
 
 def running_sum(
@@ -35,7 +42,7 @@ def running_sum(
 ) -> DataFrame:
     """Global running sum of ``value`` in ``order_col`` order (``order_col`` is
     a non-negative integer such as ``_row``)."""
-    w = bucket_width(n_rows)
+    w = bucket_width(span_of(df, order_col, n_rows))
     b = F.floor(F.col(order_col) / F.lit(w)).cast("bigint")
     staged = df.withColumn("__b", b).withColumn("__v", F.coalesce(value.cast("bigint"), F.lit(0)))
     frame = Window.partitionBy("__b").orderBy(order_col)
