@@ -87,7 +87,7 @@ def sessionize(accesses: DataFrame, timeout_s: int = SESSION_TIMEOUT_S) -> DataF
     third of all accesses is spread over time buckets; sessions are then
     plain aggregates (partial aggregation before the shuffle)."""
     a = accesses.select("session_id", "ts").withColumn("__t", _micros(F.col("ts")))
-    width = 3600 * 1_000_000  # one hour of microseconds per bucket: bounds a hot user per task
+    width = 24 * 3600 * 1_000_000  # one day of microseconds per bucket: bounds a hot user per task
     a = carry_last(a, ["session_id"], "__t", F.col("__t"), F.lit(True), "__p", width)
     # Ties (same instant) keep one session: only a gap > timeout starts one.
     starts = F.col("__p").isNull() | ((F.col("__t") - F.col("__p.v")) > timeout_s * 1_000_000)
