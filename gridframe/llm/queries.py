@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridframe.llm.common import table
 
@@ -27,9 +28,29 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.bpe import encode_documents
+
+    coded = encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
