@@ -28,6 +28,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, num=80, den=100)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridframe.llm.fingerprints import fingerprint_documents
 
@@ -60,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_minhash": op2_minhash,
     "op3_fingerprints": op3_fingerprints,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
