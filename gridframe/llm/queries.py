@@ -40,6 +40,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.decontaminate import contaminated_pairs
+
+    pairs = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.drop("row_key", "row_tag")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridframe.llm.bpe import encode_documents
 
@@ -66,6 +73,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridframe.llm.toxicity import score_toxicity
 
@@ -82,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
     "op3_fingerprints": op3_fingerprints,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
