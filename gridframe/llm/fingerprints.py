@@ -136,14 +136,16 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE, floor_size: int =
         .select(
             F.col("to_key").alias("key"), F.col("to_tag").alias("tag"),
             F.expr("left(text, want)").alias("opening"), F.col("sketch").alias("next_sketch"),
+            # With it both uses of `full` read the same columns, so its exchange is made once.
+            F.col("doc_id").alias("next_id"),
         )
         .groupBy("key", "tag")  # repeated rows send the same
-        .agg(F.first("opening").alias("opening"), F.first("next_sketch").alias("next_sketch"))
+        .agg(F.first("opening").alias("opening"), F.first("next_sketch").alias("next_sketch"), F.first("next_id").alias("next_id"))
     )
     joined = full.join(sent, ["key", "tag"])
     n = F.char_length("text")
     edited = F.concat(F.expr("left(text, char_length(text) - floor(char_length(text) / 2))"), F.col("opening"))
-    done = joined.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    done = joined.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", "next_id", edited.alias("edited"))
     done = done.withColumn("edited_sketch", sketch(F.col("edited"), scale, floor_size))
     limit = lambda c: threshold(F.col(c), scale, floor_size)
     return done.select(
@@ -154,4 +156,5 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE, floor_size: int =
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch"), limit("sketch"), limit("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch"), limit("sketch"), limit("next_sketch")).alias("near_next"),
+        "next_id",
     )
