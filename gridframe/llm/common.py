@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridframe.session import scratch_path
 
@@ -38,6 +39,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` as (row, row_key, row_tag, text): all columns in one struct, so
+    that no name can clash, and two columns that identify a row's id and text."""
+    return rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *row_identity(key), F.col("text").alias("text")
+    )
+
+
+def row_identity(key: str = "doc_id") -> list[Column]:
+    """(row_key, row_tag): rows that agree in both share their id and text."""
+    tag = F.xxhash64(F.col("text"), F.col("text").isNull(), F.col(key).isNull())
+    return [F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("row_key"), tag.alias("row_tag")]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (nulls as empty) and its row offsets."""
     if isinstance(column, pa.ChunkedArray):

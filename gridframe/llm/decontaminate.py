@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    CHUNK_BYTES, byte_table, prefix_hash, row_chunks, span_hash, staged, text_buffer, word_spans,
+    CHUNK_BYTES, byte_table, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer, whole_rows,
+    word_spans,
 )
 
 #: Bits of the seed filter; its size does not depend on the benchmark.
@@ -140,12 +141,6 @@ def _seed_rows(rows: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
     )
 
 
-def _keyed(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumns(
-        {"row_key": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "row_tag": F.xxhash64(F.col("text"), F.col(key).isNull())}
-    )
-
-
 def contaminated_pairs(
     docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, spread: float = 3.0
 ) -> DataFrame:
@@ -157,14 +152,14 @@ def contaminated_pairs(
     Null and empty texts and items of fewer than ``min_match`` tokens match
     nothing; null ids are kept as null; rows that repeat both id and text give
     one pair; an empty table gives no pairs; other columns are ignored."""
-    items = _keyed(benchmark.select("item_id", "text"), "item_id").dropDuplicates(["row_key", "row_tag"])
+    items = benchmark.select("item_id", *row_identity("item_id"), "text").dropDuplicates(["row_key", "row_tag"])
     item_seeds = staged(_seed_rows(items, min_match, None), "item-seeds")
     # At most FILTER_BITS rows reach the driver.
     bit = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")
     set_bits = item_seeds.select(bit).distinct().toArrow()["bit"].to_numpy()
     held = np.zeros(FILTER_BITS, bool)
     held[set_bits] = True
-    doc_seeds = _seed_rows(_keyed(docs.select("doc_id", "text"), "doc_id"), min_match, np.packbits(held))
+    doc_seeds = _seed_rows(docs.select(*row_identity(), "text"), min_match, np.packbits(held))
     doc_seeds = staged(doc_seeds.drop("n_tokens"), "doc-seeds")
     of_item = item_seeds.select(
         "seed", F.col("row_key").alias("item_key"), F.col("row_tag").alias("item_tag"),
@@ -200,7 +195,7 @@ def contaminated_pairs(
     found = shared.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     # Ids come back by key and tag: -1 with the tag of a null id is a null id.
     item_ids = items.select(F.col("row_key").alias("item_key"), F.col("row_tag").alias("item_tag"), "item_id")
-    ids = _keyed(docs.select("doc_id", "text"), "doc_id").select("row_key", "row_tag", "doc_id")
+    ids = docs.select(*row_identity(), "doc_id")
     found = staged(found, "pairs")
     return (
         found.join(item_ids, ["item_key", "item_tag"])
@@ -214,6 +209,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     """``docs`` without the rows that hold a benchmark item (see
     ``contaminated_pairs``); all other rows and columns stay as they are."""
     bad = staged(contaminated_pairs(docs, benchmark, **options).select("row_key", "row_tag").distinct(), "contaminated")
-    return _keyed(docs, "doc_id").join(bad, ["row_key", "row_tag"], "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    return whole_rows(docs).join(bad, ["row_key", "row_tag"], "left_anti").select("row.*")

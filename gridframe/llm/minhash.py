@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import mix64, row_chunks, shingle_hashes, staged, text_buffer, word_hashes
+from gridframe.llm.common import (
+    mix64, row_chunks, row_identity, shingle_hashes, staged, text_buffer, whole_rows, word_hashes,
+)
 from gridframe.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -102,8 +104,8 @@ def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, tag, n_shingles, node, keys) of every row; ``node`` identifies
-    the set, null for an empty one."""
+    """(row_key, row_tag, doc_id, n_shingles, node, keys) of every row; ``node``
+    identifies the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +120,20 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
-                     batch.column("tag").slice(lo, hi - lo), pa.array(size),
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("row_key", "row_tag")),
+                     batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(size),
                      pa.array(set_keys(h, edge).view(np.int64), mask=empty), keys],
-                    names=["doc_id", "tag", "n_shingles", "node", "keys"],
+                    names=["row_key", "row_tag", "doc_id", "n_shingles", "node", "keys"],
                 )
 
-    slim = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    return slim.mapInArrow(run, "doc_id long, tag long, n_shingles long, node long, keys array<long>")
+    slim = docs.select(*row_identity(), "doc_id", "text")
+    return slim.mapInArrow(
+        run, "row_key long, row_tag long, doc_id long, n_shingles long, node long, keys array<long>"
+    )
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, members) for ``wanted`` (node, doc_id, tag): each node's sorted
+    """(node, members) for ``wanted`` (node, row_key, row_tag): each node's sorted
     shingle hashes as 64-bit integers, from its representative's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +148,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 )
 
     # Rows that repeat id and text would send their set again; one is enough.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key")
-    texts = docs.select(key, F.xxhash64("text").alias("tag"), "text")
-    reps = wanted.select("node", key, "tag")
     return (
-        texts.join(reps, ["key", "tag"])
+        docs.select(*row_identity(), "text")
+        .join(wanted, ["row_key", "row_tag"])
         .select("node", "text")
         .mapInArrow(run, "node long, members binary")
         .dropDuplicates(["node"])
@@ -184,23 +186,14 @@ def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     )
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Two rows are linked if the Jaccard similarity of their sets of ``words``-word
-    shingles is at least num / den.  ``component_id`` is the smallest id that
-    links reach; a row without words is linked with nothing.  Null texts have
-    no words; rows with a null id take part, and a component without any id has
-    a null ``component_id`` and keeps all its rows; repeated rows share their
-    result; an empty table gives no rows; other columns are ignored."""
+def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """What ``near_duplicates`` returns, with the columns that identify a row."""
     signed = staged(signatures(docs, words, bands, rows), "signatures")
-    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "row_tag")
     classes = (
         signed.where("node is not null").groupBy("node")
-        .agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
-        .select("node", "rep.doc_id", "rep.tag", "n", "keys")
+        .agg(F.min(rep).alias("rep"), F.any_value("keys").alias("keys"))
+        .select("node", "rep.doc_id", "rep.row_key", "rep.row_tag", "keys")
     )
     classes = staged(classes, "classes")
     buckets = classes.select(F.explode("keys").alias("key"), "node")
@@ -213,7 +206,7 @@ def near_duplicates(
     first = staged(
         members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs"
     )
-    wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "tag"), "node")
+    wanted = members.select("node").distinct().join(classes.select("node", "row_key", "row_tag"), "node")
     sets = staged(full_sets(docs, wanted, words), "sets")
     held = staged(measured(first, sets, num, den), "measured")
     links = held.where("linked").select("a", "b")
@@ -248,10 +241,33 @@ def near_duplicates(
     least = staged(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of_node = staged(ids.select("node", "label").join(least, "label").select("node", "component_id"), "groups")
     return (
-        signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+        signed.select("row_key", "row_tag", "doc_id", "n_shingles", "node").join(of_node, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .select(
-            "doc_id", "n_shingles", "component_id",
+            "row_key", "row_tag", "doc_id", "n_shingles", "component_id",
             (F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
         )
     )
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Two rows are linked if the Jaccard similarity of their sets of ``words``-word
+    shingles is at least num / den.  ``component_id`` is the smallest id that
+    links reach; a row without words is linked with nothing.  Null texts have
+    no words; rows with a null id take part, and a component without any id has
+    a null ``component_id`` and keeps all its rows; repeated rows share their
+    result; an empty table gives no rows; other columns are ignored."""
+    return _groups(docs, words, num, den, bands, rows).drop("row_key", "row_tag")
+
+
+def keep_representatives(
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep; all
+    columns stay.  Rows that repeat both id and text of a row kept stay with it."""
+    gone = _groups(docs, words, num, den, bands, rows).where("not kept").select("row_key", "row_tag")
+    return whole_rows(docs).join(staged(gone, "near-duplicates"), ["row_key", "row_tag"], "left_anti").select("row.*")

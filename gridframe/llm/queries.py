@@ -62,12 +62,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridframe.llm.suffix_dedup import cut_repeats
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return cut_repeats(docs, length=400).select(
+    return cut_repeats(table(spark, sf_dir, "documents"), length=400).select(
         "doc_id",
-        n_bytes.alias("n_bytes"),
-        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )

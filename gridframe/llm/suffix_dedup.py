@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    byte_table, mix64, powers, prefix_hash, row_chunks, span_hash, staged, text_buffer,
+    byte_table, mix64, powers, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer, whole_rows,
 )
 
 GRAM = 100
@@ -202,15 +202,6 @@ def runs_of(number: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number[first], start[first], start[last]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns that identify a row's text: rows that agree in
-    both have equal results."""
-    return docs.withColumns({
-        "row_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
-        "row_tag": F.xxhash64("text"),
-    })
-
-
 def _segments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +223,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                         names=["row_key", "row_tag", "lo", "hi", "gram", "seg"],
                     )
 
-    return _keyed(docs.select("doc_id", "text")).select("row_key", "row_tag", "text").mapInArrow(
+    return docs.select(*row_identity(), "text").mapInArrow(
         run, "row_key long, row_tag long, lo long, hi long, gram long, seg long"
     )
 
@@ -258,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"),
         F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int").alias("parts"),
     )
-    texts = _keyed(docs.select("doc_id", "text")).select("row_key", "row_tag", "text")
+    texts = docs.select(*row_identity(), "text")
     body = F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))")
     # Rows that repeat id and text give one segment again: one of them is taken.
     texts_of = texts.join(chosen, ["row_key", "row_tag"]).select(
@@ -352,29 +343,67 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """All columns of ``docs`` with ``spans``, the maximal runs of bytes (UTF-8)
-    that repeated strings of ``length`` bytes cover, and ``kept``, the other
-    bytes in order.
+    """(doc_id, n_bytes, spans, kept) of every row: ``spans`` are the maximal
+    runs [start, end) of bytes (UTF-8) that repeated strings of ``length`` bytes
+    cover, ``kept`` the other bytes in order.
 
     Null texts count as empty.  Rows that repeat both id and text are copies
     of one another like any others.  Null ids are kept.  Texts shorter than
-    ``length`` have no spans.  Further columns pass through; an empty table
-    gives no rows."""
-    keyed = _keyed(docs)
+    ``length`` have no spans.  Other columns are ignored; an empty table gives
+    no rows."""
     spans = staged(repeated_spans(docs, length), "spans")
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
+    # The bytes between spans, in order.
     gaps = F.expr(
         "transform(sequence(0, size(spans)), i -> struct("
-        "if(i = 0, 0L, spans[i - 1].end) as a, if(i = size(spans), octet_length(__raw) * 1L, get(spans, i).start) as b))"
+        "if(i = 0, 0L, spans[i - 1].end) as a, if(i = size(spans), n_bytes, get(spans, i).start) as b))"
     )
     cut = F.expr(
-        "case when spans is null then __raw else aggregate(__gaps, cast('' as binary), (acc, g) -> "
-        "concat(acc, substring(__raw, cast(g.a + 1 as int), cast(g.b - g.a as int)))) end"
+        "if(size(spans) = 0, raw, aggregate(gaps, cast('' as binary), (acc, g) -> "
+        "concat(acc, substring(raw, cast(g.a + 1 as int), cast(g.b - g.a as int)))))"
     )
-    joined = keyed.join(spans, ["row_key", "row_tag"], "left").withColumn("__raw", raw)
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     return (
-        joined.withColumn("__gaps", F.when(F.col("spans").isNotNull(), gaps))
-        .withColumn("kept", cut)
-        .withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "spans", "kept")
+        docs.select("doc_id", *row_identity(), raw)
+        .join(spans, ["row_key", "row_tag"], "left")
+        .withColumns({"spans": F.coalesce("spans", none), "n_bytes": F.octet_length("raw").cast("long")})
+        .withColumn("gaps", gaps)
+        .select("doc_id", "n_bytes", "spans", cut.alias("kept"))
+    )
+
+
+def _without(text: str, spans: list[dict[str, int]]) -> str:
+    """``text`` without the characters that lie wholly in a span of its bytes."""
+    raw, kept, at = text.encode(), [], 0
+    for span in spans:
+        a, b = span["start"], span["end"]
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with the repeated strings of ``length`` bytes cut out of
+    ``text``, in whole characters, and ``n_chars``, where there is such a
+    column, set to what is left; all rows and other columns stay.  A text that
+    repeats cover wholly becomes empty; null and empty texts stay as they are."""
+
+    @F.arrow_udf("string")
+    def left(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_without(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    spans = staged(repeated_spans(docs, length), "spans")
+    rows = whole_rows(docs).join(spans, ["row_key", "row_tag"], "left")
+    whole = rows.where("spans is null").select("row.*")
+    text = F.col("left")
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    cut = (
+        rows.where("spans is not null")
+        .withColumn("left", left("text", "spans"))
+        .select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
     )
+    return whole.unionByName(cut)

@@ -283,3 +283,20 @@ def score_toxicity(
         run,
         "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>",
     )
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that score 0.5 or more (see ``score_toxicity``
+    and, for the options, ``fit_votes``); all columns stay."""
+    model = fit_votes(docs, labels, **options)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        data, bounds = text_buffer(text)
+        votes = []
+        for lo, hi in row_chunks(bounds):
+            part = bounds[lo : hi + 1]
+            votes += [model.vote(t, w)[0] for t, w in model.chunk_vectors(data[part[0] : part[-1]], part - part[0])]
+        return pa.array(votes, pa.float64())
+
+    return docs.where(score(F.col("text")) < 0.5)
