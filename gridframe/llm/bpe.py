@@ -92,7 +92,7 @@ class BpeCodec:
         chars = byte_characters()
         if not all(c in index and c + _END in index for c in chars):
             raise ValueError("the vocabulary lacks a byte")
-        self._chars = chars
+        self._chars, self._end, self._symbols = chars, _END, index
         self._n_base = len(base)
         self._left = [-1] * len(base) + [index[a] for a, _ in made]
         self._right = [-1] * len(base) + [index[b] for _, b in made]

@@ -270,16 +270,15 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         n, a, b = runs_of(number[some], start[some])
         out = [pd.DataFrame({"n": n, "lo": a, "hi": b, "digest": np.int64(0), "run": True})]
         if pdf["hot"].any():
-            left = ~some  # open windows without a twin here, and windows of known repeats
-            n, a, k = number[left], start[left], kind[left]
+            # One window of each kind speaks for it elsewhere; open ones without a twin here ask.
+            left = (opened[number] & ~twice) | ~pd.Series(kind).duplicated().to_numpy()
+            n, a = number[left], start[left]
             digest = np.empty(len(n), np.int64)
             for i in np.unique(n):
-                body = np.frombuffer(pdf["body"][i], np.uint8)
-                prefix = prefix_hash(_CODES[body])
+                prefix = prefix_hash(_CODES[np.frombuffer(pdf["body"][i], np.uint8)])
                 mine = n == i
                 digest[mine] = span_hash(prefix, a[mine], a[mine] + length).view(np.int64)
-            keep = opened[n] | ~pd.Series(k).duplicated().to_numpy()
-            out.append(pd.DataFrame({"n": n, "lo": a, "hi": a, "digest": digest, "run": False})[keep])
+            out.append(pd.DataFrame({"n": n, "lo": a, "hi": a, "digest": digest, "run": False}))
         got = pd.concat(out, ignore_index=True)
         where = pdf.iloc[got["n"]].reset_index(drop=True)
         return pd.DataFrame({
