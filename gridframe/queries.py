@@ -748,14 +748,13 @@ def json_records(spark, sf):
 
 
 def _edit_source(spark, sf):
-    """Events as cell edits, written as two files (even and odd event ids)."""
+    """Events as cell edits, in files that each hold seqs from the whole range."""
     ev = fx.table(spark, sf, "events")
     edits = ev.select(F.lit(0).cast("bigint").alias("sheet_id"), F.col("event_id").alias("seq"),
                       F.col("user_id").alias("row"), (F.col("event_id") % 8).alias("col"),
                       F.col("event_type").alias("value"))
     src = scratch_path(spark, "edits-src")
-    for parity in (0, 1):
-        edits.where(F.col("seq") % 2 == parity).coalesce(1).write.mode("append").parquet(src)
+    edits.repartition(8, "seq").write.parquet(src)
     return src
 
 
@@ -764,7 +763,7 @@ def _edit_source(spark, sf):
 def edit_stream(spark, sf):
     from gridframe.streaming.edits import run_edit_stream
     src = _edit_source(spark, sf)
-    return run_edit_stream(spark, src, scratch_path(spark, "cells"), scratch_path(spark, "edits-ckpt"))
+    return run_edit_stream(spark, src, scratch_path(spark, "cells"), scratch_path(spark, "edits-ckpt"), max_files=3)
 
 
 @query("session_stream", f"""
@@ -779,5 +778,6 @@ def session_stream(spark, sf):
     from gridframe.streaming.sessions import run_session_stream
     ev = fx.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts")
     src = scratch_path(spark, "access-src")
-    ev.write.parquet(src)
-    return run_session_stream(spark, src, scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ckpt"))
+    ev.repartition(8, "session_id").write.parquet(src)  # no file is in time order
+    return run_session_stream(spark, src, scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ckpt"),
+                              delay="0 seconds")

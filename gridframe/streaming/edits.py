@@ -1,64 +1,94 @@
 """A stream of cell edits folded into a current-cells table.
 
-Each micro-batch (``foreachBatch``) dedupes on (sheet, seq), keeps the last
-writer per cell with ``max_by`` (a partial aggregate, so hot cells are cheap)
-and merges into the previous version: a cell keeps the value with the larger
-seq, so a stale (late) edit never overwrites.  Every batch writes a new
-parquet version named by its batch id, so a replayed batch rewrites the same
-version and is harmless."""
+The table is split into ``BUCKETS`` by (sheet, row).  A micro-batch
+(``foreachBatch``) dedupes on (sheet, seq), keeps the last writer per cell with
+``max_by`` (a partial aggregate, so hot cells are cheap) and merges into the
+buckets that it touches; the others are not read or written.  A cell keeps the
+value with the larger seq, so a stale (late) edit never overwrites.
 
-from __future__ import annotations
+Each bucket has two slots.  A batch writes the slot that the version before it
+does not use, and then a manifest that names each bucket's slot; manifests
+alternate between two slots as well.  A replayed batch finds the manifest of
+the batch before it, so it writes the same slots again and is harmless, and the
+table never holds more than two versions."""
 
-import re
+from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["sheet_id", "row", "col"]
 CELLS_SCHEMA = "sheet_id bigint, row bigint, col bigint, seq bigint, value string"
+BUCKETS = 64
+
 
+def _slots(spark: SparkSession, base: str, before: int | None) -> dict[int, int]:
+    """bucket -> slot of the latest version (before batch ``before``); at most
+    ``BUCKETS`` entries."""
+    try:
+        rows = spark.read.schema("batch bigint, bucket int, slot int, turn int").parquet(f"{base}/manifest")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        last = rows.agg(F.max("batch")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    if last is None:
+        return {}
+    return {r["bucket"]: r["slot"] for r in rows.where(F.col("batch") == last).collect()}
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
+
+def _cells(spark: SparkSession, base: str, slots: dict[int, int]) -> DataFrame:
+    """Cells of the given buckets: a partition filter, so only their files are read."""
+    table = spark.read.schema(CELLS_SCHEMA + ", slot int, bucket int").parquet(f"{base}/cells")
+    parts = F.lit(False)
+    for slot in (0, 1):
+        own = [b for b, s in slots.items() if s == slot]
+        parts = parts | ((F.col("slot") == slot) & F.col("bucket").isin(own)) if own else parts
+    return table.where(parts).drop("slot", "bucket")
 
 
 def current_cells(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
-    vs = [v for v in _versions(spark, base) if before is None or v < before]
-    if not vs:
-        return None
-    return spark.read.parquet(f"{base}/v={vs[-1]}")
+    slots = _slots(spark, base, before)
+    return _cells(spark, base, slots) if slots else None
+
+
+def _last_writer(edits: DataFrame) -> DataFrame:
+    last = edits.groupBy(*KEY).agg(F.max_by(F.struct("seq", "value"), "seq").alias("__w"))
+    return last.select(*KEY, "__w.seq", "__w.value")
 
 
 def merge_batch(batch: DataFrame, batch_id: int, base: str) -> None:
     spark = batch.sparkSession
-    edits = batch.dropDuplicates(["sheet_id", "seq"])
-    last = edits.groupBy(*KEY).agg(F.max_by(F.struct("seq", "value"), "seq").alias("__w")).select(
-        *KEY, F.col("__w.seq").alias("seq"), F.col("__w.value").alias("value"))
-    prev = current_cells(spark, base, before=batch_id)
-    if prev is not None:
-        both = prev.unionByName(last)
-        last = both.groupBy(*KEY).agg(F.max_by(F.struct("seq", "value"), "seq").alias("__w")).select(
-            *KEY, F.col("__w.seq").alias("seq"), F.col("__w.value").alias("value"))
-    last.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+    bucket = F.pmod(F.xxhash64("sheet_id", "row"), F.lit(BUCKETS)).cast("int")
+    edits = _last_writer(batch.dropDuplicates(["sheet_id", "seq"])).persist()
+    touched = [r[0] for r in edits.select(bucket).distinct().collect()]  # at most BUCKETS
+    old = _slots(spark, base, batch_id)
+    held = {b: old[b] for b in touched if b in old}
+    merged = _last_writer(_cells(spark, base, held).unionByName(edits)) if held else edits
+    new = {**old, **{b: 1 - old.get(b, 1) for b in touched}}
+    if touched:
+        slot_of = F.from_json(F.lit(str({str(b): new[b] for b in touched}).replace("'", '"')), "map<string,int>")
+        out = merged.withColumn("bucket", bucket).withColumn("slot", slot_of[F.col("bucket").cast("string")])
+        (out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("slot", "bucket").parquet(f"{base}/cells"))
+    edits.unpersist()
+    rows = [(batch_id, b, s, batch_id % 2) for b, s in new.items()]
+    (spark.createDataFrame(rows, "batch bigint, bucket int, slot int, turn int").coalesce(1)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("turn").parquet(f"{base}/manifest"))
 
 
 def run_edit_stream(spark: SparkSession, source_dir: str, base: str, checkpoint: str,
-                    max_files: int = 1) -> DataFrame:
+                    max_files: int | None = None) -> DataFrame:
     """Drain ``source_dir`` (parquet edits: sheet_id, seq, row, col, value)
-    with ``availableNow`` and return the latest cells version."""
-    stream = (spark.readStream.schema("sheet_id bigint, seq bigint, row bigint, col bigint, value string")
-              .option("maxFilesPerTrigger", max_files).parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: merge_batch(df, bid, base))
+    with ``availableNow`` and return the latest cells version.  ``max_files``
+    bounds a batch; by default one batch takes the whole backlog."""
+    reader = spark.readStream.schema("sheet_id bigint, seq bigint, row bigint, col bigint, value string")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(lambda df, bid: merge_batch(df, bid, base))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return current_cells(spark, base)
+    cells = current_cells(spark, base)
+    return spark.createDataFrame([], CELLS_SCHEMA) if cells is None else cells

@@ -1,5 +1,9 @@
 """Accesses stream -> closed sessions (``withWatermark`` + ``session_window``,
-append mode: a session is emitted once the watermark passes its end)."""
+append mode: a session is emitted once the watermark passes its end).
+
+Rows that arrive later than the watermark allows are dropped by the engine
+without a word, so the run reads the dropped count from its own progress
+reports and fails when it is not zero."""
 
 from __future__ import annotations
 
@@ -8,22 +12,42 @@ from pyspark.sql import functions as F
 
 from gridframe.operators.logs import SESSION_TIMEOUT_S, _micros
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+class LateRows(RuntimeError):
+    """Accesses arrived later than the stream's delay allows."""
 
 
 def _to_ntz(ts):
     """Inverse of the UTC-reading mapping below: instant -> wall clock."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), _EPOCH_NTZ)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
+
+
+def _drain(query) -> int:
+    """Wait for the query's end; rows dropped as late over all its batches."""
+    dropped: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(1)
+        for p in query.recentProgress:  # a bounded list, hence read while it runs
+            dropped[p["batchId"]] = sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+    return sum(dropped.values())
 
 
 def run_session_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                       delay: str = "0 seconds", max_files: int = 1) -> DataFrame:
-    stream = (spark.readStream.schema("session_id bigint, ts timestamp_ntz")
-              .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+                       delay: str, max_files: int | None = None) -> DataFrame:
+    """Drain ``source_dir`` (parquet accesses: session_id, ts) into closed
+    sessions.  ``delay``: how far an access may lag behind the latest one of
+    earlier batches.  A backlog is drained in one batch, within which rows may
+    come in any order, unless ``max_files`` splits it.  Raises ``LateRows``
+    when rows were dropped as late."""
+    reader = spark.readStream.schema("session_id bigint, ts timestamp_ntz")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     # Watermarks need TIMESTAMP: map each wall-clock value to the instant
     # with the same UTC reading, so gaps never depend on the session zone.
     ts = F.timestamp_micros(_micros(F.col("ts")))
-    sessions = (stream.withColumn("ts", ts).withWatermark("ts", delay)
+    sessions = (reader.parquet(source_dir).withColumn("ts", ts).withWatermark("ts", delay)
                 .groupBy("session_id", F.session_window("ts", f"{SESSION_TIMEOUT_S} seconds").alias("w"))
                 .agg(F.count(F.lit(1)).alias("accesses"), F.max("ts").alias("last_access")))
     out = sessions.select(
@@ -31,5 +55,7 @@ def run_session_stream(spark: SparkSession, source_dir: str, out_dir: str, check
         _to_ntz(F.col("last_access")).alias("last_access"), "accesses")
     q = (out.writeStream.outputMode("append").format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    dropped = _drain(q)
+    if dropped:
+        raise LateRows(f"{dropped} accesses came more than {delay} late")
     return spark.read.parquet(out_dir)
