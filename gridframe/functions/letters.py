@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters needed for any column index below 26 + 26^2 + ... + 26^7 (~8.4e9).
-MAX_LETTERS = 7
+# Letters that any BIGINT column index needs at most.
+MAX_LETTERS = 14
 # 26^13 < 2^63: longer letter strings would overflow a BIGINT.
 _MAX_PARSE_LETTERS = 13
 
@@ -25,7 +25,7 @@ def column_letters(index: str | Column, max_letters: int = MAX_LETTERS) -> Colum
     chars = []
     for j in range(max_letters):
         lo = sum(26**i for i in range(1, j + 1))
-        digit = F.pmod(F.floor((n - F.lit(lo)) / F.lit(26**j)), F.lit(26))
+        digit = F.pmod(F.call_function("div", n - F.lit(lo), F.lit(26**j)), F.lit(26))
         chars.append(F.when(n >= lo, F.char(F.lit(65) + digit)).otherwise(F.lit("")))
     return F.when(n >= 0, F.concat(*reversed(chars)))
 

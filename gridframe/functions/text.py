@@ -26,6 +26,28 @@ def blank(c: str | Column, dtype: str = "string") -> Column:
     return x.isNull()
 
 
+def strip(c: str | Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
+# A number as text, of any size (fixed pattern): integers, and decimals with
+# an optional exponent or one of the names of non-finite values.
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*([e][+-]?[0-9]+)?|\.[0-9]+([e][+-]?[0-9]+)?|inf(inity)?|nan)\s*$"
+
+
+def number_cast(c: str | Column, dtype: str) -> Column:
+    """``try_cast`` of text to ``dtype``; for numeric types only of what reads
+    as a number, so that a suffix as in '2d' stays text."""
+    x = _c(c)
+    if dtype in ("tinyint", "smallint", "int", "bigint"):
+        return F.when(x.rlike(INTEGER), F.trim(x)).try_cast(dtype)
+    if dtype in ("double", "float") or dtype.startswith("decimal"):
+        return F.when(x.rlike(NUMBER), F.trim(x)).try_cast(dtype)
+    return x.try_cast(dtype)
+
+
 def value_shape(c: str | Column) -> Column:
     """C4 shape of a value: digit runs -> '9', letter runs (words joined by
     blanks count as one run) -> 'A'; other characters stay."""
@@ -59,5 +81,4 @@ FENCE = r"```(?:python)?\s*([\s\S]*?)\s*```"
 def code_block(c: str | Column) -> Column:
     """First fenced code block (stripped); without a fence, the trimmed text."""
     x = _c(c)
-    strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     return F.when(x.rlike(FENCE), strip(F.regexp_extract(x, FENCE, 1))).otherwise(strip(x))

@@ -122,16 +122,25 @@ def grid_page(sheet: Sheet, start: int, stop: int) -> DataFrame:
     return sheet.df.where((F.col(ROW) >= start) & (F.col(ROW) < stop)).select(ROW, *out)
 
 
-def _preview(v):
-    """Preview of a cell: first 15 chars + '...' when longer; '' when falsy."""
+def _preview(v, dtype: str):
+    """Preview of a cell: first 15 chars + '...' when longer; '' when falsy
+    (missing, empty text, zero, NaN or false)."""
     s = v.cast("string")
-    return F.when(v.isNull() | (s == ""), F.lit("")).otherwise(
+    falsy = v.isNull() | (s == "")
+    if dtype == "boolean":
+        falsy = falsy | ~v
+    elif dtype in ("double", "float"):
+        falsy = falsy | F.isnan(v) | (v == 0)
+    elif dtype in ("tinyint", "smallint", "int", "bigint") or dtype.startswith("decimal"):
+        falsy = falsy | (v == 0)
+    return F.when(falsy, F.lit("")).otherwise(
         F.concat(F.substring(s, 1, 15), F.when(F.length(s) > 15, F.lit("...")).otherwise(F.lit(""))))
 
 
 def cell_listing(sheet: Sheet, columns: list[str] | None = None) -> DataFrame:
     """One suggestion per column, row and cell: kind (0 column, 1 row,
-    2 cell), col, row, text, description.  Cells come from one ``stack``
+    2 cell), col, row, text, description; ``columns`` keeps the suggestions of
+    these columns only.  Cells come from one ``stack``
     (each row of the sheet fans out to its cells inside the scan's task)."""
     spark = sheet.df.sparkSession
     names = columns or sheet.columns
@@ -144,10 +153,12 @@ def cell_listing(sheet: Sheet, columns: list[str] | None = None) -> DataFrame:
         (F.col(ROW) + 1).cast("string").alias("text"),
         F.concat(F.lit("Row "), (F.col(ROW) + 1).cast("string")).alias("description"),
     )
-    pairs = ", ".join(f"{pos[c]}L, cast(`{c}` as string)" for c in names)
-    cells = sheet.df.selectExpr(ROW, f"stack({len(names)}, {pairs}) as (col, value)")
+    types = dict(sheet.df.dtypes)
+    pairs = [x for c in names for x in (F.lit(pos[c]).cast("bigint"), _preview(qc(c), types[c]))]
+    cells = sheet.df.select(ROW, F.stack(F.lit(len(names)), *pairs).alias("col", "preview")) if names else (
+        sheet.df.select(ROW, F.lit(0).cast("bigint").alias("col"), F.lit("").alias("preview")).limit(0))
     text = F.concat(column_letters("col"), (F.col(ROW) + 1).cast("string"))
-    prev = _preview(F.col("value"))
+    prev = F.col("preview")
     cell_df = cells.select(
         F.lit(2).alias("kind"), F.col("col"), F.col(ROW).alias("row"), text.alias("text"),
         F.when(prev == "", F.concat(F.lit("Cell "), text))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridframe.functions.text import qc
 
 from gridframe.functions.text import blank, iso_to_date_text, value_shape
-from gridframe.plans.ordinals import ROW, dense_reindex
+from gridframe.plans.ordinals import ROW, reindexed
 from gridframe.sheet import Sheet
 
 
@@ -23,7 +23,7 @@ def drop_blank_rows(sheet: Sheet) -> Sheet:
         nb = ~blank(c, t[c])
         keep = nb if keep is None else keep | nb
     kept = sheet.df.where(keep if keep is not None else F.lit(False))
-    return Sheet(dense_reindex(kept, sheet._n_rows))
+    return Sheet(*reindexed(kept))
 
 
 def drop_blank_cols(sheet: Sheet) -> Sheet:
@@ -52,7 +52,7 @@ def keep_rows_by_example(sheet: Sheet, examples: list[str]) -> Sheet:
     cond = F.lit(True)
     for s in sorted({shape_of(e) for e in examples}):
         cond = cond & F.coalesce(F.array_contains(shapes, F.lit(s)), F.lit(False))
-    return Sheet(dense_reindex(sheet.df.where(cond), sheet._n_rows))
+    return Sheet(*reindexed(sheet.df.where(cond)))
 
 
 def iso_to_date(sheet: Sheet) -> Sheet:

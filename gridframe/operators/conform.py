@@ -118,4 +118,4 @@ def split_stacked(sheet: Sheet) -> DataFrame:
     heads = heads.join(similar, "__key")
     out = df.join(heads, "table_id").where(F.col(ROW) > F.col("__hdr.at"))
     return out.select("table_id", "similar_to", F.col("__hdr.names").alias("header"),
-                      (F.col(ROW) - F.col("__hdr.at") - 1).alias(ROW), *sheet.columns)
+                      (F.col(ROW) - F.col("__hdr.at") - 1).alias(ROW), *[qc(c) for c in sheet.columns])

@@ -221,10 +221,10 @@ def _operand(sheet: Sheet, ref: str) -> Column:
     from gridframe.operators.address import letters_to_index
 
     if ref in sheet.columns:
-        return F.col(ref)
+        return qc(ref)
     i = letters_to_index(ref)
     if 0 <= i < sheet.n_cols:
-        return F.col(sheet.columns[i])
+        return qc(sheet.columns[i])
     raise EditError(f"unknown column {ref!r}")
 
 

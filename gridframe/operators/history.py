@@ -14,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.plans.ordinals import ROW
-from gridframe.session import scratch_path
+from gridframe.plans.running import carry_last
+from gridframe.session import cut_lineage, scratch_path
 from gridframe.sheet import Sheet
 
 REPLAY_SCHEMA = ("sheet_id bigint, seq bigint, action string, pos bigint, len bigint, "
@@ -53,26 +55,96 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def replay(log: DataFrame, partitions: int | None = None) -> DataFrame:
-    """H1-H3, H5 over a log ``(sheet_id, seq, action)``."""
+    """H1-H3, H5 over a log ``(sheet_id, seq, action)``: the cursor, length and
+    flags after each action, and ``visible_seq``, the commit that is then shown
+    (null while a sheet has none).
+
+    The visible commit is the last one that landed on the cursor's position,
+    carried forward by (sheet, position) in buckets of seq."""
     spark = log.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (log.select(F.col("sheet_id").cast("bigint"), F.col("seq").cast("bigint"), "action")
                .repartition(n, "sheet_id").sortWithinPartitions("sheet_id", "seq"))
-    return ordered.mapInPandas(_replay, REPLAY_SCHEMA)
+    walked = cut_lineage(ordered.mapInPandas(_replay, REPLAY_SCHEMA))
+    is_commit = F.col("action") == "commit"
+    shown = carry_last(walked, ["sheet_id", "pos"], "seq", F.col("seq"), is_commit, "__shown")
+    visible = F.when(is_commit, F.col("seq")).otherwise(F.col("__shown.v")).alias("visible_seq")
+    return shown.select(*[c for c in walked.columns], visible)
 
 
 def write_versions(sheets: list[Sheet], path: str | None = None) -> str:
-    """Store versions in one ``version``-partitioned parquet table, each
-    sorted by ``_row`` so row filters prune row groups."""
-    spark = sheets[0].df.sparkSession
-    path = path or scratch_path(spark, "versions")
+    """Store versions in one ``version``-partitioned parquet table."""
+    path = path or scratch_path(sheets[0].df.sparkSession, "versions")
     for v, s in enumerate(sheets):
-        (s.df.withColumn("version", F.lit(v)).repartitionByRange(ROW).sortWithinPartitions(ROW)
-         .write.mode("append").partitionBy("version").parquet(path))
+        write_version(s, path, v)
     return path
 
 
+class VersionLog:
+    """H1-H4 for one sheet over stored data: versions in a table, actions in a
+    log.  The log decides which version is visible (H5); no version is ever
+    held in memory, and undo and redo write one log row each."""
+
+    SHEET = 0
+
+    def __init__(self, spark, path: str | None = None) -> None:
+        self.spark = spark
+        self.path = path or scratch_path(spark, "version-log")
+        self._next = self._last()["seq"] + 1
+
+    def _actions(self) -> DataFrame:
+        schema = "sheet_id bigint, seq bigint, action string"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/log")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _last(self) -> dict:
+        """The log's state after its last action."""
+        row = replay(self._actions(), 1).orderBy(F.col("seq").desc()).first()
+        return row.asDict() if row is not None else {
+            "seq": -1, "can_undo": False, "can_redo": False, "visible_seq": None}
+
+    def _record(self, action: str) -> dict:
+        one = self.spark.createDataFrame([(self.SHEET, self._next, action)], "sheet_id bigint, seq bigint, action string")
+        one.write.mode("append").parquet(f"{self.path}/log")
+        self._next += 1
+        return self._last()
+
+    def commit(self, sheet: Sheet) -> None:
+        """Store the sheet as a version, then log it: a failed write leaves no action."""
+        write_version(sheet, f"{self.path}/versions", self._next)
+        self._record("commit")
+
+    def undo(self) -> Sheet | None:
+        """The version before, or None if there is none."""
+        return self._visible(self._record("undo")) if self._last()["can_undo"] else None
+
+    def redo(self) -> Sheet | None:
+        return self._visible(self._record("redo")) if self._last()["can_redo"] else None
+
+    def current(self) -> Sheet | None:
+        return self._visible(self._last())
+
+    def state(self) -> dict:
+        """can_undo, can_redo and the seq of the visible commit."""
+        return {k: self._last()[k] for k in ("can_undo", "can_redo", "visible_seq")}
+
+    def _visible(self, last: dict) -> Sheet | None:
+        seq = last["visible_seq"]
+        return None if seq is None else read_version(self.spark, f"{self.path}/versions", seq)
+
+
+def write_version(sheet: Sheet, path: str, version: int) -> None:
+    """Store one version, sorted by ``_row`` so row filters prune row groups."""
+    (sheet.df.withColumn("version", F.lit(version)).repartitionByRange(ROW).sortWithinPartitions(ROW)
+     .write.mode("append").partitionBy("version").parquet(path))
+
+
 def read_version(spark, path: str, version: int) -> Sheet:
-    """H4: time travel = partition pruning on ``version``."""
-    df = spark.read.parquet(path).where(F.col("version") == version).drop("version")
+    """H4: time travel = partition pruning on ``version``.  Versions may differ
+    in columns, so only this one's files tell the columns."""
+    df = spark.read.option("basePath", path).parquet(f"{path}/version={version}").where(F.col("version") == version).drop("version")
     return Sheet(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.functions.text import code_block
+from gridframe.functions.text import code_block, strip
 from gridframe.plans.running import carry_last
 
 # Fixed values of the spec: predefined prompts (never deletable), listed first.
@@ -29,12 +29,12 @@ def prompt_nth(log: DataFrame, n: int) -> DataFrame:
     """L2: n-th most recent non-blank prompt per session (0 = newest).
     Plans a WindowGroupLimit: only n+1 rows per session and partition shuffle."""
     w = Window.partitionBy("session_id").orderBy(F.col("seq").desc())
-    ranked = log.where(F.trim("prompt") != "").withColumn("__rn", F.row_number().over(w))
+    ranked = log.where(strip("prompt") != "").withColumn("__rn", F.row_number().over(w))
     return ranked.where(F.col("__rn") == n + 1).drop("__rn")
 
 
 def _norm_prompt(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), "\n", " ")
+    return F.regexp_replace(strip(c), "\n", " ")
 
 
 def library_add(library: DataFrame, saves: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def library_add(library: DataFrame, saves: DataFrame) -> DataFrame:
     Returns the appended rows (seq, prompt)."""
     s = saves.select("seq", _norm_prompt(F.col("prompt")).alias("prompt")).where(F.col("prompt") != "")
     first = s.groupBy("prompt").agg(F.min("seq").alias("seq"))  # partial aggregate: hot texts are cheap
-    have = library.select(F.trim("prompt").alias("prompt"))
+    have = library.select(strip("prompt").alias("prompt"))
     return first.join(have, "prompt", "left_anti").select("seq", "prompt")
 
 
@@ -51,9 +51,9 @@ def library_delete(library: DataFrame, deletes: DataFrame) -> DataFrame:
     """L4: each requested text removes its first occurrence only; the
     predefined prompts and blank requests are refused.  Returns the library
     after deletion."""
-    req = (deletes.select(F.trim("prompt").alias("prompt")).where(F.col("prompt") != "")
+    req = (deletes.select(strip("prompt").alias("prompt")).where(F.col("prompt") != "")
            .where(~F.col("prompt").isin(PREDEFINED_PROMPTS)).distinct())
-    lib = library.select("seq", F.trim("prompt").alias("prompt")).where(F.col("prompt") != "")
+    lib = library.select("seq", strip("prompt").alias("prompt")).where(F.col("prompt") != "")
     firsts = lib.groupBy("prompt").agg(F.min("seq").alias("seq")).join(req, "prompt", "left_semi")
     return lib.join(firsts, ["prompt", "seq"], "left_anti").select("seq", "prompt")
 
@@ -64,7 +64,7 @@ def library_list(library: DataFrame) -> DataFrame:
     spark = library.sparkSession
     pre = spark.createDataFrame([(i - len(PREDEFINED_PROMPTS), p) for i, p in enumerate(PREDEFINED_PROMPTS)],
                                 "seq bigint, prompt string")
-    user = (library.select(F.col("seq").cast("bigint"), F.trim("prompt").alias("prompt"))
+    user = (library.select(F.col("seq").cast("bigint"), strip("prompt").alias("prompt"))
             .where(F.col("prompt") != "").where(~F.col("prompt").isin(PREDEFINED_PROMPTS)))
     return pre.unionByName(user)
 

@@ -14,50 +14,19 @@ from gridframe.sheet import Sheet
 _INT = ("tinyint", "smallint", "int", "bigint")
 
 
-def column_types(sheet: Sheet) -> DataFrame:
-    """P1 + P4: one row per column (position, name, type) from ONE aggregate.
+def column_types_df(sheet: Sheet) -> DataFrame:
+    """P1 + P4 as a lazy DataFrame: one row per column (position, name, type,
+    non_null) from ONE aggregate; the one-row result is reshaped by ``inline``.
 
     unknown: no non-missing value; integer: integral type, booleans without
-    nulls, or floating values that are all integral (``x % 1 = 0``, which is
-    false for inf and never overflows); float; datetime; else string."""
-    t = dict(sheet.df.dtypes)
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(sheet.columns):
-        x = qc(c)
-        if t[c] in ("double", "float"):
-            x = F.when(~F.isnan(x), x)
-            aggs.append(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)).alias(f"i{i}"))
-        aggs.append(F.count(x).alias(f"n{i}"))
-    row = sheet.df.agg(*aggs).first()
-    out = []
-    for i, c in enumerate(sheet.columns):
-        n = row[f"n{i}"]
-        if n == 0:
-            kind = "unknown"
-        elif t[c] in _INT:
-            kind = "integer"
-        elif t[c] == "boolean":
-            kind = "integer" if n == row["__rows"] else "string"
-        elif t[c] in ("double", "float") or t[c].startswith("decimal"):
-            kind = "integer" if row[f"i{i}"] else "float"
-        elif t[c].startswith("timestamp") or t[c] == "date":
-            kind = "datetime"
-        else:
-            kind = "string"
-        out.append((i, c, kind, n))
-    spark = sheet.df.sparkSession
-    return spark.createDataFrame(out, "position int, name string, type string, non_null bigint")
-
-
-def column_types_df(sheet: Sheet) -> DataFrame:
-    """P1 as a lazy DataFrame (the aggregate stays distributed; the final
-    one-row reshaping is a ``stack``)."""
+    nulls, or floating and decimal values that are all integral (``x % 1 = 0``,
+    which is false for inf and never overflows); float; datetime; else string."""
     t = dict(sheet.df.dtypes)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(sheet.columns):
         x = qc(c)
-        if t[c] in ("double", "float"):
-            x = F.when(~F.isnan(x), x)
+        if t[c] in ("double", "float") or t[c].startswith("decimal"):
+            x = F.when(~F.isnan(x), x) if t[c] in ("double", "float") else x
             aggs.append(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)).alias(f"i{i}"))
         aggs.append(F.count(x).alias(f"n{i}"))
     one = sheet.df.agg(*aggs)
@@ -82,22 +51,36 @@ def column_types_df(sheet: Sheet) -> DataFrame:
 def sample_values(sheet: Sheet, k: int = 3) -> DataFrame:
     """First ``k`` non-missing values per column in row order, as text.
 
-    ``stack`` fans cells out inside each task; ``row_number() <= k`` plans a
-    WindowGroupLimit, so only k rows per column and partition shuffle."""
+    ``k`` aggregate passes over all columns at once find the next row with a
+    value after the one before; each pass returns one row, and the at most
+    k x columns rows found are then read by ``_row``, a filter that reaches the
+    scan.  No cell is sorted or moved."""
     t = dict(sheet.df.dtypes)
-    pairs = []
-    for i, c in enumerate(sheet.columns):
-        v = f"`{c}`"
-        if t[c] in ("double", "float"):
-            v = f"CASE WHEN isnan(`{c}`) THEN NULL ELSE `{c}` END"
-        if t[c].startswith("timestamp"):
-            v = f"date_format(`{c}`, 'yyyy-MM-dd HH:mm:ss')"
-        pairs.append(f"{i}, cast({v} as string)")
-    cells = sheet.df.selectExpr(ROW, f"stack({len(pairs)}, {', '.join(pairs)}) as (position, value)")
-    w = Window.partitionBy("position").orderBy(ROW)
-    ranked = cells.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select(
-        F.col("position").cast("int").alias("position"), "rank", "value", F.col(ROW).alias("row"))
+    spark = sheet.df.sparkSession
+    value = [F.when(~blank_value(c, t[c]), F.col(ROW)) for c in sheet.columns]
+    last = [-1] * len(value)
+    found: list[tuple[int, int, int]] = []
+    for rank in range(1, k + 1):
+        aggs = [F.min(F.when(v > last[i], v)).alias(f"r{i}") for i, v in enumerate(value)]
+        row = sheet.df.agg(*aggs).first() if aggs else ()
+        # A column that has run out stays out: no row is beyond the largest bigint.
+        last = [(1 << 63) - 1 if r is None else r for r in row]
+        found += [(i, rank, r) for i, r in enumerate(row) if r is not None]
+    wanted = spark.createDataFrame(found, "position int, rank int, row bigint")
+    text = [
+        (F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss") if t[c].startswith("timestamp") else qc(c).cast("string"))
+        for c in sheet.columns
+    ]
+    rows = sheet.df.where(F.col(ROW).isin(sorted({r for _, _, r in found}))).select(
+        F.col(ROW).alias("row"), F.array(*text).alias("cells") if text else F.array().cast("array<string>").alias("cells")
+    )
+    return wanted.join(rows, "row").select("position", "rank", F.get("cells", F.col("position")).alias("value"), "row")
+
+
+def blank_value(c: str, dtype: str):
+    """Missing as a profile sees it: null or NaN, but not blank text."""
+    x = qc(c)
+    return x.isNull() | F.isnan(x) if dtype in ("double", "float") else x.isNull()
 
 
 def sample_rows(sheet: Sheet, k: int = 5) -> DataFrame:
@@ -122,7 +105,7 @@ def profile_document(sheet: Sheet) -> DataFrame:
         F.coalesce(F.transform("s", lambda x: x.value), F.array().cast("array<string>")).alias("sample_values"),
     ))).alias("columns"))
     rows = sample_rows(sheet).drop(ROW)
-    row_doc = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("sample_data"))
+    row_doc = rows.agg(F.collect_list(F.struct(*[qc(c) for c in rows.columns])).alias("sample_data"))
     counts = profile_counts(sheet)
     doc = col_doc.crossJoin(row_doc).crossJoin(counts)  # three one-row tables
     empty = F.col("row_count") == 0

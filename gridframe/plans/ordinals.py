@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import qc
 from gridframe.session import cut_lineage
 
 ROW = "_row"
@@ -29,23 +30,24 @@ _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
-def assign_ordinals(
+def numbered(
     df: DataFrame,
     order_by: list[str | Column] | None = None,
     name: str = ROW,
     materialize: bool = True,
-) -> DataFrame:
-    """Return ``df`` with a leading contiguous 0-based ordinal column ``name``.
+) -> tuple[DataFrame, int]:
+    """``df`` with a leading contiguous 0-based ordinal column ``name``, and
+    its row count.
 
     ``order_by``: sort keys (ties make the order undefined, as in any sort).
     ``materialize``: checkpoint before numbering; pass False only when the
     input layout is already fixed (a checkpointed or freshly read table).
     """
     spark = df.sparkSession
-    cols = [c for c in df.columns if c != name]
+    cols = [qc(c) for c in df.columns if c != name]
     base = df.select(*cols)
     if order_by:
-        base = base.orderBy(*order_by)
+        base = df.orderBy(*order_by).select(*cols)
     if materialize:
         base = cut_lineage(base)
     tagged = base.withColumn("__mid", F.monotonically_increasing_id())
@@ -56,7 +58,7 @@ def assign_ordinals(
     )
     # One row per non-empty partition: bounded by the partition count.
     pids = sorted((r["__pid"], r["__n"]) for r in counts)
-    offsets = [0] + list(accumulate(n for _, n in pids))[:-1]
+    offsets = list(accumulate((n for _, n in pids), initial=0))
     rows = [(pid, off) for (pid, _), off in zip(pids, offsets)]
     off_df = spark.createDataFrame(rows, "__pid BIGINT, __off BIGINT")
     joined = tagged.join(
@@ -65,31 +67,48 @@ def assign_ordinals(
         "inner",
     )
     row = (F.col("__off") + F.col("__mid").bitwiseAND(F.lit(_POS_MASK))).alias(name)
-    return joined.select(row, *[F.col(c) for c in cols])
+    return joined.select(row, *cols), offsets[-1]
 
 
-def ordinal_oracle_sql(table: str, order_sql: str, cols: str = "*") -> str:
-    """DuckDB text for the same ordinals (used by the correctness oracle)."""
-    return f"SELECT row_number() OVER (ORDER BY {order_sql}) - 1 AS _row, {cols} FROM {table}"
+def assign_ordinals(
+    df: DataFrame,
+    order_by: list[str | Column] | None = None,
+    name: str = ROW,
+    materialize: bool = True,
+) -> DataFrame:
+    """``numbered`` without the count."""
+    return numbered(df, order_by, name, materialize)[0]
 
 
-def dense_reindex(df: DataFrame, n_hint: int | None = None, name: str = ROW) -> DataFrame:
-    """Renumber ``name`` to 0..k-1 keeping its order, after a filter left gaps.
+def reindexed(df: DataFrame, name: str = ROW, materialize: bool = True) -> tuple[DataFrame, int]:
+    """Renumber ``name`` to 0..k-1 keeping its order, after a step left gaps;
+    also k.
 
-    No global sort and no checkpoint: the order is in the values, so rows are
-    cut into buckets of ``_row`` (bucket counts -> small prefix table,
-    broadcast) and numbered inside each bucket by a window partitioned by the
-    bucket.  Deterministic whatever the partition layout."""
+    ``df`` is evaluated once: it is materialised first, because a step may be
+    costly or random and its rows are read three times here (pass False for an
+    input that is cheap to read again and always the same).  No global
+    sort: the order is in the values, so rows are cut into buckets of ``_row``
+    (bucket counts -> small prefix table, broadcast) and numbered inside each
+    bucket by a window partitioned by the bucket."""
     from gridframe.plans.running import bucket_width, span_of
-    from pyspark.sql import Window
 
-    w = bucket_width(span_of(df, name, n_hint))
+    df = cut_lineage(df) if materialize else df
+    w = bucket_width(span_of(df, name, None))
     b = F.floor(F.col(name) / F.lit(w)).cast("bigint")
-    staged = df.withColumn("__b", b)
-    counts = staged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    cw = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(cw), F.lit(0)).alias("__off"))
+    bucketed = df.withColumn("__b", b)
+    # At most 2^17 buckets, by the choice of the width.
+    counts = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect()
+    counts = sorted((r["__b"], r["__n"]) for r in counts)
+    ends = list(accumulate((n for _, n in counts), initial=0))
+    offsets = df.sparkSession.createDataFrame(
+        [(b, off) for (b, _), off in zip(counts, ends)], "__b BIGINT, __off BIGINT"
+    )
     inner = F.row_number().over(Window.partitionBy("__b").orderBy(name)) - 1
-    out = staged.withColumn("__in", inner).join(F.broadcast(offsets), "__b")
-    cols = [c for c in df.columns if c != name]
-    return out.select((F.col("__off") + F.col("__in")).alias(name), *cols)
+    out = bucketed.withColumn("__in", inner).join(F.broadcast(offsets), "__b")
+    cols = [qc(c) for c in df.columns if c != name]
+    return out.select((F.col("__off") + F.col("__in")).alias(name), *cols), ends[-1]
+
+
+def dense_reindex(df: DataFrame, name: str = ROW) -> DataFrame:
+    """``reindexed`` without the count."""
+    return reindexed(df, name)[0]

@@ -388,7 +388,9 @@ r AS (SELECT sheet_id, seq, action, n, CASE WHEN action = 'commit' THEN 0 ELSE -
     CASE WHEN a.action = 'commit' THEN r.pos + 2 ELSE r.len END
   FROM r JOIN a ON a.sheet_id = r.sheet_id AND a.n = r.n + 1)
 SELECT sheet_id, seq, action, CAST(pos AS BIGINT) AS pos, CAST(len AS BIGINT) AS len,
-  pos > 0 AS can_undo, pos < len - 1 AS can_redo FROM r""")
+  pos > 0 AS can_undo, pos < len - 1 AS can_redo,
+  last_value(CASE WHEN action = 'commit' THEN seq END IGNORE NULLS) OVER
+    (PARTITION BY sheet_id, pos ORDER BY seq ROWS UNBOUNDED PRECEDING) AS visible_seq FROM r""")
 def history_replay(spark, sf):
     ev = fx.table(spark, sf, "events")
     action = (F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo")
@@ -457,20 +459,53 @@ def prompt_nth(spark, sf):
     return logs.prompt_nth(_prompt_log(spark, sf), 1)
 
 
-_FIRST_WORD_SQL = r"regexp_extract(text, '^\s*(\S+)', 1)"
+# Whole prompts, with real repeats: conversations, and documents with their exact copies.
+# Padding of several kinds of white space and line breaks inside are added by id.
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_PAD_SQL = """CASE {k} % 4 WHEN 0 THEN {t} WHEN 1 THEN chr(9) || {t} || chr(10)
+  WHEN 2 THEN chr(160) || {t} || chr(13) || chr(10) ELSE ' ' || {t} END"""
 
 
-def _first_words(spark, sf, cond=None):
-    c = fx.table(spark, sf, "conversations")
-    if cond is not None:
-        c = c.where(cond)
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-                    F.regexp_extract("text", r"^\s*(\S+)", 1).alias("prompt"))
+def _strip_sql(t):
+    return f"trim({t}, {_WS})"
+
+
+_USER_SQL = f"""SELECT conv_id * 1000 + turn AS seq, {_PAD_SQL.format(k='conv_id', t='text')} AS prompt
+  FROM conversations WHERE role = 'user'"""
+_SAVES_SQL = f"""{_USER_SQL} UNION ALL SELECT -1 - doc_id, {_PAD_SQL.format(k='doc_id', t='text')} FROM documents
+  UNION ALL SELECT -1000000000 - turn, chr(10) || chr(9) FROM conversations WHERE conv_id = 0"""
+_LIB_SQL = f"""SELECT conv_id * 1000 + turn AS seq, {_PAD_SQL.format(k='(conv_id + turn)', t='text')} AS prompt
+  FROM conversations WHERE role = 'assistant' UNION ALL
+  SELECT 10000000000 + doc_id, text FROM documents WHERE doc_id % 3 = 0"""
+
+
+def _padded(key, text="text"):
+    t = F.col(text)
+    nb = F.lit(" ")
+    return (F.when(key % 4 == 0, t).when(key % 4 == 1, F.concat(F.lit("\t"), t, F.lit("\n")))
+            .when(key % 4 == 2, F.concat(nb, t, F.lit("\r\n"))).otherwise(F.concat(F.lit(" "), t)))
+
+
+def _saves(spark, sf):
+    c, d = fx.table(spark, sf, "conversations"), fx.table(spark, sf, "documents")
+    blank = c.where("conv_id = 0").select((-1000000000 - F.col("turn")).alias("seq"), F.lit("\n\t").alias("prompt"))
+    return (c.where("role = 'user'")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), _padded(F.col("conv_id")).alias("prompt"))
+            .unionByName(d.select((-1 - F.col("doc_id")).alias("seq"), _padded(F.col("doc_id")).alias("prompt")))
+            .unionByName(blank))
 
 
 def _library(spark, sf):
-    pre = spark.createDataFrame([(-4 + i, p) for i, p in enumerate(logs.PREDEFINED_PROMPTS)], "seq bigint, prompt string")
-    return pre.unionByName(_first_words(spark, sf, F.col("role") == "assistant"))
+    c, d = fx.table(spark, sf, "conversations"), fx.table(spark, sf, "documents")
+    key = F.col("conv_id") + F.col("turn")
+    return (c.where("role = 'assistant'")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), _padded(key).alias("prompt"))
+            .unionByName(d.where("doc_id % 3 = 0").select((10000000000 + F.col("doc_id")).alias("seq"),
+                                                          F.col("text").alias("prompt"))))
+
+
+def _pre(spark):
+    return spark.createDataFrame([(-4 + i, p) for i, p in enumerate(logs.PREDEFINED_PROMPTS)], "seq bigint, prompt string")
 
 
 _PRE_SQL = ("SELECT * FROM (VALUES (-4, 'Remove row'), (-3, 'Remove column'), (-2, 'Add row'), "
@@ -478,35 +513,31 @@ _PRE_SQL = ("SELECT * FROM (VALUES (-4, 'Remove row'), (-3, 'Remove column'), (-
 
 
 @query("library_add", f"""
-WITH lib AS ({_PRE_SQL} UNION ALL SELECT conv_id * 1000 + turn, {_FIRST_WORD_SQL} FROM conversations
-  WHERE role = 'assistant'),
-s AS (SELECT conv_id * 1000 + turn AS seq, trim({_FIRST_WORD_SQL}) AS prompt FROM conversations WHERE role = 'user')
-SELECT min(seq) AS seq, prompt FROM s WHERE prompt <> '' AND prompt NOT IN (SELECT trim(prompt) FROM lib)
-GROUP BY prompt""")
+WITH lib AS ({_PRE_SQL} UNION ALL {_LIB_SQL}),
+s AS (SELECT seq, replace({_strip_sql('prompt')}, chr(10), ' ') AS prompt FROM ({_SAVES_SQL}))
+SELECT min(seq) AS seq, prompt FROM s WHERE prompt <> ''
+  AND prompt NOT IN (SELECT {_strip_sql('prompt')} FROM lib) GROUP BY prompt""")
 def library_add(spark, sf):
-    return logs.library_add(_library(spark, sf), _first_words(spark, sf, F.col("role") == "user"))
+    return logs.library_add(_pre(spark).unionByName(_library(spark, sf)), _saves(spark, sf))
 
 
 @query("library_delete", f"""
-WITH lib AS (SELECT conv_id * 1000 + turn AS seq, trim({_FIRST_WORD_SQL}) AS prompt FROM conversations),
-req AS (SELECT DISTINCT trim({_FIRST_WORD_SQL}) AS prompt FROM conversations WHERE turn = 0
-        UNION SELECT 'Add row'),
+WITH lib AS (SELECT seq, {_strip_sql('prompt')} AS prompt FROM ({_LIB_SQL})),
+req AS (SELECT DISTINCT {_strip_sql('prompt')} AS prompt FROM ({_SAVES_SQL}) UNION SELECT 'Add row'),
 ok AS (SELECT prompt FROM req WHERE prompt <> '' AND prompt NOT IN ('Remove row', 'Remove column', 'Add row', 'Add column')),
 l AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY seq) AS rn FROM lib WHERE prompt <> '')
 SELECT seq, prompt FROM l WHERE NOT (rn = 1 AND prompt IN (SELECT prompt FROM ok))""")
 def library_delete(spark, sf):
-    lib = _first_words(spark, sf)
-    req = _first_words(spark, sf, F.col("turn") == 0).select("prompt").unionByName(
-        spark.createDataFrame([("Add row",)], "prompt string"))
-    return logs.library_delete(lib, req)
+    req = _saves(spark, sf).select("prompt").unionByName(spark.createDataFrame([("Add row",)], "prompt string"))
+    return logs.library_delete(_library(spark, sf), req)
 
 
 @query("library_list", f"""
-{_PRE_SQL} UNION ALL SELECT conv_id * 1000 + turn, trim({_FIRST_WORD_SQL}) FROM conversations
-WHERE role = 'assistant' AND trim({_FIRST_WORD_SQL}) <> ''
-  AND trim({_FIRST_WORD_SQL}) NOT IN ('Remove row', 'Remove column', 'Add row', 'Add column')""")
+{_PRE_SQL} UNION ALL SELECT seq, {_strip_sql('prompt')} FROM ({_LIB_SQL})
+WHERE {_strip_sql('prompt')} <> ''
+  AND {_strip_sql('prompt')} NOT IN ('Remove row', 'Remove column', 'Add row', 'Add column')""")
 def library_list(spark, sf):
-    return logs.library_list(_first_words(spark, sf, F.col("role") == "assistant"))
+    return logs.library_list(_library(spark, sf))
 
 
 @query("session_attrs", """SELECT user_id AS session_id, event_type AS key,
@@ -658,6 +689,24 @@ def selection_roundtrip(spark, sf):
                     S.selection_in_bounds(rects, n, m).alias("in_bounds"))
 
 
+@query("cell_ids", f"""
+WITH v AS (SELECT o_orderkey, o_orderkey % 20000 AS r, o_custkey % 800 AS c, o_orderkey % 4 AS kind FROM orders),
+t AS (SELECT *, CASE kind WHEN 0 THEN {L.letters_sql('c')} || CAST(r + 1 AS VARCHAR)
+  WHEN 1 THEN ' ' || lower({L.letters_sql('c')}) || CAST(r + 1 AS VARCHAR) || ' '
+  WHEN 2 THEN {L.letters_sql('c')} || '0' || CAST(r + 1 AS VARCHAR) ELSE {L.letters_sql('c')} END AS cell FROM v)
+SELECT o_orderkey, cell, CASE WHEN kind < 2 THEN r END AS row, CASE WHEN kind < 2 THEN c END AS col FROM t""")
+def cell_ids(spark, sf):
+    """A4: well-formed and malformed cell ids."""
+    r, c, kind = F.col("o_orderkey") % 20000, F.col("o_custkey") % 800, F.col("o_orderkey") % 4
+    letters, number = L.column_letters(c), (r + 1).cast("string")
+    cell = (F.when(kind == 0, F.concat(letters, number))
+            .when(kind == 1, F.concat(F.lit(" "), F.lower(letters), number, F.lit(" ")))
+            .when(kind == 2, F.concat(letters, F.lit("0"), number)).otherwise(letters))
+    at = L.parse_cell_id(F.col("cell"))
+    return fx.table(spark, sf, "orders").select("o_orderkey", cell.alias("cell")).select(
+        "o_orderkey", "cell", at["row"].alias("row"), at["col"].alias("col"))
+
+
 def _commands(spark, sf):
     o = fx.table(spark, sf, "orders")
     a, b = F.col("o_custkey") % 30, F.col("o_orderkey") % 7
@@ -690,31 +739,36 @@ def tag_rewrite(spark, sf):
     return _commands(spark, sf).select("o_orderkey", T.rewrite_tags("command").alias("rewritten"))
 
 
-def _preview_sql(v):
-    return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN '' ELSE substr({v}, 1, 15) || "
-            f"CASE WHEN length({v}) > 15 THEN '...' ELSE '' END END")
+def _preview_sql(v, numeric):
+    empty = f"{v} IS NULL OR {v} = 0" if numeric else f"{v} IS NULL OR {v} = ''"
+    t = f"CAST({v} AS VARCHAR)"
+    return f"CASE WHEN {empty} THEN '' ELSE substr({t}, 1, 15) || CASE WHEN length({t}) > 15 THEN '...' ELSE '' END END"
+
+
+def _listing_sql():
+    types = {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}
+    parts = ["SELECT 1 AS kind, CAST(-1 AS BIGINT) AS col, _row AS row, CAST(_row + 1 AS VARCHAR) AS text, "
+             "'Row ' || CAST(_row + 1 AS VARCHAR) AS description FROM s"]
+    for i, (c, numeric) in enumerate(types.items()):
+        at = f"'{chr(65 + i)}' || CAST(_row + 1 AS VARCHAR)"
+        p = _preview_sql(c, numeric)
+        parts.append(f"SELECT 0, {i}, -1, '{chr(65 + i)}', 'Column {chr(65 + i)}'")
+        parts.append(f"SELECT 2, {i}, _row, {at}, 'Cell ' || {at} || CASE WHEN {p} = '' THEN '' ELSE ': ' || {p} END FROM s")
+    return f"WITH s AS ({fx.CUSTOMER_SHEET_SQL}) " + " UNION ALL ".join(parts)
 
 
-_LISTING_SQL = f"""
-WITH s AS ({fx.CUSTOMER_SHEET_SQL})
-SELECT 0 AS kind, CAST(1 AS BIGINT) AS col, CAST(-1 AS BIGINT) AS row, 'B' AS text, 'Column B' AS description
-UNION ALL SELECT 0, 4, -1, 'E', 'Column E'
-UNION ALL SELECT 1, -1, _row, CAST(_row + 1 AS VARCHAR), 'Row ' || CAST(_row + 1 AS VARCHAR) FROM s
-UNION ALL SELECT 2, 1, _row, 'B' || CAST(_row + 1 AS VARCHAR), CASE WHEN {_preview_sql('c_name')} = ''
-  THEN 'Cell B' || CAST(_row + 1 AS VARCHAR) ELSE 'Cell B' || CAST(_row + 1 AS VARCHAR) || ': ' || {_preview_sql('c_name')} END FROM s
-UNION ALL SELECT 2, 4, _row, 'E' || CAST(_row + 1 AS VARCHAR), CASE WHEN {_preview_sql('c_mktsegment')} = ''
-  THEN 'Cell E' || CAST(_row + 1 AS VARCHAR) ELSE 'Cell E' || CAST(_row + 1 AS VARCHAR) || ': ' || {_preview_sql('c_mktsegment')} END FROM s"""
+_LISTING_SQL = _listing_sql()
 
 
 @query("cell_listing", _LISTING_SQL)
 def cell_listing(spark, sf):
-    return address.cell_listing(fx.customer_sheet(spark, sf), ["c_name", "c_mktsegment"])
+    return address.cell_listing(fx.customer_sheet(spark, sf))
 
 
 @query("cell_search", f"""SELECT * FROM ({_LISTING_SQL}) WHERE contains(lower(text), 'uildin')
   OR contains(lower(description), 'uildin') ORDER BY kind, col, row LIMIT 10""")
 def cell_search(spark, sf):
-    return address.cell_search(fx.customer_sheet(spark, sf), "uildin", 10, ["c_name", "c_mktsegment"])
+    return address.cell_search(fx.customer_sheet(spark, sf), "uildin", 10)
 
 
 # -- S1/S3-S5 sources and sinks, T1/T2 streams ----------------------------------------------------

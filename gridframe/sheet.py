@@ -1,5 +1,5 @@
 """The ``Sheet`` handle: a DataFrame with a contiguous ``_row`` plus an
-ordered list of value columns, and a linear version history (H1-H4)."""
+ordered list of value columns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.functions.text import qc
-from gridframe.plans.ordinals import ROW, assign_ordinals
+from gridframe.plans.ordinals import ROW, numbered, reindexed
 
 
 class Sheet:
@@ -26,7 +26,7 @@ class Sheet:
     def from_df(cls, df: DataFrame, order_by: list[str | Column] | None = None,
                 materialize: bool = True) -> "Sheet":
         """A1: number rows 0..n-1 in ``order_by`` order (distributed)."""
-        return cls(assign_ordinals(df, order_by, ROW, materialize))
+        return cls(*numbered(df, order_by, ROW, materialize))
 
     def reindexed(self) -> "Sheet":
         """A1 after an edit that left gaps in ``_row``: renumber keeping order."""
@@ -54,21 +54,18 @@ class Sheet:
         """The value columns only, in sheet order (order itself is in ``_row``)."""
         return self.df.select(*[qc(c) for c in self.columns])
 
-    def with_df(self, df: DataFrame, n_rows: int | None = None) -> "Sheet":
-        return Sheet(df, n_rows)
-
     # -- U1-U3 transform steps --------------------------------------
     def transform(self, fn: Callable[[DataFrame], DataFrame],
                   order_by: list[str | Column] | None = None) -> "Sheet":
-        """Arbitrary DataFrame -> DataFrame step, then re-index.
+        """Arbitrary DataFrame -> DataFrame step, then re-index.  The step is
+        evaluated once, here (see ``operators.steps`` for U1 with its diff and
+        commit).
 
         If the result keeps ``_row`` its order is kept; otherwise the caller
         must give ``order_by``."""
         out = fn(self.df)
         if ROW in out.columns:
-            from gridframe.plans.ordinals import dense_reindex
-
-            return Sheet(dense_reindex(out, self._n_rows))
+            return Sheet(*reindexed(out))
         if not order_by:
             raise ValueError("the step dropped _row; give order_by to fix the row order")
         return Sheet.from_df(out, order_by)
@@ -84,38 +81,3 @@ class Sheet:
         pass through so the order survives."""
         return self.transform(lambda d: d.mapInPandas(fn, schema))
 
-
-class History:
-    """H1-H4: linear undo/redo over sheet versions (handles, not copies)."""
-
-    def __init__(self):
-        self.states: list[Sheet] = []
-        self.pos = -1
-
-    def commit(self, sheet: Sheet) -> None:
-        del self.states[self.pos + 1:]
-        self.states.append(sheet)
-        self.pos += 1
-
-    def can_undo(self) -> bool:
-        return self.pos > 0
-
-    def can_redo(self) -> bool:
-        return self.pos < len(self.states) - 1
-
-    def undo(self) -> Sheet | None:
-        if not self.can_undo():
-            return None
-        self.pos -= 1
-        return self.states[self.pos]
-
-    def redo(self) -> Sheet | None:
-        if not self.can_redo():
-            return None
-        self.pos += 1
-        return self.states[self.pos]
-
-    def current(self) -> Sheet | None:
-        if not self.states or self.pos < 0:
-            return None
-        return self.states[self.pos]

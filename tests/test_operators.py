@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gridframe.operators import address, clean, conform, diff, history, logs, profile
-from gridframe.sheet import History, Sheet
+from gridframe.sheet import Sheet
 
 
 def test_diff_rules(spark, sheet_of):
@@ -55,18 +56,50 @@ def test_stacked_split(spark, sheet_of):
         (0, 0, 0, "1"), (1, 0, 0, "2"), (1, 0, 1, "3"), (2, 2, 0, "9")]
 
 
-def test_history_handles_and_replay(spark):
-    h = History()
-    h.commit("s0")
-    h.commit("s1")
-    assert h.undo() == "s0" and h.redo() == "s1" and h.redo() is None  # undo then redo = identity
-    h.undo()
-    h.commit("s2")
-    assert h.states == ["s0", "s2"] and not h.can_redo()
+def test_version_log(spark, sheet_of):
+    s0, s1, s2 = (sheet_of([(i, "x")], "a long, b string") for i in range(3))
+    s1 = Sheet(s1.df.withColumn("more.x", F.lit(1)))  # versions may differ in columns
+    log = history.VersionLog(spark)
+    first = lambda s: s.df.first()["a"]
+    assert log.current() is None and log.undo() is None and log.state()["visible_seq"] is None
+    log.commit(s0)
+    log.commit(s1)
+    assert log.current().columns == ["a", "b", "more.x"]
+    assert first(log.undo()) == 0 and log.undo() is None and first(log.redo()) == 1 and log.redo() is None
+    log.undo()
+    log.commit(s2)
+    assert first(log.current()) == 2 and log.redo() is None and log.state()["can_undo"]
+    assert first(history.VersionLog(spark, log.path).undo()) == 0  # a new handle reads the same log
+
+
+def test_steps_commit_once_and_leave_no_state_on_error(spark, sheet_of):
+    from gridframe.operators.steps import run_step
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b[b["a"] % 2 == 0]
+
+    s = sheet_of([(i, "x") for i in range(1000)], "a long, b string")
+    log = history.VersionLog(spark)
+    log.commit(s)
+    got = run_step(s, lambda d: d.mapInPandas(counted, "_row long, a long, b string"), log)
+    assert [r._row for r in got.sheet.df.orderBy("_row").collect()] == list(range(500)) and runs.value == 1000
+    assert got.touched.count() == 499 and log.current().df.count() == 500
+    some = run_step(s, lambda d: d.where(F.rand(3) < 0.5)).sheet
+    assert [r._row for r in some.df.orderBy("_row").collect()] == list(range(some.n_rows))
+    with pytest.raises(Exception):
+        run_step(s, lambda d: d.select("_row", F.raise_error(F.lit("no")).alias("a")), log)
+    assert log.state()["visible_seq"] == 1 and log.current().df.count() == 500
+
+
+def test_history_replay(spark):
     log = spark.createDataFrame([(1, 1, "commit"), (1, 2, "undo"), (1, 3, "commit"), (1, 4, "undo"),
                                  (1, 5, "redo"), (1, 6, "redo"), (2, 1, "undo")], "sheet_id long, seq long, action string")
-    got = [(r.seq, r.pos, r.len) for r in history.replay(log).where("sheet_id = 1").orderBy("seq").collect()]
-    assert got == [(1, 0, 1), (2, 0, 1), (3, 1, 2), (4, 0, 2), (5, 1, 2), (6, 1, 2)]
+    got = [(r.seq, r.pos, r.len, r.visible_seq) for r in history.replay(log).orderBy("sheet_id", "seq").collect()]
+    assert got == [(1, 0, 1, 1), (2, 0, 1, 1), (3, 1, 2, 3), (4, 0, 2, 1), (5, 1, 2, 3), (6, 1, 2, 3), (1, -1, 0, None)]
 
 
 def test_sessions_strictly_over_timeout(spark):

@@ -20,7 +20,7 @@ def test_ordinals_contiguous_in_order(spark):
 def test_dense_reindex(spark):
     df = spark.range(0, 10000).where(F.col("id") % 3 != 0).withColumnRenamed("id", "_row").withColumn(
         "orig", F.col("_row"))
-    out = dense_reindex(df, 10000, ).orderBy("_row").collect()
+    out = dense_reindex(df).orderBy("_row").collect()
     assert [r._row for r in out] == list(range(len(out)))
     assert [r.orig for r in out] == [i for i in range(10000) if i % 3]
 
