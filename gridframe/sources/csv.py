@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.functions.text import qc
-
-from gridframe.plans.ordinals import ROW, assign_ordinals
+from gridframe.functions.text import INTEGER, number_cast, qc
+from gridframe.plans.ordinals import ROW, numbered
 from gridframe.sheet import Sheet
 
 # Cell texts read as missing (the spreadsheet library's defaults).
@@ -22,6 +21,9 @@ TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 
 
+ROWS_PER_PART = 1 << 18
+
+
 def header_names(cells: list[str | None]) -> list[str]:
     """Blank header -> 'Unnamed: <pos>'; duplicates -> 'a', 'a.1', 'a.2'."""
     names = [c if c not in (None, "") else f"Unnamed: {i}" for i, c in enumerate(cells)]
@@ -43,35 +45,53 @@ def header_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def read_csv_sheet(spark: SparkSession, path: str, multiline: bool = True) -> Sheet:
+class RaggedRows(ValueError):
+    """A line has more cells than the header."""
+
+
+def read_csv_sheet(spark: SparkSession, path: str, multiline: bool = False) -> Sheet:
     """One CSV file (or a directory written by ``write_csv_sheet``) as a
-    sheet.  Line order is (file path, block start, position in block), so
-    split files keep their order; ``multiline`` allows quoted newlines (a
-    file is then one task; intake caps file sizes, see ``file_intake``)."""
-    raw = (spark.read.option("header", False).option("inferSchema", False).option("multiLine", multiline)
-           .option("nullValue", None).option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
-    fields = raw.columns
-    staged = raw.select(*fields, F.col("_metadata.file_path").alias("__f"),
-                        F.col("_metadata.file_block_start").alias("__b"),
-                        F.monotonically_increasing_id().alias("__m"))
-    numbered = assign_ordinals(staged, [F.col("__f"), F.col("__b"), F.col("__m")]).drop("__f", "__b", "__m")
-    head = numbered.where(F.col(ROW) == 0).first()
+    sheet.  Line order is (file path, block start, position in block), so large
+    files are split over tasks and keep their order.  ``multiline=True`` allows
+    line breaks inside quotes; each file is then read by one task.
+
+    A line with fewer cells than the header is filled with missing cells; one
+    with more raises ``RaggedRows``: no cell is ever dropped."""
+    options = {"header": False, "multiLine": multiline, "emptyValue": "", "mode": "PERMISSIVE",
+               "columnNameOfCorruptRecord": "__line"}
+    fields = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    # One field more than the first line has, and the text of lines of another width.
+    schema = ", ".join(f"{c} string" for c in [*fields, "__more", "__line"])
+    raw = spark.read.options(**options).schema(schema).csv(path)
+    bare = F.regexp_replace("__line", r'"([^"]|"")*"', "")
+    wide = F.col("__more").isNotNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(fields))
+    cells = raw.select(*fields, F.coalesce(wide, F.lit(False)).alias("__wide"),
+                       F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
+                       F.monotonically_increasing_id().alias("__m"))
+    rows, n = numbered(cells, [F.col("__f"), F.col("__b"), F.col("__m")])
+    bad = rows.agg(F.count_if("__wide").alias("n"), F.min(F.when(F.col("__wide"), F.col(ROW))).alias("first")).first()
+    if bad["n"]:
+        raise RaggedRows(f"{bad['n']} lines have more than {len(fields)} cells, the first is line {bad['first'] + 1}")
+    head = rows.where(F.col(ROW) == 0).first()
     names = header_names([head[c] if head is not None else None for c in fields])
-    body = numbered.where(F.col(ROW) > 0).select(
+    body = rows.where(F.col(ROW) > 0).select(
         (F.col(ROW) - 1).alias(ROW),
         *[F.when(~qc(c).isin(NULL_TOKENS), qc(c)).alias(n) for c, n in zip(fields, names)])
-    return infer_types(Sheet(body))
+    return infer_types(Sheet(body, max(n - 1, 0)))
 
 
 def infer_types(sheet: Sheet) -> Sheet:
-    """Type pass: integer if every value is an integer, else float if every
-    value is a number, else boolean if every value is a truth token, else
-    text.  Dates stay text.  One aggregate decides all columns."""
+    """Type pass: integer if every value is an integer (beyond 64 bits a
+    decimal, beyond 38 digits text), else float if every value is a number,
+    else boolean if every value is a truth token, else text.  Dates stay text.
+    One aggregate decides all columns."""
     aggs = []
     for i, c in enumerate(sheet.columns):
         x = qc(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), F.count(number_cast(x, "bigint")).alias(f"i{i}"),
+                 F.count_if(x.rlike(INTEGER)).alias(f"w{i}"),
+                 F.count(F.when(x.rlike(INTEGER), number_cast(x, "decimal(38,0)"))).alias(f"e{i}"),
+                 F.count(number_cast(x, "double")).alias(f"d{i}"),
                  F.count(F.when(x.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
     if not aggs:
         return sheet
@@ -80,9 +100,11 @@ def infer_types(sheet: Sheet) -> Sheet:
     for i, c in enumerate(sheet.columns):
         n = r[f"n{i}"]
         if n and r[f"i{i}"] == n:
-            out.append(qc(c).try_cast("bigint").alias(c))
+            out.append(number_cast(qc(c), "bigint").alias(c))
+        elif n and r[f"w{i}"] == n:  # integers only, some too large for 64 bits
+            out.append(number_cast(qc(c), "decimal(38,0)").alias(c) if r[f"e{i}"] == n else qc(c))
         elif n and r[f"d{i}"] == n:
-            out.append(qc(c).try_cast("double").alias(c))
+            out.append(number_cast(qc(c), "double").alias(c))
         elif n and r[f"b{i}"] == n:
             out.append(qc(c).isin(TRUE_TOKENS).alias(c))
         else:
@@ -102,7 +124,8 @@ def write_csv_sheet(sheet: Sheet, path: str, partitions: int | None = None) -> s
     body = sheet.df.select(ROW, *cols)
     head = spark.range(1).select(F.lit(-1).cast("bigint").alias(ROW), *[F.lit(c).alias(c) for c in sheet.columns])
     both = head.unionByName(body)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One part for each ROWS_PER_PART rows, whatever the session's settings.
+    n = partitions or 1 + sheet.n_rows // ROWS_PER_PART
     (both.repartitionByRange(n, ROW).sortWithinPartitions(ROW).drop(ROW)
      .write.mode("overwrite").option("header", False).option("emptyValue", "").csv(path))
     return path

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.text import qc
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DecimalType, DoubleType, LongType, StringType, StructField, StructType
 
+from gridframe.functions.text import qc
 from gridframe.plans.ordinals import ROW
 from gridframe.sheet import Sheet
 
@@ -28,18 +28,47 @@ def to_records(sheet: Sheet) -> DataFrame:
     return sheet.df.select(ROW, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def record_columns(records: DataFrame, column: str = "record") -> list[tuple[str, str]]:
+    """(key, type) of all keys of all records, in the order in which they
+    appear first.  bigint, decimal(38,0) for larger integers, double, boolean
+    or string where all values agree (integers among decimals are numbers);
+    else the JSON text.  Two aggregates with a row for each key."""
+    view = records.select(F.col(ROW).alias("at"), F.col(column).alias("record"))
+    keys = view.select("at", F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
+    order = keys.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).orderBy("first").collect()
+    values = view.sparkSession.sql(
+        "SELECT key, schema_of_variant(value) AS kind FROM {view}, LATERAL variant_explode(try_parse_json(record))", view=view)
+    integral = F.col("kind").rlike(r"^DECIMAL\(\d+,0\)$")
+    kind = F.when(integral, "LARGE").otherwise(F.regexp_extract("kind", "^[A-Z]+", 0))
+    kinds = {r["key"]: set(r["kinds"]) - {"VOID"}
+             for r in values.groupBy("key").agg(F.collect_set(kind).alias("kinds")).collect()}
+
+    def type_of(seen: set[str]) -> str:
+        if seen and seen <= {"BIGINT"}:
+            return "bigint"
+        if seen and seen <= {"BIGINT", "LARGE"}:
+            return "decimal(38,0)"
+        if seen and seen <= {"BIGINT", "LARGE", "DECIMAL", "DOUBLE"}:
+            return "double"
+        return "boolean" if seen == {"BOOLEAN"} else "string"
+
+    return [(r["key"], type_of(kinds.get(r["key"], set()))) for r in order]
+
+
 def from_records(records: DataFrame, headers: list[str] | None, column: str = "record") -> Sheet:
     """S3: JSON object text per row (with ``_row``) -> sheet.  Headers select
-    and order the columns: a missing key is null, extra keys are dropped.
-    Without headers the keys of the first record decide."""
+    and order the columns, as text: a missing key is null, extra keys are
+    dropped.  Without headers all keys of all records become columns, with
+    their types (see ``record_columns``)."""
     if headers is None:
-        first = records.orderBy(ROW).select(column).first()
-        if first is None:
-            headers = []
-        else:
-            import json
-
-            headers = list(json.loads(first[0]).keys())
-    schema = StructType([StructField(h, StringType()) for h in headers])
+        fields = record_columns(records, column)
+    else:
+        fields = [(h, "string") for h in headers]
+    schema = StructType([StructField(h, _parse_datatype(t)) for h, t in fields])
     parsed = records.select(ROW, F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("__r"))
-    return Sheet(parsed.select(ROW, *[F.col("__r").getField(h).alias(h) for h in headers]))
+    return Sheet(parsed.select(ROW, *[F.col("__r").getField(h).alias(h) for h, _ in fields]))
+
+
+def _parse_datatype(name: str):
+    return {"bigint": LongType(), "decimal(38,0)": DecimalType(38, 0), "double": DoubleType(),
+            "boolean": BooleanType()}.get(name, StringType())

@@ -1,19 +1,19 @@
 """Workbook folder source (S2): thousands of ``.xlsx`` files as one job.
 
-A Python ``DataSource``: the driver only lists file names; each file is one
-input partition, parsed on an executor with the standard library (``zipfile``
-+ ``xml.etree``).  Output rows: ``(file_id, _row, cells array<string>)`` for
-the first sheet of each workbook, blank rows kept as all-null rows."""
+Files are read through Spark's ``binaryFile`` source, so any shared storage
+will do, and parsed in tasks with the standard library (``zipfile`` +
+``xml.etree``)."""
 
 from __future__ import annotations
 
 import datetime as _dt
-import os
+import io
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -58,8 +58,8 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return out
 
 
-def read_first_sheet(path: str) -> list[tuple[int, list[str | None]]]:
-    """(row index, cells) of the first sheet; row indexes are 0-based and
+def read_first_sheet(path) -> list[tuple[int, list[str | None]]]:
+    """(row index, cells) of the first sheet of a path or file object; row indexes are 0-based and
     rows missing from the file are returned as empty lists."""
     with zipfile.ZipFile(path) as z:
         shared = []
@@ -92,42 +92,22 @@ def read_first_sheet(path: str) -> list[tuple[int, list[str | None]]]:
     return [(i, rows.get(i, [])) for i in range(last + 1)]
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, file_id: int, path: str):
-        super().__init__(path)
-        self.file_id, self.path = file_id, path
+SCHEMA = "path string, _row bigint, cells array<string>, error string"
 
 
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def _parse(batches):
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                rows = read_first_sheet(io.BytesIO(content))
+                yield pd.DataFrame({"path": path, "_row": [r for r, _ in rows], "cells": [c for _, c in rows], "error": None})
+            except Exception as e:  # one bad file is a marked row, not the end of the job
+                yield pd.DataFrame({"path": [path], "_row": [None], "cells": [None], "error": [f"{type(e).__name__}: {e}"]})
 
-    def partitions(self):
-        return [_FilePartition(i, p) for i, p in enumerate(self.paths)]
 
-    def read(self, partition):
-        for r, cells in read_first_sheet(partition.path):
-            yield (partition.file_id, partition.path, r, cells)
-
-
-class WorkbookFolder(DataSource):
-    """``spark.read.format("workbook").load(folder)``."""
-
-    @classmethod
-    def name(cls):
-        return "workbook"
-
-    def schema(self):
-        return "file_id bigint, path string, _row bigint, cells array<string>"
-
-    def reader(self, schema):
-        root = self.options.get("path")
-        if os.path.isdir(root):
-            paths = sorted(os.path.join(root, f) for f in os.listdir(root) if f.lower().endswith(".xlsx"))
-        else:
-            paths = [root]
-        return _WorkbookReader(paths)
-
-
-def register(spark) -> None:
-    spark.dataSource.register(WorkbookFolder)
+def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """The first sheet of every workbook below ``path`` (a folder, file or
+    glob of any file system Spark reads), one row for each sheet row, blank rows
+    kept.  A file that cannot be parsed gives one row with ``error``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content").mapInPandas(_parse, SCHEMA)

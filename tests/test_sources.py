@@ -3,11 +3,12 @@ import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridframe.sources import csv as csvsrc
 from gridframe.sources import records
-from gridframe.sources.workbook import read_first_sheet, register
+from gridframe.sources.workbook import read_first_sheet, read_workbooks
 
 
 def _tmp():
@@ -19,7 +20,7 @@ def test_csv_header_and_null_rules(spark):
     p = os.path.join(d, "t.csv")
     with open(p, "w") as f:
         f.write("a,a,,when\n1,x,NA,2023-01-01\n\n,,,\n2,\"q,r\",None,2023-01-02\n3,\"multi\nline\",null,\n")
-    s = csvsrc.read_csv_sheet(spark, p)
+    s = csvsrc.read_csv_sheet(spark, p, multiline=True)
     assert s.columns == ["a", "a.1", "Unnamed: 2", "when"]
     rows = [tuple(r) for r in s.df.orderBy("_row").collect()]
     assert rows == [(0, 1, "x", None, "2023-01-01"), (1, None, None, None, None),
@@ -86,7 +87,49 @@ def test_workbook_folder(spark):
         _write_xlsx(os.path.join(d, f"book{i}.xlsx"))
     rows = read_first_sheet(os.path.join(d, "book0.xlsx"))
     assert rows == [(0, ["name", "when"]), (1, ["alice", "2024-01-01 00:00:00"]), (2, []), (3, ["7"])]
-    register(spark)
-    df = spark.read.format("workbook").load(d)
-    assert df.count() == 12
+    with open(os.path.join(d, "broken.xlsx"), "w") as f:
+        f.write("no workbook")
+    df = read_workbooks(spark, d)
+    assert df.where("error is null").count() == 12
     assert df.where(F.col("_row") == 1).select(F.element_at("cells", 1)).distinct().collect()[0][0] == "alice"
+    assert [r.path.rsplit("/", 1)[1] for r in df.where("error is not null").collect()] == ["broken.xlsx"]
+
+
+def _csv(text):
+    p = os.path.join(_tmp(), "t.csv")
+    with open(p, "w") as f:
+        f.write(text)
+    return p
+
+
+def test_csv_drops_no_cell(spark):
+    for text in ("a,b\n1,2\n3,4,LOST\n", "a,b\n1,2\n3,4,,LOST\n", 'a,b\n1,"2,3"\n3,"x,y",z\n'):
+        with pytest.raises(csvsrc.RaggedRows):
+            csvsrc.read_csv_sheet(spark, _csv(text))
+    short = csvsrc.read_csv_sheet(spark, _csv('a,b,c\n1\n"2,5",x\n'))
+    assert [tuple(r) for r in short.df.orderBy("_row").collect()] == [(0, "1", None, None), (1, "2,5", "x", None)]
+
+
+def test_csv_changes_no_value(spark):
+    s = csvsrc.read_csv_sheet(spark, _csv(
+        "suffix,big,huge,num,mixed,i\n1d,12345678901234567890,1" + "0" * 40 + ",1e3,1,7\n"
+        "2f,12345678901234567891,2,-.5,x,-8\n"))
+    types = dict(s.df.dtypes)
+    assert [types[c] for c in s.columns] == ["string", "decimal(38,0)", "string", "double", "string", "bigint"]
+    rows = s.df.orderBy("_row").collect()
+    assert [r.suffix for r in rows] == ["1d", "2f"]
+    assert [int(r.big) for r in rows] == [12345678901234567890, 12345678901234567891]
+    assert [r.num for r in rows] == [1000.0, -0.5] and [r.i for r in rows] == [7, -8]
+
+
+def test_records_infer_keys_and_types(spark):
+    recs = [{}, {"a": 1, "q.x": "1"}, {"b`": 2.5, "a": 2}, {"n": None, "m": True, "o": {"k": [1]}},
+            {"b`": 3, "m": "x", "l": 12345678901234567890, "z": False}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "_row long, record string")
+    s = records.from_records(df, None)
+    assert s.df.dtypes[1:] == [("a", "bigint"), ("q.x", "string"), ("b`", "double"), ("n", "string"), ("m", "string"),
+                               ("o", "string"), ("l", "decimal(38,0)"), ("z", "boolean")]
+    rows = [r.asDict() for r in s.df.orderBy("_row").collect()]
+    assert [r["a"] for r in rows] == [None, 1, 2, None, None] and [r["b`"] for r in rows] == [None, None, 2.5, None, 3.0]
+    assert rows[3]["m"] == "true" and rows[3]["o"] == '{"k":[1]}' and int(rows[4]["l"]) == 12345678901234567890
+    assert records.from_records(df.where("_row = 0"), None).columns == []
