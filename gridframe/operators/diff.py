@@ -13,10 +13,11 @@ from gridframe.sheet import Sheet
 _NUM = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+_INT = ("tinyint", "smallint", "int", "bigint", "boolean")
+
+
 def _kind(t: str) -> str:
-    if t in _NUM or t.startswith("decimal"):
-        return "num"
-    if t == "boolean":
+    if t in _NUM or t.startswith("decimal") or t == "boolean":
         return "num"
     if t.startswith("timestamp") or t == "date":
         return "time"
@@ -25,18 +26,33 @@ def _kind(t: str) -> str:
     return "other"
 
 
+def _numbers_differ(a: Column, ta: str, b: Column, tb: str) -> Column:
+    """Whether two numbers differ in value.  Integers are compared as integers
+    and decimals as decimals; an integer and a floating value are equal only
+    if they are so as floating values *and* as exact integers."""
+    a, b = (x.cast("int") if t == "boolean" else x for x, t in ((a, ta), (b, tb)))
+    fa, fb = ta in ("double", "float"), tb in ("double", "float")
+    if fa == fb:
+        return a != b
+    near = a.cast("double") != b.cast("double")
+    whole, real = (b, a) if fa else (a, b)
+    if (tb if fa else ta) in _INT:
+        return F.when(near, F.lit(True)).otherwise(whole.cast("decimal(38,0)") != real.try_cast("decimal(38,0)"))
+    return near
+
+
 def _missing(c: Column, t: str) -> Column:
     return c.isNull() | F.isnan(c) if t in ("double", "float") else c.isNull()
 
 
 def _unequal(a: Column, ta: str, b: Column, tb: str) -> Column:
     """Null-aware "modified" flag: both missing -> equal; one missing ->
-    modified; numbers compare by value across int/float; text vs number is
+    modified; numbers compare by exact value across types; text vs number is
     always modified (decided from the two types, never a mixed compare)."""
     ma, mb = _missing(a, ta), _missing(b, tb)
     ka, kb = _kind(ta), _kind(tb)
     if ka == kb == "num":
-        ne = a.cast("double") != b.cast("double")
+        ne = _numbers_differ(a, ta, b, tb)
     elif ka == kb and ka in ("text", "time"):
         ne = a != b
     elif ka == kb:

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.text import qc
+from gridframe.functions.text import number_cast, qc
 
 from gridframe.plans.ordinals import ROW
-from gridframe.plans.pieces import EditError, PieceTable, compile_edits, map_by_segments
+from gridframe.plans.pieces import EditError, PieceTable, compile_edits, map_by_segments, size_before, stable_place
 from gridframe.plans.running import carry_last
+from gridframe.session import cut_lineage
 from gridframe.sheet import Sheet
 
 __all__ = [
@@ -36,30 +37,21 @@ class BatchResult:
     touched: DataFrame | None  # (seq, row, col) per effective cell edit
 
 
-def _epoch_of(seq: Column, bounds: list[int]) -> Column:
-    """Number of structural edits with a smaller seq (bounded by the batch)."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x < seq))
-
-
-def _resolve_types(sheet: Sheet, pt: PieceTable, cells: DataFrame) -> dict[int, str]:
-    """Type per edited column key: keep the column type when every non-null
-    new value casts to it, else widen to string.  One aggregate decides."""
-    types = dict(sheet.df.dtypes)
+def _resolve_types(pt: PieceTable, types: dict[str, str], applied: DataFrame) -> dict[int, str]:
+    """Type per column key: a source column keeps its type when every value
+    that is applied to it reads as that type, else it widens to string; a column
+    that has no edit keeps its type.  One aggregate decides."""
     src = {k: types[c] for k, c in enumerate(pt.source_columns)}
-    checks = []
+    flags = []
+    for k, t in src.items():
+        mine = F.col("__ck") == k
+        bad = mine & F.col("new_value").isNotNull() & number_cast("new_value", t).isNull()
+        flags += [F.max(mine.cast("int")).alias(f"e{k}"), F.max(bad.cast("int")).alias(f"b{k}")]
+    row = applied.agg(*flags).first() if flags else None
+    resolved = {}
     for k, t in src.items():
-        if t != "string":
-            bad = (F.col("__ck") == k) & F.col("new_value").isNotNull() & F.col("new_value").try_cast(t).isNull()
-            checks.append(F.max(bad.cast("int")).alias(f"b{k}"))
-    resolved = {k: (t if t in _NUMERIC or t.startswith(("timestamp", "date", "boolean", "decimal")) else "string")
-                for k, t in src.items()}
-    if checks:
-        row = cells.agg(*checks).first()
-        for k, t in src.items():
-            if t != "string" and row[f"b{k}"]:
-                resolved[k] = "string"
+        plain = t in _NUMERIC or t.startswith(("timestamp", "date", "boolean", "decimal"))
+        resolved[k] = t if not row[f"e{k}"] or (plain and not row[f"b{k}"]) else "string"
     for k in pt.col_names:
         resolved.setdefault(k, "string")  # inserted columns start empty: text
     return resolved
@@ -69,12 +61,54 @@ def _norm(c: Column, t: str) -> Column:
     """Canonical text of a value in type ``t`` (NaN is missing)."""
     if t == "string":
         return c.cast("string")
-    v = c.cast("string").try_cast(t) if t != "string" else c
+    v = number_cast(c.cast("string"), t)
     if t in ("double", "float"):
         v = F.when(~F.isnan(v), v)
     return v.cast("string")
 
 
+def _by_key(keys: list[int], value) -> Column:
+    """``value(k)`` of the row's column key."""
+    expr = F.lit(None).cast("string")
+    for k in keys:
+        expr = F.when(F.col("__ck") == k, value(k)).otherwise(expr)
+    return expr
+
+
+def _effective_edits(ids: DataFrame, pt: PieceTable, types: dict[str, str], cells: DataFrame
+                     ) -> tuple[DataFrame, dict[int, str]]:
+    """Cell edits that address a cell, with the value that each leaves
+    (``__ev``) and whether that changes the cell; and the columns' types."""
+    n_cols = len(pt.source_columns)
+    c = cells.select(*[F.col(x).cast("bigint").alias(x) for x in ("seq", "row", "col")],
+                     F.col("new_value").cast("string").alias("new_value"))
+    n_r, n_c = size_before(F.col("seq"), pt, n_cols)
+    # Out-of-range cells are skipped, as in the original.
+    c = c.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < n_r) & (F.col("col") < n_c))
+    c = c.withColumn("__id", stable_place(F.col("row"), F.col("seq"), pt.row_edits))
+    c = c.withColumn("__ck", stable_place(F.col("col"), F.col("seq"), pt.col_edits))
+    # sheet RIGHT JOIN edits: the edit side may be broadcast (AQE, runtime
+    # size) so a small batch never shuffles the whole sheet.
+    base = ids.select("__id", *[qc(x).alias(f"__s{k}") for k, x in enumerate(pt.source_columns)])
+    orig = _by_key(list(range(n_cols)), lambda k: _norm(F.col(f"__s{k}"), types[pt.source_columns[k]]))
+    c = base.join(c, "__id", "right").select("seq", "row", "col", "new_value", "__id", "__ck", orig.alias("__orig"))
+    c = cut_lineage(c)  # located once, read several times
+
+    # '' on a missing cell leaves it missing: the last earlier edit that is not
+    # '' tells whether the cell has a value, else the original does.
+    is_value = F.col("new_value").isNull() | (F.col("new_value") != "")
+    c = carry_last(c, ["__id", "__ck"], "seq", F.col("new_value"), is_value, "__anc")
+    present = F.when(F.col("__anc").isNotNull(), F.col("__anc.v").isNotNull()).otherwise(F.col("__orig").isNotNull())
+    c = cut_lineage(c.withColumn("__applied", is_value | present).drop("__anc"))
+    resolved = _resolve_types(pt, types, c.where("__applied"))
+    new = _by_key(sorted(pt.col_names), lambda k: _norm(F.col("new_value"), resolved[k]))
+    ev = F.when(F.col("new_value") == "", F.when(F.col("__applied"), F.lit(""))).otherwise(new)
+    c = carry_last(c.withColumn("__ev", ev), ["__id", "__ck"], "seq", F.col("__ev"), F.lit(True), "__prev")
+    prev = F.when(F.col("__prev").isNotNull(), F.col("__prev.v")).otherwise(F.col("__orig"))
+    c = c.withColumn("__changed", ~F.col("__ev").eqNullSafe(prev))
+    return cut_lineage(c.select("seq", "row", "col", "__id", "__ck", "__ev", "__changed")), resolved
+
+
 def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
                 cells: DataFrame | None = None) -> BatchResult:
     """Apply an ordered mixed batch in one pass; invalid structural edits
@@ -97,54 +131,9 @@ def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
     resolved = {k: types[c] for k, c in enumerate(src_cols)}
     edited_keys: list[int] = []
     if cells is not None:
-        bounds = [e.get("seq", 0) for e in structural]
-        ep = pt.epochs
-        c = cells.select(
-            F.col("seq").cast("bigint").alias("seq"), F.col("row").cast("bigint").alias("row"),
-            F.col("col").cast("bigint").alias("col"), F.col("new_value").cast("string").alias("new_value"),
-        ).withColumn("__ep", _epoch_of(F.col("seq"), bounds))
-        dims_r = F.element_at(F.array(*[F.lit(e.n_rows) for e in ep]), F.col("__ep") + 1)
-        dims_c = F.element_at(F.array(*[F.lit(len(e.col_keys)) for e in ep]), F.col("__ep") + 1)
-        # Out-of-range cells are skipped, as in the original.
-        c = c.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < dims_r) & (F.col("col") < dims_c))
-        keys_by_epoch = F.array(*[F.array(*[F.lit(k) for k in e.col_keys] or [F.lit(-1)]) for e in ep])
-        c = c.withColumn("__ck", F.element_at(F.element_at(keys_by_epoch, F.col("__ep") + 1), F.col("col").cast("int") + 1).cast("bigint"))
-        segs = [(i, p0, ln, id0) for i, e in enumerate(ep) for (p0, id0, ln) in e.segments]
-        c = c.withColumn("__grp", F.col("__ep"))
-        c = map_by_segments(c, F.col("row"), segs, "__id").drop("__grp")
-
-        resolved = _resolve_types(sheet, pt, c)
+        c, resolved = _effective_edits(ids, pt, types, cells)
         edited_keys = sorted(pt.col_names)
-        norm = None
-        for k in edited_keys:
-            v = _norm(F.col("new_value"), resolved[k])
-            norm = F.when(F.col("__ck") == k, v) if norm is None else norm.when(F.col("__ck") == k, v)
-        c = c.withColumn("__new", norm)
-
-        # Original value of each edited cell (source rows and columns only).
-        orig_expr = None
-        for k, name in enumerate(src_cols):
-            v = _norm(qc(name), resolved[k])
-            orig_expr = F.when(F.col("__ck") == k, v) if orig_expr is None else orig_expr.when(F.col("__ck") == k, v)
-        base = ids.select("__id", *[qc(c) for c in src_cols])
-        # sheet RIGHT JOIN edits: the edit side may be broadcast (AQE, runtime
-        # size) so a small batch never shuffles the whole sheet.
-        c = base.join(c, "__id", "right").withColumn("__orig", orig_expr if orig_expr is not None else F.lit(None).cast("string"))
-        c = c.select("seq", "row", "col", "new_value", "__id", "__ck", "__new", "__orig")
-
-        # Effective value: '' on a missing cell leaves it missing.
-        anchor_pred = F.col("new_value").isNull() | (F.col("new_value") != "")
-        c = carry_last(c, ["__id", "__ck"], "seq", F.col("__new"), anchor_pred, "__anc")
-        anchor = F.when(F.col("__anc").isNotNull(), F.col("__anc.v")).otherwise(F.col("__orig"))
-        ev = (F.when(F.col("new_value").isNull(), F.lit(None).cast("string"))
-              .when(F.col("new_value") == "", F.when(anchor.isNotNull(), F.lit("")))
-              .otherwise(F.col("__new")))
-        c = c.withColumn("__ev", ev)
-        c = carry_last(c, ["__id", "__ck"], "seq", F.col("__ev"), F.lit(True), "__prev")
-        prev = F.when(F.col("__prev").isNotNull(), F.col("__prev.v")).otherwise(F.col("__orig"))
-        c = c.withColumn("__changed", ~F.col("__ev").eqNullSafe(prev))
         touched = c.where("__changed").select("seq", "row", "col")
-
         # Last writer per cell, then one row per stable id (pivot of cells).
         last = c.groupBy("__id", "__ck").agg(F.max_by(F.struct(F.col("__ev").alias("v")), "seq").alias("__last"))
         per_row = last.groupBy("__id").agg(*[
@@ -174,7 +163,7 @@ def apply_batch(sheet: Sheet, structural: list[dict] | None = None,
     if identity:
         out = ids.select(F.col("__id").alias(ROW), *out_cols)
     else:
-        segs = [(0, id0, ln, p0) for (p0, id0, ln) in final]
+        segs = [(id0, ln, p0) for (p0, id0, ln) in final]
         mapped = map_by_segments(ids, F.col("__id"), segs, ROW)
         out = mapped.select(ROW, *out_cols)
     return BatchResult(Sheet(out, pt.n_rows), touched)

@@ -6,16 +6,19 @@ Source rows keep their old ``_row`` as stable id; inserted blank rows get
 fresh ids after the last source row.  Columns fold the same way into a list
 of stable column keys.  Work on the driver is per edit, never per row.
 
-Each cell edit belongs to an *epoch* (the number of structural edits before
-it) and addresses the sheet as laid out in that epoch, so every epoch keeps
-a snapshot of its segments and columns.
+A cell edit addresses the sheet as laid out after the structural edits before
+it.  Its place is mapped back to the stable row id and column key by undoing
+those edits, latest first (``stable_place``), so what the executors get is the
+list of edits itself: linear in the batch, however edits interleave.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,92 +29,83 @@ class EditError(ValueError):
     """An invalid structural edit: the whole batch is rejected."""
 
 
-@dataclass
-class Epoch:
-    segments: list[tuple[int, int, int]]  # (pos_start, id_start, length)
-    n_rows: int
-    col_keys: list[int]
-
-
 @dataclass
 class PieceTable:
     n_source_rows: int
     source_columns: list[str]
-    segments: list[tuple[int, int]] = field(default_factory=list)  # (id_start, length)
+    n_rows: int = 0
     next_id: int = 0
     col_keys: list[int] = field(default_factory=list)
     col_names: dict[int, str] = field(default_factory=dict)
-    epochs: list[Epoch] = field(default_factory=list)
+    # What cell edits need: row and column edits as (seq, insert?, index,
+    # amount, first id) and the sheet's size after each structural edit.
+    row_edits: list[tuple[int, bool, int, int, int]] = field(default_factory=list)
+    col_edits: list[tuple[int, bool, int, int, int]] = field(default_factory=list)
+    sizes: list[tuple[int, int, int]] = field(default_factory=list)  # (seq, rows, columns)
 
     @classmethod
     def start(cls, n_rows: int, columns: list[str]) -> "PieceTable":
-        pt = cls(n_rows, list(columns))
-        pt.segments = [(0, n_rows)] if n_rows else []
-        pt.next_id = n_rows
+        pt = cls(n_rows, list(columns), n_rows, n_rows)
+        pt._ids = np.array([0] if n_rows else [], np.int64)
+        pt._lengths = np.array([n_rows] if n_rows else [], np.int64)
         pt.col_keys = list(range(len(columns)))
         pt.col_names = dict(enumerate(columns))
-        pt.epochs = [pt.snapshot()]
         return pt
 
     # -- state ----------------------------------------------------------
-    @property
-    def n_rows(self) -> int:
-        return sum(n for _, n in self.segments)
-
     @property
     def columns(self) -> list[str]:
         return [self.col_names[k] for k in self.col_keys]
 
     def positioned(self) -> list[tuple[int, int, int]]:
-        out, pos = [], 0
-        for id0, n in self.segments:
-            out.append((pos, id0, n))
-            pos += n
-        return out
-
-    def snapshot(self) -> Epoch:
-        return Epoch(self.positioned(), self.n_rows, list(self.col_keys))
+        """Segments as (position, first id, length), neighbours that continue
+        one another as one."""
+        ids, lengths = self._ids, self._lengths
+        if not len(ids):
+            return []
+        new = np.ones(len(ids), bool)
+        new[1:] = ids[1:] != ids[:-1] + lengths[:-1]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(lengths, first)
+        starts = np.cumsum(total) - total
+        return list(zip(starts.tolist(), ids[first].tolist(), total.tolist()))
 
     def _split(self, pos: int) -> int:
         """Split so a segment starts at ``pos``; return that segment's index."""
-        at = 0
-        for i, (id0, n) in enumerate(self.segments):
-            if pos == at:
-                return i
-            if at < pos < at + n:
-                k = pos - at
-                self.segments[i:i + 1] = [(id0, k), (id0 + k, n - k)]
-                return i + 1
-            at += n
-        return len(self.segments)
-
-    def _merge(self) -> None:
-        merged: list[tuple[int, int]] = []
-        for id0, n in self.segments:
-            if n == 0:
-                continue
-            if merged and merged[-1][0] + merged[-1][1] == id0:
-                merged[-1] = (merged[-1][0], merged[-1][1] + n)
-            else:
-                merged.append((id0, n))
-        self.segments = merged
+        ends = np.cumsum(self._lengths)
+        i = int(np.searchsorted(ends, pos, side="right"))
+        if i == len(ends):
+            return i
+        cut = pos - int(ends[i] - self._lengths[i])
+        if cut == 0:
+            return i
+        self._ids = np.insert(self._ids, i + 1, self._ids[i] + cut)
+        self._lengths = np.insert(self._lengths, i + 1, self._lengths[i] - cut)
+        self._lengths[i] = cut
+        return i + 1
 
     # -- edits ----------------------------------------------------------
-    def insert_rows(self, index, amount=1) -> None:
+    def insert_rows(self, index, amount=1, seq=0) -> None:
         if index is None or index < 0 or amount is None or amount < 0:
             raise EditError(f"row insert needs index >= 0 and amount >= 0, got {index}, {amount}")
-        i = self._split(min(index, self.n_rows))
-        self.segments.insert(i, (self.next_id, amount))
+        index = min(index, self.n_rows)
+        if amount:
+            i = self._split(index)
+            self._ids = np.insert(self._ids, i, self.next_id)
+            self._lengths = np.insert(self._lengths, i, amount)
+            self.row_edits.append((seq, True, index, amount, self.next_id))
         self.next_id += amount
-        self._merge()
+        self.n_rows += amount
 
-    def remove_rows(self, index, amount=1) -> None:
+    def remove_rows(self, index, amount=1, seq=0) -> None:
         if index is None or index < 0 or amount is None or amount < 0 or index + amount > self.n_rows:
             raise EditError(f"row remove [{index}, {index}+{amount}) outside 0..{self.n_rows}")
-        i = self._split(index)
-        j = self._split(index + amount)
-        del self.segments[i:j]
-        self._merge()
+        if amount:
+            i = self._split(index)
+            gone = slice(i, self._split(index + amount))
+            self._ids, self._lengths = np.delete(self._ids, gone), np.delete(self._lengths, gone)
+            self.row_edits.append((seq, False, index, amount, 0))
+        self.n_rows -= amount
 
     def new_column_name(self) -> str:
         """Smallest i >= 1 with 'New Column i' unused."""
@@ -121,33 +115,37 @@ class PieceTable:
             i += 1
         return f"{NEW_COLUMN} {i}"
 
-    def insert_cols(self, index, amount=1) -> None:
+    def insert_cols(self, index, amount=1, seq=0) -> None:
         if index is None or amount is None or amount < 0 or not 0 <= index <= len(self.col_keys):
             raise EditError(f"column insert at {index} outside 0..{len(self.col_keys)}")
-        for _ in range(amount):
+        for _ in range(amount):  # each at the same index, so the last one comes first
             key = len(self.col_names)
             self.col_names[key] = self.new_column_name()
             self.col_keys.insert(index, key)
+            self.col_edits.append((seq, True, index, 1, key))
 
-    def remove_cols(self, index, amount=1) -> None:
+    def remove_cols(self, index, amount=1, seq=0) -> None:
         if index is None or index < 0 or amount is None or amount < 0:
             raise EditError(f"column remove needs index >= 0, got {index}")
-        del self.col_keys[index:index + amount]  # clipped, as a slice
+        gone = len(self.col_keys[index:index + amount])  # clipped, as a slice
+        del self.col_keys[index:index + amount]
+        if gone:
+            self.col_edits.append((seq, False, index, gone, 0))
 
     def apply(self, edit: dict) -> None:
         kind, action = edit.get("type"), edit.get("action")
-        index, amount = edit.get("index"), edit.get("amount", 1)
+        index, amount, seq = edit.get("index"), edit.get("amount", 1), edit.get("seq", 0)
         if kind == "row" and action == "create":
-            self.insert_rows(index, amount)
+            self.insert_rows(index, amount, seq)
         elif kind == "row" and action == "remove":
-            self.remove_rows(index, amount)
+            self.remove_rows(index, amount, seq)
         elif kind == "col" and action == "create":
-            self.insert_cols(index, amount)
+            self.insert_cols(index, amount, seq)
         elif kind == "col" and action == "remove":
-            self.remove_cols(index, amount)
+            self.remove_cols(index, amount, seq)
         else:
             raise EditError(f"unknown edit {edit!r}")
-        self.epochs.append(self.snapshot())
+        self.sizes.append((seq, self.n_rows, len(self.col_keys)))
 
 
 def compile_edits(n_rows: int, columns: list[str], edits: list[dict]) -> PieceTable:
@@ -158,51 +156,74 @@ def compile_edits(n_rows: int, columns: list[str], edits: list[dict]) -> PieceTa
     return pt
 
 
+# -- places of cell edits, on executors --------------------------------------
+def _literal(rows: list[tuple], schema: str) -> Column:
+    """A constant array of structs, as one literal: linear in ``rows``."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))
+
+
+def stable_place(place: Column, seq: Column, edits: list[tuple[int, bool, int, int, int]]) -> Column:
+    """The stable id at ``place`` of the sheet as it was before the edit ``seq``:
+    earlier structural edits are undone, latest first.  One step for each edit."""
+    start = F.struct(place.cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("id"))
+    if not edits:
+        return place.cast("bigint")
+    steps = _literal(edits[::-1], "s bigint, grown boolean, i bigint, n bigint, id bigint")
+
+    def moved(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.lit(None).cast("bigint").alias("id"))
+
+    def undo(at: Column, e: Column) -> Column:
+        p = at["p"]
+        inside = F.struct(p.alias("p"), (e["id"] + p - e["i"]).alias("id"))
+        return (F.when(at["id"].isNotNull() | (e["s"] >= seq) | (p < e["i"]), at)
+                .when(~e["grown"], moved(p + e["n"]))
+                .when(p < e["i"] + e["n"], inside).otherwise(moved(p - e["n"])))
+
+    return F.aggregate(steps, start, undo, lambda at: F.coalesce(at["id"], at["p"]))
+
+
+def size_before(seq: Column, pt: PieceTable, n_cols: int) -> tuple[Column, Column]:
+    """Rows and columns of the sheet before the edit ``seq``."""
+    first = F.struct(F.lit(pt.n_source_rows).cast("bigint").alias("r"), F.lit(n_cols).cast("bigint").alias("c"))
+    if not pt.sizes:
+        return first["r"], first["c"]
+    steps = _literal(pt.sizes, "s bigint, r bigint, c bigint")
+    at = F.aggregate(steps, first, lambda a, e: F.when(e["s"] < seq, F.struct(e["r"].alias("r"), e["c"].alias("c"))).otherwise(a))
+    return at["r"], at["c"]
+
+
 # -- applying segment maps on executors -----------------------------------
 _CASE_LIMIT = 64
 
 
-def map_by_segments(
-    df: DataFrame,
-    key: Column,
-    segments: list[tuple[int, int, int, int]],
-    out: str,
-    how: str = "inner",
-) -> DataFrame:
+def map_by_segments(df: DataFrame, key: Column, segments: list[tuple[int, int, int]], out: str) -> DataFrame:
     """Add ``out = to_start + (key - from_start)`` for the segment
-    ``(group, from_start, length, to_start)`` containing ``key`` (and whose
-    group equals the ``__grp`` column when groups are used).  Rows in no
-    segment are dropped (``inner``) or get null (``left``).
+    ``(from_start, length, to_start)`` containing ``key``; rows in no segment
+    are dropped.
 
     Few segments: one CASE expression (no join, stays in codegen).  Many:
-    segments are cut into buckets of the key space and broadcast-joined on
-    (group, bucket) with a range residual; the segment table is driver-built
-    from the edit list, so its size is bounded by the number of edits."""
-    grouped = "__grp" in df.columns
+    segments are cut into buckets of the key space and broadcast-joined on the
+    bucket with a range residual; the segment table has a few rows for each
+    structural edit, so its size is bounded by the edit list."""
+    segments = [s for s in segments if s[1] > 0]
     if len(segments) <= _CASE_LIMIT:
-        expr = None
-        for g, f0, n, t0 in segments:
-            cond = (key >= F.lit(f0)) & (key < F.lit(f0 + n))
-            if grouped:
-                cond = cond & (F.col("__grp") == F.lit(g))
-            val = F.lit(t0) + (key - F.lit(f0))
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        mapped = df.withColumn(out, expr if expr is not None else F.lit(None).cast("bigint"))
-        return mapped.where(F.col(out).isNotNull()) if how == "inner" else mapped
-    spark = df.sparkSession
-    covered = sum(n for _, _, n, _ in segments if n > 0)
+        expr = F.lit(None).cast("bigint")
+        for f0, n, t0 in segments:
+            expr = F.when((key >= F.lit(f0)) & (key < F.lit(f0 + n)), F.lit(t0) + (key - F.lit(f0))).otherwise(expr)
+        return df.withColumn(out, expr).where(F.col(out).isNotNull())
+    covered = sum(n for _, n, _ in segments)
     # Bucket rows ~ covered / width + segments: keep them near 5x segments.
     width = max(1, math.ceil(covered / (4 * len(segments))))
-    seg_rows = [(g, f0, n, t0) for g, f0, n, t0 in segments if n > 0]
-    seg_df = spark.createDataFrame(seg_rows, "__sg BIGINT, __f0 BIGINT, __n BIGINT, __t0 BIGINT", verifySchema=False)
+    seg_df = df.sparkSession.createDataFrame(segments, "__f0 BIGINT, __n BIGINT, __t0 BIGINT", verifySchema=False)
     first_b = F.floor(F.col("__f0") / F.lit(width)).cast("bigint")
     last_b = F.floor((F.col("__f0") + F.col("__n") - 1) / F.lit(width)).cast("bigint")
     seg_df = seg_df.withColumn("__sb", F.explode(F.sequence(first_b, last_b)))
-    staged = df.withColumn("__key", key).withColumn("__kb", F.floor(F.col("__key") / F.lit(width)).cast("bigint"))
-    cond = (staged["__kb"] == seg_df["__sb"]) & (staged["__key"] >= seg_df["__f0"]) & (
-        staged["__key"] < seg_df["__f0"] + seg_df["__n"])
-    if grouped:
-        cond = cond & (staged["__grp"] == seg_df["__sg"])
-    joined = staged.join(F.broadcast(seg_df), cond, how)
+    keyed = df.withColumn("__key", key).withColumn("__kb", F.floor(F.col("__key") / F.lit(width)).cast("bigint"))
+    cond = (keyed["__kb"] == seg_df["__sb"]) & (keyed["__key"] >= seg_df["__f0"]) & (
+        keyed["__key"] < seg_df["__f0"] + seg_df["__n"])
+    joined = keyed.join(F.broadcast(seg_df), cond)
     return joined.withColumn(out, F.col("__t0") + (F.col("__key") - F.col("__f0"))).drop(
-        "__key", "__kb", "__sg", "__sb", "__f0", "__n", "__t0")
+        "__key", "__kb", "__sb", "__f0", "__n", "__t0")

@@ -158,3 +158,23 @@ def test_derived_and_misc(spark, sheet_of):
     assert ed.error_column(s, "boom").df.first()["ERROR"] == "Failed to process command: boom"
     assert ed.append_row(s).df.orderBy("_row").collect()[-1]["_row"] == 2
     assert ed.drop_cols_by_letters(s, ["A"]).columns == ["b"]
+
+
+def test_many_structural_edits_compile_fast_and_stay_linear():
+    import time
+
+    t0 = time.time()
+    pt = compile_edits(10**9, ["a"], [{"type": "row", "action": "create", "index": 3 * i, "amount": 1, "seq": i} for i in range(3000)])
+    assert time.time() - t0 < 1 and len(pt.row_edits) == 3000 and len(pt.positioned()) <= 6001
+
+
+def test_skipped_edits_do_not_widen(spark, sheet_of):
+    s = sheet_of([(1.0, 5), (None, 6)], "d double, k long")
+    cells = lambda rows: spark.createDataFrame(rows, "seq long, row long, col long, new_value string")
+    got = ed.update_cells(s, cells([(1, 1, 0, ""), (2, 0, 1, "7")]))
+    assert dict(got.sheet.df.dtypes)["d"] == "double" and [r.seq for r in got.touched.collect()] == [2]
+    got = ed.update_cells(s, cells([(1, 0, 0, "2d"), (2, 0, 1, "9007199254740993")]))
+    assert got.sheet.df.orderBy("_row").first().asDict() == {"_row": 0, "d": "2d", "k": 9007199254740993}
+    got = ed.update_cells(s, cells([(1, 0, 0, None), (2, 0, 0, ""), (3, 1, 0, "2.5"), (4, 1, 0, "")]))
+    assert dict(got.sheet.df.dtypes)["d"] == "string"  # the last edit empties a cell that has a value
+    assert [r.d for r in got.sheet.df.orderBy("_row").collect()] == [None, ""]

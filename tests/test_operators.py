@@ -15,6 +15,40 @@ def test_diff_rules(spark, sheet_of):
     assert got == [(0, 1), (0, 2), (1, 2)]
 
 
+def test_diff_is_exact(spark, sheet_of):
+    big = 9007199254740992
+    one = lambda v, t: sheet_of([(v,)], f"x {t}")
+    pairs = [(big, "long", big + 1, "long", 1), (big, "long", float(big), "double", 0), (big + 1, "long", float(big), "double", 1),
+             (2, "long", 2.5, "double", 1), (3, "long", 3.0, "double", 0), (True, "boolean", 1, "long", 0),
+             (5, "long", float("inf"), "double", 1), (2**63 - 1, "long", float(2**63), "double", 1)]
+    for a, ta, b, tb, n in pairs:
+        assert diff.modified_cells(one(a, ta), one(b, tb)).count() == n, (a, b)
+
+
+def test_names_with_dots_and_backticks(spark, sheet_of):
+    s = sheet_of([("k", "v"), ("1", "a"), (None, None), ("K", "V"), ("2", "b")], "x string, y string")
+    s = Sheet(s.df.toDF("_row", "a.1", "b`c"))
+    assert clean.drop_blank_rows(s).columns == ["a.1", "b`c"]
+    assert s.reindexed().columns == ["a.1", "b`c"]
+    n = Sheet(s.df.selectExpr("_row", "_row as `a.1`", "_row as `b``c`"))
+    from gridframe.operators import edits
+
+    assert [r["s"] for r in edits.derived_sum(n, "a.1", "B", "s").df.orderBy("_row").collect()] == [0, 2, 4, 6, 8]
+    assert "a.1" in profile.profile_document(s).first()[0]
+    assert profile.sample_values(s).count() == 6 and address.cell_listing(s).count() == 2 + 5 + 10
+    assert conform.split_stacked(s).columns[-2:] == ["a.1", "b`c"]
+
+
+def test_decimal_profile_and_falsy_previews(spark, sheet_of):
+    from decimal import Decimal
+
+    s = sheet_of([(Decimal("1.00"), 0, False, 0.0), (Decimal("2.50"), 7, True, 1.5)],
+                 "m decimal(10,2), i int, b boolean, d double")
+    assert {r.name: r.type for r in profile.column_types_df(s).collect()} == {"m": "float", "i": "integer", "b": "integer", "d": "float"}
+    cells = {r.text: r.description for r in address.cell_listing(s).where("kind = 2").collect()}
+    assert [cells[x] for x in ("B1", "C1", "D1", "B2", "C2")] == ["Cell B1", "Cell C1", "Cell D1", "Cell B2: 7", "Cell C2: true"]
+
+
 def test_blank_rows_cols_and_examples(spark, sheet_of):
     s = sheet_of([("a", None, None), ("  ", None, None), (None, None, None), ("327-049224", "x y", None)],
                  "p string, q string, r string")
