@@ -57,22 +57,29 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (nulls as empty) and its row offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.string())
     _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(offsets, width)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def row_chunks(bounds: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``max_bytes`` each; a longer row makes its own range."""
+def row_chunks(
+    bounds: np.ndarray, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 16
+) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``max_bytes`` and at most ``max_rows`` each; a longer
+    row makes its own range."""
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = int(np.searchsorted(bounds, bounds[lo] + max_bytes, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + max_rows, n)
         yield lo, hi
         lo = hi
 

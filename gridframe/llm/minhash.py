@@ -38,7 +38,9 @@ from gridframe.llm.common import (
 from gridframe.llm.components import components
 
 BANDS, ROWS = 40, 5
-_CHUNK = 1 << 21
+#: Bytes and rows of text that are sketched at once; a row's sketch has BANDS * ROWS values.
+_CHUNK = 1 << 19
+_CHUNK_ROWS = 512
 
 
 def distinct_shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffer(batch.column("text"))
-            for lo, hi in row_chunks(bounds, _CHUNK):
+            for lo, hi in row_chunks(bounds, _CHUNK, _CHUNK_ROWS):
                 part = bounds[lo : hi + 1]
                 h, edge = distinct_shingles(data[part[0] : part[-1]], part - part[0], k)
                 size = np.diff(edge)
@@ -139,7 +141,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffer(batch.column("text"))
-            for lo, hi in row_chunks(bounds, _CHUNK):
+            for lo, hi in row_chunks(bounds, _CHUNK, _CHUNK_ROWS):
                 part = bounds[lo : hi + 1]
                 h, edge = distinct_shingles(data[part[0] : part[-1]], part - part[0], k)
                 held = [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
