@@ -32,14 +32,12 @@ def run(df) -> None:
 
 
 def main() -> None:
-    os.environ.setdefault("GRIDFRAME_MASTER", f"local[{CPUS}]")
-    os.environ.setdefault("GRIDFRAME_SHUFFLE_PARTITIONS", CPUS)
     from gridframe import fixtures as fx
     from gridframe.operators import clean, diff, edits, history, logs, profile
     from gridframe.session import get_spark
     from gridframe.sheet import Sheet
 
-    spark = get_spark()
+    spark = get_spark(f"local[{CPUS}]", int(CPUS))
     times: dict[str, float] = {}
 
     def timed(name, fn):
@@ -93,8 +91,20 @@ def main() -> None:
         run(res.touched)
     timed("mixed_batch", mixed)
 
+    # 3b. all events as cell edits between 3,000 structural edits
+    def all_edits():
+        structural = [{"seq": 33 * i, "type": "row", "action": "create" if i % 2 else "remove",
+                       "index": (i * 7919) % 100_000, "amount": 1} for i in range(3000)]
+        ev = fx.table(spark, SF_DIR, "events")
+        cells = ev.select(F.col("event_id").alias("seq"), (F.col("event_id") * 13 % n_orders).alias("row"),
+                          (F.col("event_id") % 6).cast("int").alias("col"), F.col("event_type").alias("new_value"))
+        res = edits.apply_batch(orders, structural, cells)
+        run(res.sheet.df)
+        run(res.touched)
+    timed("mixed_batch_all_events", all_edits)
+
     # 4. schema profile of lineitem (types, samples, counts)
-    lsheet = Sheet(li.withColumn("_row", F.monotonically_increasing_id()))
+    lsheet = Sheet.from_df(li)  # in file order
 
     def prof():
         run(profile.column_types_df(lsheet))

@@ -111,6 +111,9 @@ STRUCTURAL_BATCH = [
 ]
 
 
+BIG = 1 << 60
+
+
 def changed_customer(spark: SparkSession, sf_dir: str) -> Sheet:
     """Next version of the customer sheet: c_nationkey dropped, flag added,
     c_name changed if key % 13 = 0, c_acctbal nulled if key % 17 = 0,
@@ -121,15 +124,22 @@ def changed_customer(spark: SparkSession, sf_dir: str) -> Sheet:
         "_row", k.cast("double").alias("c_custkey"),
         F.when(k % 13 == 0, F.concat(F.col("c_name"), F.lit("*"))).otherwise(F.col("c_name")).alias("c_name"),
         F.when(k % 17 != 0, F.col("c_acctbal")).alias("c_acctbal"),
-        "c_mktsegment", (k % 2).cast("int").alias("flag"))
+        "c_mktsegment", (k % 2).cast("int").alias("flag"),
+        (F.lit(BIG) + k + (k % 19 == 0).cast("int")).alias("big"))
     return Sheet(df)
 
 
+def big_customer_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
+    """The customer sheet with integers that no floating value can tell apart."""
+    s = customer_sheet(spark, sf_dir)
+    return Sheet(s.df.withColumn("big", F.lit(BIG) + F.col("c_custkey")), s.n_rows)
+
+
 CHANGED_CUSTOMER_SQL = f"""
 SELECT _row, CAST(c_custkey AS DOUBLE) AS c_custkey,
   CASE WHEN c_custkey % 13 = 0 THEN c_name || '*' ELSE c_name END AS c_name,
   CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment,
-  CAST(c_custkey % 2 AS INTEGER) AS flag
+  CAST(c_custkey % 2 AS INTEGER) AS flag, {BIG} + c_custkey + CAST(c_custkey % 19 = 0 AS INTEGER) AS big
 FROM ({CUSTOMER_SHEET_SQL}) s WHERE _row < (SELECT count(*) FROM customer) - 10"""
 
 
@@ -157,57 +167,61 @@ TYPED_PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_reta
                    "maybe_even", "size_d", "nothing", "seen", "code"]
 
 
-def nation_text(spark: SparkSession, sf_dir: str) -> Sheet:
-    """Nation as a raw text sheet: header row, then rows as text (c0, c1, c2)."""
-    n = table(spark, sf_dir, "nation")
-    head = spark.range(1).select(F.lit(-1).alias("k"), F.lit("n_nationkey").alias("c0"),
-                                 F.lit("n_name").alias("c1"), F.lit("n_regionkey").alias("c2"))
-    body = n.select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("string").alias("c0"),
-                    F.col("n_name").alias("c1"), F.col("n_regionkey").cast("string").alias("c2"))
+CUSTOMER_TEXT = ["c_custkey", "c_name", "c_nationkey"]
+
+
+def customer_text(spark: SparkSession, sf_dir: str) -> Sheet:
+    """Customer as a raw text sheet: header row, then rows as text (c0, c1, c2)."""
+    n = table(spark, sf_dir, "customer")
+    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("k"),
+                                 *[F.lit(c).alias(f"c{i}") for i, c in enumerate(CUSTOMER_TEXT)])
+    body = n.select(F.col("c_custkey").cast("bigint").alias("k"),
+                    *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(CUSTOMER_TEXT)])
     s = Sheet.from_df(head.unionByName(body), [F.col("k")])
     return Sheet(s.df.drop("k"))
 
 
+# Stacked tables: a third of all orders lie in one table, the others in tables by
+# customer; the headers vary in case and order, and blank rows lie between.
+STACK_TABLES = 60
+STACK_HEADERS = [["o_orderkey", "o_orderstatus", "o_totalprice"], ["O_ORDERKEY", "o orderstatus", "O-TotalPrice"],
+                 ["o_totalprice", "o_orderkey", "o_orderstatus"]]
+STACK_PART_SQL = f"CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % {STACK_TABLES - 1} END"
+
+
 def text_stack(spark: SparkSession, sf_dir: str) -> Sheet:
-    """Stacked tables in one text sheet: header + nation, blank row,
-    header + region, blank row, header + nation again."""
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-
-    def block(part, head, body_df, key, cols):
-        h = spark.range(1).select(F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("k"),
-                                  *[F.lit(x).alias(f"c{i}") for i, x in enumerate(head)],
-                                  *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(head), 3)])
-        b = body_df.select(F.lit(part).alias("part"), F.col(key).cast("bigint").alias("k"),
-                           *[F.col(x).cast("string").alias(f"c{i}") for i, x in enumerate(cols)],
-                           *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(cols), 3)])
-        return h.unionByName(b)
-
-    def gap(part):
-        return spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("k"),
-                                     *[F.lit(None).cast("string").alias(f"c{i}") for i in range(3)])
-
-    ncols = ["n_nationkey", "n_name", "n_regionkey"]
-    parts = [block(0, ncols, n, "n_nationkey", ncols), gap(1),
-             block(2, ["r_regionkey", "r_name"], r, "r_regionkey", ["r_regionkey", "r_name"]), gap(3),
-             block(4, ncols, n, "n_nationkey", ncols)]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    s = Sheet.from_df(df, [F.col("part"), F.col("k")])
+    """Orders as stacked tables in one text sheet: for each table a header, its
+    rows and a blank row."""
+    o = table(spark, sf_dir, "orders")
+    part = F.expr(STACK_PART_SQL).cast("bigint")
+    cols = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("string")]
+    third = part % 3 == 2
+    cells = [F.when(third, cols[[2, 0, 1][i]]).otherwise(c).alias(f"c{i}") for i, c in enumerate(cols)]
+    body = o.select(part.alias("part"), F.col("o_orderkey").cast("bigint").alias("k"), *cells)
+    tables = spark.range(STACK_TABLES)
+    names = F.get(F.array(*[F.array(*[F.lit(x) for x in h]) for h in STACK_HEADERS]), (F.col("id") % 3).cast("int"))
+    heads = tables.select(F.col("id").alias("part"), F.lit(-1).cast("bigint").alias("k"),
+                          *[names[i].alias(f"c{i}") for i in range(3)])
+    gaps = tables.select(F.col("id").alias("part"), F.lit((1 << 63) - 1).alias("k"),
+                         *[F.lit(None).cast("string").alias(f"c{i}") for i in range(3)])
+    s = Sheet.from_df(heads.unionByName(body).unionByName(gaps), [F.col("part"), F.col("k")])
     return Sheet(s.df.drop("part", "k"))
 
 
-TEXT_STACK_SQL = """
+def _text_stack_sql() -> str:
+    heads = ", ".join("[" + ", ".join(f"'{x}'" for x in h) + "]" for h in STACK_HEADERS)
+    return f"""
 SELECT row_number() OVER (ORDER BY part, k) - 1 AS _row, c0, c1, c2 FROM (
-  SELECT 0 AS part, -1 AS k, 'n_nationkey' AS c0, 'n_name' AS c1, 'n_regionkey' AS c2
-  UNION ALL SELECT 0, n_nationkey, CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation
-  UNION ALL SELECT 1, 0, NULL, NULL, NULL
-  UNION ALL SELECT 2, -1, 'r_regionkey', 'r_name', NULL
-  UNION ALL SELECT 2, r_regionkey, CAST(r_regionkey AS VARCHAR), r_name, NULL FROM region
-  UNION ALL SELECT 3, 0, NULL, NULL, NULL
-  UNION ALL SELECT 4, -1, 'n_nationkey', 'n_name', 'n_regionkey'
-  UNION ALL SELECT 4, n_nationkey, CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation)"""
+  SELECT i AS part, -1 AS k, [{heads}][i % 3 + 1][1] AS c0, [{heads}][i % 3 + 1][2] AS c1, [{heads}][i % 3 + 1][3] AS c2
+    FROM range({STACK_TABLES}) r(i)
+  UNION ALL SELECT i, 9223372036854775807, NULL, NULL, NULL FROM range({STACK_TABLES}) r(i)
+  UNION ALL SELECT p, o_orderkey, CASE WHEN p % 3 = 2 THEN t ELSE ok END, CASE WHEN p % 3 = 2 THEN ok ELSE o_orderstatus END,
+    CASE WHEN p % 3 = 2 THEN o_orderstatus ELSE t END
+    FROM (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey AS VARCHAR) AS ok, CAST(o_totalprice AS VARCHAR) AS t,
+          {STACK_PART_SQL} AS p FROM orders))"""
+
+
+TEXT_STACK_SQL = _text_stack_sql()
 
 
 # -- file listing from documents -------------------------------------------------

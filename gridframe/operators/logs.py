@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.text import code_block, strip
-from gridframe.plans.running import carry_last
+from gridframe.session import cut_lineage
 
 # Fixed values of the spec: predefined prompts (never deletable), listed first.
 PREDEFINED_PROMPTS = ["Remove row", "Remove column", "Add row", "Add column"]
@@ -82,19 +82,38 @@ def sessionize(accesses: DataFrame, timeout_s: int = SESSION_TIMEOUT_S) -> DataF
     """A session ends once idle time exceeds ``timeout_s`` (strictly);
     accesses exactly ``timeout_s`` apart stay in one session.
 
-    The previous access of each user comes from the bucketed carry scan, and
-    each access's session start is carried the same way, so a user holding a
-    third of all accesses is spread over time buckets; sessions are then
-    plain aggregates (partial aggregation before the shuffle)."""
-    a = accesses.select("session_id", "ts").withColumn("__t", _micros(F.col("ts")))
-    width = 24 * 3600 * 1_000_000  # one day of microseconds per bucket: bounds a hot user per task
-    a = carry_last(a, ["session_id"], "__t", F.col("__t"), F.lit(True), "__p", width)
+    Accesses are range-partitioned by (user, time), so one user with a third of
+    all accesses, even on one day, spans many partitions of equal size.  Each
+    is scanned on its own; one boundary row for each partition carries the last
+    access and the start of its session into the next."""
+    a = accesses.select("session_id", "ts", _micros(F.col("ts")).alias("__t"))
+    spread = a.repartitionByRange("session_id", "__t").withColumn("__p", F.spark_partition_id())
+    spread = cut_lineage(spread)  # range bounds come from sampling; fix them
+    within = Window.partitionBy("__p", "session_id").orderBy("__t")
+    by_part = Window.orderBy("__p")  # over one row for each partition
+
+    def same(boundary: str) -> Column:
+        return F.col(f"{boundary}.session_id").eqNullSafe(F.col("session_id")) & F.col(boundary).isNotNull()
+
+    tails = spread.groupBy("__p").agg(F.max(F.struct("session_id", "__t")).alias("__tail"))
+    before = tails.select("__p", "__tail", F.lag("__tail").over(by_part).alias("__before"))
+    rows = spread.join(F.broadcast(before), "__p")
+    last = F.coalesce(F.lag("__t").over(within), F.when(same("__before"), F.col("__before.__t")))
+    rows = rows.withColumn("__last", last)
     # Ties (same instant) keep one session: only a gap > timeout starts one.
-    starts = F.col("__p").isNull() | ((F.col("__t") - F.col("__p.v")) > timeout_s * 1_000_000)
-    a = a.withColumn("__s", starts)
-    a = carry_last(a, ["session_id"], "__t", F.col("__t"), F.col("__s"), "__sc", width)
-    a = a.withColumn("__start", F.when(F.col("__s"), F.col("__t")).otherwise(F.col("__sc.v")))
-    g = a.groupBy("session_id", "__start").agg(
+    starts = F.col("__last").isNull() | ((F.col("__t") - F.col("__last")) > timeout_s * 1_000_000)
+    rows = cut_lineage(rows.withColumn("__s", starts))
+
+    # The latest session start of each partition's last user, up to that partition.
+    own = rows.where(same("__tail")).groupBy("__p").agg(
+        F.first("__tail").alias("__tail"), F.max(F.when(F.col("__s"), F.col("__t"))).alias("__start"))
+    so_far = Window.partitionBy("__tail.session_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.select("__p", F.struct(F.col("__tail.session_id"), F.last("__start", True).over(so_far).alias("__t")).alias("__o"))
+    carried = own.select("__p", F.lag("__o").over(by_part).alias("__open"))
+    in_part = F.last(F.when(F.col("__s"), F.col("__t")), True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    done = rows.join(F.broadcast(carried), "__p").withColumn(
+        "__start", F.coalesce(in_part, F.when(same("__open"), F.col("__open.__t"))))
+    g = done.groupBy("session_id", "__start").agg(
         F.min("ts").alias("session_start"), F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("accesses"))
     return g.select("session_id", "session_start", "last_access", "accesses")
 

@@ -117,6 +117,73 @@ def profile_document(sheet: Sheet) -> DataFrame:
             "sample_data", "row_count", "column_count"))).alias("profile"))
 
 
+def profile_documents(df: DataFrame, sheet_key: str, order_key: str, k: int = 3, rows: int = 5) -> DataFrame:
+    """P5 for many sheets at once: (sheet_key, profile), the JSON document of
+    each sheet (columns with type and first ``k`` values, first ``rows`` rows,
+    counts).
+
+    Types and counts are one partial aggregate by sheet; the first values and
+    rows are top-k windows, of which Spark keeps k rows for each group and task
+    before the shuffle (WindowGroupLimit), so a hot sheet is not collected."""
+    t = dict(df.dtypes)
+    cols = [c for c in df.columns if c not in (sheet_key, order_key)]
+    key = qc(sheet_key).alias("__sheet")
+    aggs = [F.count(F.lit(1)).alias("row_count")]
+    for i, c in enumerate(cols):
+        aggs.append(F.count(F.when(~blank_value(c, t[c]), 1)).alias(f"n{i}"))
+        if t[c] in ("double", "float") or t[c].startswith("decimal"):
+            aggs.append(F.bool_and(F.when(~blank_value(c, t[c]), (qc(c) % 1) == 0)).alias(f"i{i}"))
+    counts = df.groupBy(key).agg(*aggs)
+
+    def kind(i: int, c: str):
+        if t[c] in _INT:
+            k_ = F.lit("integer")
+        elif t[c] == "boolean":
+            k_ = F.when(F.col(f"n{i}") == F.col("row_count"), "integer").otherwise("string")
+        elif t[c] in ("double", "float") or t[c].startswith("decimal"):
+            k_ = F.when(F.col(f"i{i}"), "integer").otherwise("float")
+        else:
+            k_ = F.lit("datetime" if t[c].startswith("timestamp") or t[c] == "date" else "string")
+        return F.when(F.col(f"n{i}") == 0, "unknown").otherwise(k_)
+
+    text = [x for i, c in enumerate(cols) for x in (F.lit(i), F.when(~blank_value(c, t[c]), (
+        F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss") if t[c].startswith("timestamp") else qc(c).cast("string"))))]
+    cells = df.select(key, qc(order_key).alias("__at"), F.stack(F.lit(len(cols)), *text).alias("position", "value"))
+    w = Window.partitionBy("__sheet", "position").orderBy("__at")
+    top = cells.where(F.col("value").isNotNull()).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k)
+    # At most k values for each sheet and column.
+    samples = top.groupBy("__sheet").agg(F.collect_list(F.struct("position", "__n", "value")).alias("__v"))
+    first = df.select(key, qc(order_key).alias("__at"), F.struct(*[qc(c) for c in cols]).alias("__r"))
+    first = first.withColumn("__n", F.row_number().over(Window.partitionBy("__sheet").orderBy("__at"))).where(F.col("__n") <= rows)
+    first = first.groupBy("__sheet").agg(F.array_sort(F.collect_list(F.struct("__n", "__r"))).alias("__rows"))
+    joined = counts.join(samples, "__sheet", "left").join(first, "__sheet")
+    empty = F.array().cast(samples.schema["__v"].dataType)
+    values = F.array_sort(F.coalesce("__v", empty))
+
+    def samples_of(i: int):
+        return F.transform(F.filter(values, lambda v: v["position"] == i), lambda v: v["value"])
+
+    columns = F.array(*[
+        F.struct(F.lit(c).alias("name"), kind(i, c).alias("type"), samples_of(i).alias("sample_values"))
+        for i, c in enumerate(cols)])
+    return joined.select(F.col("__sheet").alias(sheet_key), F.to_json(F.struct(
+        columns.alias("columns"), F.transform("__rows", lambda r: r["__r"]).alias("sample_data"),
+        "row_count", F.lit(len(cols)).alias("column_count"))).alias("profile"))
+
+
+def stored_profiles(profiles: DataFrame, sheet_key: str, seq: int) -> DataFrame:
+    """P10: the attribute writes that keep each session's target layout: its
+    profile, its target rows and its column names, as (session_id, seq, key,
+    value).  ``logs.session_attrs`` merges them: a later write overwrites."""
+    doc = F.col("profile")
+    names = F.to_json(F.transform(F.from_json(doc, "columns array<struct<name: string>>")["columns"], lambda c: c["name"]))
+    pairs = F.array(
+        F.struct(F.lit("target_profile").alias("key"), doc.alias("value")),
+        F.struct(F.lit("target_rows").alias("key"), F.get_json_object(doc, "$.sample_data").alias("value")),
+        F.struct(F.lit("target_names").alias("key"), names.alias("value")))
+    return profiles.select(qc(sheet_key).alias("session_id"), F.lit(seq).cast("bigint").alias("seq"), F.inline(pairs))
+
+
 def sheet_context(df: DataFrame, sheet_key: str, order_key: str, k: int = 5) -> DataFrame:
     """P6 for many sheets at once: per sheet, its headers, row count and first
     ``k`` records as JSON.  Top-k per group plans a WindowGroupLimit; counts

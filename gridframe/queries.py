@@ -149,38 +149,35 @@ def mixed_touched(spark, sf):
 
 
 # -- E5-E9 column operators --------------------------------------------------------
-@query("derived_sum", """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+@query("derived_sum", """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS _row, *,
   l_quantity + l_extendedprice AS total FROM lineitem""")
 def derived_sum(spark, sf):
-    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     from gridframe.sheet import Sheet
-    sheet = Sheet(li.withColumn("_row", F.lit(0).cast("bigint")))
-    return ed.derived_sum(sheet, "C", "l_extendedprice", "total").values()
+    li = fx.table(spark, sf, "lineitem")
+    sheet = Sheet.from_df(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    letter = address.index_to_letters(sheet.columns.index("l_quantity"))
+    return ed.derived_sum(sheet, letter, "l_extendedprice", "total").df
 
 
-@query("blank_template", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row,
-  CAST(NULL AS INTEGER) AS n_nationkey, CAST(NULL AS VARCHAR) AS n_name, CAST(NULL AS INTEGER) AS n_regionkey
-  FROM nation""")
+_NO_ORDERS_SQL = """SELECT _row, CAST(NULL AS BIGINT) AS o_orderkey, CAST(NULL AS BIGINT) AS o_custkey,
+  CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(NULL AS TIMESTAMP) AS o_orderdate,
+  CAST(NULL AS VARCHAR) AS o_orderpriority"""
+
+
+@query("blank_template", f"{_NO_ORDERS_SQL} FROM ({fx.ORDERS_SHEET_SQL}) s")
 def blank_template(spark, sf):
-    from gridframe.sheet import Sheet
-    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
-    return ed.blank_template(s).df
+    return ed.blank_template(fx.orders_sheet(spark, sf)).df
 
 
-@query("error_column", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, n_nationkey, n_name,
-  n_regionkey, 'Failed to process command: quota exceeded' AS "ERROR" FROM nation""")
+@query("error_column", f"""SELECT *, 'Failed to process command: quota exceeded' AS "ERROR" FROM ({fx.ORDERS_SHEET_SQL}) s""")
 def error_column(spark, sf):
-    from gridframe.sheet import Sheet
-    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
-    return ed.error_column(s, "quota exceeded").df
+    return ed.error_column(fx.orders_sheet(spark, sf), "quota exceeded").df
 
 
-@query("append_row", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row, n_nationkey, n_name,
-  n_regionkey FROM nation UNION ALL SELECT (SELECT count(*) FROM nation), NULL, NULL, NULL""")
+@query("append_row", f"""SELECT * FROM ({fx.ORDERS_SHEET_SQL}) s
+  UNION ALL {_NO_ORDERS_SQL} FROM (SELECT count(*) AS _row FROM orders)""")
 def append_row(spark, sf):
-    from gridframe.sheet import Sheet
-    s = Sheet.from_df(fx.table(spark, sf, "nation"), ["n_nationkey"])
-    return ed.append_row(s).df
+    return ed.append_row(fx.orders_sheet(spark, sf)).df
 
 
 # -- C1-C5 cleaning -------------------------------------------------------------------
@@ -235,9 +232,10 @@ SELECT n._row AS row, CAST(0 AS BIGINT) AS col FROM o JOIN n USING (_row) WHERE
 UNION ALL SELECT n._row, 1 FROM o JOIN n USING (_row) WHERE o.c_name IS DISTINCT FROM n.c_name
 UNION ALL SELECT n._row, 2 FROM o JOIN n USING (_row) WHERE o.c_acctbal IS DISTINCT FROM n.c_acctbal
 UNION ALL SELECT n._row, 3 FROM o JOIN n USING (_row) WHERE o.c_mktsegment IS DISTINCT FROM n.c_mktsegment
-UNION ALL SELECT _row, 4 FROM n""")
+UNION ALL SELECT _row, 4 FROM n
+UNION ALL SELECT _row, 5 FROM n WHERE c_custkey % 19 = 0""")
 def modified_cells(spark, sf):
-    return diff.modified_cells(fx.customer_sheet(spark, sf), fx.changed_customer(spark, sf))
+    return diff.modified_cells(fx.big_customer_sheet(spark, sf), fx.changed_customer(spark, sf))
 
 
 # -- P1-P7 profiling ---------------------------------------------------------------------
@@ -293,13 +291,68 @@ def sample_rows(spark, sf):
 
 
 @query("sheet_context", """
-SELECT n_regionkey, to_json({'headers': ['n_nationkey', 'n_name'], 'rows': count(*),
-  'sample': list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)
+SELECT c_nationkey, to_json({'headers': ['c_custkey', 'c_name', 'c_mktsegment'], 'rows': count(*),
+  'sample': list({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment} ORDER BY c_custkey)
             FILTER (WHERE rn <= 5)}) AS context
-FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation)
-GROUP BY n_regionkey""")
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)
+GROUP BY c_nationkey""")
 def sheet_context(spark, sf):
-    return prof.sheet_context(fx.table(spark, sf, "nation"), "n_regionkey", "n_nationkey")
+    c = fx.table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", "c_mktsegment")
+    return prof.sheet_context(c, "c_nationkey", "c_custkey")
+
+
+_PROFILE_KEYS = "o_custkey % 40"
+
+
+def _order_profiles(spark, sf):
+    o = fx.table(spark, sf, "orders").select(
+        F.expr(_PROFILE_KEYS).alias("sheet"), "o_orderkey", "o_orderstatus",
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return prof.profile_documents(o, "sheet", "o_orderkey")
+
+
+@query("sheet_profiles")
+def sheet_profiles(spark, sf):
+    """P5 over many sheets; null members of JSON objects are written by DuckDB
+    and left out by Spark, so the oracle compares the parsed parts."""
+    doc = _order_profiles(spark, sf)
+    parsed = F.from_json("profile", "columns array<struct<name: string, type: string, sample_values: array<string>>>, "
+                         "sample_data array<struct<o_orderstatus: string, o_orderpriority: string>>, "
+                         "row_count bigint, column_count int")
+    d = doc.select("sheet", parsed.alias("p"))
+    return d.select(
+        "sheet", F.col("p.row_count").alias("row_count"), F.col("p.column_count").alias("column_count"),
+        F.concat_ws(",", "p.columns.name").alias("names"), F.concat_ws(",", "p.columns.type").alias("types"),
+        F.concat_ws(",", F.flatten("p.columns.sample_values")).alias("samples"),
+        F.concat_ws(",", F.transform("p.sample_data", lambda r: F.coalesce(r["o_orderpriority"], F.lit("-")))).alias("rows"))
+
+
+ORACLES["sheet_profiles"] = f"""
+WITH o AS (SELECT {_PROFILE_KEYS} AS sheet, o_orderkey, o_orderstatus,
+    CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS pr FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) AS rn,
+  CASE WHEN pr IS NOT NULL THEN sum(CASE WHEN pr IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY sheet ORDER BY o_orderkey) END AS pn FROM o)
+SELECT sheet, count(*) AS row_count, 2 AS column_count, 'o_orderstatus,o_orderpriority' AS names,
+  'string,' || CASE WHEN count(pr) = 0 THEN 'unknown' ELSE 'string' END AS types,
+  concat_ws(',', string_agg(o_orderstatus, ',' ORDER BY o_orderkey) FILTER (WHERE rn <= 3),
+    string_agg(pr, ',' ORDER BY o_orderkey) FILTER (WHERE pn <= 3)) AS samples,
+  string_agg(coalesce(pr, '-'), ',' ORDER BY o_orderkey) FILTER (WHERE rn <= 5) AS rows
+FROM r GROUP BY sheet"""
+
+
+@query("target_profiles", f"""SELECT {_PROFILE_KEYS} AS session_id, 'target_names' AS key,
+  '["o_orderstatus","o_orderpriority"]' AS value FROM orders GROUP BY ALL
+UNION ALL SELECT {_PROFILE_KEYS}, 'target_rows', CAST(count(*) AS VARCHAR) FROM orders GROUP BY ALL""")
+def target_profiles(spark, sf):
+    """P10: two stores a session, the later one wins; the rows kept are counted here."""
+    new = _order_profiles(spark, sf)
+    old = new.withColumn("profile", F.lit('{"columns":[{"name":"x"}],"sample_data":[],"row_count":0}'))
+    writes = prof.stored_profiles(old, "sheet", 1).unionByName(prof.stored_profiles(new, "sheet", 2))
+    kept = logs.session_attrs(writes, new.select(F.col("sheet").alias("session_id")))
+    n = F.get_json_object("value", "$.row_count")
+    return kept.where("key <> 'target_rows'").select(
+        "session_id", F.when(F.col("key") == "target_profile", "target_rows").otherwise(F.col("key")).alias("key"),
+        F.when(F.col("key") == "target_profile", n).otherwise(F.col("value")).alias("value"))
 
 
 @query("schema_compare", """
@@ -325,13 +378,22 @@ def schema_compare(spark, sf):
 from gridframe.operators import conform as cf  # noqa: E402
 
 
-@query("header_promote", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS _row,
-  CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation""")
+_TEXT_SHEET_SQL = "row_number() OVER (ORDER BY c_custkey) - 1 AS _row, CAST(c_custkey AS VARCHAR) AS {0}, c_name AS {1}, CAST(c_nationkey AS VARCHAR) AS {2} FROM customer"
+
+
+@query("header_promote", "SELECT " + _TEXT_SHEET_SQL.format(*fx.CUSTOMER_TEXT))
 def header_promote(spark, sf):
-    s = cf.promote_header(fx.nation_text(spark, sf))
+    s = cf.promote_header(fx.customer_text(spark, sf))
     return cf.override_header(s, ["too", "few"]).df
 
 
+@query("header_override", "SELECT " + _TEXT_SHEET_SQL.format('"key.1"', '"the name"', "nation"))
+def header_override(spark, sf):
+    """E7, accepted: as many names as columns."""
+    s = cf.promote_header(fx.customer_text(spark, sf))
+    return cf.override_header(s, ["key.1", "the name", "nation"]).df
+
+
 _CUST_TARGET = [("c_custkey", "integer"), ("c_name", "string"), ("c_nationkey", "integer"),
                 ("c_acctbal", "float"), ("c_mktsegment", "string")]
 
@@ -355,7 +417,18 @@ def conform_failures(spark, sf):
     return cf.conform(_supplier_sheet(spark, sf), _CUST_TARGET, {"c_custkey": "s_suppkey"})[1]
 
 
-@query("stacked_split", f"""
+_CAST_TARGET = [("c_custkey", "integer"), ("c_name", "integer"), ("c_mktsegment", "datetime"), ("c_acctbal", "float"),
+                ("c_phone", "string")]
+
+
+@query("conform_casts", """SELECT CAST(0 AS BIGINT) AS c_custkey, count(c_name) AS c_name, count(c_mktsegment) AS c_mktsegment,
+  CAST(0 AS BIGINT) AS c_acctbal, CAST(0 AS BIGINT) AS c_phone FROM customer""")
+def conform_casts(spark, sf):
+    """P8 with values that do not cast: names as integers, segments as dates."""
+    return cf.conform(fx.customer_sheet(spark, sf), _CAST_TARGET)[1]
+
+
+_STACK_CTE = f"""
 WITH s AS ({fx.TEXT_STACK_SQL}),
 b AS (SELECT *, CAST(c0 IS NULL AND c1 IS NULL AND c2 IS NULL AS INTEGER) AS blank FROM s),
 t AS (SELECT *, sum(blank) OVER (ORDER BY _row) AS table_id FROM b),
@@ -363,13 +436,48 @@ d AS (SELECT * FROM t WHERE blank = 0),
 h AS (SELECT table_id, arg_min([c0, c1, c2], _row) AS header, min(_row) AS at FROM d GROUP BY table_id),
 k AS (SELECT *, array_to_string(list_transform(header,
         lambda x: coalesce(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), '')), '|') AS hk FROM h),
-sim AS (SELECT hk, min(table_id) AS similar_to FROM k GROUP BY hk)
-SELECT d.table_id, sim.similar_to, k.header, d._row - k.at - 1 AS _row, d.c0, d.c1, d.c2
-FROM d JOIN k USING (table_id) JOIN sim USING (hk) WHERE d._row > k.at""")
+sim AS (SELECT hk, min(table_id) AS similar_to FROM k GROUP BY hk),
+o AS (SELECT d.table_id, sim.similar_to, k.header, d._row - k.at - 1 AS _row, d.c0, d.c1, d.c2
+  FROM d JOIN k USING (table_id) JOIN sim USING (hk) WHERE d._row > k.at)"""
+
+
+@query("stacked_split", _STACK_CTE + " SELECT * FROM o")
 def stacked_split(spark, sf):
     return cf.split_stacked(fx.text_stack(spark, sf))
 
 
+@query("stacked_union", _STACK_CTE + """ SELECT table_id, _row, CAST(c0 AS BIGINT) AS o_orderkey,
+  CAST(c2 AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_comment FROM o WHERE similar_to = 0""")
+def stacked_union(spark, sf):
+    """P9, second half: tables with the first table's header, conformed and united."""
+    target = [("o_orderkey", "integer"), ("o_totalprice", "float"), ("o_comment", "string")]
+    return cf.union_similar(cf.split_stacked(fx.text_stack(spark, sf)), ["c0", "c1", "c2"], 0, target)
+
+
+@query("dotted_names", """
+WITH s AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row, c_custkey, c_nationkey, c_name FROM customer),
+k AS (SELECT * FROM s WHERE _row % 5 <> 2)
+SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, c_custkey AS a, c_nationkey AS "a.1", c_name AS "b`c",
+  c_custkey + c_nationkey AS "sum.a" FROM k""")
+def dotted_names(spark, sf):
+    """Names as a CSV with a repeated header has them, through a read, a blank-row
+    drop, a step, a sum, a profile and a split."""
+    from gridframe.operators.steps import run_step
+    from gridframe.sheet import Sheet
+    c = fx.table(spark, sf, "customer")
+    s = Sheet.from_df(c.select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("a.1"), F.col("c_name").alias("b`c")), ["a"])
+    holes = Sheet(s.df.select("_row", *[F.when(F.col("_row") % 5 != 2, F.col(q)).alias(n) for q, n in (
+        ("a", "a"), ("`a.1`", "a.1"), ("`b``c`", "b`c"))]))
+    path = csvsrc.write_csv_sheet(Sheet(holes.df.toDF("_row", "a", "a.2", "b`c")), scratch_path(spark, "dotted"))
+    read = csvsrc.read_csv_sheet(spark, path)
+    named = Sheet(read.df.toDF("_row", "a", "a.1", "b`c"), read.n_rows)
+    kept = run_step(clean.drop_blank_rows(named), lambda d: d.where(F.col("`a.1`").isNotNull() | F.col("a").isNotNull())).sheet
+    out = ed.derived_sum(kept, "a", "a.1", "sum.a")
+    if prof.profile_document(out).count() != 1 or cf.split_stacked(named).columns[-3:] != ["a", "a.1", "b`c"]:
+        raise ValueError("names changed")
+    return out.df
+
+
 # -- H1-H5 history, U1-U3 steps ------------------------------------------------------------
 from gridframe.operators import history as hist  # noqa: E402
 
@@ -801,6 +909,22 @@ def json_records(spark, sf):
     return records.from_records(recs, ["o_orderpriority", "o_totalprice", "o_comment", "o_orderdate"]).df
 
 
+@query("records_inferred", f"""SELECT _row, o_orderkey, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN NULL
+  ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey % 2 = 0 END AS late,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'x' END AS mixed
+  FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def records_inferred(spark, sf):
+    """S3 without headers: keys that only some records have, and types from all."""
+    s = fx.orders_sheet(spark, sf)
+    k = F.col("o_orderkey")
+    mixed = F.when(k % 3 == 0, F.col("o_custkey").cast("string")).otherwise('"x"')
+    body = F.to_json(F.struct("o_orderkey", "o_totalprice", F.when(k % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+                              F.when(k % 7 == 0, F.col("o_custkey") % 2 == 0).alias("late")))
+    record = F.concat(F.expr("left(record, length(record) - 1)"), F.lit(',"mixed":'), F.col("m"), F.lit("}"))
+    recs = s.df.select("_row", body.alias("record"), mixed.alias("m")).select("_row", record.alias("record"))
+    return records.from_records(recs, None).df
+
+
 def _edit_source(spark, sf):
     """Events as cell edits, in files that each hold seqs from the whole range."""
     ev = fx.table(spark, sf, "events")

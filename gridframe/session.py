@@ -1,14 +1,16 @@
-"""Session helpers: building a local session for tests and finding the
+"""Session helpers: building a session for tests and tools, and finding the
 shared folder used to cut lineage.
 
 On a cluster ``spark.checkpoint.dir`` names a shared (HDFS / object store)
-folder; we always read it from the session and only fall back to a fresh
-scratch folder when it is unset, which happens in local tests.
+folder, which is read from the session.  Checkpoints and written tables stay
+there until the cluster cleans that folder (or the session does, with
+``spark.cleaner.referenceTracking.cleanCheckpoints``).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,13 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """Local session used by tests, bench and the driver contract."""
-    master = master or os.environ.get("GRIDFRAME_MASTER", "local[8]")
-    parts = str(partitions or os.environ.get("GRIDFRAME_SHUFFLE_PARTITIONS", "8"))
-    spark = (
-        SparkSession.builder.master(master)
-        .appName("gridframe")
-        .config("spark.sql.shuffle.partitions", parts)
+    """A session for tests and tools.  ``master`` and ``partitions`` are the
+    caller's choice; without them what spark-submit was given holds."""
+    builder = (
+        SparkSession.builder.appName("gridframe")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -30,20 +29,22 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("GRIDFRAME_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
     )
+    if master is not None:
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("GRIDFRAME_DRIVER_MEMORY", "16g"))
+    if partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Read from the running context first, then from ``spark.checkpoint.dir``;
-    only when neither is set (local tests) is a fresh scratch folder made.
-    """
+    Read from the running context first, then from ``spark.checkpoint.dir``.
+    Only a local session (tests) may have none: it gets a fresh scratch folder.
+    On a cluster such a folder would be on one machine, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gridframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

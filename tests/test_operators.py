@@ -143,6 +143,48 @@ def test_sessions_strictly_over_timeout(spark):
     assert got == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_one_user_on_one_day_spans_tasks(spark):
+    import datetime as dt
+    import random
+
+    r = random.Random(3)
+    t0 = dt.datetime(2024, 5, 1)
+    times = [(7, r.randint(0, 86_399)) for _ in range(3000)] + [(u, r.randint(0, 86_399)) for u in (1, 9, 11) for _ in range(40)]
+    rows = [(u, str(t0 + dt.timedelta(seconds=s))) for u, s in times]
+    df = spark.createDataFrame(rows, "session_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        for timeout in (20, 90, 3600):
+            got = sorted((x.session_id, str(x.session_start), x.accesses) for x in logs.sessionize(df, timeout).collect())
+            want = []
+            for u, s in sorted(times):
+                if want and want[-1][0] == u and s - want[-1][2] <= timeout:
+                    want[-1][2:] = [s, want[-1][3] + 1]
+                else:
+                    want.append([u, s, s, 1])
+            assert got == sorted((u, str(t0 + dt.timedelta(seconds=a)), n) for u, a, _, n in want)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from gridframe import session
+
+    def fake(master):
+        sc = N(getCheckpointDir=lambda: None, master=master, getConf=lambda: {}, setCheckpointDir=lambda d: None)
+        return N(sparkContext=sc, conf={})
+
+    assert session.checkpoint_dir(fake("local[4]")).startswith("/tmp/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.checkpoint_dir(fake(master))
+
+
 def test_listing_and_search(spark, sheet_of):
     s = sheet_of([("alpha",), ("a very long value indeed",), ("",)], "v string")
     lst = {(r.kind, r.row): r.description for r in address.cell_listing(s).collect()}
