@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.functions.text import qc
@@ -16,14 +15,6 @@ from gridframe.plans.ordinals import ROW
 from gridframe.sheet import Sheet
 
 
-@dataclass(frozen=True)
-class Rect:
-    r1: int
-    c1: int
-    r2: int | None  # None: to the last row
-    c2: int | None  # None: to the last column
-
-
 def letters_to_index(s: str) -> int:
     if not re.fullmatch(r"[A-Za-z]+", s or ""):
         return -1
@@ -42,33 +33,13 @@ def index_to_letters(i: int) -> str:
     return out
 
 
-def parse_selection_text(text: str) -> list[Rect]:
-    """Driver-side twin of ``functions.selection.parse_selection`` for a
-    literal selection given to a positional read (schema-level decision)."""
-    parts = [p.strip() for p in text.split(",")]
-    rects = []
-    for p in parts:
-        if m := re.fullmatch(sel._CELL_RANGE[1:-1], p):
-            a = (int(m[2]) - 1, letters_to_index(m[1]))
-            b = (int(m[4]) - 1, letters_to_index(m[3]))
-            rects.append(Rect(min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1])))
-        elif m := re.fullmatch(sel._COL_RANGE[1:-1], p):
-            x, y = letters_to_index(m[1]), letters_to_index(m[2])
-            rects.append(Rect(0, min(x, y), None, max(x, y)))
-        elif m := re.fullmatch(sel._ROW_RANGE[1:-1], p):
-            x, y = int(m[1]) - 1, int(m[2]) - 1
-            rects.append(Rect(min(x, y), 0, max(x, y), None))
-        elif m := re.fullmatch(sel._CELL[1:-1], p):
-            r, c = int(m[2]) - 1, letters_to_index(m[1])
-            rects.append(Rect(r, c, r, c))
-        elif m := re.fullmatch(sel._COL[1:-1], p):
-            c = letters_to_index(m[1])
-            rects.append(Rect(0, c, None, c))
-        elif m := re.fullmatch(sel._ROW[1:-1], p):
-            r = int(m[1]) - 1
-            rects.append(Rect(r, 0, r, None))
-        else:
-            raise ValueError(f"invalid selection part: {p!r}")
+def parse_selection_text(spark: SparkSession, text: str) -> list[Row]:
+    """A literal selection as rectangles (r1, c1, r2, c2; null ends are open):
+    ``parse_selection`` evaluated on one row, because a positional read decides
+    its columns from it."""
+    rects = spark.range(1).select(sel.parse_selection(F.lit(text)).alias("r")).first()["r"]
+    if not rects:
+        raise ValueError(f"invalid selection: {text!r}")
     return rects
 
 
@@ -78,7 +49,7 @@ def read_range(sheet: Sheet, selection: str) -> DataFrame:
 
     Row bounds become a ``_row`` range filter, which reaches the scan when the
     sheet is stored sorted by ``_row``; columns are a positional projection."""
-    rects = parse_selection_text(selection)
+    rects = parse_selection_text(sheet.df.sparkSession, selection)
     cols = sheet.columns
     last_col = len(cols) - 1
     spans = []

@@ -55,11 +55,11 @@ def test_parse_selection(spark):
     got = {r.t: r.p for r in df.select("t", parse_selection("t").alias("p")).collect()}
     for t, want in CASES.items():
         assert [tuple(x) for x in got[t]] == want, t
-        assert [tuple(vars(x).values()) for x in parse_selection_text(t)] == want
+        assert [tuple(x) for x in parse_selection_text(spark, t)] == want
     for bad in ["A0", "A1,,B2", "1A", "a1:c3"]:
         assert got[bad] is None
         with pytest.raises(ValueError):
-            parse_selection_text(bad)
+            parse_selection_text(spark, bad)
 
 
 def test_bounds_and_format_roundtrip(spark):
