@@ -46,7 +46,7 @@ GRAM = 100
 PIECE = 1 << 21
 #: Segments in a shard, and digests in one merge.
 SHARD_SEGMENTS = 2048
-MERGE_DIGESTS = 1 << 19
+MERGE_DIGESTS = 1 << 16
 
 _CODES = byte_table(41, lower_ascii=False)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -260,15 +260,22 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         (F.col("parts") > 1).alias("hot"), "parts",
     )
 
+    per_shard, per_merge = SHARD_SEGMENTS, MERGE_DIGESTS
+
     def shard_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Runs of repeated windows; of hot grams also each distinct window's
-        digest and the windows that it stands for."""
+        """Runs of repeated windows; of hot grams also, for each range of
+        digests, the sorted run of its distinct windows' digests, with the places
+        of those that are open."""
         pdf = pdf.drop_duplicates(["gram", "seg"]).sort_values(["gram", "seg"], ignore_index=True)
         number, start, twice, kind = repeated_in_shard(pdf["body"].tolist(), length)
         opened = pdf["open"].to_numpy()
         some = twice & opened[number]
         n, a, b = runs_of(number[some], start[some])
-        out = [pd.DataFrame({"n": n, "lo": a, "hi": b, "digest": np.int64(0), "run": True})]
+        key, tag, lo = (pdf[c].to_numpy() for c in ("row_key", "row_tag", "lo"))
+        out = [pd.DataFrame({
+            "row_key": key[n], "row_tag": tag[n], "lo": lo[n] + a, "hi": lo[n] + b,
+            "gram": 0, "range": -1, "digests": None, "places": None,
+        })]
         if pdf["hot"].any():
             # One window of each kind speaks for it elsewhere; open ones without a twin here ask.
             left = (opened[number] & ~twice) | ~pd.Series(kind).duplicated().to_numpy()
@@ -278,21 +285,26 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 prefix = prefix_hash(_CODES[np.frombuffer(pdf["body"][i], np.uint8)])
                 mine = n == i
                 digest[mine] = span_hash(prefix, a[mine], a[mine] + length).view(np.int64)
-            out.append(pd.DataFrame({"n": n, "lo": a, "hi": a, "digest": digest, "run": False}))
-        got = pd.concat(out, ignore_index=True)
-        where = pdf.iloc[got["n"]].reset_index(drop=True)
-        return pd.DataFrame({
-            "row_key": where["row_key"], "row_tag": where["row_tag"],
-            "lo": where["lo"] + got["lo"], "hi": where["lo"] + got["hi"],
-            "digest": got["digest"], "run": got["run"], "open": where["open"],
-            "gram": where["gram"], "part": where["part"].astype(np.int64), "parts": where["parts"].astype(np.int64),
-        })
+            gram, parts = pdf["gram"].to_numpy()[n], pdf["parts"].to_numpy()[n]
+            ranges = -(-parts * per_shard * 300 // per_merge)
+            of_range = (digest >> 20) % ranges
+            order = np.lexsort((digest, of_range, gram))
+            n, a, digest, gram, of_range = (x[order] for x in (n, a, digest, gram, of_range))
+            # A window that is not open only tells that it exists.
+            places = np.stack([key[n], tag[n], np.where(opened[n], lo[n] + a, -1)], axis=1)
+            edges = np.flatnonzero((np.diff(gram, prepend=gram[:1] - 1) != 0) | (np.diff(of_range, prepend=-1) != 0))
+            bounds = list(zip(edges, np.append(edges[1:], len(gram)), strict=True))
+            out.append(pd.DataFrame({
+                "row_key": 0, "row_tag": 0, "lo": 0, "hi": 0, "gram": gram[edges], "range": of_range[edges],
+                "digests": [digest[x:y].tobytes() for x, y in bounds],
+                "places": [places[x:y].tobytes() for x, y in bounds],
+            }))
+        return pd.concat(out, ignore_index=True)
 
     windows = staged(
         texts_of.groupBy("shard", "part").applyInPandas(
             shard_windows,
-            "row_key long, row_tag long, lo long, hi long, digest long, run boolean, open boolean,"
-            " gram long, part long, parts long",
+            "row_key long, row_tag long, lo long, hi long, gram long, range long, digests binary, places binary",
         ),
         "windows",
     )
@@ -300,22 +312,29 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Windows whose digest other shards have as well: each shard's sorted
         run is searched in the merged run of all."""
-        runs = [np.unique(g.to_numpy()) for _, g in pdf.groupby("part")["digest"]]
-        merged = np.sort(np.concatenate(runs))
-        d = pdf["digest"].to_numpy()
-        holders = np.searchsorted(merged, d, side="right") - np.searchsorted(merged, d, side="left")
-        return pdf.loc[(holders > 1) & pdf["open"], ["row_key", "row_tag", "lo", "hi"]]
+        runs = [np.frombuffer(d, np.int64) for d in pdf["digests"]]
+        merged = np.sort(np.concatenate([np.unique(r) for r in runs]))
+        own = np.concatenate(runs)
+        place = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in pdf["places"]])
+        holders = np.searchsorted(merged, own, side="right") - np.searchsorted(merged, own, side="left")
+        place = place[(holders > 1) & (place[:, 2] >= 0)]
+        place = place[np.lexsort((place[:, 2], place[:, 1], place[:, 0]))]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:, :2] != place[:-1, :2]).any(axis=1) | (place[1:, 2] > place[:-1, 2] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place)) - 1 if len(place) else first
+        return pd.DataFrame({
+            "row_key": place[first, 0], "row_tag": place[first, 1], "lo": place[first, 2], "hi": place[last, 2]
+        })
 
     # Digests are dealt by gram and range, so a merge has a bounded share of a hot gram.
-    ranges = F.ceil(F.col("parts") * F.lit(SHARD_SEGMENTS * 300 / MERGE_DIGESTS)).cast("int")
     merged = (
-        windows.where("not run")
-        .groupBy("gram", F.pmod(F.shiftright("digest", 20), ranges).alias("range"))
+        windows.where("range >= 0").groupBy("gram", "range")
         .applyInPandas(merge, "row_key long, row_tag long, lo long, hi long")
     )
     same = held.join(kinds.where("n > 1").select("gram", "seg"), ["gram", "seg"], "left_semi")
     columns = ["row_key", "row_tag", "lo", "hi"]
-    every = same.select(*columns).unionByName(windows.where("run").select(*columns)).unionByName(merged)
+    every = same.select(*columns).unionByName(windows.where("range < 0").select(*columns)).unionByName(merged)
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
