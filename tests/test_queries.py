@@ -37,7 +37,11 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    """The library's own queries; those of the text operators are tested by brute force."""
+    from gridframe.queries import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["mixed_batch", "modified_cells", "profile_samples", "sessionize", "blank_rows"])
