@@ -30,11 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of slim tables that one task may write.
+ROWS_PER_PART = 100_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table below the shared checkpoint folder and read it
-    back: lineage is cut, lost executors lose nothing."""
+    back: lineage is cut, lost executors lose nothing.  Where ``rows``, about
+    its size, is known, as many tasks write it as that takes."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_PART)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

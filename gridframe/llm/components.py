@@ -20,12 +20,13 @@ def components(links: DataFrame) -> DataFrame:
     the same label if and only if links connect them.  Repeated links, both
     directions of one, and links of a vertex to itself are allowed."""
     edges = staged(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "edges")
+    n = edges.count()
     labels = staged(
         edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")),
-        "labels",
+        "labels", n,
     )
-    turn = 0
-    while not edges.isEmpty():
+    vertices, turn = n, 0
+    while n:
         rank = F.col if turn == 0 else lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023
         ends = edges.select(
             F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")),
@@ -34,18 +35,19 @@ def components(links: DataFrame) -> DataFrame:
         # The min over neighbours is combined before the shuffle: hot vertices stay small.
         least = ends.groupBy("v").agg(F.min(F.struct(rank("w").alias("r"), F.col("w").alias("to"))).alias("m"))
         own = F.struct(rank("v").alias("r"), F.col("v").alias("to"))
-        taken = staged(least.select("v", F.least("m", own)["to"].alias("to")), "taken")
+        taken = staged(least.select("v", F.least("m", own)["to"].alias("to")), "taken", n)
         a = taken.withColumnsRenamed({"v": "a", "to": "to_a"})
         b = taken.withColumnsRenamed({"v": "b", "to": "to_b"})
         moved = edges.join(a, "a").join(b, "b").select(
             F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")
         )
-        edges = staged(moved.where("a <> b").distinct(), "edges")
+        edges = staged(moved.where("a <> b").distinct(), "edges", n)
         labels = staged(
             labels.join(taken.withColumnRenamed("v", "label"), "label", "left").select(
                 "node", F.coalesce("to", "label").alias("label")
             ),
-            "labels",
+            "labels", vertices,
         )
+        n = edges.count()
         turn += 1
     return labels

@@ -13,14 +13,22 @@ candidates: with the defaults a pair at similarity 0.8 is missed with a
 probability of (1 - 0.8^5)^40, about 1e-7.  All links are confirmed on the
 full sets.
 
-Scale.  Equal sets are one vertex.  Within a bucket each member is first held
-against one pivot only, so a bucket of n members costs n pairs.  Members of
-different components of the same bucket are then held against one another,
-unless the pivot rules a link out: Jaccard distance is a metric, so two sets
-whose distances to the pivot differ by more than the link distance cannot be
-linked.  Buckets whose members are all connected already are left alone,
-because only components are asked for.  No bucket is ever gathered in one
-task, nothing is capped, and hot keys are met by joins that Spark splits.
+Scale.  Equal sets are one vertex.  Members of a bucket are held against one
+another in three passes, each only across components that are still apart, so
+the pairs follow the members and not their squares:
+
+1. every member against the bucket's pivot;
+2. a few members of each component against a few of each other one, which
+   joins what has many links;
+3. all that is left: every pair of members of different components that has not
+   been ruled out.  Two things rule a pair out: Jaccard distance is a metric, so
+   sets whose distances to the pivot differ by more than the link distance are
+   not linked; and sketches that agree in fewer coordinates than a linked
+   pair's would, by five standard deviations (a chance of about 3e-7).
+
+Buckets whose members are all connected are left alone, because only components
+are asked for.  No bucket is ever gathered in one task, nothing is capped, and
+hot keys are met by joins that Spark splits.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
@@ -38,6 +46,8 @@ from gridframe.llm.common import (
 from gridframe.llm.components import components
 
 BANDS, ROWS = 40, 5
+#: Members of a component that stand for it in a bucket, in the second pass.
+REPRESENTATIVES = 8
 #: Bytes and rows of text that are sketched at once; a row's sketch has BANDS * ROWS values.
 _CHUNK = 1 << 19
 _CHUNK_ROWS = 512
@@ -97,6 +107,31 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def packed_sketches(sketch: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate: (rows, 4 * words) integers, in four planes
+    of one bit for each coordinate."""
+    n, t = sketch.shape
+    planes = np.zeros((n, 4, -(-t // 64) * 64), np.uint8)
+    for b in range(4):
+        planes[:, b, :t] = (sketch >> np.uint64(b)).astype(np.uint8) & 1
+    return np.packbits(planes.reshape(n, -1), axis=1).view(np.int64)
+
+
+def may_link(a: Column, b: Column, t: int, similarity: float) -> Column:
+    """Whether packed sketches of ``t`` coordinates agree as often as those of a
+    pair of the given similarity do, but for five standard deviations."""
+    words = -(-t // 64)
+    agree = F.lit(t - 64 * words)
+    for w in range(words):
+        differ = F.lit(0).cast("bigint")
+        for plane in range(4):
+            at = plane * words + w
+            differ = differ.bitwiseOR(F.get(a, F.lit(at)).bitwiseXOR(F.get(b, F.lit(at))))
+        agree = agree + F.bit_count(F.bitwise_not(differ))
+    p = similarity + (1 - similarity) / 16
+    return agree >= t * p - 5 * (t * p * (1 - p)) ** 0.5
+
+
 def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set, from sums over its members."""
     a = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h))])
@@ -106,8 +141,9 @@ def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(row_key, row_tag, doc_id, n_shingles, node, keys) of every row; ``node``
-    identifies the set, null for an empty one."""
+    """(row_key, row_tag, doc_id, n_shingles, node, keys, marks) of every row;
+    ``node`` identifies the set, null for an empty one; ``marks`` is its packed
+    sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,21 +152,24 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 part = bounds[lo : hi + 1]
                 h, edge = distinct_shingles(data[part[0] : part[-1]], part - part[0], k)
                 size = np.diff(edge)
-                keys = band_keys(sketches(h, edge, bands * rows), bands).view(np.int64)
+                sketch = sketches(h, edge, bands * rows)
+                keys = lists(band_keys(sketch, bands).view(np.int64))
+                marks = lists(packed_sketches(sketch))
                 empty = size == 0
-                keys = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel())
-                )
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(lo, hi - lo) for c in ("row_key", "row_tag")),
                      batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(size),
-                     pa.array(set_keys(h, edge).view(np.int64), mask=empty), keys],
-                    names=["row_key", "row_tag", "doc_id", "n_shingles", "node", "keys"],
+                     pa.array(set_keys(h, edge).view(np.int64), mask=empty), keys, marks],
+                    names=["row_key", "row_tag", "doc_id", "n_shingles", "node", "keys", "marks"],
                 )
 
+    def lists(values: np.ndarray) -> pa.Array:
+        n, width = values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(values.ravel()))
+
     slim = docs.select(*row_identity(), "doc_id", "text")
     return slim.mapInArrow(
-        run, "row_key long, row_tag long, doc_id long, n_shingles long, node long, keys array<long>"
+        run, "row_key long, row_tag long, doc_id long, n_shingles long, node long, keys array<long>, marks array<long>"
     )
 
 
@@ -194,50 +233,71 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "row_tag")
     classes = (
         signed.where("node is not null").groupBy("node")
-        .agg(F.min(rep).alias("rep"), F.any_value("keys").alias("keys"))
-        .select("node", "rep.doc_id", "rep.row_key", "rep.row_tag", "keys")
+        .agg(F.min(rep).alias("rep"), F.any_value(F.struct("keys", "marks")).alias("s"))
+        .select("node", "rep.doc_id", "rep.row_key", "rep.row_tag", "s.keys", "s.marks")
     )
     classes = staged(classes, "classes")
     buckets = classes.select(F.explode("keys").alias("key"), "node")
     pivots = staged(
         buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("key", "pivot"),
-        "pivots",
-    )
-    members = staged(buckets.join(pivots, "key").select("key", "node", "pivot"), "members")
-    first = staged(
-        members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs"
+        "pivots", classes.count() * bands // 4,
     )
+    members = staged(buckets.join(pivots, "key").select("key", "node", "pivot"), "members", classes.count() * bands // 4)
+    n = members.count()
     wanted = members.select("node").distinct().join(classes.select("node", "row_key", "row_tag"), "node")
     sets = staged(full_sets(docs, wanted, words), "sets")
-    held = staged(measured(first, sets, num, den), "measured")
-    links = held.where("linked").select("a", "b")
-    labels = components(links)
 
-    # Second pass: members of one bucket that are in different components.
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = staged(
-        placed.join(held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"], "left")
-        .withColumn("distance", F.coalesce("distance", F.lit(0.0))),
-        "placed",
-    )
-    mixed = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
-    some = staged(placed.join(mixed.select("key"), "key"), "mixed")
-    left, right = some.alias("l"), some.alias("r")
-    reach = 1 - num / den + 1e-9
-    second = (
-        left.join(
+    # Pass 1: members and pivots.
+    first = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    held = staged(measured(staged(first, "pairs", n), sets, num, den), "measured", n)
+    labels = components(held.where("linked"))
+
+    def apart(placed: DataFrame) -> DataFrame:
+        """The buckets that still have members of several components."""
+        mixed = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
+        return staged(placed.join(mixed.select("key"), "key"), "apart", n)
+
+    def linked_labels(placed: DataFrame) -> DataFrame:
+        """(a, b): labels of members that links between different components join."""
+        left, right = placed.alias("l"), placed.alias("r")
+        reach = 1 - num / den + 1e-9
+        pairs = left.join(
             right,
-            (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
-            & (F.col("l.node") < F.col("r.node"))
+            (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
             & (F.abs(F.col("l.distance") - F.col("r.distance")) <= reach)
-            & (F.col("l.node") != F.col("l.pivot")) & (F.col("r.node") != F.col("r.pivot")),
-        )
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
+            & (F.col("l.distance") + F.col("r.distance") > 0)
+            & may_link(F.col("l.marks"), F.col("r.marks"), bands * rows, num / den),
+        ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        found = measured(staged(pairs.distinct(), "pairs", n), sets, num, den).where("linked")
+        of = placed.select("node", "label").distinct()
+        found = found.join(of.withColumnsRenamed({"node": "a", "label": "x"}), "a")
+        return found.join(of.withColumnsRenamed({"node": "b", "label": "y"}), "b").select(
+            F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def renamed(rows_: DataFrame, to: DataFrame) -> DataFrame:
+        new = to.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        return rows_.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+    # Pass 2: a few members of each component of a bucket.
+    distance = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
+    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = apart(staged(placed, "placed", n)).join(distance, ["node", "pivot"], "left")
+    placed = placed.join(classes.select("node", "marks"), "node")
+    placed = staged(
+        placed.select("key", "node", "label", "marks", F.coalesce("distance", F.lit(0.0)).alias("distance")), "placed", n
     )
-    more = measured(staged(second, "pairs"), sets, num, den)
-    found = components(links.unionByName(more.where("linked").select("a", "b")))
+    some = Window.partitionBy("key", "label").orderBy(F.xxhash64("key", "node"))
+    few = placed.withColumn("turn", F.row_number().over(some)).where(F.col("turn") <= REPRESENTATIVES).drop("turn")
+    again = components(linked_labels(staged(few, "few", n)))
+
+    # Pass 3: all members that are still apart.
+    rest = apart(renamed(placed, again))
+    last = components(linked_labels(rest))
+    found = renamed(renamed(labels, again), last)
+    # Vertices without a link so far are their own labels.
+    alone = again.select("node").union(last.select("node")).distinct().join(labels, "node", "left_anti")
+    found = found.unionByName(renamed(renamed(alone.withColumn("label", F.col("node")), again), last).select("node", "label"))
 
     ids = classes.select("node", "doc_id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = staged(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
