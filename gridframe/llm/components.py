@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     directions of one, and links of a vertex to itself are allowed."""
     edges = staged(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "edges")
     n = edges.count()
+    if not n:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = staged(
         edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")),
         "labels", n,

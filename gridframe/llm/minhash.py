@@ -279,27 +279,26 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
         new = to.select(F.col("node").alias("label"), F.col("label").alias("to"))
         return rows_.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
-    # Pass 2: a few members of each component of a bucket.
-    distance = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = apart(staged(placed, "placed", n)).join(distance, ["node", "pivot"], "left")
-    placed = placed.join(classes.select("node", "marks"), "node")
-    placed = staged(
-        placed.select("key", "node", "label", "marks", F.coalesce("distance", F.lit(0.0)).alias("distance")), "placed", n
-    )
-    some = Window.partitionBy("key", "label").orderBy(F.xxhash64("key", "node"))
-    few = placed.withColumn("turn", F.row_number().over(some)).where(F.col("turn") <= REPRESENTATIVES).drop("turn")
-    again = components(linked_labels(staged(few, "few", n)))
-
-    # Pass 3: all members that are still apart.
-    rest = apart(renamed(placed, again))
-    last = components(linked_labels(rest))
-    found = renamed(renamed(labels, again), last)
-    # Vertices without a link so far are their own labels.
-    alone = again.select("node").union(last.select("node")).distinct().join(labels, "node", "left_anti")
-    found = found.unionByName(renamed(renamed(alone.withColumn("label", F.col("node")), again), last).select("node", "label"))
-
-    ids = classes.select("node", "doc_id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Vertices without a link are their own labels.
+    found = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = apart(staged(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed", n))
+    if not placed.isEmpty():
+        # Pass 2: a few members of each component of a bucket.
+        distance = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
+        placed = placed.join(distance, ["node", "pivot"], "left").join(classes.select("node", "marks"), "node")
+        placed = staged(
+            placed.select("key", "node", "label", "marks", F.coalesce("distance", F.lit(0.0)).alias("distance")), "placed", n
+        )
+        some = Window.partitionBy("key", "label").orderBy(F.xxhash64("key", "node"))
+        few = placed.withColumn("turn", F.row_number().over(some)).where(F.col("turn") <= REPRESENTATIVES).drop("turn")
+        again = components(linked_labels(staged(few, "few", n)))
+        found = renamed(found, again)
+        # Pass 3: all members that are still apart.
+        rest = apart(renamed(placed, again))
+        if not rest.isEmpty():
+            found = renamed(found, components(linked_labels(rest)))
+
+    ids = staged(found, "found")
     least = staged(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     of_node = staged(ids.select("node", "label").join(least, "label").select("node", "component_id"), "groups")
     return (
