@@ -17,11 +17,13 @@ Scale.  Equal sets are one vertex.  Members of a bucket are held against one
 another in three passes, each only across components that are still apart, so
 the pairs follow the members and not their squares:
 
-1. every member against the bucket's pivot;
+1. every member against ``PIVOTS`` pivots of its buckets, which are the members
+   that share buckets with most others;
 2. a few members of each component against a few of each other one, which
    joins what has many links;
 3. all that is left: every pair of members of different components that has not
-   been ruled out.  Two things rule a pair out: Jaccard distance is a metric, so
+   been ruled out.  Three things rule a pair out: the smaller set has less than
+   the link similarity of the larger one's size; Jaccard distance is a metric, so
    sets whose distances to the pivot differ by more than the link distance are
    not linked; and sketches that agree in fewer coordinates than a linked
    pair's would, by five standard deviations (a chance of about 3e-7).
@@ -46,6 +48,8 @@ from gridframe.llm.common import (
 from gridframe.llm.components import components
 
 BANDS, ROWS = 40, 5
+#: Pivots that a member is held against in the first pass.
+PIVOTS = 6
 #: Members of a component that stand for it in a bucket, in the second pass.
 REPRESENTATIVES = 8
 #: Bytes and rows of text that are sketched at once; a row's sketch has BANDS * ROWS values.
@@ -233,23 +237,31 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "row_tag")
     classes = (
         signed.where("node is not null").groupBy("node")
-        .agg(F.min(rep).alias("rep"), F.any_value(F.struct("keys", "marks")).alias("s"))
-        .select("node", "rep.doc_id", "rep.row_key", "rep.row_tag", "s.keys", "s.marks")
+        .agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("size"), F.any_value(F.struct("keys", "marks")).alias("s"))
+        .select("node", "rep.doc_id", "rep.row_key", "rep.row_tag", "size", "s.keys", "s.marks")
     )
     classes = staged(classes, "classes")
     buckets = classes.select(F.explode("keys").alias("key"), "node")
+    about = classes.count() * bands // 4
+    shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared", about)
+    seen = staged(buckets.join(shared, "key").select("key", "node", "n"), "seen", about)
+    # The member with the most company is near the middle of its group, so most
+    # of the group is linked with it, if not with one another.
+    company = seen.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = seen.join(staged(company, "company", about // bands), "node")
     pivots = staged(
-        buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("key", "pivot"),
-        "pivots", classes.count() * bands // 4,
+        ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("p")).select("key", "p.company", F.col("p.node").alias("pivot")),
+        "pivots", about,
     )
-    members = staged(buckets.join(pivots, "key").select("key", "node", "pivot"), "members", classes.count() * bands // 4)
+    members = staged(seen.join(pivots, "key").select("key", "node", "pivot", "company"), "members", about)
     n = members.count()
     wanted = members.select("node").distinct().join(classes.select("node", "row_key", "row_tag"), "node")
     sets = staged(full_sets(docs, wanted, words), "sets")
 
-    # Pass 1: members and pivots.
-    first = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # Pass 1: members and pivots; a member has one for each band at most.
+    of_member = members.where("node <> pivot").groupBy("node").agg(
+        F.array_sort(F.collect_set(F.struct(-F.col("company"), "pivot"))).alias("p"))
+    first = of_member.select(F.col("node").alias("a"), F.explode(F.slice("p.pivot", 1, PIVOTS)).alias("b"))
     held = staged(measured(staged(first, "pairs", n), sets, num, den), "measured", n)
     labels = components(held.where("linked"))
 
@@ -265,8 +277,8 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
         pairs = left.join(
             right,
             (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
-            & (F.abs(F.col("l.distance") - F.col("r.distance")) <= reach)
-            & (F.col("l.distance") + F.col("r.distance") > 0)
+            & (F.least("l.size", "r.size") * den >= F.greatest("l.size", "r.size") * num)
+            & F.coalesce(F.abs(F.col("l.distance") - F.col("r.distance")) <= reach, F.lit(True))
             & may_link(F.col("l.marks"), F.col("r.marks"), bands * rows, num / den),
         ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         found = measured(staged(pairs.distinct(), "pairs", n), sets, num, den).where("linked")
@@ -285,10 +297,9 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
     if not placed.isEmpty():
         # Pass 2: a few members of each component of a bucket.
         distance = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
-        placed = placed.join(distance, ["node", "pivot"], "left").join(classes.select("node", "marks"), "node")
-        placed = staged(
-            placed.select("key", "node", "label", "marks", F.coalesce("distance", F.lit(0.0)).alias("distance")), "placed", n
-        )
+        placed = placed.join(distance, ["node", "pivot"], "left").join(classes.select("node", "size", "marks"), "node")
+        known = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")
+        placed = staged(placed.select("key", "node", "label", "size", "marks", known), "placed", n)
         some = Window.partitionBy("key", "label").orderBy(F.xxhash64("key", "node"))
         few = placed.withColumn("turn", F.row_number().over(some)).where(F.col("turn") <= REPRESENTATIVES).drop("turn")
         again = components(linked_labels(staged(few, "few", n)))
