@@ -94,7 +94,7 @@ def main() -> None:
     # 3b. all events as cell edits between 3,000 structural edits
     def all_edits():
         structural = [{"seq": 33 * i, "type": "row", "action": "create" if i % 2 else "remove",
-                       "index": (i * 7919) % 100_000, "amount": 1} for i in range(3000)]
+                       "index": (i * 7919) % (n_orders // 2), "amount": 1} for i in range(3000)]
         ev = fx.table(spark, SF_DIR, "events")
         cells = ev.select(F.col("event_id").alias("seq"), (F.col("event_id") * 13 % n_orders).alias("row"),
                           (F.col("event_id") % 6).cast("int").alias("col"), F.col("event_type").alias("new_value"))
