@@ -17,11 +17,11 @@ from gridframe.llm.common import staged, table
 from gridframe.llm.decontaminate import remove_contaminated
 from gridframe.llm.minhash import keep_representatives
 from gridframe.llm.queries import vocabulary
-from gridframe.llm.suffix_dedup import remove_repeats
+from gridframe.llm.suffix_dedup import remove_repeated_words
 from gridframe.llm.toxicity import remove_toxic
 
-#: Bytes of a repeated passage that goes.
-REPEAT_BYTES = 400
+#: Words of a repeated passage that goes: over 50.
+REPEAT_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without passages that occur elsewhere as well."""
-    return remove_repeats(docs, REPEAT_BYTES)
+    """All documents, their texts without passages of over 50 words that occur elsewhere as well."""
+    return remove_repeated_words(docs, REPEAT_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

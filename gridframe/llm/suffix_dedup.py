@@ -22,6 +22,10 @@ else.  Sorting every suffix of the corpus is not needed for that:
    Each shard gives the digests of its distinct windows as a sorted run, and
    runs are merged by binary search in ranges of digests.
 
+Words.  The form over words puts ``CODE`` bytes of hash for each word, of seven
+bits each, and takes windows of that many bytes a word.  Edges of what repeats
+are rounded inwards to whole words, so a byte that agrees by chance adds none.
+
 The stages before 3 cost a few shuffles of 24 bytes for each 150 bytes of text;
 hot grams are combined before the shuffle or met by joins that Spark splits,
 and a shard holds a bounded number of segments at any input size.
@@ -29,7 +33,7 @@ and a shard holds a bounded number of segments at any input size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,10 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    byte_table, mix64, powers, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer, whole_rows,
+    CHUNK_BYTES, byte_table, mix64, powers, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer,
+    whole_rows, word_spans,
 )
 
 GRAM = 100
+#: Bytes that stand for a word in the form over words.
+CODE = 8
 #: Window starts handled in one piece of a long text.
 PIECE = 1 << 21
 #: Segments in a shard, and digests in one merge.
@@ -202,7 +209,7 @@ def runs_of(number: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number[first], start[first], start[last]
 
 
-def _segments(docs: DataFrame, length: int) -> DataFrame:
+def _segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffer(batch.column("text"))
@@ -223,15 +230,18 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                         names=["row_key", "row_tag", "lo", "hi", "gram", "seg"],
                     )
 
-    return docs.select(*row_identity(), "text").mapInArrow(
-        run, "row_key long, row_tag long, lo long, hi long, gram long, seg long"
-    )
+    return texts.mapInArrow(run, "row_key long, row_tag long, lo long, hi long, gram long, seg long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(row_key, row_tag, spans) of every text that holds a repeated string of
     ``length`` bytes; ``spans`` are the maximal removed runs [start, end)."""
-    found = _segments(docs, length)
+    return _repeated(docs.select(*row_identity(), "text"), length)
+
+
+def _repeated(texts: DataFrame, length: int) -> DataFrame:
+    """What ``repeated_spans`` returns, for ``texts`` (row_key, row_tag, text)."""
+    found = _segments(texts, length)
     recurring = staged(
         found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams"
     )
@@ -249,7 +259,6 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"),
         F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int").alias("parts"),
     )
-    texts = docs.select(*row_identity(), "text")
     body = F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))")
     # Rows that repeat id and text give one segment again: one of them is taken.
     texts_of = texts.join(chosen, ["row_key", "row_tag"]).select(
@@ -404,17 +413,89 @@ def _without(text: str, spans: list[dict[str, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
+def text_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows: runs between white space, and
+    of U+3000 to U+9FFF, which is written without any, each character alone."""
+    starts, ends = word_spans(data, bounds)
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    if not lead.any():
+        return starts, ends
+    at = np.flatnonzero(lead)
+    first = np.unique(np.concatenate([starts, at, at + 3]))
+    first = first[np.isin(first, ends, invert=True) | np.isin(first, starts)]
+    # A word ends where the next one starts, or where its run does.
+    run = ends[np.searchsorted(ends, first, side="right")]
+    return first, np.minimum(run, np.append(first[1:], len(data)))
+
+
+def word_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``CODE`` bytes of hash for each word of all rows, and the words before
+    each row boundary."""
+    starts, ends = text_words(data, bounds)
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, side="right")), lo + 1)
+        at = starts[lo]
+        prefix = prefix_hash(_CODES[data[at : ends[hi - 1]]])
+        out[lo:hi] = span_hash(prefix, starts[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    # Seven bits a byte: a text like any other, without the byte between segments.
+    return (out & np.uint64(0x7F7F7F7F7F7F7F7F)).view(np.uint8), np.searchsorted(starts, bounds)
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """(row_key, row_tag, text) with the words' codes for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_buffer(batch.column("text"))
+            for lo, hi in row_chunks(bounds):
+                part = bounds[lo : hi + 1]
+                codes, counts = word_codes(data[part[0] : part[-1]], part - part[0])
+                raw = codes.tobytes()
+                text = [raw[a * CODE : b * CODE].decode("ascii") for a, b in zip(counts[:-1], counts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("row_key", "row_tag")), pa.array(text, pa.string())],
+                    names=["row_key", "row_tag", "text"],
+                )
+
+    return docs.select(*row_identity(), "text").mapInArrow(run, "row_key long, row_tag long, text string")
+
+
+def _without_words(text: str, spans: list[dict[str, int]], words: int) -> str:
+    """``text`` without the words that lie wholly in a span of their codes."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends = text_words(data, np.array([0, len(data)]))
+    whole = [(-(-s["start"] // CODE), s["end"] // CODE) for s in spans]
+    return _without(text, [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in whole if b - a >= words])
+
+
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with the repeated strings of ``length`` bytes cut out of
     ``text``, in whole characters, and ``n_chars``, where there is such a
     column, set to what is left; all rows and other columns stay.  A text that
     repeats cover wholly becomes empty; null and empty texts stay as they are."""
+    return _cut(docs, repeated_spans(docs, length), _without)
+
+
+def remove_repeated_words(docs: DataFrame, words: int = 51) -> DataFrame:
+    """``docs`` with every run of ``words`` words that also starts anywhere else
+    cut out of ``text``, from its first word's start to its last one's end, as
+    in ``remove_repeats``.  Words are compared by their bytes, whatever white
+    space is between them; see ``text_words`` for what is one."""
+    spans = _repeated(_coded(docs), words * CODE)
+    return _cut(docs, spans, lambda text, found: _without_words(text, found, words))
+
+
+def _cut(docs: DataFrame, spans: DataFrame, without: Callable[[str, list[dict[str, int]]], str]) -> DataFrame:
+    """``docs`` with ``without(text, spans)`` for the texts that have ``spans``."""
 
     @F.arrow_udf("string")
     def left(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_without(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+        return pa.array([without(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    spans = staged(repeated_spans(docs, length), "spans")
+    spans = staged(spans, "spans")
     rows = whole_rows(docs).join(spans, ["row_key", "row_tag"], "left")
     whole = rows.where("spans is null").select("row.*")
     text = F.col("left")

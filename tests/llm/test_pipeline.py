@@ -62,3 +62,23 @@ def test_every_stage_takes_awkward_rows(spark, tables, make):
         assert n <= len(awkward_rows())
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_repeated_passages_are_judged_by_words(spark):
+    short = [" ".join(w[:5] for w in prose(7000 + n, n).split()) for n in (51, 54, 58, 65)]
+    assert all(len(p.encode()) < 400 for p in short)
+    kept = prose(7100, 50)
+    wide = "".join(chr(0x4E00 + (37 * i * i + i) % 5000) for i in range(60))
+    rows, edge = {}, {}
+    for n, p in enumerate([*short, wide]):
+        rows[10 * n] = f"{prose(n, 30)}\n{p} {prose(n + 100, 30)}"
+        spaced = p.replace(" ", "  \n")
+        rows[10 * n + 1] = f"{prose(n + 200, 9)} {spaced}\n{prose(n + 300, 40)}"
+        edge |= {10 * n: (prose(n, 30), prose(n + 100, 30)), 10 * n + 1: (prose(n + 200, 9), prose(n + 300, 40))}
+    rows |= {90: prose(90, 20) + " " + kept + " " + prose(91, 20), 91: prose(92, 20) + " " + kept}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], DOCS)
+    left = {r.doc_id: r for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert all(r.n_chars == len(r.text) for r in left.values())
+    for i, ends in edge.items():
+        assert left[i].text.split() == " ".join(ends).split()
+    assert all(left[i].text == rows[i] for i in (90, 91))  # 50 words are not over 50
