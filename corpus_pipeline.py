@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
-    return keep_representatives(docs, words=5, num=80, den=100)
+    """One row of each group of near-duplicates (five words, 0.8)."""
+    return keep_representatives(docs, words=5, num=80, den=100, repeated_rows=False)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,7 +232,8 @@ def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
-    """What ``near_duplicates`` returns, with the columns that identify a row."""
+    """What ``near_duplicates`` returns, with the columns that identify a row and
+    ``label``, which tells components apart; null for a row without words."""
     signed = staged(signatures(docs, words, bands, rows), "signatures")
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "row_tag")
     classes = (
@@ -311,12 +312,12 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
 
     ids = staged(found, "found")
     least = staged(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    of_node = staged(ids.select("node", "label").join(least, "label").select("node", "component_id"), "groups")
+    of_node = staged(ids.select("node", "label").join(least, "label").select("node", "component_id", "label"), "groups")
     return (
         signed.select("row_key", "row_tag", "doc_id", "n_shingles", "node").join(of_node, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .select(
-            "row_key", "row_tag", "doc_id", "n_shingles", "component_id",
+            "row_key", "row_tag", "doc_id", "n_shingles", "component_id", "label",
             (F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
         )
     )
@@ -333,13 +334,30 @@ def near_duplicates(
     no words; rows with a null id take part, and a component without any id has
     a null ``component_id`` and keeps all its rows; repeated rows share their
     result; an empty table gives no rows; other columns are ignored."""
-    return _groups(docs, words, num, den, bands, rows).drop("row_key", "row_tag")
+    return _groups(docs, words, num, den, bands, rows).drop("row_key", "row_tag", "label")
 
 
 def keep_representatives(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS,
+    repeated_rows: bool = True,
 ) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` does not keep; all
-    columns stay.  Rows that repeat both id and text of a row kept stay with it."""
-    gone = _groups(docs, words, num, den, bands, rows).where("not kept").select("row_key", "row_tag")
-    return whole_rows(docs).join(staged(gone, "near-duplicates"), ["row_key", "row_tag"], "left_anti").select("row.*")
+    """``docs`` with one id and text of each component of ``near_duplicates``:
+    the smallest id's, or, where no row has an id, one text's; all columns stay.
+    Rows without words all stay.  Rows that repeat both id and text of the row
+    kept stay with it, unless ``repeated_rows`` is false: then any one of them
+    stays, so that exactly one row of each component is left."""
+    id_text = ["row_key", "row_tag"]
+    groups = _groups(docs, words, num, den, bands, rows).where("label is not null")
+    rep = F.struct(F.col("doc_id").isNull(), "doc_id", *id_text)
+    # Equal rows are counted first, so a row that recurs often is one here.
+    kinds = staged(groups.groupBy("label", "doc_id", *id_text).agg(F.count(F.lit(1)).alias("n")), "kinds")
+    chosen = kinds.groupBy("label").agg(F.min(rep).alias("rep"))
+    chosen = staged(chosen.select("rep.row_key", "rep.row_tag"), "representatives")
+    gone = kinds.select(*id_text).join(chosen, id_text, "left_anti")
+    if repeated_rows:
+        return whole_rows(docs).join(staged(gone, "near-duplicates"), id_text, "left_anti").select("row.*")
+    several = staged(kinds.where("n > 1").select(*id_text).join(chosen, id_text, "left_semi"), "several")
+    gone = staged(gone.unionByName(several), "near-duplicates")
+    single = whole_rows(docs).join(gone, id_text, "left_anti").select("row")
+    one = whole_rows(docs).join(several, id_text).groupBy(*id_text).agg(F.any_value("row").alias("row")).select("row")
+    return single.unionByName(one).select("row.*")

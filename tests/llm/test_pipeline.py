@@ -82,3 +82,25 @@ def test_repeated_passages_are_judged_by_words(spark):
     for i, ends in edge.items():
         assert left[i].text.split() == " ".join(ends).split()
     assert all(left[i].text == rows[i] for i in (90, 91))  # 50 words are not over 50
+
+
+def test_one_row_of_each_group_goes_on_whole(spark):
+    """Documents that came in twice, with one id or without any, keep one row and its text."""
+    twice, none, near = prose(8000, 120), prose(8001, 130), prose(8002, 140)
+    rows = [(1, twice), (1, twice), (1, twice), (None, none), (None, none), (None, near), (None, near + " one"),
+            (None, near + " one"), (2, prose(8003, 90)), (2, prose(8004, 90)), (2, prose(8004, 90) + " one"),
+            (3, prose(8005, 70)), (None, prose(8005, 70)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in rows], DOCS)
+    near_left = corpus_pipeline.drop_near_duplicates(spark, docs, "").cache()
+    cut = corpus_pipeline.cut_repeated_passages(spark, near_left, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in cut) == sorted(
+        [(False, 1), (True, 0), (True, 0), (False, 2), (False, 2), (False, 3), (False, 4), (False, 5)])
+    texts = [r.text for r in cut]
+    assert {twice, none, prose(8003, 90), prose(8005, 70)} <= set(texts)
+    assert sum(t in (near, near + " one") for t in texts) == 1
+    assert sum(t in (prose(8004, 90), prose(8004, 90) + " one") for t in texts) == 1
+    awkward_left = corpus_pipeline.drop_near_duplicates(spark, awkward(spark), "")
+    words = [t for t in (r.text for r in awkward_left.collect()) if t and t.split()]
+    after = corpus_pipeline.cut_repeated_passages(spark, awkward_left, "").collect()
+    assert len(words) == len(set(words)) and all(r.text.split() for r in after if r.text and r.n_chars > 9)
+    assert prose(2, 300) in {r.text for r in after}
