@@ -10,7 +10,9 @@ the maximal runs of shared seeds; the longest is marked again and again, and
 what overlaps marked tokens is cut down to its unmarked parts, until no match
 of ``min_match`` tokens is left.  The tiles cover an item whatever the order of
 its parts.  The test is the share of the item's tokens that tiles cover within
-a stretch of the document of ``spread`` times the item's length.
+a stretch of the document of ``spread`` times the item's length; each stretch is
+tiled on its own, so copies of an item do not take each other's tokens.  Parts
+that lie further apart count over the whole document, at a higher share.
 """
 
 from __future__ import annotations
@@ -99,21 +101,49 @@ def tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int
     return out
 
 
-def best_stretch(found: list[tuple[int, int, int]], span: int) -> tuple[int, int, int, int]:
+def most_tokens(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, k: int, span: int) -> np.ndarray:
+    """For each stretch of ``span`` doc tokens from ``starts`` on, the item tokens
+    that its seeds cover: tiles in it have no more."""
+    order = np.lexsort((doc, item))
+    doc, item = doc[order], item[order]
+    place, first = np.unique(item, return_index=True)
+    edges = np.append(first, len(doc))
+    until = np.full(len(starts), -1)
+    out = np.zeros(len(starts), np.int64)
+    for n, at in enumerate(place):
+        of = doc[edges[n] : edges[n + 1]]
+        nearest = of[np.minimum(np.searchsorted(of, starts), len(of) - 1)]
+        held = (nearest >= starts) & (nearest + k <= starts + span)
+        out += np.where(held, at + k - np.maximum(until, at), 0)
+        until = np.where(held, at + k, until)
+    return out
+
+
+def best_stretch(doc: np.ndarray, item: np.ndarray, k: int, span: int, least: float) -> tuple[int, int, int, int]:
     """(tokens, tiles, first and last doc place + 1) of the stretch of at most
-    ``span`` doc tokens whose tiles have the most tokens; a longer tile counts alone."""
-    found = sorted(found, key=lambda t: t[1])
-    best, lo, held = (0, 0, 0, 0), 0, 0
-    for hi, (size, d, _) in enumerate(found):
-        held += size
-        while lo < hi and d + size - found[lo][1] > span:
-            held -= found[lo][0]
-            lo += 1
-        if held > best[0]:
-            best = (held, hi - lo + 1, found[lo][1], d + size)
+    ``span`` doc tokens whose own tiles have the most tokens, all zero if none has
+    ``least``."""
+    order = np.argsort(doc, kind="stable")
+    doc, item = doc[order], item[order]
+    starts = np.unique(doc)
+    most = most_tokens(doc, item, starts, k, span)
+    best = (0, 0, 0, 0)
+    # Stretches that may hold most come first, so few are tiled.
+    for n in np.argsort(-most, kind="stable"):
+        if most[n] < least or most[n] <= best[0]:
+            break
+        lo, hi = np.searchsorted(doc, [starts[n], starts[n] + span - k + 1])
+        found = _sums(tiles(doc[lo:hi], item[lo:hi], k))
+        if found[0] >= least and found[0] > best[0]:
+            best = found
     return best
 
 
+def _sums(found: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
+    """(tokens, tiles, first and last doc place + 1) of all tiles."""
+    return sum(t[0] for t in found), len(found), min(t[1] for t in found), max(t[1] + t[0] for t in found)
+
+
 def _seed_rows(rows: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
     """(row_key, row_tag, seed, place, n_tokens) of ``rows`` (row_key, row_tag,
     text); only seeds that ``bits`` may hold."""
@@ -142,12 +172,14 @@ def _seed_rows(rows: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
 
 
 def contaminated_pairs(
-    docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, spread: float = 3.0
+    docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, spread: float = 3.0,
+    scattered: float = 0.8,
 ) -> DataFrame:
     """(row_key, row_tag, doc_id, item_id, item_tokens, matched_tokens, coverage,
     n_tiles, doc_start, doc_end) of each pair of a document and a benchmark
-    item whose tiles cover at least ``coverage`` of the item; the last two are
-    token places in the document.
+    item whose tiles cover at least ``coverage`` of the item within a stretch of
+    ``spread`` times its length, or else at least ``scattered`` of it anywhere; the
+    last two are token places in the document.
 
     Null and empty texts and items of fewer than ``min_match`` tokens match
     nothing; null ids are kept as null; rows that repeat both id and text give
@@ -171,7 +203,7 @@ def contaminated_pairs(
         # One text against one item: bounded by the text, however common either is.
         .agg(F.collect_set(F.struct("place", "item_place")).alias("hits"))
         # Each seed covers min_match tokens at most.
-        .where(F.size("hits") * min_match >= F.lit(coverage) * F.col("item_tokens"))
+        .where(F.size("hits") * min_match >= F.lit(min(coverage, scattered)) * F.col("item_tokens"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +213,13 @@ def contaminated_pairs(
             for n, size in enumerate(batch.column("item_tokens").to_pylist()):
                 pairs = hits[n].values
                 d, i = (pairs.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
-                matched, count, first, last = best_stretch(tiles(d, i, min_match), int(spread * size))
-                if matched >= coverage * size:
-                    rows.append((n, matched, matched / size, count, first, last))
+                found = best_stretch(d, i, min_match, max(int(spread * size), min_match), coverage * size)
+                if not found[0] and len(np.unique(i)) * min_match >= scattered * size:
+                    found = _sums(tiles(d, i, min_match))
+                    if found[0] < scattered * size:
+                        continue
+                if found[0]:
+                    rows.append((n, found[0], found[0] / size, *found[1:]))
             at = pa.array([r[0] for r in rows], pa.int64())
             kept = [batch.column(c).take(at) for c in ("row_key", "row_tag", "item_key", "item_tag", "item_tokens")]
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())

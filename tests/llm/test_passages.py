@@ -157,3 +157,28 @@ def test_contamination_takes_awkward_rows(spark):
         assert kept.columns == frame.columns and kept.count() == len(awkward_rows()) - 3
     assert contaminated_pairs(nothing(spark), bench).collect() == []
     assert plain_rows(remove_contaminated(awkward(spark), bench.limit(0))) == plain_rows(awkward(spark))
+
+
+def test_scattered_parts_and_shuffled_copies_count(spark):
+    words = prose(600, 60).split()
+    fives = [words[a : a + 5] for a in range(0, 60, 5)]
+    far = lambda n: prose(9000 + n, 400)
+    thirds = [" ".join(words[a : a + 20]) for a in (40, 0, 20)]
+    copies = []  # one third whole, the rest in shuffled fives
+    for n in range(3):
+        rest = [" ".join(f) for m, f in enumerate(fives) if not 4 * n <= m < 4 * n + 4]
+        random.Random(n).shuffle(rest)
+        copies.append(" ".join([" ".join(words[20 * n : 20 * n + 20]), *rest]))
+    rows = [
+        (0, " ".join(f"{far(n)} {t}" for n, t in enumerate(thirds))),
+        (1, " ".join(f"{far(n + 3)} {t}" for n, t in enumerate(copies))),
+        (2, " ".join(f"{far(n + 6)} {t}" for n, t in enumerate(thirds[:2]))),  # two thirds, far apart
+        (3, far(9) + " " + copies[0] + " " + far(10)),
+    ]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r for r in contaminated_pairs(docs, bench).collect()}
+    assert set(got) == {0, 1, 3}
+    assert all(r.coverage == 1.0 for r in got.values())
+    assert got[0].doc_end - got[0].doc_start > 180
+    assert got[1].doc_end - got[1].doc_start <= 180 and got[3].doc_end - got[3].doc_start <= 180
