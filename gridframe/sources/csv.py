@@ -49,25 +49,50 @@ class RaggedRows(ValueError):
     """A line has more cells than the header."""
 
 
-def read_csv_sheet(spark: SparkSession, path: str, multiline: bool = False) -> Sheet:
+def files_with_open_quotes(spark: SparkSession, path: str) -> list[str]:
+    """Files with a line that may end inside quotes.  A cell with a line break
+    makes its first line one of them; lines that only look like it (a backslash,
+    a quote inside a cell) count too, as reading such a file whole is right as well."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    # Between quotes, but for doubled ones, cells and separators take turns.
+    parts = F.split(F.replace("value", F.lit('""'), F.lit("")), '"', -1)
+    lines = lines.where(F.contains("value", F.lit('"'))).select("file", "value", parts.alias("parts"))
+    odd = F.expr(
+        "exists(transform(parts, (x, i) -> i % 2 = 0 and not ("
+        "(i = 0 or startswith(x, ',') or (i = size(parts) - 1 and x = '')) and "
+        "(i = size(parts) - 1 or endswith(x, ',') or (i = 0 and x = '')))), b -> b)"
+    )
+    doubtful = (F.size("parts") % 2 == 0) | F.contains("value", F.lit("\\")) | odd
+    return [r["file"] for r in lines.where(doubtful).select("file").distinct().collect()]
+
+
+def read_csv_sheet(spark: SparkSession, path: str, multiline: bool | None = None) -> Sheet:
     """One CSV file (or a directory written by ``write_csv_sheet``) as a
     sheet.  Line order is (file path, block start, position in block), so large
-    files are split over tasks and keep their order.  ``multiline=True`` allows
-    line breaks inside quotes; each file is then read by one task.
+    files are split over tasks and keep their order.  Files that may hold line
+    breaks inside quotes, which a pass over the lines finds, are read by one task
+    each; ``multiline`` says without that pass that all files do, or none.
 
     A line with fewer cells than the header is filled with missing cells; one
     with more raises ``RaggedRows``: no cell is ever dropped."""
-    options = {"header": False, "multiLine": multiline, "emptyValue": "", "mode": "PERMISSIVE",
-               "columnNameOfCorruptRecord": "__line"}
-    fields = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    whole = files_with_open_quotes(spark, path) if multiline is None else []
+    options = {"header": False, "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line"}
+    first = spark.read.options(**options).option("multiLine", bool(multiline or whole))
+    fields = first.option("inferSchema", False).csv(path).columns
     # One field more than the first line has, and the text of lines of another width.
     schema = ", ".join(f"{c} string" for c in [*fields, "__more", "__line"])
-    raw = spark.read.options(**options).schema(schema).csv(path)
+    read = spark.read.options(**options).schema(schema)
+    file = F.col("_metadata.file_path")
     bare = F.regexp_replace("__line", r'"([^"]|"")*"', "")
     wide = F.col("__more").isNotNull() | (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(fields))
-    cells = raw.select(*fields, F.coalesce(wide, F.lit(False)).alias("__wide"),
-                       F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
-                       F.monotonically_increasing_id().alias("__m"))
+
+    def cells_of(raw: DataFrame) -> DataFrame:
+        return raw.select(*fields, F.coalesce(wide, F.lit(False)).alias("__wide"), file.alias("__f"),
+                          F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+
+    cells = cells_of((read.option("multiLine", bool(multiline)).csv(path)).where(~file.isin(whole)))
+    if whole:
+        cells = cells.unionByName(cells_of(read.option("multiLine", True).csv(path).where(file.isin(whole))))
     rows, n = numbered(cells, [F.col("__f"), F.col("__b"), F.col("__m")])
     bad = rows.agg(F.count_if("__wide").alias("n"), F.min(F.when(F.col("__wide"), F.col(ROW))).alias("first")).first()
     if bad["n"]:
@@ -127,5 +152,7 @@ def write_csv_sheet(sheet: Sheet, path: str, partitions: int | None = None) -> s
     # One part for each ROWS_PER_PART rows, whatever the session's settings.
     n = partitions or 1 + sheet.n_rows // ROWS_PER_PART
     (both.repartitionByRange(n, ROW).sortWithinPartitions(ROW).drop(ROW)
-     .write.mode("overwrite").option("header", False).option("emptyValue", "").csv(path))
+     .write.mode("overwrite").option("header", False).option("emptyValue", "")
+     # Line breaks and spaces at the edges of a cell belong to it.
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path

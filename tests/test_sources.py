@@ -133,3 +133,26 @@ def test_records_infer_keys_and_types(spark):
     assert [r["a"] for r in rows] == [None, 1, 2, None, None] and [r["b`"] for r in rows] == [None, None, 2.5, None, 3.0]
     assert rows[3]["m"] == "true" and rows[3]["o"] == '{"k":[1]}' and int(rows[4]["l"]) == 12345678901234567890
     assert records.from_records(df.where("_row = 0"), None).columns == []
+
+
+def test_csv_line_breaks_by_default(spark, sheet_of):
+    p = _csv("a,a,,when\n1,x,NA,2023-01-01\n\n,,,\n2,\"q,r\",None,2023-01-02\n3,\"multi\nline\",null,\n")
+    s = csvsrc.read_csv_sheet(spark, p)
+    assert [tuple(r) for r in s.df.orderBy("_row").collect()] == [
+        (0, 1, "x", None, "2023-01-01"), (1, None, None, None, None),
+        (2, 2, "q,r", None, "2023-01-02"), (3, 3, "multi\nline", None, None)]
+    assert csvsrc.read_csv_sheet(spark, _csv('"a\nb",c\n1,2\n')).columns == ["a\nb", "c"]
+    texts = ["plain"] * 12 + ["x", "two\nlines", "a,b\n\nc", "plain", "z", '"\n', "one, two", "\n", "end"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    path = csvsrc.write_csv_sheet(sheet_of(rows, "k long, s string"), os.path.join(_tmp(), "out dir"), partitions=4)
+    assert 0 < len(csvsrc.files_with_open_quotes(spark, path)) < 4
+    back = csvsrc.read_csv_sheet(spark, path)
+    assert [tuple(r)[1:] for r in back.df.orderBy("_row").collect()] == rows and back.n_rows == len(rows)
+
+
+def test_csv_open_quotes_are_found(spark):
+    closed = ['a,b', '"a",b', 'a,"b, c",""', '"say ""so""",x', '"",""', '""', '"a","b"']
+    opened = ['a,"b', '"a"",b', 'x,"a""', '5" pipe,"open', '"a\\"', '"', 'a"b"c,"d', '"""']
+    for line in closed + opened:
+        found = csvsrc.files_with_open_quotes(spark, _csv(line + "\n"))
+        assert bool(found) == (line in opened), line
