@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import table
+from gridframe.llm.oracles import ORACLES  # noqa: F401
 
 
 def vocabulary(name: str) -> str:
@@ -89,6 +90,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.line_dedup import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed="2")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridframe.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
@@ -100,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_centroids": op12_centroids,
+    "op13_variants": op13_variants,
 }
-
-ORACLES: dict[str, str] = {}
