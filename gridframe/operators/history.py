@@ -1,72 +1,37 @@
 """History replay (H5) and version tables (H4).
 
 H5 replays an action log (commit / undo / redo) per sheet and reports the
-cursor, length and flags after each action.  The machine is sequential by
-nature (no bounded associative summary exists for undo/redo), so each
-sheet's log is streamed in ``seq`` order through one small state (two
-integers per sheet): rows are hash-partitioned by sheet and sorted within
-partitions (spillable), then ``mapInPandas`` walks the Arrow batches.
-Nothing is collected: memory is O(batch), whatever the log length.
-"""
+cursor, length and flags after each action."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.plans.ordinals import ROW
+from gridframe.plans.replay import GROUP, RUN, replayed
 from gridframe.plans.running import carry_last
 from gridframe.session import cut_lineage, scratch_path
 from gridframe.sheet import Sheet
 
-REPLAY_SCHEMA = ("sheet_id bigint, seq bigint, action string, pos bigint, len bigint, "
-                 "can_undo boolean, can_redo boolean")
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sheet, pos, length = None, -1, 0
-    for b in batches:
-        out_pos, out_len = [], []
-        for s, a in zip(b["sheet_id"].to_numpy(), b["action"].to_numpy()):
-            if s != sheet:
-                sheet, pos, length = s, -1, 0
-            if a == "commit":
-                length = pos + 2
-                pos += 1
-            elif a == "undo":
-                if pos > 0:
-                    pos -= 1
-            elif a == "redo":
-                if pos < length - 1:
-                    pos += 1
-            out_pos.append(pos)
-            out_len.append(length)
-        p = pd.Series(out_pos, dtype="int64")
-        n = pd.Series(out_len, dtype="int64")
-        yield pd.DataFrame({
-            "sheet_id": b["sheet_id"].astype("int64").to_numpy(), "seq": b["seq"].astype("int64").to_numpy(),
-            "action": b["action"].to_numpy(), "pos": p, "len": n,
-            "can_undo": p > 0, "can_redo": p < n - 1,
-        })
-
-
-def replay(log: DataFrame, partitions: int | None = None) -> DataFrame:
+
+def replay(log: DataFrame, run: int = RUN, group: int = GROUP) -> DataFrame:
     """H1-H3, H5 over a log ``(sheet_id, seq, action)``: the cursor, length and
     flags after each action, and ``visible_seq``, the commit that is then shown
-    (null while a sheet has none).
-
-    The visible commit is the last one that landed on the cursor's position,
-    carried forward by (sheet, position) in buckets of seq."""
-    spark = log.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (log.select(F.col("sheet_id").cast("bigint"), F.col("seq").cast("bigint"), "action")
-               .repartition(n, "sheet_id").sortWithinPartitions("sheet_id", "seq"))
-    walked = cut_lineage(ordered.mapInPandas(_replay, REPLAY_SCHEMA))
-    is_commit = F.col("action") == "commit"
+    (null while a sheet has none).  Other actions than commit, undo and redo
+    change nothing.
+
+    The machine runs as composed maps of short runs (``plans.replay``), so one
+    sheet's log spans many tasks.  The visible commit is the last one that
+    landed on the cursor's position, carried forward by (sheet, position) in
+    buckets of seq."""
+    ordered = log.select(F.col("sheet_id").cast("bigint").alias("sheet_id"), F.col("seq").cast("bigint").alias("seq"), "action")
+    at = replayed(ordered, "sheet_id", "seq", run, group)
+    walked = cut_lineage(at.select(
+        "sheet_id", "seq", "action", "pos", (F.col("top") + 1).alias("len"),
+        (F.col("pos") > 0).alias("can_undo"), (F.col("pos") < F.col("top")).alias("can_redo")))
+    is_commit = F.col("action").eqNullSafe("commit")
     shown = carry_last(walked, ["sheet_id", "pos"], "seq", F.col("seq"), is_commit, "__shown")
     visible = F.when(is_commit, F.col("seq")).otherwise(F.col("__shown.v")).alias("visible_seq")
     return shown.select(*[c for c in walked.columns], visible)
@@ -103,7 +68,7 @@ class VersionLog:
 
     def _last(self) -> dict:
         """The log's state after its last action."""
-        row = replay(self._actions(), 1).orderBy(F.col("seq").desc()).first()
+        row = replay(self._actions()).orderBy(F.col("seq").desc()).first()
         return row.asDict() if row is not None else {
             "seq": -1, "can_undo": False, "can_redo": False, "visible_seq": None}
 

@@ -8,14 +8,17 @@ of stable column keys.  Work on the driver is per edit, never per row.
 
 A cell edit addresses the sheet as laid out after the structural edits before
 it.  Its place is mapped back to the stable row id and column key by undoing
-those edits, latest first (``stable_place``), so what the executors get is the
-list of edits itself: linear in the batch, however edits interleave.
+those edits, latest first (``stable_place``).  Runs of edits are composed into
+single maps beforehand (``undo_tree``): the executors get one map for each
+aligned run, in all S log S segments for S edits, and a cell edit searches one
+map for each bit of the number of edits before it.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -157,42 +160,112 @@ def compile_edits(n_rows: int, columns: list[str], edits: list[dict]) -> PieceTa
 
 
 # -- places of cell edits, on executors --------------------------------------
-def _literal(rows: list[tuple], schema: str) -> Column:
-    """A constant array of structs, as one literal: linear in ``rows``."""
-    names = [f.split()[0] for f in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    return F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))
+# Undoing one structural edit is a map of positions in a few segments
+# ``(first position, shift, found)``: a position of the segment moves by the
+# shift, and with ``found`` that is its stable id and no earlier edit counts.
+Segments = list[tuple[int, int, bool]]
+
+
+def _undo_map(edit: tuple[int, bool, int, int, int]) -> Segments:
+    _, grown, i, n, first_id = edit
+    moved = [(i, first_id - i, True), (i + n, -n, False)] if grown else [(i, n, False)]
+    return ([(0, 0, False)] if i else []) + moved
+
+
+def _then(later: Segments, earlier: Segments) -> Segments:
+    """The map that undoes ``later`` and after it ``earlier``."""
+    starts = [s for s, _, _ in earlier]
+    out: Segments = []
+
+    def add(start: int, shift: int, found: bool) -> None:
+        if not out or out[-1][1:] != (shift, found):
+            out.append((start, shift, found))
+
+    for k, (start, shift, found) in enumerate(later):
+        if found:
+            add(start, shift, True)
+            continue
+        end = later[k + 1][0] + shift if k + 1 < len(later) else math.inf
+        j = bisect_right(starts, start + shift) - 1
+        at = start + shift
+        while True:
+            add(at - shift, shift + earlier[j][1], earlier[j][2])
+            j += 1
+            if j == len(earlier) or earlier[j][0] >= end:
+                break
+            at = earlier[j][0]
+    return out
+
+
+def undo_tree(edits: list[tuple[int, bool, int, int, int]]) -> list[list[Segments]]:
+    """Level k holds the undo maps of the aligned runs of 2^k edits.  Any first
+    j edits are one run for each bit of j, so few maps undo them all."""
+    levels = [[_undo_map(e) for e in edits]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([_then(below[i + 1], below[i]) for i in range(0, len(below) - 1, 2)])
+    return levels
+
+
+def _constant(values: list, kind: str = "bigint") -> Column:
+    """A constant array as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _last_not_above(values: Column, lo: Column, hi: Column, x: Column, halvings: Column, finish) -> Column:
+    """``finish(i)`` of the last place i in ``[lo, hi]`` whose value is not above
+    ``x``; the value at ``lo`` is not.  ``halvings`` halvings reach one place."""
+    def halve(r: Column, _: Column) -> Column:
+        mid = F.shiftright(r["lo"] + r["hi"] + 1, 1)
+        return F.when(F.get(values, mid) <= x, F.struct(mid.alias("lo"), r["hi"].alias("hi"))).otherwise(
+            F.struct(r["lo"].alias("lo"), (mid - 1).alias("hi")))
+
+    start = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), halvings), start, halve, lambda r: finish(r["lo"]))
+
+
+def _edits_before(seq: Column, seqs: list[int]) -> Column:
+    """How many of the sorted ``seqs`` are below ``seq``."""
+    padded = [-(1 << 63), *seqs]
+    return _last_not_above(
+        _constant(padded), F.lit(0), F.lit(len(seqs)), seq.cast("bigint") - 1, F.lit(len(padded).bit_length()), lambda i: i)
 
 
 def stable_place(place: Column, seq: Column, edits: list[tuple[int, bool, int, int, int]]) -> Column:
     """The stable id at ``place`` of the sheet as it was before the edit ``seq``:
-    earlier structural edits are undone, latest first.  One step for each edit."""
-    start = F.struct(place.cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("id"))
+    the edits before it are undone, latest first, by one composed map for each
+    bit of their number.  A map is searched by halving, so a cell edit takes
+    about the square of the logarithm of the edit list."""
     if not edits:
         return place.cast("bigint")
-    steps = _literal(edits[::-1], "s bigint, grown boolean, i bigint, n bigint, id bigint")
-
-    def moved(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.lit(None).cast("bigint").alias("id"))
-
-    def undo(at: Column, e: Column) -> Column:
-        p = at["p"]
-        inside = F.struct(p.alias("p"), (e["id"] + p - e["i"]).alias("id"))
-        return (F.when(at["id"].isNotNull() | (e["s"] >= seq) | (p < e["i"]), at)
-                .when(~e["grown"], moved(p + e["n"]))
-                .when(p < e["i"] + e["n"], inside).otherwise(moved(p - e["n"])))
-
-    return F.aggregate(steps, start, undo, lambda at: F.coalesce(at["id"], at["p"]))
+    tree = undo_tree(edits)
+    flat = [seg for level in tree for run in level for seg in run]
+    first_run = np.cumsum([0] + [len(level) for level in tree]).tolist()
+    ends = np.cumsum([0] + [len(run) for level in tree for run in level]).tolist()
+    starts, shifts = _constant([s for s, _, _ in flat]), _constant([d for _, d, _ in flat])
+    founds, run_at, level_at = _constant([f for _, _, f in flat], "boolean"), _constant(ends, "int"), _constant(first_run, "int")
+
+    def undo(at: Column, level: Column) -> Column:
+        # Bit ``level`` of n: the run of 2^level edits that ends where the lower bits begin.
+        bits = F.call_function("shiftright", at["n"], level)
+        run = F.get(level_at, level) + bits - 1
+        moved = _last_not_above(
+            starts, F.get(run_at, run), F.get(run_at, run + 1) - 1, at["p"], level + 2,  # 2^level edits: 2^(level + 1) + 1 segments
+            lambda i: F.struct(at["n"].alias("n"), (at["p"] + F.get(shifts, i)).alias("p"), F.get(founds, i).alias("done")))
+        return F.when(at["done"] | (bits.bitwiseAND(F.lit(1)) == 0), at).otherwise(moved)
+
+    start = F.struct(_edits_before(seq, [e[0] for e in edits]).alias("n"), place.cast("bigint").alias("p"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(tree) - 1)), start, undo, lambda at: at["p"])
 
 
 def size_before(seq: Column, pt: PieceTable, n_cols: int) -> tuple[Column, Column]:
     """Rows and columns of the sheet before the edit ``seq``."""
-    first = F.struct(F.lit(pt.n_source_rows).cast("bigint").alias("r"), F.lit(n_cols).cast("bigint").alias("c"))
     if not pt.sizes:
-        return first["r"], first["c"]
-    steps = _literal(pt.sizes, "s bigint, r bigint, c bigint")
-    at = F.aggregate(steps, first, lambda a, e: F.when(e["s"] < seq, F.struct(e["r"].alias("r"), e["c"].alias("c"))).otherwise(a))
-    return at["r"], at["c"]
+        return F.lit(pt.n_source_rows).cast("bigint"), F.lit(n_cols).cast("bigint")
+    n = _edits_before(seq, [s for s, _, _ in pt.sizes])
+    rows = _constant([pt.n_source_rows, *[r for _, r, _ in pt.sizes]])
+    cols = _constant([n_cols, *[c for _, _, c in pt.sizes]])
+    return F.get(rows, n), F.get(cols, n)
 
 
 # -- applying segment maps on executors -----------------------------------
