@@ -891,6 +891,24 @@ def csv_roundtrip(spark, sf):
     return csvsrc.read_csv_sheet(spark, path).df
 
 
+_QUOTED_CELL = """CASE o_orderkey % 6 WHEN 0 THEN 'say ""so"", ' || o_orderpriority WHEN 1 THEN 'C:\\dir\\'
+  WHEN 2 THEN 'two' || chr(10) || 'lines, "' || o_orderpriority || '"' WHEN 3 THEN '"' || o_orderkey || '"'
+  WHEN 4 THEN '5" pipe' || chr(13) || chr(10) ELSE o_orderpriority END"""
+
+
+@query("csv_quotes", f"SELECT _row, o_orderkey, {_QUOTED_CELL} AS note, o_totalprice FROM ({fx.ORDERS_SHEET_SQL}) s")
+def csv_quotes(spark, sf):
+    """S1, S4 with quotes, backslashes and line breaks in cells."""
+    from gridframe.sheet import Sheet
+    s = fx.orders_sheet(spark, sf)
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    note = (F.when(k % 6 == 0, F.concat(F.lit('say ""so"", '), p)).when(k % 6 == 1, F.lit("C:\\dir\\"))
+            .when(k % 6 == 2, F.concat(F.lit('two\nlines, "'), p, F.lit('"'))).when(k % 6 == 3, F.concat(F.lit('"'), k, F.lit('"')))
+            .when(k % 6 == 4, F.lit('5" pipe\r\n')).otherwise(p))
+    path = csvsrc.write_csv_sheet(Sheet(s.df.select("_row", "o_orderkey", note.alias("note"), "o_totalprice"), s.n_rows), scratch_path(spark, "csv"))
+    return csvsrc.read_csv_sheet(spark, path).df
+
+
 _REC = ("to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, "
         "'o_totalprice': o_totalprice, 'o_orderdate': coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ''), "
         "'o_orderpriority': o_orderpriority})")

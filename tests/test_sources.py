@@ -151,8 +151,39 @@ def test_csv_line_breaks_by_default(spark, sheet_of):
 
 
 def test_csv_open_quotes_are_found(spark):
-    closed = ['a,b', '"a",b', 'a,"b, c",""', '"say ""so""",x', '"",""', '""', '"a","b"']
-    opened = ['a,"b', '"a"",b', 'x,"a""', '5" pipe,"open', '"a\\"', '"', 'a"b"c,"d', '"""']
+    closed = ['a,b', '"a",b', 'a,"b, c",""', '"say ""so""",x', '"",""', '""', '"a","b"', '"a\\"', 'a"b"c,d"', '5" pipe,x']
+    opened = ['a,"b', '"a"",b', 'x,"a""', '5" pipe,"open', '"', 'a"b"c,"d', '"""']
     for line in closed + opened:
         found = csvsrc.files_with_open_quotes(spark, _csv(line + "\n"))
         assert bool(found) == (line in opened), line
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_csv_reads_and_writes_as_pandas_does(spark, sheet_of, seed, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from gridframe.plans import running
+
+    monkeypatch.setattr(running, "_MIN_WIDTH", 3)  # states are carried over many buckets
+    r = random.Random(seed)
+    bits = ['"', "\\", "\n", ",", "x", " y", "é", '""', "\r\n", "'", '"\n"', '",\n"', "C:\\dir\\"]
+    rows = [(i, "t" + "".join(r.choice(bits) for _ in range(r.randint(0, 6))) + "t", r.choice(["p", 'q"', None])) for i in range(120)]
+    p = os.path.join(_tmp(), "t.csv")
+    pd.DataFrame(rows, columns=["k", "a", "b"]).to_csv(p, index=False)
+    want = [tuple(None if pd.isna(v) else v for v in x) for x in pd.read_csv(p).itertuples(index=False)]
+    got = [tuple(x)[1:] for x in csvsrc.read_csv_sheet(spark, p).df.orderBy("_row").collect()]
+    assert got == want == rows
+    out = csvsrc.write_csv_sheet(sheet_of(rows, "k long, a string, b string"), os.path.join(_tmp(), "o"), partitions=3)
+    parts = sorted(f for f in os.listdir(out) if f.endswith(".csv"))
+    frames = [pd.read_csv(os.path.join(out, f), header=0 if i == 0 else None, names=["k", "a", "b"]) for i, f in enumerate(parts)]
+    back = [tuple(None if pd.isna(v) else v for v in x) for x in pd.concat(frames).itertuples(index=False)]
+    assert back == rows
+    again = csvsrc.read_csv_sheet(spark, out)
+    assert [tuple(x)[1:] for x in again.df.orderBy("_row").collect()] == rows
+
+
+def test_csv_that_ends_inside_quotes_raises(spark):
+    with pytest.raises(csvsrc.OpenQuotes):
+        csvsrc.read_csv_sheet(spark, _csv('a,b\n1,"never closed\n2,x\n'))
