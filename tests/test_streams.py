@@ -1,9 +1,7 @@
 import datetime as dt
 
-import pytest
-
 from gridframe.streaming.edits import current_cells, merge_batch, run_edit_stream
-from gridframe.streaming.sessions import LateRows, run_session_stream
+from gridframe.streaming.sessions import run_session_stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -23,16 +21,43 @@ def test_files_out_of_time_order_lose_nothing(spark, tmp_path):
     assert sorted((r.session_id, r.accesses) for r in got) == [(u, n) for u in range(5) for n in (2, 3)]
 
 
-def test_late_rows_raise(spark, tmp_path):
+def result(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_late_accesses_correct_closed_sessions(spark, tmp_path):
+    src = str(tmp_path / "src")
+    args = (spark, src, str(tmp_path / "out"), str(tmp_path / "ck"))
+
+    def at(m):
+        return T0 + dt.timedelta(minutes=m)
+
+    accesses(spark, src, [(1, 0), (1, 100), (2, 0)])
+    run_session_stream(*args, delay="1 minute")
+    accesses(spark, src, [(1, 5000)])
+    first = result(run_session_stream(*args, delay="1 minute"))
+    assert first == [(1, at(0), at(0), 1), (1, at(100), at(100), 1), (2, at(0), at(0), 1)]
+    # Late: joins user 1's closed sessions, exactly the timeout apart, and starts one of user 3.
+    accesses(spark, src, [(1, 50), (3, 7), (2, 60)])
+    want = [(1, at(0), at(100), 3), (2, at(0), at(60), 2), (3, at(7), at(7), 1)]
+    for _ in range(2):  # the second run has nothing new and returns no less
+        assert result(run_session_stream(*args, delay="1 minute")) == want
+
+
+def test_any_split_into_batches_gives_the_batch_answer(spark, tmp_path):
+    import random
+
+    from gridframe.operators.logs import sessionize
+    from gridframe.streaming.sessions import stored_sessions
+
+    r = random.Random(5)
+    rows = [(0 if r.random() < 0.5 else r.randint(1, 4), r.randint(0, 4000)) for _ in range(300)]
     src = str(tmp_path / "src")
-    for m in (0, 5000, 10):
-        accesses(spark, src, [(1, m)])
-        args = (spark, src, str(tmp_path / "out"), str(tmp_path / "ck"))
-        if m == 10:
-            with pytest.raises(LateRows):
-                run_session_stream(*args, delay="1 minute")
-        else:
-            run_session_stream(*args, delay="1 minute")
+    for k in range(5):
+        accesses(spark, src, rows[k::5])
+    run_session_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), delay="0 seconds", max_files=1)
+    whole = sessionize(spark.read.schema("session_id bigint, ts timestamp_ntz").parquet(src))
+    assert result(stored_sessions(spark, str(tmp_path / "out"))) == result(whole)
 
 
 def edits(spark, rows):
