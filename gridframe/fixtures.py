@@ -250,3 +250,49 @@ SELECT cls || '/' || CASE WHEN cls = 'script' AND doc_id % 2 = 0 THEN 'script_'
   n_chars * 4096 AS length, TIMESTAMP '2025-01-01 00:00:00' - doc_id * INTERVAL 1 MINUTE AS modified, cls AS class
 FROM (SELECT *, ['upload', 'download', 'json', 'script', 'temp'][CAST((doc_id // 5) % 5 + 1 AS INTEGER)] AS cls,
   ['.csv', '.XLSX', '.xls', '.txt', ''][CAST(doc_id % 5 + 1 AS INTEGER)] AS ext FROM documents)"""
+
+
+#: Orders in one workbook.
+BOOK_ROWS = 500
+
+
+def order_books(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): the orders sheet as workbooks of two sheets, written in tasks."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+    def text(v) -> str:
+        return f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    def sheet(rows: list[str]) -> str:
+        return f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{r}</row>" for r in rows)}</sheetData></worksheet>'
+
+    def book(orders: pd.DataFrame) -> pd.DataFrame:
+        orders = orders.sort_values("_row")
+        names = list(ORDERS_COLS)
+        days = (orders["o_orderdate"] - pd.Timestamp(1899, 12, 30)) / pd.Timedelta(days=1)
+        rows = ["".join(map(text, names))]
+        for (_, o), day in zip(orders.iterrows(), days, strict=True):
+            cells = [f'<c s="1"><v>{float(day)!r}</v></c>' if c == "o_orderdate" else
+                     f"<c><v>{o[c].item() if hasattr(o[c], 'item') else o[c]}</v></c>" if c in ("o_orderkey", "o_custkey", "o_totalprice") else text(o[c]) for c in names]
+            rows.append("".join(cells))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="orders" sheetId="1" '
+                       'r:id="a"/><sheet name="size" sheetId="2" r:id="b"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="a" '
+                       'Target="worksheets/s1.xml"/><Relationship Id="b" Target="worksheets/s2.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+            z.writestr("xl/worksheets/s1.xml", sheet(rows))
+            z.writestr("xl/worksheets/s2.xml", sheet([text("rows"), f"<c><v>{len(orders)}</v></c>"]))
+        return pd.DataFrame({"path": [f"book-{orders['_row'].iloc[0] // BOOK_ROWS}.xlsx"], "content": [out.getvalue()]})
+
+    rows = orders_sheet(spark, sf).df
+    return rows.groupBy(F.floor(F.col("_row") / BOOK_ROWS)).applyInPandas(book, "path string, content binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.text import qc
@@ -12,6 +12,7 @@ from gridframe.functions.text import qc
 from gridframe.functions.letters import column_letters
 from gridframe.functions import selection as sel
 from gridframe.plans.ordinals import ROW
+from gridframe.session import scratch_path
 from gridframe.sheet import Sheet
 
 
@@ -45,17 +46,18 @@ def parse_selection_text(spark: SparkSession, text: str) -> list[Row]:
 
 def read_range(sheet: Sheet, selection: str) -> DataFrame:
     """Rows in any rectangle, columns in any rectangle (sheet order);
-    with several rectangles, cells outside all of them are nulled.
+    with several rectangles, cells outside all of them are nulled.  A selection
+    that leaves the sheet raises (A6).
 
     Row bounds become a ``_row`` range filter, which reaches the scan when the
     sheet is stored sorted by ``_row``; columns are a positional projection."""
     rects = parse_selection_text(sheet.df.sparkSession, selection)
     cols = sheet.columns
     last_col = len(cols) - 1
-    spans = []
-    for r in rects:
-        c2 = last_col if r.c2 is None else min(r.c2, last_col)
-        spans.append((r.r1, r.r2, r.c1, c2))
+    spans = [(r.r1, r.r2, r.c1, last_col if r.c2 is None else r.c2) for r in rects]
+    last_row = max([r1 if r2 is None else r2 for r1, r2, _, _ in spans if (r1, r2) != (0, None)], default=-1)
+    if max(max(c1, c2) for _, _, c1, c2 in spans) > last_col or (last_row >= 0 and last_row >= sheet.n_rows):
+        raise ValueError(f"selection {selection!r} leaves the sheet")
     wanted = sorted({c for _, _, c1, c2 in spans for c in range(c1, c2 + 1)})
 
     def in_rows(r1, r2):
@@ -80,6 +82,40 @@ def read_range(sheet: Sheet, selection: str) -> DataFrame:
     return out.select(ROW, *projected)
 
 
+#: Sheet rows that one bucket of the join of rectangles holds.
+RECT_ROWS = 256
+
+
+def parsed_selections(sheet: Sheet, selections: DataFrame) -> DataFrame:
+    """``selections`` (id, selection) with ``rects``, open ends filled, and
+    ``error``: null, or why the selection can't be read (A5, A6)."""
+    size = F.lit(sheet.n_rows).cast("bigint"), F.lit(sheet.n_cols).cast("bigint")
+    parsed = selections.select("id", "selection", sel.parse_selection("selection").alias("__r"))
+    error = F.when(F.col("__r").isNull(), "invalid").when(~sel.selection_in_bounds(F.col("__r"), *size), "leaves the sheet")
+    return parsed.select("id", "selection", sel.resolve_rects(F.col("__r"), *size).alias("rects"), error.alias("error"))
+
+
+def read_ranges(sheet: Sheet, selections: DataFrame) -> DataFrame:
+    """A8 for a table of selections (id, selection): (id, part, _row, col, cells),
+    for each rectangle (``part``, from 0) one row for each sheet row in it, its
+    cells as texts from column ``col`` on.  Selections that ``parsed_selections``
+    marks with an error give none.
+
+    Rectangles and sheet rows meet in buckets of ``RECT_ROWS`` rows, so a row is
+    compared with the rectangles of its bucket only and the plan has the same
+    size for any number of selections."""
+    types = dict(sheet.df.dtypes)
+    texts = [F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss") if types[c].startswith("timestamp") else qc(c).cast("string")
+             for c in sheet.columns]
+    rects = parsed_selections(sheet, selections).where("error is null").select("id", F.posexplode("rects").alias("part", "r"))
+    bucket = lambda c: F.floor(c / RECT_ROWS).cast("bigint")
+    spread = rects.select("id", "part", "r.*", F.explode(F.sequence(bucket(F.col("r.r1")), bucket(F.col("r.r2")))).alias("__b"))
+    rows = sheet.df.select(ROW, F.array(*texts).alias("__cells"), bucket(F.col(ROW)).alias("__b"))
+    met = rows.join(spread, "__b").where((F.col(ROW) >= F.col("r1")) & (F.col(ROW) <= F.col("r2")))
+    return met.select("id", F.col("part").cast("int").alias("part"), ROW, F.col("c1").alias("col"),
+                      F.slice("__cells", (F.col("c1") + 1).cast("int"), (F.col("c2") - F.col("c1") + 1).cast("int")).alias("cells"))
+
+
 def grid_page(sheet: Sheet, start: int, stop: int) -> DataFrame:
     """One page of the grid view (rows ``start`` .. ``stop``-1), datetimes
     as 'yyyy-MM-dd HH:mm:ss' ('' when missing); never collects the sheet."""
@@ -146,3 +182,57 @@ def cell_search(sheet: Sheet, term: str, k: int = 10, columns: list[str] | None
     lst = cell_listing(sheet, columns)
     hit = F.lower("text").contains(t) | F.lower("description").contains(t)
     return lst.where(hit).orderBy("kind", "col", "row").limit(k)
+
+
+#: Longest grams of the search index; a shorter term is looked up as it is.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+
+
+class SearchIndex:
+    """A12 for many terms: the listing of a sheet and a posting table of the
+    grams of its texts, both stored.
+
+    A term is looked up by the rarest of its grams and the entries found are
+    verified, so terms read candidates and not the sheet."""
+
+    def __init__(self, sheet: Sheet, columns: list[str] | None = None, path: str | None = None) -> None:
+        self.spark = sheet.df.sparkSession
+        self.path = path or scratch_path(self.spark, "search")
+        lowered = [F.lower("text").alias("lt"), F.lower("description").alias("ld")]
+        cell_listing(sheet, columns).select("*", *lowered).write.parquet(f"{self.path}/listing")
+        both = [_grams(F.col(c), n) for c in ("lt", "ld") for n in range(1, GRAM + 1)]
+        posts = self.listing().select("kind", "col", "row", F.explode(F.array_distinct(F.concat(*both))).alias("gram"))
+        posts.repartitionByRange("gram", "kind", "col", "row").sortWithinPartitions("gram").write.parquet(f"{self.path}/postings")
+        self.postings().groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/grams")
+
+    def listing(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/listing")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def search(self, terms: DataFrame, k: int = 10) -> DataFrame:
+        """(term, rank, kind, col, row, text, description): for each distinct term
+        its first ``k`` suggestions in listing order, as ``cell_search`` gives
+        them.  The limit is the feature."""
+        wanted = terms.select("term", F.lower("term").alias("lower")).where("term <> ''").distinct()
+        size = F.least(F.length("lower"), F.lit(GRAM))
+        places = F.sequence(F.lit(1), F.length("lower") - size + 1)
+        grams = wanted.select("term", "lower", F.explode(F.array_distinct(
+            F.transform(places, lambda i: F.substring(F.col("lower"), i, size)))).alias("gram"))
+        # A gram that no entry holds rules its term out.
+        counted = grams.join(self.spark.read.parquet(f"{self.path}/grams"), "gram", "left")
+        rarest = counted.groupBy("term", "lower").agg(
+            F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+        found = rarest.where("n > 0").join(self.postings(), "gram").select("term", "lower", "kind", "col", "row")
+        hits = found.join(self.listing(), ["kind", "col", "row"]).where(F.contains("lt", "lower") | F.contains("ld", "lower"))
+        first = Window.partitionBy("term").orderBy("kind", "col", "row")
+        ranked = hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        return ranked.select("term", "rank", "kind", "col", "row", "text", "description")

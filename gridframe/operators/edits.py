@@ -196,11 +196,12 @@ def remove_cols(sheet: Sheet, index: int, amount: int = 1) -> Sheet:
 
 
 def drop_cols_by_letters(sheet: Sheet, letters: list[str]) -> Sheet:
-    """Resolve every letter first, then drop those positions at once."""
+    """Resolve every letter first, then drop those positions at once; letters
+    past the last column are refused."""
     from gridframe.operators.address import letters_to_index
 
     idx = {letters_to_index(s) for s in letters}
-    if -1 in idx:
+    if -1 in idx or max(idx, default=-1) >= sheet.n_cols:
         raise EditError(f"bad column letters {letters}")
     keep = [c for i, c in enumerate(sheet.columns) if i not in idx]
     return Sheet(sheet.df.select(ROW, *[qc(c) for c in keep]), sheet._n_rows)

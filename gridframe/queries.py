@@ -54,6 +54,32 @@ def range_list(spark, sf):
     return address.read_range(fx.orders_sheet(spark, sf), "A1, B2:C4, 7")
 
 
+_CELLS = ("[CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), "
+          "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority]")
+
+
+@query("range_batch", f"""
+WITH n AS (SELECT count(*) AS n FROM orders),
+r AS (SELECT event_id AS id, 0 AS part, event_id * 13 % n AS r1, event_id * 13 % n + user_id % 7 AS r2, event_id % 4 AS c1,
+        event_id % 4 + event_id % 3 AS c2, n FROM events, n WHERE event_id % 10 > 0
+      UNION ALL SELECT event_id, 0, event_id * 7 % n, event_id * 7 % n + 1, 0, 5, n FROM events, n WHERE event_id % 10 = 0
+      UNION ALL SELECT event_id, 1, user_id, user_id, 2, 2, n FROM events, n WHERE event_id % 10 = 0),
+ok AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM r WHERE r2 >= n OR c2 > 5))
+SELECT id, part, _row, c1 AS col, ({_CELLS})[c1 + 1:c2 + 1] AS cells
+FROM ok JOIN ({fx.ORDERS_SHEET_SQL}) s ON _row BETWEEN r1 AND r2""")
+def range_batch(spark, sf):
+    """A8 for as many selections as events; some leave the sheet."""
+    sheet = fx.orders_sheet(spark, sf)
+    k, n = F.col("event_id"), sheet.n_rows
+    letter = lambda c: F.chr((c + 65).cast("int"))
+    text = lambda c: c.cast("string")
+    r1 = k * 13 % n
+    block = F.concat(letter(k % 4), text(r1 + 1), F.lit(":"), letter(k % 4 + k % 3), text(r1 + F.col("user_id") % 7 + 1))
+    rows = F.concat(text(k * 7 % n + 1), F.lit(":"), text(k * 7 % n + 2), F.lit(", c"), text(F.col("user_id") + 1))
+    ev = fx.table(spark, sf, "events").select(k.alias("id"), F.when(k % 10 > 0, block).otherwise(rows).alias("selection"))
+    return address.read_ranges(sheet, ev)
+
+
 # -- S6 grid page / S7 metadata -----------------------------------------------
 @query("grid_page", f"""
 SELECT _row, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -879,6 +905,22 @@ def cell_search(spark, sf):
     return address.cell_search(fx.customer_sheet(spark, sf), "uildin", 10)
 
 
+_TERMS = """(SELECT DISTINCT CAST(event_id % 1000 AS VARCHAR) AS term FROM events
+  UNION SELECT upper(substr(c_mktsegment, 2, 4)) FROM customer UNION SELECT n_name FROM nation)"""
+
+
+@query("cell_search_batch", f"""SELECT term, rank, kind, col, row, text, description FROM (
+  SELECT t.term, l.*, row_number() OVER (PARTITION BY t.term ORDER BY kind, col, row) AS rank
+  FROM {_TERMS} t JOIN ({_LISTING_SQL}) l ON contains(lower(l.text), lower(t.term)) OR contains(lower(description), lower(t.term)))
+WHERE rank <= 10""")
+def cell_search_batch(spark, sf):
+    """A12 for a table of terms, short ones too, through the gram index."""
+    numbers = fx.table(spark, sf, "events").select((F.col("event_id") % 1000).cast("string").alias("term"))
+    words = fx.table(spark, sf, "customer").select(F.upper(F.substring("c_mktsegment", 2, 4)).alias("term"))
+    terms = numbers.union(words).union(fx.table(spark, sf, "nation").select("n_name"))
+    return address.SearchIndex(fx.customer_sheet(spark, sf)).search(terms, 10)
+
+
 # -- S1/S3-S5 sources and sinks, T1/T2 streams ----------------------------------------------------
 from gridframe.session import scratch_path  # noqa: E402
 from gridframe.sources import csv as csvsrc, records  # noqa: E402
@@ -909,6 +951,19 @@ def csv_quotes(spark, sf):
     return csvsrc.read_csv_sheet(spark, path).df
 
 
+@query("workbook_folder", f"""
+WITH o AS ({fx.ORDERS_SHEET_SQL}), b AS (SELECT *, _row // {fx.BOOK_ROWS} AS book FROM o)
+SELECT 'book-' || book || '.xlsx' AS path, _row % {fx.BOOK_ROWS} AS _row, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  o_orderdate, o_orderpriority, count(*) OVER (PARTITION BY book) AS rows FROM b""")
+def workbook_folder(spark, sf):
+    """All sheets of many workbooks; the second sheet tells the rows of the first."""
+    from gridframe.session import cut_lineage
+    from gridframe.sources import workbook
+    rows = cut_lineage(workbook.parse_workbooks(fx.order_books(spark, sf)))
+    size = workbook.workbook_table(rows, "size").drop("_row")
+    return workbook.workbook_table(rows, "orders").join(size, "path")
+
+
 _REC = ("to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, "
         "'o_totalprice': o_totalprice, 'o_orderdate': coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ''), "
         "'o_orderpriority': o_orderpriority})")

@@ -2,7 +2,8 @@
 
 Files are read through Spark's ``binaryFile`` source, so any shared storage
 will do, and parsed in tasks with the standard library (``zipfile`` +
-``xml.etree``)."""
+``xml.etree``): the rows of all sheets stream out of the compressed parts, so a
+task holds one compressed file, its shared texts and a batch of rows."""
 
 from __future__ import annotations
 
@@ -10,10 +11,17 @@ import datetime as _dt
 import io
 import re
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridframe.functions.text import number_cast
+from gridframe.plans.ordinals import ROW
+from gridframe.sources.csv import header_names
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -21,6 +29,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 # Built-in number formats that denote dates (ids 14-22, 45-47).
 _DATE_FORMAT_IDS = set(range(14, 23)) | {45, 46, 47}
 _EPOCH = _dt.datetime(1899, 12, 30)
+_M = f"{{{_NS['m']}}}"
 
 
 def _col_index(ref: str) -> int:
@@ -31,18 +40,6 @@ def _col_index(ref: str) -> int:
     return v - 1
 
 
-def _first_sheet_path(z: zipfile.ZipFile) -> str:
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    first = wb.find("m:sheets/m:sheet", _NS)
-    rid = first.get(f"{{{_NS['r']}}}id")
-    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    for rel in rels.findall("pr:Relationship", _NS):
-        if rel.get("Id") == rid:
-            target = rel.get("Target").lstrip("/")
-            return target if target.startswith("xl/") else f"xl/{target}"
-    return "xl/worksheets/sheet1.xml"
-
-
 def _date_styles(z: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in z.namelist():
         return set()
@@ -58,56 +55,145 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return out
 
 
-def read_first_sheet(path) -> list[tuple[int, list[str | None]]]:
-    """(row index, cells) of the first sheet of a path or file object; row indexes are 0-based and
-    rows missing from the file are returned as empty lists."""
-    with zipfile.ZipFile(path) as z:
+def _elements(z: zipfile.ZipFile, path: str, tag: str) -> Iterator[ET.Element]:
+    """The elements ``tag`` of a part as they are read; each is dropped after use."""
+    with z.open(path) as part:
+        parents: list[ET.Element] = []
+        for event, e in ET.iterparse(part, events=("start", "end")):
+            if event == "start":
+                parents.append(e)
+                continue
+            parents.pop()
+            if e.tag == tag:
+                yield e
+                if parents:
+                    parents[-1].remove(e)
+
+
+def _sheets(z: zipfile.ZipFile) -> tuple[list[tuple[str, str]], _dt.datetime]:
+    """(name, part) of all sheets in order, and the day that serial dates count from."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    rels = {r.get("Id"): r.get("Target", "").lstrip("/") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    out = []
+    for sheet in book.findall("m:sheets/m:sheet", _NS):
+        target = rels[sheet.get(f"{{{_NS['r']}}}id")]
+        out.append((sheet.get("name"), target if target.startswith("xl/") else f"xl/{target}"))
+    props = book.find("m:workbookPr", _NS)
+    late = props is not None and props.get("date1904") in ("1", "true")
+    return out, _dt.datetime(1904, 1, 1) if late else _EPOCH
+
+
+def _cell(c: ET.Element, shared: list[str], dates: set[int], epoch: _dt.datetime) -> tuple[str | None, str | None]:
+    """(kind, text) of a cell: kind s text, n number, b boolean, d date, e error; none where it is empty."""
+    t, v = c.get("t", "n"), c.find(f"{_M}v")
+    if t == "inlineStr":
+        return "s", "".join(x.text or "" for x in c.iter(f"{_M}t"))
+    if v is None or v.text is None:
+        return None, None
+    if t == "s":
+        return "s", shared[int(v.text)]
+    if t == "b":
+        return "b", "TRUE" if v.text == "1" else "FALSE"
+    if t == "n" and int(c.get("s", "0")) in dates:
+        at = epoch + _dt.timedelta(milliseconds=round(float(v.text) * 86_400_000))
+        return "d", at.strftime("%Y-%m-%d %H:%M:%S") + (f".{at.microsecond // 1000:03d}" if at.microsecond else "")
+    return {"str": "s", "e": "e", "d": "d"}.get(t, "n"), v.text
+
+
+def workbook_rows(file) -> Iterator[tuple[int, str, int, list, list]]:
+    """(sheet number, sheet name, row, cells, kinds) of all sheets of a path or
+    file object, as they are read.  Rows count from 0; those missing in the file
+    are empty lists.  Only the shared texts are held."""
+    with zipfile.ZipFile(file) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            shared = ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in _elements(z, "xl/sharedStrings.xml", f"{_M}si")]
         dates = _date_styles(z)
-        sheet = ET.fromstring(z.read(_first_sheet_path(z)))
-    rows: dict[int, list[str | None]] = {}
-    for row in sheet.findall("m:sheetData/m:row", _NS):
-        r = int(row.get("r")) - 1
-        cells: list[str | None] = []
-        for c in row.findall("m:c", _NS):
-            j = _col_index(c.get("r")) if c.get("r") else len(cells)
-            t, v = c.get("t"), c.find("m:v", _NS)
-            if t == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            elif t == "b" and v is not None:
-                val = "TRUE" if v.text == "1" else "FALSE"
-            elif v is not None and int(c.get("s", "0")) in dates:
-                val = (_EPOCH + _dt.timedelta(days=float(v.text))).strftime("%Y-%m-%d %H:%M:%S")
-            else:
-                val = v.text if v is not None else None
-            cells.extend([None] * (j - len(cells)))
-            cells.append(val)
-        rows[r] = cells
-    last = max(rows, default=-1)
-    return [(i, rows.get(i, [])) for i in range(last + 1)]
-
-
-SCHEMA = "path string, _row bigint, cells array<string>, error string"
-
-
-def _parse(batches):
+        sheets, epoch = _sheets(z)
+        for number, (name, part) in enumerate(sheets):
+            at = 0
+            for row in _elements(z, part, f"{_M}row"):
+                own = int(row.get("r", at + 1)) - 1
+                for gap in range(at, own):
+                    yield number, name, gap, [], []
+                cells, kinds = [], []
+                for c in row.findall(f"{_M}c"):
+                    j = _col_index(c.get("r")) if c.get("r") else len(cells)
+                    kind, text = _cell(c, shared, dates, epoch)
+                    cells += [None] * (j - len(cells)) + [text]
+                    kinds += [None] * (j - len(kinds)) + [kind]
+                yield number, name, own, cells, kinds
+                at = own + 1
+
+
+def read_first_sheet(path) -> list[tuple[int, list[str | None]]]:
+    """(row, cells) of the first sheet of a path or file object."""
+    return [(row, cells) for number, _, row, cells, _ in workbook_rows(path) if number == 0]
+
+
+SCHEMA = "path string, sheet_no int, sheet string, _row bigint, cells array<string>, kinds array<string>, error string"
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+#: Sheet rows that a task returns at once.
+_BATCH = 2000
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows = workbook_rows(io.BytesIO(content))
             try:
-                rows = read_first_sheet(io.BytesIO(content))
-                yield pd.DataFrame({"path": path, "_row": [r for r, _ in rows], "cells": [c for _, c in rows], "error": None})
+                while part := [(path, *r, None) for r in islice(rows, _BATCH)]:
+                    yield pd.DataFrame(part, columns=_NAMES)
             except Exception as e:  # one bad file is a marked row, not the end of the job
-                yield pd.DataFrame({"path": [path], "_row": [None], "cells": [None], "error": [f"{type(e).__name__}: {e}"]})
+                bad = (path, None, None, None, None, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([bad], columns=_NAMES)
 
 
-def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
-    """The first sheet of every workbook below ``path`` (a folder, file or
-    glob of any file system Spark reads), one row for each sheet row, blank rows
-    kept.  A file that cannot be parsed gives one row with ``error``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """S2 over workbooks in a table (path, content): one row for each row of
+    each sheet, blank rows kept, with its cells as texts and their kinds.  A file
+    that cannot be parsed gives one row with ``error`` after the rows before it."""
     return files.select("path", "content").mapInPandas(_parse, SCHEMA)
+
+
+def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """``parse_workbooks`` of every workbook below ``path`` (a folder, file or
+    glob of any file system Spark reads)."""
+    return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def workbook_table(rows: DataFrame, sheet: str | int = 0) -> DataFrame:
+    """The sheets named ``sheet`` (or of that number) of all workbooks as one
+    typed table: (path, _row, columns).  Row 0 of a sheet is its header, named by
+    the CSV rules; columns are matched by name, a workbook without one has it
+    empty, and blank rows go.  A column whose cells are all whole numbers is
+    bigint, all numbers double, all booleans boolean, all dates timestamp, else
+    text; error cells are missing."""
+    own = rows.where("error is null").where(F.col("sheet" if isinstance(sheet, str) else "sheet_no") == sheet)
+    heads = own.where(f"{ROW} = 0").select("path", F.col("cells").alias("head"))
+    named = {tuple(h): header_names(list(h)) for h in (r["head"] for r in heads.select("head").distinct().collect())}
+    columns = list(dict.fromkeys(n for names in named.values() for n in names))
+    if not columns:
+        return own.select("path", ROW).limit(0)
+    names = rows.sparkSession.createDataFrame([(list(h), n) for h, n in named.items()], "head array<string>, names array<string>")
+    heads = heads.join(F.broadcast(names), heads["head"].eqNullSafe(names["head"])).select("path", "names")
+    body = own.where(f"{ROW} > 0").join(heads, "path").where(F.exists("cells", lambda c: c.isNotNull()))
+
+    def cell(name: str, field: str) -> Column:
+        return F.get(field, F.array_position("names", name).cast("int") - 1)
+
+    cells = body.select("path", (F.col(ROW) - 1).alias(ROW), *[
+        F.struct(cell(n, "kinds").alias("k"), F.when(cell(n, "kinds") != "e", cell(n, "cells")).alias("v")).alias(f"c{i}")
+        for i, n in enumerate(columns)])
+    tests = {"n": lambda c: c["k"] == "n", "w": lambda c: (c["k"] == "n") & number_cast(c["v"], "bigint").isNotNull(),
+             "b": lambda c: c["k"] == "b", "d": lambda c: c["k"] == "d"}
+    counts = cells.agg(*[F.count(f"c{i}.v").alias(f"all{i}") for i in range(len(columns))],
+                       *[F.count_if((F.col(f"c{i}.v").isNotNull()) & t(F.col(f"c{i}"))).alias(f"{k}{i}")
+                         for k, t in tests.items() for i in range(len(columns))]).first()
+    kinds = {"w": "bigint", "n": "double", "b": "boolean", "d": "timestamp_ntz"}
+    out = []
+    for i, n in enumerate(columns):
+        kind = next((t for k, t in kinds.items() if counts[f"all{i}"] and counts[f"{k}{i}"] == counts[f"all{i}"]), "string")
+        v = F.col(f"c{i}.v")
+        out.append((number_cast(v, kind) if kind in ("bigint", "double") else v.cast(kind)).alias(n))
+    return cells.select("path", ROW, *out)

@@ -205,3 +205,21 @@ def test_sessions_ignore_session_time_zone(spark):
     utc = sorted((r.accesses, str(r.session_start)) for r in logs.sessionize(df).collect())
     # 01:30 -> 03:00 is 90 minutes of wall clock: two sessions in any zone
     assert la == utc == [(1, "2024-03-10 01:30:00"), (2, "2024-03-10 03:00:00")]
+
+
+def test_selections_that_leave_the_sheet_raise(spark, sheet_of):
+    from gridframe.operators import address
+    from gridframe.operators.edits import EditError, drop_cols_by_letters
+
+    s = sheet_of([(i, f"v{i}") for i in range(4)], "a long, b string")
+    for bad in ("C1", "A5", "A1:B9", "3, D", "5"):
+        with pytest.raises(ValueError):
+            address.read_range(s, bad)
+    with pytest.raises(EditError):
+        drop_cols_by_letters(s, ["A", "C"])
+    asked = spark.createDataFrame([(1, "B2:A1"), (2, "C1"), (3, "x!"), (4, "B, 4"), (5, "")], "id long, selection string")
+    assert {r.id: r.error for r in address.parsed_selections(s, asked).collect()} == {
+        1: None, 2: "leaves the sheet", 3: "invalid", 4: None, 5: None}
+    got = sorted(tuple(r) for r in address.read_ranges(s, asked).collect())
+    assert got == [(1, 0, 0, 0, ["0", "v0"]), (1, 0, 1, 0, ["1", "v1"]), *[(4, 0, i, 1, [f"v{i}"]) for i in range(4)],
+                   (4, 1, 3, 0, ["3", "v3"])]

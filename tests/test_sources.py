@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridframe.sources import csv as csvsrc
 from gridframe.sources import records
-from gridframe.sources.workbook import read_first_sheet, read_workbooks
+from gridframe.sources.workbook import read_first_sheet, read_workbooks, workbook_table
 
 
 def _tmp():
@@ -90,7 +90,12 @@ def test_workbook_folder(spark):
     with open(os.path.join(d, "broken.xlsx"), "w") as f:
         f.write("no workbook")
     df = read_workbooks(spark, d)
-    assert df.where("error is null").count() == 12
+    assert df.where("error is null and sheet_no = 0").count() == 12
+    assert [tuple(r) for r in df.where("sheet = 'Second'").select("_row", "cells", "kinds").distinct().collect()] == [(0, ["99"], ["n"])]
+    typed = workbook_table(df)
+    assert typed.dtypes == [("path", "string"), ("_row", "bigint"), ("name", "string"), ("when", "timestamp_ntz")]
+    assert sorted({(r["_row"], r["name"], str(r["when"])) for r in typed.collect()}) == [
+        (0, "alice", "2024-01-01 00:00:00"), (2, "7", "None")]
     assert df.where(F.col("_row") == 1).select(F.element_at("cells", 1)).distinct().collect()[0][0] == "alice"
     assert [r.path.rsplit("/", 1)[1] for r in df.where("error is not null").collect()] == ["broken.xlsx"]
 
@@ -187,3 +192,21 @@ def test_csv_reads_and_writes_as_pandas_does(spark, sheet_of, seed, monkeypatch)
 def test_csv_that_ends_inside_quotes_raises(spark):
     with pytest.raises(csvsrc.OpenQuotes):
         csvsrc.read_csv_sheet(spark, _csv('a,b\n1,"never closed\n2,x\n'))
+
+
+def test_workbook_rows_stream_and_hold_no_tree(tmp_path):
+    import tracemalloc
+
+    from gridframe.sources.workbook import workbook_rows
+
+    p = str(tmp_path / "big.xlsx")
+    _write_xlsx(p)
+    rows = "".join(f'<row r="{i + 1}"><c r="C{i + 1}"><v>{i}</v></c></row>' for i in range(40_000))
+    with zipfile.ZipFile(p, "a") as z:
+        z.writestr("xl/worksheets/sheet1.xml",
+                   f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+    tracemalloc.start()
+    n = sum(1 for r in workbook_rows(p) if r[0] == 0 and r[3] == [None, None, str(r[2])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_000 and peak < 4_000_000
