@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,8 +58,11 @@ _WORDS = frozenset(
 )
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.DOTALL
 )
+_ENDS_P = _CONTAINER | {"article", "td", "th", "li"}
+_ENDS_ITEMS = frozenset(("ul", "ol", "dl", "table", "select", "article"))
+_ITEMS = frozenset().union(*_SELF_CLOSING.values())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 
 
@@ -68,8 +72,13 @@ class Element:
     dropped: bool
     article: bool
     parent: Element | None
+    #: Whether an open paragraph, and which open list or table items, a new tag may end.
+    in_p: bool = False
+    items: frozenset[str] = frozenset()
     digest: xxhash.xxh64 = field(default_factory=xxhash.xxh64)
     code: int = 0
+    #: Characters of text in the subtree.
+    size: int = 0
 
 
 @dataclass
@@ -98,9 +107,14 @@ def _says_no(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> tuple[list[Block], list[Element]]:
     """The page's text blocks in order, and its container elements with hashes
     of their subtrees.  Unclosed elements end with their parent; stray end tags
-    are ignored; raw elements (scripts, styles) hold no text."""
+    are ignored; raw elements (scripts, styles) hold no text.  A quote in a tag
+    that nothing closes is a plain character; what follows the last ``>`` is text.
+
+    Each open element knows what may be ended inside it, so a tag takes the same
+    time at any depth, and the page is scanned once."""
     root = Element("", False, False, None)
     open_at, blocks, containers, words = root, [], [], []
+    n_open: Counter[str] = Counter()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
@@ -108,31 +122,31 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if text:
             blocks.append(Block(open_at, text))
             open_at.digest.update(b"t" + text.encode("utf-8", "replace"))
+            open_at.size += len(text)
 
     def close() -> None:
         nonlocal open_at
         flush()
         ended, open_at = open_at, open_at.parent
+        n_open[ended.tag] -= 1
+        open_at.size += ended.size
         ended.code = ended.digest.intdigest()
         if ended.tag in _CONTAINER:
             containers.append(ended)
         open_at.digest.update(b"e" + ended.tag.encode() + ended.digest.digest())
 
-    def holds(tags: set[str] | frozenset[str], within: frozenset[str]) -> bool:
-        e = open_at
-        while e.parent is not None and e.tag not in within:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
-
-    at = 0
+    at, last = 0, page.rfind(">")
     while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):
             words.append(page[at:])
             break
-        words.append(page[at : m.start()])
+        m = _TAG.match(page, lt)
+        if m is None:
+            words.append(page[at : lt + 1])
+            at = lt + 1
+            continue
+        words.append(page[at:lt])
         at = m.end()
         ending, tag, attributes = m.groups()
         if tag is None:
@@ -145,7 +159,7 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
         if ending:
             if tag in _RAW:
                 continue
-            if holds({tag}, frozenset()):
+            if n_open[tag]:
                 while open_at.tag != tag:
                     close()
                 close()
@@ -159,17 +173,20 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
                 at = end.end() if end else len(page)
             continue
         flush()
-        if tag in _CLOSES_P and holds({"p"}, _CONTAINER | {"article", "td", "th", "li"}):
+        if tag in _CLOSES_P and open_at.in_p:
             while open_at.tag != "p":
                 close()
             close()
         if tag in _SELF_CLOSING:
-            while holds(_SELF_CLOSING[tag], frozenset(("ul", "ol", "dl", "table", "select", "article"))):
+            while not _SELF_CLOSING[tag].isdisjoint(open_at.items):
                 close()
         if tag in _VOID:
             continue
         in_article = open_at.article or tag in ("article", "main")
-        open_at = Element(tag, open_at.dropped or _says_no(tag, attributes, open_at.article), in_article, open_at)
+        in_p = tag == "p" or (open_at.in_p and tag not in _ENDS_P)
+        items = frozenset() if tag in _ENDS_ITEMS else open_at.items | {tag} if tag in _ITEMS else open_at.items
+        open_at = Element(tag, _says_no(tag, attributes, open_at.article), in_article, open_at, in_p, items)
+        n_open[tag] += 1
     while open_at.parent is not None:
         close()
     flush()
@@ -177,14 +194,23 @@ def parse(page: str) -> tuple[list[Block], list[Element]]:
 
 
 def chosen_blocks(blocks: list[Block], templates: frozenset[int] | set[int]) -> list[str]:
-    """Texts of the blocks that are main text, without the template's subtrees."""
+    """Texts of the blocks that are main text, without the template's subtrees.
+    A form that holds over half of the page's text wraps it and is no reason to cut."""
     verdict: dict[int, bool] = {}
+    total = sum(len(b.text) for b in blocks)
+
+    def own(e: Element) -> bool:
+        wraps = e.tag == "form" and 2 * e.size > total
+        return (e.dropped and not wraps) or (e.tag in _CONTAINER and e.code in templates)
 
     def cut(e: Element) -> bool:
-        known = verdict.get(id(e))
-        if known is None:
-            own = e.dropped or (e.tag in _CONTAINER and e.code in templates)
-            known = verdict[id(e)] = own or (e.parent is not None and cut(e.parent))
+        path = []
+        while e is not None and id(e) not in verdict:
+            path.append(e)
+            e = e.parent
+        known = e is not None and verdict[id(e)]
+        for e in reversed(path):
+            known = verdict[id(e)] = known or own(e)
         return known
 
     left = [b for b in blocks if not cut(b.owner)]

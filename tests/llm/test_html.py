@@ -44,3 +44,67 @@ def test_templates_of_a_site_go(spark):
 def test_long_and_deep_pages():
     assert len(text_of("<p>" + "word " * 300_000)) == 5 * 300_000 - 1
     assert text_of("<div>" * 500 + "x") == "x"
+
+
+def test_any_nesting_and_unclosed_tags_take_linear_time():
+    import time
+
+    from gridframe.llm.html_extract import chosen_blocks, parse
+
+    def seconds(page):
+        t = time.process_time()
+        texts = chosen_blocks(parse(page)[0], frozenset())
+        return time.process_time() - t, texts
+
+    deep = "<div>" * 100_000 + "deep text"
+    assert seconds(deep)[1] == ["deep text"]
+    assert seconds("<p>" + "<u1>" * 50_000 + "<div>x" + "</u1>" * 50_000)[1] == ["x"]
+    for unclosed in ("<a ", "<!", '<a "', "<p <", "</b", "<?x", "<a '\" "):
+        spent, texts = seconds("<p>first</p>" + unclosed * (2_000_000 // len(unclosed)))
+        assert spent < 20 and texts[0] == "first", unclosed
+    assert seconds('<p>one</p><a href="x>two</a><p>three</p>')[1] == ["one", "two", "three"]
+
+
+def test_a_form_around_the_page_is_not_cut():
+    from gridframe.llm.html_extract import chosen_blocks, parse
+
+    page = "<body><form id=f><div><p>all of the article text is in here</p></div></form><form>search box</form></body>"
+    assert chosen_blocks(parse(page)[0], frozenset()) == ["all of the article text is in here"]
+
+
+def test_subtrees_equal_a_count_by_hand(spark):
+    """Templates by brute force: texts of container elements found with the standard parser."""
+    from collections import defaultdict
+    from html.parser import HTMLParser
+
+    menu = "<ul><li>Home</li><li>About</li></ul>"
+    pages = [(i, f"http://h{i % 2}.org/{i}", f"<body><div>{menu}</div><article><p>own text {i}</p></article>"
+              f"<div><p>{'every page of one' if i % 2 else f'page {i}'}</p></div></body>") for i in range(12)]
+
+    class Containers(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.found = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, []))
+
+        def handle_data(self, data):
+            for _, held in self.open:
+                held.append(data)
+
+        def handle_endtag(self, tag):
+            name, held = self.open.pop()
+            if name in ("ul", "div"):
+                self.found.append((name, "|".join(held)))
+
+    seen = defaultdict(set)
+    for i, url, page in pages:
+        c = Containers()
+        c.feed(page)
+        for f in c.found:
+            seen[url[:9], f].add(i)
+    from gridframe.llm.html_extract import subtrees
+
+    got = subtrees(spark.createDataFrame(pages, "page_id long, url string, html string")).distinct().groupBy("host", "code").count()
+    assert sorted(r["count"] for r in got.collect()) == sorted(len(v) for v in seen.values())
