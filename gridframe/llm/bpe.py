@@ -34,7 +34,9 @@ from gridframe.llm.token_counts import safe_parts
 _END = "\ue000"
 
 #: Distinct words in one generation of a task's word store, which keeps two.
-WORD_STORE = 1 << 18
+WORD_STORE = 1 << 16
+#: Answers of the pair table that are kept.
+PAIR_STORE = 1 << 17
 #: Bytes of results in one Arrow batch.
 OUT_BYTES = 1 << 22
 #: Tokens decoded in one step.
@@ -143,7 +145,7 @@ class BpeCodec:
     def _may_follow(self, left: int, right: int) -> bool:
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) >= 1 << 20:
+            if len(self._fits) >= PAIR_STORE:
                 self._fits.clear()
             known = self._fits[left, right] = self._compatible(left, right, 1 << 60)
         return known
