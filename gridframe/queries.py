@@ -542,6 +542,31 @@ def version_read(spark, sf):
     return hist.read_version(spark, path, 1).df
 
 
+_CHAIN = 12
+
+
+@query("version_chain", f"""SELECT _row, c_custkey, c_name, c_nationkey,
+  c_acctbal + 10 * len(list_filter(range(1, {_CHAIN} - 2), lambda v: (_row + v) % 40 = 0)) AS c_acctbal,
+  CASE WHEN _row % 50 < {_CHAIN} - 2 AND _row % 50 > 0 THEN 'v' || (_row % 50) ELSE c_mktsegment END AS c_mktsegment
+  FROM ({fx.CUSTOMER_SHEET_SQL}) s WHERE _row < ({_CUST_N}) - 3 * ({_CHAIN} - 3)""")
+def version_chain(spark, sf):
+    """H4 through a chain of versions, each a few changed rows and three rows
+    less, read two undos before the last one."""
+    log = hist.VersionLog(spark)
+    s = fx.customer_sheet(spark, sf)
+    for v in range(_CHAIN):
+        log.commit(s)
+        r = F.col("_row")
+        kept = s.n_rows - 3
+        changed = s.df.where(r < kept).withColumns({
+            "c_acctbal": F.when((r + v + 1) % 40 == 0, F.col("c_acctbal") + 10).otherwise(F.col("c_acctbal")),
+            "c_mktsegment": F.when(r % 50 == v + 1, F.lit(f"v{v + 1}")).otherwise(F.col("c_mktsegment"))})
+        s = type(s)(changed, kept)
+    log.undo()
+    log.undo()
+    return log.current().df
+
+
 @query("transform_step", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, o_orderkey, o_totalprice,
   o_totalprice * 2 AS double_price FROM ({fx.ORDERS_SHEET_SQL}) s WHERE o_orderstatus = 'F'""")
 def transform_step(spark, sf):

@@ -48,3 +48,25 @@ def test_replay_has_no_python_and_splits_a_sheet(spark):
     last = out.orderBy("seq").tail(1)[0]
     assert (last.pos, last.len) == (1332, 1334)
     assert replay(log.limit(0)).collect() == []
+
+
+def test_versions_store_changes_and_read_back(spark, sheet_of, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridframe.operators.history import VersionLog
+
+    r = random.Random(2)
+    rows = [(i, f"v{i}" if i % 3 else None) for i in range(300)]
+    log = VersionLog(spark, str(tmp_path / "log"), chain=3)
+    kept = []
+    for v in range(6):
+        log.commit(sheet_of(rows, "a long, b string"))
+        kept.append(list(rows))
+        rows = rows[:-r.randint(0, 5)] if v % 2 else rows + [(1000 + v, None)] * 2
+        rows[r.randrange(len(rows))] = (v, None)
+    for v in (4, 3, 2, 1, 0):
+        assert [tuple(x)[1:] for x in log.undo().df.orderBy("_row").collect()] == kept[v], v
+    assert log.undo() is None and log.redo().n_rows == len(kept[1])
+    stored = spark.read.parquet(f"{log.path}/versions").groupBy("version").agg(F.count("*").alias("n")).collect()
+    n = {x["version"]: x["n"] for x in stored}
+    assert n[0] > 250 and n[4] > 250 and all(n[v] < 20 for v in (1, 2, 3, 5))  # every fourth one is whole
