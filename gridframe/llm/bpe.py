@@ -34,9 +34,9 @@ from gridframe.llm.token_counts import safe_parts
 _END = "\ue000"
 
 #: Distinct words in one generation of a task's word store, which keeps two.
-WORD_STORE = 1 << 16
+WORD_STORE = 1 << 18
 #: Answers of the pair table that are kept.
-PAIR_STORE = 1 << 17
+PAIR_STORE = 1 << 20
 #: Bytes of results in one Arrow batch.
 OUT_BYTES = 1 << 22
 #: Tokens decoded in one step.
