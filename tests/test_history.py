@@ -62,7 +62,7 @@ def test_versions_store_changes_and_read_back(spark, sheet_of, tmp_path):
     for v in range(6):
         log.commit(sheet_of(rows, "a long, b string"))
         kept.append(list(rows))
-        rows = rows[:-r.randint(0, 5)] if v % 2 else rows + [(1000 + v, None)] * 2
+        rows = rows[: len(rows) - r.randint(0, 5)] if v % 2 else rows + [(1000 + v, None)] * 2
         rows[r.randrange(len(rows))] = (v, None)
     for v in (4, 3, 2, 1, 0):
         assert [tuple(x)[1:] for x in log.undo().df.orderBy("_row").collect()] == kept[v], v
