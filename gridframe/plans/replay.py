@@ -173,6 +173,8 @@ def replayed(log: DataFrame, key: str, order: str, run: int = RUN, group: int =
 
     Rows are numbered in (key, order) and cut into runs of ``run`` rows, so a
     key with most of the log spans as many tasks as its rows need."""
+    if run < 1 or group < 4:  # smaller groups never get few enough
+        raise ValueError(f"a run needs an action and a group four runs, got {run}, {group}")
     rows, n = numbered(log.select(key, order, "action"), [F.col(key), F.col(order)])
     cut = rows.groupBy(key, F.floor(F.col(ROW) / run).cast("bigint").alias("run")).agg(
         F.array_sort(F.collect_list(F.struct(ROW, order, "action"))).alias("acts"))

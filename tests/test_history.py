@@ -48,6 +48,8 @@ def test_replay_has_no_python_and_splits_a_sheet(spark):
     last = out.orderBy("seq").tail(1)[0]
     assert (last.pos, last.len) == (1332, 1334)
     assert replay(log.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        replay(log, 2, 3)
 
 
 def test_versions_store_changes_and_read_back(spark, sheet_of, tmp_path):
