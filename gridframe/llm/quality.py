@@ -2,7 +2,7 @@
 
 A text is cut into overlapping chunks that cover all its bytes.  Each byte has
 a learned vector; learned filters of ``WIDTH`` bytes run over each chunk at
-every second byte and are max-pooled; a document's features are the maximum and
+every byte and are max-pooled; a document's features are the maximum and
 the mean of its chunks' pooled values; one hidden layer combines them into one
 probability.  The network is fitted by Adam on a bounded sample of labelled
 rows (``per_class`` documents of each label, texts of up to ``max_bytes``) and
@@ -22,7 +22,7 @@ from gridframe.llm.common import row_chunks, text_buffer
 from gridframe.llm.labelled import in_fold, sample
 
 CHUNK, STEP = 256, 224
-VECTOR, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 6, 2, 24, 16
+VECTOR, WIDTH, FILTERS, HIDDEN = 8, 6, 24, 16
 #: Chunks that go through the filters at once.
 BLOCK = 512
 
@@ -67,14 +67,10 @@ class ByteConvNet:
     def pooled(self, symbols: np.ndarray, places: bool = False):
         """Max-pooled filter values of each chunk, and where each maximum is."""
         p, n = self.p, len(symbols)
-        pairs = p["vectors"][symbols].reshape(n * CHUNK // STRIDE, STRIDE * VECTOR)
-        steps = WIDTH // STRIDE
-        weights = p["filters"].reshape(steps, STRIDE * VECTOR, FILTERS).transpose(1, 0, 2)
-        y = (pairs @ weights.reshape(STRIDE * VECTOR, steps * FILTERS)).reshape(n, CHUNK // STRIDE, steps, FILTERS)
-        last = CHUNK // STRIDE - steps + 1
-        conv = y[:, :last, 0].copy()
-        for s in range(1, steps):
-            conv += y[:, s : s + last, s]
+        cells = p["vectors"][symbols].reshape(n, CHUNK * VECTOR)
+        # Every window of WIDTH bytes is a run of WIDTH * VECTOR numbers: one product for all of them.
+        windows = np.lib.stride_tricks.sliding_window_view(cells, WIDTH * VECTOR, axis=1)[:, ::VECTOR]
+        conv = (windows.reshape(-1, WIDTH * VECTOR) @ p["filters"]).reshape(n, CHUNK - WIDTH + 1, FILTERS)
         top = conv.max(axis=1) + p["shift"]
         return (top, conv.argmax(axis=1)) if places else top
 
@@ -114,7 +110,7 @@ class ByteConvNet:
         top = z >= x[doc, :FILTERS]
         dz = top * dx[doc, :FILTERS] + dx[doc, FILTERS:] / counts[doc][:, None]
         g["shift"] = dz.sum(0)
-        at = place[:, :, None] * STRIDE + np.arange(WIDTH)  # chunks, filters, WIDTH
+        at = place[:, :, None] + np.arange(WIDTH)  # chunks, filters, WIDTH
         held = symbols[np.arange(len(symbols))[:, None, None], at]
         windows = p["vectors"][held].reshape(len(symbols), FILTERS, WIDTH * VECTOR)
         g["filters"] = np.einsum("cf,cfk->kf", dz, windows)
