@@ -635,7 +635,7 @@ _SAVES_SQL = f"""{_USER_SQL} UNION ALL SELECT -1 - doc_id, {_PAD_SQL.format(k='d
   UNION ALL SELECT -1000000000 - turn, chr(10) || chr(9) FROM conversations WHERE conv_id = 0"""
 _LIB_SQL = f"""SELECT conv_id * 1000 + turn AS seq, {_PAD_SQL.format(k='(conv_id + turn)', t='text')} AS prompt
   FROM conversations WHERE role = 'assistant' UNION ALL
-  SELECT 10000000000 + doc_id, text FROM documents WHERE doc_id % 3 = 0"""
+  SELECT 10000000000 + doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' /' || (doc_id % 3) END FROM documents"""
 
 
 def _padded(key, text="text"):
@@ -654,13 +654,18 @@ def _saves(spark, sf):
             .unionByName(blank))
 
 
+def _marked_text():
+    """Texts of all documents; two thirds carry a mark, so that saves of them are new to the library."""
+    rest = F.col("doc_id") % 3
+    return F.when(rest == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" /"), rest.cast("string")))
+
+
 def _library(spark, sf):
     c, d = fx.table(spark, sf, "conversations"), fx.table(spark, sf, "documents")
     key = F.col("conv_id") + F.col("turn")
     return (c.where("role = 'assistant'")
             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), _padded(key).alias("prompt"))
-            .unionByName(d.where("doc_id % 3 = 0").select((10000000000 + F.col("doc_id")).alias("seq"),
-                                                          F.col("text").alias("prompt"))))
+            .unionByName(d.select((10000000000 + F.col("doc_id")).alias("seq"), _marked_text().alias("prompt"))))
 
 
 def _pre(spark):
