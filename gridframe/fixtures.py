@@ -224,6 +224,45 @@ SELECT row_number() OVER (ORDER BY part, k) - 1 AS _row, c0, c1, c2 FROM (
 TEXT_STACK_SQL = _text_stack_sql()
 
 
+# Orders and customers as stacked tables whose columns are renamed, reordered or
+# left out; every third order is in table 0, the last tables hold customers.
+VARIED_TABLES, CUSTOMER_TABLES = 40, 4
+VARIED_PART_SQL = f"CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % {VARIED_TABLES - 1} END"
+#: By table number modulo 4: places of key, status, price and priority, and the headers.
+VARIED_LAYOUTS = [
+    ([0, 1, 2, 3], ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]),
+    ([0, 1, 2, 3], ["Order No", "State", "Amount", "Urgency"]),
+    ([2, 3, 0, 1], ["Total", "Priority", "OrderKey", "St"]),
+    ([1, 0, 2, None], ["status", "order_key", "price", None]),
+]
+VARIED_CUSTOMER = ["custkey", "name", "acctbal", "mktsegment"]
+
+
+def varied_stack(spark: SparkSession, sf_dir: str) -> Sheet:
+    """One text sheet: for each table a header, its rows and a blank row."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    part = F.expr(VARIED_PART_SQL).cast("bigint")
+    cells = [F.col(n).cast("string") for n in VARIED_LAYOUTS[0][1]]
+    none = F.lit(None).cast("string")
+
+    def by_layout(i: int):
+        of = [none if places[i] is None else cells[places[i]] for places, _ in VARIED_LAYOUTS]
+        return F.when(part % 4 == 0, of[0]).when(part % 4 == 1, of[1]).when(part % 4 == 2, of[2]).otherwise(of[3])
+
+    orders = o.select(part.alias("part"), F.col("o_orderkey").cast("bigint").alias("k"), *[by_layout(i).alias(f"c{i}") for i in range(4)])
+    customers = c.select((VARIED_TABLES + F.col("c_custkey") % CUSTOMER_TABLES).cast("bigint").alias("part"),
+                         F.col("c_custkey").cast("bigint").alias("k"),
+                         *[F.col("c_" + n).cast("string").alias(f"c{i}") for i, n in enumerate(VARIED_CUSTOMER)])
+    tables = spark.range(VARIED_TABLES + CUSTOMER_TABLES).withColumnRenamed("id", "part")
+    headers = F.array(*[F.array(*[F.lit(x).cast("string") for x in h]) for _, h in VARIED_LAYOUTS])
+    names = F.when(F.col("part") < VARIED_TABLES, F.get(headers, (F.col("part") % 4).cast("int"))).otherwise(
+        F.array(*[F.lit(x) for x in VARIED_CUSTOMER]))
+    heads = tables.select("part", F.lit(-1).cast("bigint").alias("k"), *[names[i].alias(f"c{i}") for i in range(4)])
+    gaps = tables.select("part", F.lit((1 << 63) - 1).alias("k"), *[none.alias(f"c{i}") for i in range(4)])
+    s = Sheet.from_df(heads.unionByName(orders).unionByName(customers).unionByName(gaps), [F.col("part"), F.col("k")])
+    return Sheet(s.df.drop("part", "k"))
+
+
 # -- file listing from documents -------------------------------------------------
 _CLASSES = ["upload", "download", "json", "script", "temp"]
 _EXTS = [".csv", ".XLSX", ".xls", ".txt", ""]

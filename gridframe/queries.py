@@ -480,6 +480,64 @@ def stacked_union(spark, sf):
     return cf.union_similar(cf.split_stacked(fx.text_stack(spark, sf)), ["c0", "c1", "c2"], 0, target)
 
 
+from gridframe.operators import match as mt  # noqa: E402
+
+_VARIED_TARGET = [("o_orderkey", "integer"), ("o_totalprice", "float"), ("o_orderpriority", "string"), ("o_orderstatus", "string")]
+_VARIED_CELLS = ["c0", "c1", "c2", "c3"]
+
+
+@query("stacked_union_renamed", f"""
+SELECT part AS table_id, row_number() OVER (PARTITION BY part ORDER BY o_orderkey) - 1 AS _row,
+  CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+  CASE WHEN part % 4 <> 3 THEN o_orderpriority END AS o_orderpriority, o_orderstatus
+FROM (SELECT *, {fx.VARIED_PART_SQL} AS part FROM orders)""")
+def stacked_union_renamed(spark, sf):
+    """P9 with renamed, reordered and missing columns: the tables like the first one united."""
+    return mt.unite_matched(cf.split_stacked(fx.varied_stack(spark, sf)), _VARIED_CELLS, 0, _VARIED_TARGET)
+
+
+def _varied_pairs_sql():
+    rows = []
+    for layout, (places, header) in enumerate(fx.VARIED_LAYOUTS):
+        for at, name in enumerate(fx.VARIED_LAYOUTS[0][1]):
+            i = places.index(at) if at in places else None
+            rows.append(f"({layout}, '{name}', " + ("NULL, NULL)" if i is None else f"'{header[i]}', {i})"))
+    return ", ".join(rows)
+
+
+@query("stacked_matches", f"""
+WITH m(layout, lead_name, name, position) AS (VALUES {_varied_pairs_sql()}),
+p AS (SELECT DISTINCT {fx.VARIED_PART_SQL} AS part FROM orders)
+SELECT CAST(part AS BIGINT) AS table_id, TRUE AS similar, lead_name, name, CAST(position AS INTEGER) AS position
+  FROM p JOIN m ON part % 4 = layout
+UNION ALL SELECT DISTINCT {fx.VARIED_TABLES} + c_custkey % {fx.CUSTOMER_TABLES}, FALSE, NULL, NULL, NULL FROM customer""")
+def stacked_matches(spark, sf):
+    """Which column of each table stands for which column of the first one."""
+    m = mt.match_tables(cf.split_stacked(fx.varied_stack(spark, sf)), _VARIED_CELLS, 0)
+    some = m.where("similar").select("table_id", "similar", F.inline("pairs"))
+    rest = m.where("not similar").select("table_id", "similar", *[
+        F.lit(None).cast(t).alias(n) for n, t in (("lead_name", "string"), ("name", "string"), ("position", "int"))])
+    return some.select(*rest.columns).unionByName(rest)
+
+
+@query("schema_compare_matched", """
+SELECT * FROM (VALUES ('c_custkey', 's_suppkey', 'renamed'), ('c_name', 's_name', 'matched'),
+  ('c_nationkey', 's_nationkey', 'matched'), ('c_acctbal', 's_acctbal', 'matched'), ('c_mktsegment', NULL, 'missing'))
+  t(target_name, source_name, status)""")
+def schema_compare_matched(spark, sf):
+    """P7 by name and content: suppliers against customers."""
+    return mt.compare_matched(_supplier_sheet(spark, sf), fx.customer_sheet(spark, sf)).drop("score")
+
+
+@query("conform_matched", """SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS _row,
+  CAST(s_suppkey AS BIGINT) AS c_custkey, s_name AS c_name, CAST(s_nationkey AS BIGINT) AS c_nationkey,
+  CAST(s_acctbal AS DOUBLE) AS c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM supplier""")
+def conform_matched(spark, sf):
+    """P8 with the mapping found from names and content."""
+    source = _supplier_sheet(spark, sf)
+    return cf.conform(source, _CUST_TARGET, mt.column_mapping(source, fx.customer_sheet(spark, sf)))[0].df
+
+
 @query("dotted_names", """
 WITH s AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row, c_custkey, c_nationkey, c_name FROM customer),
 k AS (SELECT * FROM s WHERE _row % 5 <> 2)
