@@ -30,10 +30,10 @@ from gridframe.sheet import Sheet
 
 #: Distinct values that a sketch keeps: 2 ^ SKETCH_LOG.
 SKETCH_LOG = 10
-#: Weights of the closer of name and values, of kinds, and of shape (sum 1).
-CLOSE, KINDS, SHAPE = 0.5, 0.3, 0.2
+#: Weights of the closer of name and values, of the other of the two, of kinds, and of shape (sum 1).
+CLOSER, OTHER, KINDS, SHAPE = 0.4, 0.1, 0.3, 0.2
 #: Least score of a pair (kinds and most of the shape agree), and least mean score of the columns of similar tables.
-LEAST_PAIR, LEAST_TABLE = 0.45, 0.6
+LEAST_PAIR, LEAST_TABLE = 0.45, 0.55
 
 _DATE = r"^\s*\d{4}-\d{2}-\d{2}([T ].*)?$"
 _KINDS = ("integers", "numbers", "dates", "texts")
@@ -83,7 +83,8 @@ def pair_score(t: Column, s: Column) -> Column:
     fewer = F.least(distinct_a, distinct_b)
     overlap = F.coalesce(F.least(F.try_divide(both, fewer), F.lit(1.0)), F.lit(0.0))
     shape = (_share(a["length"] / of_a, b["length"] / of_b) + _share(a["digits"] / of_a, b["digits"] / of_b)) / 2
-    full = CLOSE * F.greatest(name, overlap * kinds) + KINDS * kinds + SHAPE * shape
+    held = overlap * kinds
+    full = CLOSER * F.greatest(name, held) + OTHER * F.least(name, held) + KINDS * kinds + SHAPE * shape
     return F.round(F.when((a["n"] == 0) | (b["n"] == 0), name).otherwise(full), 6)
 
 
