@@ -3,8 +3,14 @@ context rows and schema comparison."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridframe.functions.text import qc
 
@@ -48,33 +54,53 @@ def column_types_df(sheet: Sheet) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def sample_values(sheet: Sheet, k: int = 3) -> DataFrame:
-    """First ``k`` non-missing values per column in row order, as text.
+def first_candidates(df: DataFrame, order_key: str, k: int) -> DataFrame:
+    """The rows of ``df`` that may hold one of the first ``k`` non-missing values
+    (see ``blank_value``) of some column by ``order_key`` (a bigint).
+
+    One pass.  A task keeps the k least places that it has met for each column
+    and passes on the rows of a batch that are not behind them; in order, that
+    is k rows a column for the whole task, in the reverse order k for each batch."""
+    at = df.columns.index(order_key)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = [np.zeros(0, np.int64)] * len(df_types)
+        for batch in batches:
+            place = batch.column(at).to_numpy(zero_copy_only=False)
+            wanted = np.zeros(len(place), bool)
+            for c, floating in enumerate(df_types):
+                if c == at:
+                    continue
+                x = batch.column(c)
+                missing = pc.fill_null(pc.is_nan(x), True) if floating else x.is_null()
+                # Once k places are known, a column is looked at only where something lies before them.
+                near = place <= least[c][-1] if len(least[c]) == k else np.ones(len(place), bool)
+                some = np.flatnonzero(near & ~missing.to_numpy(zero_copy_only=False)) if near.any() else np.zeros(0, int)
+                if len(some):
+                    least[c] = np.sort(np.concatenate([least[c], place[some]]))[:k]
+                    wanted[some[place[some] <= least[c][-1]]] = True
+            yield batch.filter(pa.array(wanted))
+
+    df_types = [t in ("double", "float") for _, t in df.dtypes]
+    return df.mapInArrow(keep, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
 
-    ``k`` aggregate passes over all columns at once find the next row with a
-    value after the one before; each pass returns one row, and the at most
-    k x columns rows found are then read by ``_row``, a filter that reaches the
-    scan.  No cell is sorted or moved."""
-    t = dict(sheet.df.dtypes)
-    spark = sheet.df.sparkSession
-    value = [F.when(~blank_value(c, t[c]), F.col(ROW)) for c in sheet.columns]
-    last = [-1] * len(value)
-    found: list[tuple[int, int, int]] = []
-    for rank in range(1, k + 1):
-        aggs = [F.min(F.when(v > last[i], v)).alias(f"r{i}") for i, v in enumerate(value)]
-        row = sheet.df.agg(*aggs).first() if aggs else ()
-        # A column that has run out stays out: no row is beyond the largest bigint.
-        last = [(1 << 63) - 1 if r is None else r for r in row]
-        found += [(i, rank, r) for i, r in enumerate(row) if r is not None]
-    wanted = spark.createDataFrame(found, "position int, rank int, row bigint")
-    text = [
-        (F.date_format(qc(c), "yyyy-MM-dd HH:mm:ss") if t[c].startswith("timestamp") else qc(c).cast("string"))
-        for c in sheet.columns
-    ]
-    rows = sheet.df.where(F.col(ROW).isin(sorted({r for _, _, r in found}))).select(
-        F.col(ROW).alias("row"), F.array(*text).alias("cells") if text else F.array().cast("array<string>").alias("cells")
-    )
-    return wanted.join(rows, "row").select("position", "rank", F.get("cells", F.col("position")).alias("value"), "row")
+
+def sample_values(sheet: Sheet, k: int = 3) -> DataFrame:
+    """First ``k`` non-missing values per column in row order, as text:
+    position, rank (from 1), value, row.
+
+    One scan: each task leaves a few candidate rows, whose cells alone are
+    written as text, sorted and cut to k for each column."""
+    plain = sheet.df.select(F.col(ROW).alias("row"), *[qc(c).alias(f"c{i}") for i, c in enumerate(sheet.columns)])
+    t = dict(plain.dtypes)
+    cells = [F.when(~blank_value(c, t[c]), (
+        F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t[c].startswith("timestamp") else qc(c).cast("string")))
+        for c in plain.columns[1:]]
+    found = first_candidates(plain, "row", k).select("row", F.posexplode(
+        F.array(*cells) if cells else F.array().cast("array<string>")).alias("position", "value"))
+    first = Window.partitionBy("position").orderBy("row")
+    ranked = found.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(first))
+    return ranked.where(F.col("rank") <= k).select("position", "rank", "value", "row")
 
 
 def blank_value(c: str, dtype: str):
