@@ -481,6 +481,7 @@ def stacked_union(spark, sf):
 
 
 from gridframe.operators import match as mt  # noqa: E402
+from gridframe.operators import steps  # noqa: E402
 
 _VARIED_TARGET = [("o_orderkey", "integer"), ("o_totalprice", "float"), ("o_orderpriority", "string"), ("o_orderstatus", "string")]
 _VARIED_CELLS = ["c0", "c1", "c2", "c3"]
@@ -633,6 +634,31 @@ def transform_step(spark, sf):
         "_row", "o_orderkey", "o_totalprice", (F.col("o_totalprice") * 2).alias("double_price"))).df
 
 
+_STEP_UNION = " UNION ALL ".join(
+    f"SELECT 2 AS step, b._row AS row, CAST({i} AS BIGINT) AS col, b.c_custkey, b.c_acctbal FROM a JOIN b USING (_row) "
+    f"WHERE a.{c} IS DISTINCT FROM b.{c}" for i, c in enumerate(n for n, _ in _CUST_TARGET))
+
+
+@query("step_commits", f"""
+WITH s AS ({fx.CUSTOMER_SHEET_SQL}),
+a AS (SELECT * REPLACE (CASE WHEN c_nationkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM s),
+b AS (SELECT * REPLACE (row_number() OVER (ORDER BY _row) - 1 AS _row) FROM a WHERE c_custkey % 4 <> 0)
+SELECT 1 AS step, _row AS row, CAST(3 AS BIGINT) AS col, c_custkey, c_acctbal FROM a WHERE c_nationkey % 5 = 0
+UNION ALL {_STEP_UNION}""")
+def step_commits(spark, sf):
+    """U1 whole: the cells that each of two steps touched, with the row as the version
+    that the step committed holds it; the first version is reached by an undo."""
+    log, sheet = hist.VersionLog(spark), fx.customer_sheet(spark, sf)
+    log.commit(sheet)
+    raised = F.when(F.col("c_nationkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    one = steps.run_step(sheet, lambda d: d.withColumn("c_acctbal", raised), log)
+    two = steps.run_step(one.sheet, lambda d: d.where("c_custkey % 4 <> 0"), log)
+    second, first = log.current(), log.undo()
+    found = [r.touched.join(v.df, r.touched["row"] == v.df["_row"]).select(
+        F.lit(i).alias("step"), "row", "col", "c_custkey", "c_acctbal") for i, r, v in ((1, one, first), (2, two, second))]
+    return found[0].unionByName(found[1])
+
+
 @query("sql_step", f"""SELECT row_number() OVER (ORDER BY _row) - 1 AS _row, o_orderkey, o_totalprice
   FROM ({fx.ORDERS_SHEET_SQL}) s WHERE o_orderpriority = '1-URGENT'""")
 def sql_step(spark, sf):
