@@ -2,9 +2,11 @@
 
 Terms are the words of a text and their beginnings of 4, 5, 6 and 8 bytes
 (letters only; A-Z and the Latin-1 capitals in lower case).  From a bounded
-sample of labelled rows (documented parameters of ``score_toxicity``) the terms
-whose presence depends on the label most clearly (G statistic) make up the
-vocabulary.  Document frequencies of these terms are counted over *all*
+sample of labelled rows (documented parameters of ``fit_votes``) all terms whose
+presence depends on the label clearly (G statistic of ``least_g`` or more) make
+up the vocabulary; an example of label 1 that holds none of them adds its own
+most telling terms, however rare, so that copies of any example find it.
+Document frequencies of these terms are counted over *all*
 documents.  A text's nearest examples by exact TF-IDF cosine come from a
 block-max inverted index: examples lie in blocks, each term keeps the largest
 weight of each block, and a block is opened only while its bound can still
@@ -102,8 +104,10 @@ def unlike_texts(texts: list[str], same: int = 10, of: int = 16) -> list[int]:
     return kept
 
 
-def telling_terms(texts: list[str], y: np.ndarray, most: int, least_g: float) -> np.ndarray:
-    """The ``most`` terms with the largest G statistic of presence against label."""
+def telling_terms(texts: list[str], y: np.ndarray, least_g: float, least_own: int = 8) -> np.ndarray:
+    """All terms whose presence depends on the label with a G statistic of
+    ``least_g`` or more, and the ``least_own`` most telling terms of each text
+    of label 1 that holds none of those (ties: the smaller hash)."""
     data, bounds = text_buffer(pa.array(texts, pa.string()))
     found, seen = [], []
     for lo, hi in row_chunks(bounds):
@@ -112,11 +116,11 @@ def telling_terms(texts: list[str], y: np.ndarray, most: int, least_g: float) ->
         h, r = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.uint64),) * 2
         one = np.unique(np.stack([h, r.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
         found.append(one[0])
-        seen.append(y[lo + one[1].astype(np.int64)])
+        seen.append(lo + one[1].astype(np.int64))
     terms, at = np.unique(np.concatenate(found), return_inverse=True)
-    label = np.concatenate(seen)
+    text = np.concatenate(seen)
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    got = np.stack([np.bincount(at, label == c, len(terms)) for c in (0, 1)])
+    got = np.stack([np.bincount(at, y[text] == c, len(terms)) for c in (0, 1)])
     both, rest = got.sum(0), n[:, None] - got
     g = np.zeros(len(terms))
     for cell, expected in (
@@ -124,9 +128,14 @@ def telling_terms(texts: list[str], y: np.ndarray, most: int, least_g: float) ->
         *((rest[c], (n.sum() - both) * n[c] / n.sum()) for c in (0, 1)),
     ):
         g += np.where(cell > 0, 2 * cell * np.log(np.maximum(cell, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    order = np.lexsort((terms, -g))
-    order = order[g[order] >= least_g][:most]
-    return terms[order]
+    chosen = g >= least_g
+    shown = np.zeros(len(texts), bool)
+    shown[text[chosen[at]]] = True
+    own = np.flatnonzero((~shown & (y == 1))[text])
+    own = own[np.lexsort((at[own], -g[at[own]], text[own]))]
+    turn = np.arange(len(own)) - np.searchsorted(text[own], text[own])
+    chosen[at[own[turn < least_own]]] = True
+    return terms[chosen]
 
 
 class BlockMaxIndex:
@@ -234,7 +243,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
 def fit_votes(
     docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0,
     per_class: dict[int, int] | None = None, max_bytes: int = 1 << 15,
-    terms: int = 1024, least_g: float = 20.0, k: int = 15,
+    least_g: float = 20.0, k: int = 15,
 ) -> NeighbourVote:
     """Fit on at most ``per_class`` labelled documents of each class outside the
     held-out fold, with texts of at most ``max_bytes`` bytes."""
@@ -244,7 +253,7 @@ def fit_votes(
     texts, ids = [texts[i] for i in kept], [ids[i] for i in kept]
     y = np.array([y[i] for i in kept], np.int64)
     size = labels.where(train).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    vocabulary = Vocabulary(telling_terms(texts, y, terms, least_g) if len(texts) else np.zeros(0, np.uint64))
+    vocabulary = Vocabulary(telling_terms(texts, y, least_g) if len(texts) else np.zeros(0, np.uint64))
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
     return NeighbourVote(vocabulary, idf, texts, y, ids, k, (size[0], size[1]))

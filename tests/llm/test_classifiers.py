@@ -108,3 +108,45 @@ def test_gradients_and_chunks():
             down = loss()
             flat[at] = old
             assert abs((up - down) / 2e-2 - g[name].reshape(-1)[at]) < 5e-3
+
+
+def test_vocabulary_has_no_cap_and_covers_every_toxic_example():
+    r = random.Random(5)
+    clean = [prose(i, 40) for i in range(300)]
+    common = [f"{prose(1000 + i, 30)} {' '.join(f'snid{c}geon' for c in r.sample('abcdefgh', 3))}" for i in range(100)]
+    rare = ["quorvex the mibbler"]  # no term of it is telling by itself
+    texts, y = clean + common + rare, np.array([0] * 300 + [1] * 101)
+    terms = toxicity.telling_terms(texts, y, 20.0)
+    vocabulary = toxicity.Vocabulary(terms)
+    for text in common + rare:
+        assert len(vocabulary.counts(*text_buffer(pa.array([text])))[0])
+    # Brute force: each telling term by its own two-by-two table.
+    holds = [set() for _ in texts]
+    for i, text in enumerate(texts):
+        for h, _ in toxicity.term_hashes(*text_buffer(pa.array([text]))):
+            holds[i] |= set(h.tolist())
+    n = np.array([300, 101])
+
+    def g(term):
+        got = np.array([sum(term in holds[i] for i in range(300)), sum(term in holds[i] for i in range(300, 401))], float)
+        table = np.stack([got, n - got])
+        expected = table.sum(1, keepdims=True) * n / n.sum()
+        return 2 * sum(a * np.log(a / e) for a, e in zip(table.ravel(), expected.ravel()) if a > 0)
+
+    every = {t: g(t) for t in set().union(*holds)}
+    telling = {t for t, x in every.items() if x >= 20}
+    assert telling and not holds[-1] & telling
+    own = sorted(holds[-1], key=lambda t: (-round(every[t], 6), t))
+    assert set(terms.tolist()) >= telling
+    extra = set(terms.tolist()) - telling
+    assert extra <= holds[-1] and len(extra) == min(8, len(own))
+
+
+def test_rare_copy_of_a_toxic_example_finds_it(spark):
+    docs, labels, truth = corpus(spark, 300)
+    odd = "quorvex mibbler drantling"
+    free = [i for i in range(1000, 1050) if zlib.crc32(str(i).encode()) % 5]
+    docs = docs.unionByName(spark.createDataFrame([(free[0], odd, None, None, None), (free[1], odd, None, None, None)], DOCS))
+    labels = labels.unionByName(spark.createDataFrame([(free[0], 1, 1)], LABELS))
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs, labels).where(f"doc_id >= {free[0]}").collect()}
+    assert got[free[1]].neighbours == [free[0]] and got[free[1]].predicted == 1
