@@ -1088,6 +1088,19 @@ def json_records_sink(spark, sf):
     return records.to_records(fx.orders_sheet(spark, sf))
 
 
+@query("records_view", f"""SELECT _row, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority, 'orders.xlsx' AS filename,
+  'o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority' AS headers,
+  (SELECT count(*) FROM orders) AS n_rows FROM ({fx.ORDERS_SHEET_SQL}) s""")
+def records_view(spark, sf):
+    """S5 whole and S3: written with headers and metadata, and read again by them."""
+    path = records.write_view(fx.orders_sheet(spark, sf), scratch_path(spark, "records-view"), "f1", "orders.xlsx")
+    sheet, head = records.read_view(spark, path)
+    meta = head["metadata"]
+    return sheet.df.select("*", F.lit(meta["filename"]).alias("filename"), F.lit(" ".join(head["headers"])).alias("headers"),
+                           F.lit(meta["rows"]).cast("bigint").alias("n_rows"))
+
+
 @query("json_records", f"""SELECT _row, o_orderpriority, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
   CAST(NULL AS VARCHAR) AS o_comment, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate
   FROM ({fx.ORDERS_SHEET_SQL}) s""")

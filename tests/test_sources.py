@@ -53,6 +53,44 @@ def test_records_sink_datetimes(spark, sheet_of):
     assert out == [{"t": "2024-01-02 03:04:05", "d": 1.0}, {"t": "", "d": None}]
 
 
+def test_records_view_carries_headers_and_metadata(spark, sheet_of, tmp_path):
+    s = sheet_of([("a\n\"b\"\r", 1, 2.5, None), (None, 2**40, float("nan"), None), ("\u2028c\\", None, 1.0, None)],
+                 "z string, a long, `d.x` double, gone string")
+    path = records.write_view(s, str(tmp_path / "v"), "f1", 'my "file".xlsx')
+    got, head = records.read_view(spark, path)
+    names = ["z", "a", "d.x", "gone"]
+    assert head == {"file_id": "f1", "original_filename": 'my "file".xlsx', "headers": names,
+                    "metadata": {"filename": 'my "file".xlsx', "columns": names, "rows": 3}}
+    assert got.columns == names and dict(got.df.dtypes)["a"] == "bigint" and dict(got.df.dtypes)["d.x"] == "double"
+    assert [tuple(r)[1:] for r in got.df.orderBy("_row").collect()] == [
+        ("a\n\"b\"\r", 1, 2.5, None), (None, 2**40, None, None), ("\u2028c\\", None, 1.0, None)]
+
+
+def test_records_view_empty_partial_and_foreign(spark, sheet_of, tmp_path, monkeypatch):
+    empty = sheet_of([], "a long, b string")
+    got, head = records.read_view(spark, records.write_view(empty, str(tmp_path / "e"), "f", "n"))
+    assert got.columns == ["a", "b"] and got.df.count() == 0 and head["metadata"]["rows"] == 0
+    monkeypatch.setattr(records, "ROWS_PER_PART", 100)
+    many = sheet_of([(i,) for i in range(1000)], "a long")
+    path = records.write_view(many, str(tmp_path / "m"), "f", "n")
+    parts = sorted((tmp_path / "m").glob("part*"))
+    assert len(parts) == 11
+    text = "".join(p.read_text() for p in parts).splitlines()  # the files in name order are the view
+    assert [json.loads(x) for x in text[1:]] == [{"a": i} for i in range(1000)]
+    assert [r.a for r in records.read_view(spark, path)[0].df.orderBy("_row").collect()] == list(range(1000))
+    (tmp_path / "short").mkdir()
+    (tmp_path / "short" / "x.txt").write_text("\n".join(text[:-3]))
+    with pytest.raises(ValueError, match="997 records"):
+        records.read_view(spark, str(tmp_path / "short"))
+    (tmp_path / "bare.txt").write_text('{"a": 1}\n')
+    with pytest.raises(ValueError, match="head"):
+        records.read_view(spark, str(tmp_path / "bare.txt"))
+    # Headers pick and order columns; keys that no record has are null.
+    (tmp_path / "own.txt").write_text('{"headers": ["b", "c"]}\n{"a": 1, "b": 2}\n{"b": 3}\n')
+    got = records.read_view(spark, str(tmp_path / "own.txt"))[0]
+    assert got.columns == ["b", "c"] and [(r.b, r.c) for r in got.df.orderBy("_row").collect()] == [(2, None), (3, None)]
+
+
 def _write_xlsx(path):
     ct = ('<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
     wb = ('<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
