@@ -84,6 +84,32 @@ def test_edit_batches_merge_replay_and_touch_only_their_buckets(spark, tmp_path)
     assert len(list(tmp_path.glob("cells/manifest/turn=*"))) == 2
 
 
+def test_buckets_follow_the_cells_and_grow_without_losing_versions(spark, tmp_path, monkeypatch):
+    from gridframe.streaming import edits as stream
+
+    monkeypatch.setattr(stream, "CELLS_PER_BUCKET", 2)
+    monkeypatch.setattr(stream, "MIN_BUCKETS", 2)
+    assert stream.buckets_for(16, None) == 8 and stream.buckets_for(17, 8) == 8 and stream.buckets_for(40, 8) == 32
+    base, want, seq, sizes = str(tmp_path / "cells"), {}, 0, []
+    for batch, n in enumerate((4, 60, 5)):
+        rows = []
+        for k in range(n):
+            seq += 1
+            row, col = (k * 7 + batch) % (1 + 2 * n), k % 3
+            rows.append((0, seq, row, col, f"v{seq}"))
+            want[row, col] = (seq, f"v{seq}")
+        before = cells(stream.current_cells(spark, base)) if batch else None
+        for _ in range(2):  # the second run replays the batch, also one that grows
+            merge_batch(edits(spark, rows), batch, base)
+            assert cells(stream.current_cells(spark, base)) == want
+            if batch:
+                assert cells(stream.current_cells(spark, base, before=batch)) == before
+        buckets, held = stream._manifest(spark, base, None)
+        assert sum(c for _, c in held.values()) == len(want) and max(held) < buckets
+        sizes.append(buckets)
+    assert sizes[0] == 2 and sizes[1] >= 16 and sizes[2] == sizes[1]
+
+
 def test_edit_stream_drains_files(spark, tmp_path):
     src = str(tmp_path / "src")
     for k in range(4):
