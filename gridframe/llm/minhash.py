@@ -13,33 +13,39 @@ candidates: with the defaults a pair at similarity 0.8 is missed with a
 probability of (1 - 0.8^5)^40, about 1e-7.  All links are confirmed on the
 full sets.
 
-Scale.  Equal sets are one vertex.  Members of a bucket are held against one
-another in three passes, each only across components that are still apart, so
-the pairs follow the members and not their squares:
-
-1. every member against ``PIVOTS`` pivots of its buckets, which are the members
-   that share buckets with most others;
-2. a few members of each component against a few of each other one, which
-   joins what has many links;
-3. all that is left: every pair of members of different components that has not
-   been ruled out.  Three things rule a pair out: the smaller set has less than
-   the link similarity of the larger one's size; Jaccard distance is a metric, so
-   sets whose distances to the pivot differ by more than the link distance are
-   not linked; and sketches that agree in fewer coordinates than a linked
-   pair's would, by five standard deviations (a chance of about 3e-7).
-
-Buckets whose members are all connected are left alone, because only components
-are asked for.  No bucket is ever gathered in one task, nothing is capped, and
-hot keys are met by joins that Spark splits.
+Scale.  Equal sets are one vertex.  Members of a bucket meet in its pivot's
+group: the pivot is the member that shares buckets with most others, so most
+buckets of one family have the same one and a pair meets once and not in each
+bucket it shares.
+
+1. Every member is held against at most ``PIVOTS`` pivots of its buckets.
+2. Groups whose members are still in several components are cut into blocks of
+   about ``BLOCK`` members of like size, of one component each where it has
+   that many; pairs of blocks are dealt to tasks, but for those of one component
+   and those whose sizes differ too much.  In a pair of blocks, sketches that
+   agree in fewer coordinates than a linked pair's would, by five standard
+   deviations (a chance of about 3e-7), rule pairs out first.  Members with a
+   possible partner bring their full sets, whose intersections are counted for
+   all pairs at once; a pair of blocks returns a forest of the components that its
+   links join.
+
+So what is written and shuffled is members and never pairs of members: a group
+of n members that nothing links is n / BLOCK times its size.  Comparing them
+within tasks still takes the square of n, in operations on whole blocks.
+Groups whose members are all connected are left alone, because only components
+are asked for.  No group is ever gathered in one task, nothing is capped, and hot
+keys are met by joins that Spark splits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
@@ -50,8 +56,16 @@ from gridframe.llm.components import components
 BANDS, ROWS = 40, 5
 #: Pivots that a member is held against in the first pass.
 PIVOTS = 6
-#: Members of a component that stand for it in a bucket, in the second pass.
-REPRESENTATIVES = 8
+#: Members in a block of the second pass, and bytes of their sets.
+BLOCK = 512
+BLOCK_BYTES = 1 << 22
+#: Members that one shard of pairs of blocks has, and bytes of their sets.
+SHARD_ROWS = 4096
+SHARD_BYTES = 1 << 24
+#: Hashes whose holders are counted at once.
+_WIDTH = 1 << 12
+#: Rows that go to Python at once: texts, or pairs of sets.
+_BATCH = 1000
 #: Bytes and rows of text that are sketched at once; a row's sketch has BANDS * ROWS values.
 _CHUNK = 1 << 19
 _CHUNK_ROWS = 512
@@ -121,21 +135,64 @@ def packed_sketches(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(planes.reshape(n, -1), axis=1).view(np.int64)
 
 
-def may_link(a: Column, b: Column, t: int, similarity: float) -> Column:
-    """Whether packed sketches of ``t`` coordinates agree as often as those of a
-    pair of the given similarity do, but for five standard deviations."""
+def may_link(a: np.ndarray, b: np.ndarray, t: int, similarity: float) -> np.ndarray:
+    """Whether packed sketches of ``t`` coordinates, of each row of ``a`` and each
+    of ``b``, agree as often as those of a pair of the given similarity do, but
+    for five standard deviations."""
     words = -(-t // 64)
-    agree = F.lit(t - 64 * words)
+    agree = np.full((len(a), len(b)), t - 64 * words, np.int64)
     for w in range(words):
-        differ = F.lit(0).cast("bigint")
+        differ = np.zeros(agree.shape, np.uint64)
         for plane in range(4):
             at = plane * words + w
-            differ = differ.bitwiseOR(F.get(a, F.lit(at)).bitwiseXOR(F.get(b, F.lit(at))))
-        agree = agree + F.bit_count(F.bitwise_not(differ))
+            differ |= a[:, at, None] ^ b[None, :, at]
+        agree += np.bitwise_count(~differ)
     p = similarity + (1 - similarity) / 16
     return agree >= t * p - 5 * (t * p * (1 - p)) ** 0.5
 
 
+def common_members(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """The number of hashes that each set of ``x`` shares with each one of ``y``."""
+    hx, hy = (np.frombuffer(b"".join(s), np.uint64) for s in (x, y))
+    rx, ry = (np.repeat(np.arange(len(s)), [len(v) // 8 for v in s]) for s in (x, y))
+    shared = np.intersect1d(hx, hy)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(shared):
+        return out
+    kept = []
+    for h, r in ((hx, rx), (hy, ry)):
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        held = shared[at] == h
+        order = np.argsort(at[held], kind="stable")
+        kept.append((at[held][order], r[held][order]))
+    for lo in range(0, len(shared), _WIDTH):
+        sides = []
+        for (at, r), n in zip(kept, out.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + _WIDTH])
+            side = np.zeros((n, min(_WIDTH, len(shared) - lo)), np.float32)
+            side[r[i:j], at[i:j] - lo] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same vertices as the links (a, b) do, at most one
+    for each vertex."""
+    vertices, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(vertices))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(vertices))
+    return vertices[moved], vertices[root[moved]]
+
+
 def set_keys(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set, from sums over its members."""
     a = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h))])
@@ -231,10 +288,98 @@ def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     )
 
 
+def dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows`` (pivot, n, node, label, size, ...) with (shard, i, j, side): once
+    for each pair (i, j) of blocks of their pivot's group that they are in, on
+    ``side`` 0 or 1.  Rows of a group that may be linked and have different labels
+    meet in one pair at least; ``n`` is the number of rows of the group."""
+    # Linked sizes are at most one tier apart; a small group needs none.
+    width = math.log(den / num) * (1 + 1e-6) if num < den else 1e-9
+    tier = F.when(F.col("n") > BLOCK, F.floor(F.log("size") / width)).otherwise(0).cast("long")
+    rows = rows.withColumn("tier", tier)
+    kinds = rows.groupBy("pivot", "tier", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("held"))
+    # Components that fill blocks have their own, the others share some.
+    kinds = staged(kinds.withColumn("own", F.when(F.col("rows") >= BLOCK, F.col("label"))), "kinds")
+    parts = F.greatest(F.ceil(F.sum("rows") / BLOCK), F.ceil(F.sum("held") * 8 / BLOCK_BYTES)).cast("int")
+    pools = staged(kinds.groupBy("pivot", "tier", "own").agg(parts.alias("parts")), "pools")
+    number = F.xxhash64("tier", F.col("own").isNull(), "own", "part")
+    blocks = pools.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "pivot", "tier", "own", number.alias("block"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = x.join(
+        y,
+        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.block") <= F.col("y.block"))
+        & (F.abs(F.col("x.tier") - F.col("y.tier")) <= 1)
+        & F.coalesce(F.col("x.own") != F.col("y.own"), F.lit(True)),
+    ).select(F.col("x.pivot").alias("pivot"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    side = [F.struct(F.col(c).alias("block"), F.lit(k).alias("side")) for k, c in enumerate("ij")]
+    sides = pairs.select("pivot", "i", "j", F.explode(
+        F.when(F.col("i") == F.col("j"), F.array(side[0])).otherwise(F.array(*side))).alias("s")
+    ).select("pivot", "i", "j", "s.block", "s.side")
+    own = kinds.select("pivot", "tier", "label", "own").join(
+        pools.withColumnsRenamed({"pivot": "p", "tier": "t", "own": "o"}),
+        (F.col("pivot") == F.col("p")) & (F.col("tier") == F.col("t")) & F.col("own").eqNullSafe(F.col("o")),
+    ).select("pivot", "tier", "label", "own", "parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = rows.join(own, ["pivot", "tier", "label"]).withColumn("part", part).withColumn("block", number)
+    out = staged(placed.join(sides, ["pivot", "block"]).drop("tier", "own", "parts", "part", "block", "n"), "dealt")
+    total = out.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("held")).first()
+    shards = 1 + max(total["rows"] // SHARD_ROWS, 8 * total["held"] // SHARD_BYTES)
+    return out.withColumn("shard", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(shards)))
+
+
+def block_pairs(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """The two sides of each pair of blocks of a shard; one frame twice for a
+    block and itself."""
+    for (_, i, j), both in pdf.groupby(["pivot", "i", "j"], sort=False):
+        if i == j:
+            yield both, both
+        else:
+            second = both["side"].to_numpy() == 1
+            yield both[~second], both[second]
+
+
+def block_links(rows: DataFrame, sets: DataFrame, t: int, num: int, den: int) -> DataFrame:
+    """(a, b): labels that links between ``rows`` (pivot, n, node, label, size,
+    marks) of one group join."""
+
+    def apart(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        return x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
+
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows that may be linked with one of another label."""
+        out = []
+        for x, y in block_pairs(pdf):
+            a, b = (np.stack(s["marks"].to_list()).astype(np.int64).view(np.uint64) for s in (x, y)) if len(x) and len(y) else (None, None)
+            if a is None:
+                continue
+            m, n = x["size"].to_numpy()[:, None], y["size"].to_numpy()[None, :]
+            some = apart(x, y) & (np.minimum(m, n) * den >= np.maximum(m, n) * num)
+            if some.any():
+                some &= may_link(a, b, t, num / den)
+                out += [x[some.any(axis=1)]] if x is y else [x[some.any(axis=1)], y[some.any(axis=0)]]
+        return pd.concat(out)[slim] if out else pdf[slim].iloc[:0]
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for x, y in block_pairs(pdf):
+            both = common_members(x["members"].to_list(), y["members"].to_list())
+            union = x["size"].to_numpy()[:, None] + y["size"].to_numpy()[None, :] - both
+            i, j = np.nonzero(apart(x, y) & (den * both >= num * union))
+            out.append(forest(x["label"].to_numpy()[i], y["label"].to_numpy()[j]))
+        a, b = (np.concatenate(s) for s in zip(*out, strict=True))
+        return pd.DataFrame({"a": a, "b": b})
+
+    slim = ["shard", "pivot", "i", "j", "side", "node", "label", "size"]
+    schema = "shard long, pivot long, i long, j long, side int, node long, label long, size long"
+    some = staged(dealt(rows, num, den).groupBy("shard").applyInPandas(possible, schema), "possible")
+    return some.join(sets, "node").groupBy("shard").applyInPandas(linked, "a long, b long")
+
+
 def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
     """What ``near_duplicates`` returns, with the columns that identify a row and
     ``label``, which tells components apart; null for a row without words."""
-    signed = staged(signatures(docs, words, bands, rows), "signatures")
+    signed = staged(signatures(docs, words, bands, rows), "signatures", batch=_BATCH)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "row_tag")
     classes = (
         signed.where("node is not null").groupBy("node")
@@ -254,61 +399,30 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
         ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("p")).select("key", "p.company", F.col("p.node").alias("pivot")),
         "pivots", about,
     )
-    members = staged(seen.join(pivots, "key").select("key", "node", "pivot", "company"), "members", about)
-    n = members.count()
+    # A pair that shares a bucket shares its pivot.
+    members = staged(seen.join(pivots, "key").select("node", "pivot", "company").distinct(), "members", about)
     wanted = members.select("node").distinct().join(classes.select("node", "row_key", "row_tag"), "node")
-    sets = staged(full_sets(docs, wanted, words), "sets")
+    sets = staged(full_sets(docs, wanted, words), "sets", batch=_BATCH)
 
     # Pass 1: members and pivots; a member has one for each band at most.
     of_member = members.where("node <> pivot").groupBy("node").agg(
         F.array_sort(F.collect_set(F.struct(-F.col("company"), "pivot"))).alias("p"))
     first = of_member.select(F.col("node").alias("a"), F.explode(F.slice("p.pivot", 1, PIVOTS)).alias("b"))
-    held = staged(measured(staged(first, "pairs", n), sets, num, den), "measured", n)
+    held = staged(measured(staged(first, "pairs", about), sets, num, den), "measured", about, batch=_BATCH)
     labels = components(held.where("linked"))
 
-    def apart(placed: DataFrame) -> DataFrame:
-        """The buckets that still have members of several components."""
-        mixed = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
-        return staged(placed.join(mixed.select("key"), "key"), "apart", n)
-
-    def linked_labels(placed: DataFrame) -> DataFrame:
-        """(a, b): labels of members that links between different components join."""
-        left, right = placed.alias("l"), placed.alias("r")
-        reach = 1 - num / den + 1e-9
-        pairs = left.join(
-            right,
-            (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
-            & (F.least("l.size", "r.size") * den >= F.greatest("l.size", "r.size") * num)
-            & F.coalesce(F.abs(F.col("l.distance") - F.col("r.distance")) <= reach, F.lit(True))
-            & may_link(F.col("l.marks"), F.col("r.marks"), bands * rows, num / den),
-        ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        found = measured(staged(pairs.distinct(), "pairs", n), sets, num, den).where("linked")
-        of = placed.select("node", "label").distinct()
-        found = found.join(of.withColumnsRenamed({"node": "a", "label": "x"}), "a")
-        return found.join(of.withColumnsRenamed({"node": "b", "label": "y"}), "b").select(
-            F.col("x").alias("a"), F.col("y").alias("b"))
-
-    def renamed(rows_: DataFrame, to: DataFrame) -> DataFrame:
-        new = to.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        return rows_.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-
     # Vertices without a link are their own labels.
     found = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = apart(staged(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed", n))
-    if not placed.isEmpty():
-        # Pass 2: a few members of each component of a bucket.
-        distance = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
-        placed = placed.join(distance, ["node", "pivot"], "left").join(classes.select("node", "size", "marks"), "node")
-        known = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("distance")
-        placed = staged(placed.select("key", "node", "label", "size", "marks", known), "placed", n)
-        some = Window.partitionBy("key", "label").orderBy(F.xxhash64("key", "node"))
-        few = placed.withColumn("turn", F.row_number().over(some)).where(F.col("turn") <= REPRESENTATIVES).drop("turn")
-        again = components(linked_labels(staged(few, "few", n)))
-        found = renamed(found, again)
-        # Pass 3: all members that are still apart.
-        rest = apart(renamed(placed, again))
-        if not rest.isEmpty():
-            found = renamed(found, components(linked_labels(rest)))
+    placed = members.select("pivot", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = staged(placed, "placed", about)
+    mixed = placed.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n"))
+    rest = staged(placed.join(mixed.where("l <> m").select("pivot", "n"), "pivot"), "apart", about)
+    if not rest.isEmpty():
+        # Pass 2: all members of a group that are still apart.
+        rest = rest.join(classes.select("node", "size", "marks"), "node")
+        again = components(block_links(rest, sets, bands * rows, num, den))
+        new = again.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        found = found.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
     ids = staged(found, "found")
     least = staged(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
+from gridframe.llm import minhash
 from gridframe.llm.common import text_buffer
 from gridframe.llm.components import components
 from gridframe.llm.minhash import distinct_shingles, keep_representatives, near_duplicates, sketches
@@ -103,3 +104,53 @@ def test_components_of_paths_stars_and_rings(spark):
         assert len({got[i] for i in part}) == 1
     assert len(set(got.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_groups_that_nothing_links_make_no_pairs(spark, monkeypatch):
+    """Copies of one text just below the threshold share most buckets: they are
+    held against pivots one by one, and against one another in blocks only."""
+    r = random.Random(12)
+    base = prose(40, 200).split()
+    texts = []
+    for i in range(70):
+        words = list(base)
+        for at in r.sample(range(200), 20):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    texts += [texts[5] + " tail", " ".join(base[:197]), prose(41, 200), prose(41, 200) + " more"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    pairs = []
+
+    def counted(p, *more):
+        pairs.append(p.count())
+        return measured(p, *more)
+
+    measured = minhash.measured
+    monkeypatch.setattr(minhash, "measured", counted)
+    for block in (4, 512):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = near_duplicates(docs, words=2).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute(list(enumerate(texts)), 2))
+    assert len({x.component_id for x in got}) > 40
+    assert max(pairs) <= minhash.PIVOTS * len(texts)
+
+
+def test_blocks_count_and_join_as_sets_do(monkeypatch):
+    monkeypatch.setattr(minhash, "_WIDTH", 7)
+    r = random.Random(3)
+    sets = [sorted({r.randrange(60) for _ in range(r.randrange(40))}) for _ in range(25)] + [[]]
+    raw = [np.array(s, np.uint64).tobytes() for s in sets]
+    both = minhash.common_members(raw, raw[:9])
+    assert both.tolist() == [[len({*a} & {*b}) for b in sets[:9]] for a in sets]
+    a, b = (np.array([r.randrange(-30, 30) for _ in range(25)]) for _ in range(2))
+    up = {v: v for v in {*a.tolist(), *b.tolist()}}
+
+    def classes(links):
+        label, links = dict(up), list(links)
+        for _ in up:
+            for x, y in links:
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    c, d = minhash.forest(a, b)
+    assert len(c) < len(up) and classes(zip(a.tolist(), b.tolist())) == classes(zip(c.tolist(), d.tolist()))
