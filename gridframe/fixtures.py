@@ -317,11 +317,11 @@ def order_books(spark: SparkSession, sf: str) -> DataFrame:
         orders = orders.sort_values("_row")
         names = list(ORDERS_COLS)
         days = (orders["o_orderdate"] - pd.Timestamp(1899, 12, 30)) / pd.Timedelta(days=1)
-        rows = ["".join(map(text, names))]
-        for (_, o), day in zip(orders.iterrows(), days, strict=True):
-            cells = [f'<c s="1"><v>{float(day)!r}</v></c>' if c == "o_orderdate" else
-                     f"<c><v>{o[c].item() if hasattr(o[c], 'item') else o[c]}</v></c>" if c in ("o_orderkey", "o_custkey", "o_totalprice") else text(o[c]) for c in names]
-            rows.append("".join(cells))
+        # Whole columns at once: a frame's rows, one by one, take most of the time.
+        cells = [[f'<c s="1"><v>{float(day)!r}</v></c>' for day in days.tolist()] if c == "o_orderdate" else
+                 [f"<c><v>{v}</v></c>" for v in orders[c].tolist()] if c in ("o_orderkey", "o_custkey", "o_totalprice") else
+                 [text(v) for v in orders[c].tolist()] for c in names]
+        rows = ["".join(map(text, names)), *map("".join, zip(*cells, strict=True))]
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="orders" sheetId="1" '

@@ -1071,9 +1071,9 @@ SELECT 'book-' || book || '.xlsx' AS path, _row % {fx.BOOK_ROWS} AS _row, o_orde
   o_orderdate, o_orderpriority, count(*) OVER (PARTITION BY book) AS rows FROM b""")
 def workbook_folder(spark, sf):
     """All sheets of many workbooks; the second sheet tells the rows of the first."""
-    from gridframe.session import cut_lineage
+    from gridframe.session import stored
     from gridframe.sources import workbook
-    rows = cut_lineage(workbook.parse_workbooks(fx.order_books(spark, sf)))
+    rows = stored(workbook.parse_workbooks(fx.order_books(spark, sf)), "workbooks")
     size = workbook.workbook_table(rows, "size").drop("_row")
     return workbook.workbook_table(rows, "orders").join(size, "path")
 

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 import zipfile
+from xml.etree import ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,50 @@ def test_workbook_rows_stream_and_hold_no_tree(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 40_000 and peak < 4_000_000
+
+
+def test_workbook_rows_travel_with_their_head(spark):
+    """Typing a folder reads its rows once and shuffles none of them."""
+    d = _tmp()
+    for i in range(2):
+        _write_xlsx(os.path.join(d, f"book{i}.xlsx"))
+    df = read_workbooks(spark, d)
+    heads = {tuple(r) for r in df.select("sheet", "_row", F.concat_ws(",", "head")).collect()}
+    assert heads == {*[("First", i, "name,when") for i in range(4)], ("Second", 0, "99")}
+    plan = workbook_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1 and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_workbook_cells_of_every_kind(tmp_path):
+    from gridframe.sources.workbook import workbook_rows
+
+    p = str(tmp_path / "kinds.xlsx")
+    _write_xlsx(p)
+    rows = ('<row r="2"><c t="inlineStr"><is><r><t>a &amp; b</t></r><r><t xml:space="preserve"> cé</t></r></is></c>'
+            '<c r="D2" t="b"><v>1</v></c><c t="e"><v>#N/A</v></c><c t="str"><f>A1</f><v>x<!-- no -->y</v></c></row>'
+            '<row><c/><c s="1"><v>45292.5</v></c><c><v></v></c><c t="s"><v>2</v></c></row><row r="5"/>')
+    with zipfile.ZipFile(p, "a") as z:
+        z.writestr("xl/worksheets/sheet1.xml",
+                   f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+    got = [r[2:] for r in workbook_rows(p) if r[0] == 0]
+    assert got == [
+        (0, [], []), (1, ["a & b cé", None, None, "TRUE", "#N/A", "xy"], ["s", None, None, "b", "e", "s"]),
+        (2, [None, "2024-01-01 12:00:00", None, "alice"], [None, "d", None, "s"]), (3, [], []), (4, [], [])]
+    with zipfile.ZipFile(p, "a") as z:
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><row/><row></c>')
+    with pytest.raises(ET.ParseError):
+        list(workbook_rows(p))
+
+
+def test_books_are_built_from_whole_columns(spark, tmp_path):
+    """Orders with nulls make the same cells as ever, without a frame's rows."""
+    from gridframe import fixtures as fx
+    from gridframe.sources.workbook import parse_workbooks
+
+    rows = [(1, 7, "O", 10.5, "2024-01-01", "1-URGENT"), (2, None, None, None, "2024-01-03", "a < b & c"), (None, 9, "F", 1e22, "2024-01-02", None)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, d string, o_orderpriority string")
+    df.withColumn("o_orderdate", F.col("d").cast("timestamp_ntz")).drop("d").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r._row: r.cells for r in parse_workbooks(fx.order_books(spark, str(tmp_path))).where("sheet_no = 0").collect()}
+    assert got[0] == fx.ORDERS_COLS and sorted(map(repr, got.values())) == sorted(map(repr, [
+        fx.ORDERS_COLS, ["nan", "9.0", "F", "1e+22", "2024-01-02 00:00:00", "None"],
+        ["1.0", "7.0", "O", "10.5", "2024-01-01 00:00:00", "1-URGENT"], ["2.0", "nan", "None", "nan", "2024-01-03 00:00:00", "a < b & c"]]))
