@@ -195,22 +195,38 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
 
 
+#: Sheet rows whose entries, of one column, make a block of the search index.
+BLOCK_ROWS = 4096
+#: Entries whose grams one task counts.
+ENTRIES_PER_PART = 50_000
+
+
 class SearchIndex:
-    """A12 for many terms: the listing of a sheet and a posting table of the
-    grams of its texts, both stored.
+    """A12 for many terms: the listing of a sheet and, for each gram of its
+    texts and each block of the listing, the number of entries that hold it,
+    both stored.  Blocks are in listing order; one has the entries of a kind, a
+    column and ``BLOCK_ROWS`` sheet rows.
 
-    A term is looked up by the rarest of its grams and the entries found are
-    verified, so terms read candidates and not the sheet."""
+    A term of at most ``GRAM`` characters is a gram itself, so counts tell which
+    blocks its first entries are in.  A longer one is looked up by the rarest of
+    its grams.  The entries of the blocks found are verified, so a term of either
+    kind brings blocks and not entries, and a task counts a bounded part."""
 
     def __init__(self, sheet: Sheet, columns: list[str] | None = None, path: str | None = None) -> None:
         self.spark = sheet.df.sparkSession
         self.path = path or scratch_path(self.spark, "search")
+        block = F.floor(F.col("row") / BLOCK_ROWS).cast("bigint").alias("block")
         lowered = [F.lower("text").alias("lt"), F.lower("description").alias("ld")]
-        cell_listing(sheet, columns).select("*", *lowered).write.parquet(f"{self.path}/listing")
+        cell_listing(sheet, columns).select("*", block, *lowered).write.parquet(f"{self.path}/listing")
         both = [_grams(F.col(c), n) for c in ("lt", "ld") for n in range(1, GRAM + 1)]
-        posts = self.listing().select("kind", "col", "row", F.explode(F.array_distinct(F.concat(*both))).alias("gram"))
-        posts.repartitionByRange("gram", "kind", "col", "row").sortWithinPartitions("gram").write.parquet(f"{self.path}/postings")
-        self.postings().groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{self.path}/grams")
+        names = sheet.columns if columns is None else columns
+        parts = 1 + sheet.n_rows * (len(names) + 1) // ENTRIES_PER_PART
+        # Blocks lie whole in a part, so their counts need no other shuffle.
+        entries = self.listing().select("kind", "col", "block", "lt", "ld").repartition(parts, "kind", "col", "block")
+        posts = entries.select("kind", "col", "block", F.explode(F.array_distinct(F.concat(*both))).alias("gram"))
+        counts = posts.groupBy("gram", "kind", "col", "block").agg(F.count(F.lit(1)).alias("held"))
+        counts.write.parquet(f"{self.path}/postings")
+        self.postings().groupBy("gram").agg(F.sum("held").alias("n")).write.parquet(f"{self.path}/grams")
 
     def listing(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/listing")
@@ -231,8 +247,16 @@ class SearchIndex:
         counted = grams.join(self.spark.read.parquet(f"{self.path}/grams"), "gram", "left")
         rarest = counted.groupBy("term", "lower").agg(
             F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-        found = rarest.where("n > 0").join(self.postings(), "gram").select("term", "lower", "kind", "col", "row")
-        hits = found.join(self.listing(), ["kind", "col", "row"]).where(F.contains("lt", "lower") | F.contains("ld", "lower"))
-        first = Window.partitionBy("term").orderBy("kind", "col", "row")
-        ranked = hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        found = self.postings().join(rarest.where("n > 0").select("term", "lower", "gram"), "gram")
+        # Every block found holds an entry of a short term, so its first k entries are in its first k blocks.
+        order = Window.partitionBy("term").orderBy("kind", "col", "block")
+        exact = F.length("lower") <= GRAM
+        first = found.where(exact).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k)
+        before = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = first.withColumn("before", before).where(F.col("before") < k)
+        blocks = first.select("term", "lower", "kind", "col", "block").unionByName(
+            found.where(~exact).select("term", "lower", "kind", "col", "block"))
+        hits = self.listing().join(blocks, ["kind", "col", "block"]).where(F.contains("lt", "lower") | F.contains("ld", "lower"))
+        listed = Window.partitionBy("term").orderBy("kind", "col", "row")
+        ranked = hits.withColumn("rank", F.row_number().over(listed)).where(F.col("rank") <= k)
         return ranked.select("term", "rank", "kind", "col", "row", "text", "description")

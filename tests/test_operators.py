@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,25 @@ def test_selections_that_leave_the_sheet_raise(spark, sheet_of):
     got = sorted(tuple(r) for r in address.read_ranges(s, asked).collect())
     assert got == [(1, 0, 0, 0, ["0", "v0"]), (1, 0, 1, 0, ["1", "v1"]), *[(4, 0, i, 1, [f"v{i}"]) for i in range(4)],
                    (4, 1, 3, 0, ["3", "v3"])]
+
+
+def test_search_index_finds_what_single_searches_find(spark, sheet_of, monkeypatch):
+    """Over many blocks; the index has a row for a gram and block, not for each entry."""
+    monkeypatch.setattr(address, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(address, "ENTRIES_PER_PART", 20)
+    rnd = random.Random(8)
+    words = ["Alpha", "alphabet", "BETA", "", None, "Äpfel", "a%_b", "Cell"]
+    s = sheet_of([(rnd.choice(words), rnd.randrange(200), None) for _ in range(70)], "v string, n long, gone string")
+    index = address.SearchIndex(s)
+    terms = ["a", "al", "alp", "ALPHA", "alphabet", "eta", "äpf", "%_", "1", "17", "170", "cell", "Cell C", "Row 6", "zzz", "alphb", "e", ""]
+    got = {}
+    for r in index.search(spark.createDataFrame([(t,) for t in terms + ["a", None]], "term string"), 5).collect():
+        got.setdefault(r.term, []).append((r.rank, r.kind, r.col, r.row, r.text, r.description))
+    listing = sorted(address.cell_listing(s).collect(), key=lambda r: r[:3])
+    for t in terms:
+        want = [r for r in listing if t.lower() in r.text.lower() or t.lower() in r.description.lower()] if t else []
+        assert sorted(got.get(t, [])) == [(i + 1, *r) for i, r in enumerate(want[:5])], t
+    assert sorted(got["alp"]) == [(i + 1, *r) for i, r in enumerate(address.cell_search(s, "alp", 5).collect())]
+    blocks = index.postings().select("kind", "col", "block").distinct().count()
+    assert index.postings().where("gram = 'e'").count() <= blocks == 3 + 4 * 9
+    assert index.postings().groupBy("gram").count().agg(F.max("count")).first()[0] <= blocks
