@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from gridframe.llm import suffix_dedup as sd
 from gridframe.llm.decontaminate import contaminated_pairs, remove_contaminated, tiles
@@ -74,6 +77,51 @@ def test_long_texts_go_in_pieces(monkeypatch):
     assert sd.anchored_segments(text[:399], np.array([0, 399]), 400)["lo"].size == 0
 
 
+def test_words_take_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+    staged = sd.staged
+
+    def noted(df, *args, **more):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, *args, **more)
+
+    monkeypatch.setattr(sd, "staged", noted)
+    docs = spark.createDataFrame(passages(4, 30), DOCS)
+    assert sd.remove_repeated_words(docs).count() == 30
+    assert sum("MapInArrow" in p for p in plans) >= 2
+    python = r"(MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython)"
+    chained = rf"{python}[^\n]*\n([ :|+-]*(Project|Filter)[^\n]*\n)*[ :|+-]*{python}"
+    assert not [p for p in plans if re.search(chained, p)]
+
+
+def test_segments_hold_little_at_once():
+    """4 MB of texts, and one text of 3 MB, whole and by words."""
+    many = pa.array([prose(n, 300) for n in range(40)] * 50, pa.string())
+    long = pa.array([" ".join(prose(n, 3000) for n in range(20)) * 8], pa.string())
+    for texts in (many, long):
+        for words in (False, True):
+            tracemalloc.start()
+            found = sum(len(s["row"]) for s in sd.batch_segments(texts, 408, words))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert found and peak < 64 << 20, (words, peak)
+
+
+def test_segments_of_words_equal_those_of_their_codes():
+    texts = [prose(n, n) for n in range(40, 140)] + ["", None, " ".join("ab" for _ in range(60)), prose(7, 40_000)]
+    data, bounds = sd.text_buffer(pa.array(texts, pa.string()))
+    codes, counts = sd.word_codes(data, bounds)
+    raw = codes.tobytes().decode("ascii")
+    coded = pa.array([raw[a * sd.CODE : b * sd.CODE] for a, b in zip(counts[:-1], counts[1:])], pa.string())
+
+    def starts(parts):
+        return {(int(r), i) for s in parts for r, a, b in zip(s["row"], s["lo"], s["hi"]) for i in range(a, b + 1)}
+
+    got = starts(sd.batch_segments(pa.array(texts, pa.string()), 408, True))
+    assert got == starts(sd.batch_segments(coded, 408, False))
+    assert len(got) == sum(max(len(t) - 407, 0) for t in coded.to_pylist())
+
+
 def test_suffix_order_and_prefixes():
     r = np.random.default_rng(1)
     for text in (r.integers(0, 3, 3000).astype(np.uint8), np.tile(r.integers(0, 9, 37), 40).astype(np.uint8)):
