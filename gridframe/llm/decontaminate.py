@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    CHUNK_BYTES, byte_table, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer, whole_rows,
+    CHUNK_BYTES, byte_table, join_few, prefix_hash, row_chunks, row_identity, span_hash, staged, text_buffer, whole_rows,
     word_spans,
 )
 
@@ -245,4 +245,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     """``docs`` without the rows that hold a benchmark item (see
     ``contaminated_pairs``); all other rows and columns stay as they are."""
     bad = staged(contaminated_pairs(docs, benchmark, **options).select("row_key", "row_tag").distinct(), "contaminated")
-    return whole_rows(docs).join(bad, ["row_key", "row_tag"], "left_anti").select("row.*")
+    return join_few(whole_rows(docs), bad, ["row_key", "row_tag"], "left_anti").select("row.*")

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    mix64, row_chunks, row_identity, shingle_hashes, staged, text_buffer, whole_rows, word_hashes,
+    join_few, mix64, row_chunks, row_identity, shingle_hashes, staged, text_buffer, whole_rows, word_hashes,
 )
 from gridframe.llm.components import components
 
@@ -235,8 +235,8 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, members) for ``wanted`` (node, row_key, row_tag): each node's sorted
-    shingle hashes as 64-bit integers, from its representative's whole text."""
+    """(node, members) for the table ``wanted`` (node, row_key, row_tag): each node's
+    sorted shingle hashes as 64-bit integers, from its representative's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +251,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     # Rows that repeat id and text would send their set again; one is enough.
     return (
-        docs.select(*row_identity(), "text")
-        .join(wanted, ["row_key", "row_tag"])
+        join_few(docs.select(*row_identity(), "text"), wanted, ["row_key", "row_tag"])
         .select("node", "text")
         .mapInArrow(run, "node long, members binary")
         .dropDuplicates(["node"])
@@ -373,7 +372,7 @@ def block_links(rows: DataFrame, sets: DataFrame, t: int, num: int, den: int) ->
     slim = ["shard", "pivot", "i", "j", "side", "node", "label", "size"]
     schema = "shard long, pivot long, i long, j long, side int, node long, label long, size long"
     some = staged(dealt(rows, num, den).groupBy("shard").applyInPandas(possible, schema), "possible")
-    return some.join(sets, "node").groupBy("shard").applyInPandas(linked, "a long, b long")
+    return join_few(sets, some, ["node"]).groupBy("shard").applyInPandas(linked, "a long, b long")
 
 
 def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
@@ -390,7 +389,7 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
     buckets = classes.select(F.explode("keys").alias("key"), "node")
     about = classes.count() * bands // 4
     shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared", about)
-    seen = staged(buckets.join(shared, "key").select("key", "node", "n"), "seen", about)
+    seen = staged(join_few(buckets, shared, ["key"]).select("key", "node", "n"), "seen", about)
     # The member with the most company is near the middle of its group, so most
     # of the group is linked with it, if not with one another.
     company = seen.groupBy("node").agg(F.sum("n").alias("company"))
@@ -402,7 +401,7 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, bands: int, rows: i
     # A pair that shares a bucket shares its pivot.
     members = staged(seen.join(pivots, "key").select("node", "pivot", "company").distinct(), "members", about)
     wanted = members.select("node").distinct().join(classes.select("node", "row_key", "row_tag"), "node")
-    sets = staged(full_sets(docs, wanted, words), "sets", batch=_BATCH)
+    sets = staged(full_sets(docs, staged(wanted, "wanted", about // bands), words), "sets", batch=_BATCH)
 
     # Pass 1: members and pivots; a member has one for each band at most.
     of_member = members.where("node <> pivot").groupBy("node").agg(
@@ -469,9 +468,9 @@ def keep_representatives(
     chosen = staged(chosen.select("rep.row_key", "rep.row_tag"), "representatives")
     gone = kinds.select(*id_text).join(chosen, id_text, "left_anti")
     if repeated_rows:
-        return whole_rows(docs).join(staged(gone, "near-duplicates"), id_text, "left_anti").select("row.*")
+        return join_few(whole_rows(docs), staged(gone, "near-duplicates"), id_text, "left_anti").select("row.*")
     several = staged(kinds.where("n > 1").select(*id_text).join(chosen, id_text, "left_semi"), "several")
     gone = staged(gone.unionByName(several), "near-duplicates")
-    single = whole_rows(docs).join(gone, id_text, "left_anti").select("row")
-    one = whole_rows(docs).join(several, id_text).groupBy(*id_text).agg(F.any_value("row").alias("row")).select("row")
+    single = join_few(whole_rows(docs), gone, id_text, "left_anti").select("row")
+    one = join_few(whole_rows(docs), several, id_text).groupBy(*id_text).agg(F.any_value("row").alias("row")).select("row")
     return single.unionByName(one).select("row.*")

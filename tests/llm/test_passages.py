@@ -6,9 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gridframe.llm import suffix_dedup as sd
+from gridframe.llm.common import join_few, suspected
 from gridframe.llm.decontaminate import contaminated_pairs, remove_contaminated, tiles
+from gridframe.llm.minhash import keep_representatives
 
 from .cases import DOCS, awkward, awkward_rows, clashing, nothing, plain_rows, prose
 
@@ -230,3 +233,58 @@ def test_scattered_parts_and_shuffled_copies_count(spark):
     assert all(r.coverage == 1.0 for r in got.values())
     assert got[0].doc_end - got[0].doc_start > 180
     assert got[1].doc_end - got[1].doc_start <= 180 and got[3].doc_end - got[3].doc_start <= 180
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of ``df``'s last run have written."""
+
+    def walk(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        written, children = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+        own = written.get().value() if written.isDefined() else 0
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_a_partner_are_not_dealt_out(spark):
+    shared = prose(1, 60)
+    rows = [(i, prose(100 + i, 60) + (" " + shared if i in (7, 150) else "")) for i in range(300)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as for tables beyond it
+    try:
+        for cut, size in ((sd.remove_repeated_words, 51), (sd.remove_repeats, 300), (sd.cut_repeats, 300)):
+            out = cut(docs, size)
+            assert shuffled_rows(out) < 60
+            assert out.count() == 300
+        contaminated = remove_contaminated(docs, spark.createDataFrame([(0, shared)], "item_id long, text string"))
+        assert shuffled_rows(contaminated) < 60
+        assert contaminated.count() == 298
+        twins = docs.unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1000))
+        for repeated in (True, False):
+            left = keep_representatives(twins, repeated_rows=repeated)
+            assert shuffled_rows(left) < 60
+            assert sorted(r.doc_id for r in left.collect()) == list(range(300))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_join_of_few_is_the_join(spark):
+    rows = spark.createDataFrame(
+        [(i % 40 or None, i % 3, f"t{i}") for i in range(200)] + [(None, None, "n"), (1, 1, "t1")], "a long, b long, text string"
+    )
+    few = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (39, 0, "z"), (None, 1, "n"), (77, 0, "w")], "a long, b long, v string")
+    plain = lambda df: sorted(map(repr, (r.asDict() for r in df.select(*sorted(df.columns)).collect())))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert plain(join_few(rows, few, ["a", "b"], how)) == plain(rows.join(few, ["a", "b"], how))
+        assert plain(join_few(rows, few.limit(0), ["a", "b"], how)) == plain(rows.join(few.limit(0), ["a", "b"], how))
+    many = spark.range(20_000).select(F.col("id").alias("a"))
+    marked = suspected(many, many.where("a % 20 = 0"), ["a"])
+    assert marked.where("a % 20 = 0 and not suspected").isEmpty()
+    assert marked.where("a % 20 <> 0 and suspected").count() < 1000
