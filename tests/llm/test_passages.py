@@ -64,6 +64,36 @@ def test_cuts_equal_brute_force(spark):
     check_cuts(spark, awkward_rows())
 
 
+def test_query_gives_the_text_left(spark, tmp_path):
+    """Passages cut at and within characters of two to four bytes."""
+    from gridframe.llm.queries import op7_suffix_dedup
+
+    shared = [prose(5, 70), "é" * 3 + prose(6, 150) + "😀" * 2, "".join(chr(0x4E00 + i * 7 % 997) for i in range(200))]
+    r = random.Random(9)
+
+    def edge():
+        return chr(r.randrange(*r.choice([(0x20, 0x7F), (0xC0, 0x180), (0x4E00, 0x9FA5), (0x1F300, 0x1F600)])))
+
+    rows = [
+        (i, "".join(prose(500 + 9 * i + k, 20) + edge() + r.choice(shared) + edge() for k in range(3)) + prose(i, 9))
+        for i in range(60)
+    ] + [(60, None), (61, ""), (62, shared[0]), (63, prose(63, 200)), (None, shared[1]), (62, shared[0])]
+    spark.createDataFrame([(*row, None, None, None) for row in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want, split = Counter(), 0
+    for (i, t), spans in zip(rows, brute_spans([row[1] for row in rows], 400)):
+        raw, at, kept = (t or "").encode(), 0, b""
+        for a, b in spans:
+            kept, at = kept + raw[at:a], b
+            split += any(p < len(raw) and raw[p] & 0xC0 == 0x80 for p in (a, b))
+        text = sd._without(t or "", [{"start": a, "end": b} for a, b in spans])
+        want[i, len(raw), len(raw) - len(kept + raw[at:]), len(spans), hashlib.sha256(kept + raw[at:]).hexdigest(), text] += 1
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    found = Counter(tuple(row) for row in op7_suffix_dedup(spark, str(tmp_path)).select(*columns).collect())
+    assert split > 20
+    assert found == want
+    assert not [t for *_, t in found if shared[0] in t or shared[2] in t]
+
+
 def test_hot_passages_go_to_several_shards(spark, monkeypatch):
     """With tiny shards every shared gram is dealt to several and merged."""
     monkeypatch.setattr(sd, "SHARD_SEGMENTS", 3)
