@@ -7,9 +7,10 @@ presence depends on the label clearly (G statistic of ``least_g`` or more) make
 up the vocabulary; an example of label 1 that holds none of them adds its own
 most telling terms, however rare, so that copies of any example find it.
 Document frequencies of these terms are counted over *all*
-documents.  A text's nearest examples by exact TF-IDF cosine come from a
-block-max inverted index: examples lie in blocks, each term keeps the largest
-weight of each block, and a block is opened only while its bound can still
+documents.  Only words that open like a term of the vocabulary are hashed.  A
+text's nearest examples by exact TF-IDF cosine come from a block-max inverted
+index: examples lie in blocks, each term keeps the largest weight of each block,
+and blocks are opened, in growing groups, only while their bounds can still
 reach the best examples found so far.  Neighbours vote with weights that fall
 with distance, and the neighbours found are returned as evidence.
 """
@@ -24,58 +25,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.llm.common import (
-    CHUNK_BYTES, byte_table, mix64, prefix_hash, row_chunks, span_hash, text_buffer, word_spans,
+    CHUNK_BYTES, byte_table, mix64, prefix_hash, row_chunks, span_hash, text_buffer,
 )
 from gridframe.llm.labelled import in_fold, sample
 
 BEGINNINGS = (4, 5, 6, 8)
 BLOCK = 64
+#: Blocks of examples that are opened together at first; each further group is so many times larger.
+GROUP, GROWTH = 32, 4
 
 _CODES = byte_table(29, lower_ascii=True)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-
-def term_hashes(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the terms of all rows with their row numbers, in blocks."""
-    starts, ends = word_spans(data, bounds, _LETTER[data])
+_LETTER_TABLE = _LETTER.tobytes()
+
+
+def letter_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows; none crosses a row."""
+    letter = np.frombuffer(data.tobytes().translate(_LETTER_TABLE), bool)
+    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    cut = np.unique(bounds[(bounds > 0) & (bounds < len(letter))])
+    cut = cut[letter[cut - 1] & letter[cut]]
+    if len(cut):
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends
+
+
+def openings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """16 bits of the first four bytes of each word, equal for small and capital
+    letters: a word has the same as each of its terms."""
+    out = np.zeros(len(starts), np.uint16)
+    for j, shift in enumerate((0, 5, 10, 11)):
+        at = starts + j
+        byte = (data.take(at, mode="clip") & np.uint8(31)).astype(np.uint16)
+        out ^= (byte * (at < ends)) << np.uint16(shift)
+    return out
+
+
+def _term_blocks(
+    data: np.ndarray, bounds: np.ndarray, opens: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of terms, and row number, start and end of the word of each."""
+    starts, ends = letter_runs(data, bounds)
+    if opens is not None:
+        some = np.flatnonzero(opens.take(openings(data, starts, ends)))
+        starts, ends = starts[some], ends[some]
     lo = 0
     while lo < len(starts):
         hi = max(int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, side="right")), lo + 1)
-        s, e = starts[lo:hi], ends[lo:hi]
-        piece = data[s[0] : e[-1]]
+        first, last = starts[lo:hi], ends[lo:hi]
+        e = np.cumsum(last - first)
+        s = e - (last - first)
+        piece = data[np.repeat(first - s, last - first) + np.arange(e[-1])]  # the words alone
         capital = np.zeros(len(piece), bool)  # U+00C0 to U+00DE but U+00D7, in UTF-8
         capital[1:] = (piece[:-1] == 0xC3) & (piece[1:] >= 0x80) & (piece[1:] <= 0x9E) & (piece[1:] != 0x97)
         prefix = prefix_hash(_CODES[np.where(capital, piece + np.uint8(32), piece)])
-        row = np.searchsorted(bounds, s, side="right") - 1
-        s, e = s - s[0], e - s[0]
-        yield span_hash(prefix, s, e), row
+        row = np.searchsorted(bounds, first, side="right") - 1
+        yield span_hash(prefix, s, e), row, first, last
         for k in BEGINNINGS:
             longer = np.flatnonzero(e - s > k)
             cut = s[longer]
-            yield mix64(span_hash(prefix, cut, cut + k) + np.uint64(k)), row[longer]
+            yield mix64(span_hash(prefix, cut, cut + k) + np.uint64(k)), row[longer], first[longer], last[longer]
         lo = hi
 
 
+def term_hashes(
+    data: np.ndarray, bounds: np.ndarray, opens: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the terms of all rows with their row numbers, in blocks; with
+    ``opens``, a flag for each opening, of the words alone that open so."""
+    for h, row, _, _ in _term_blocks(data, bounds, opens):
+        yield h, row
+
+
 class Vocabulary:
-    """Sorted term hashes with a filter that most other terms fail."""
+    """Sorted term hashes with a filter that most other terms fail, and one of
+    openings that most words fail, from ``texts`` that hold all of the terms."""
 
-    def __init__(self, terms: np.ndarray) -> None:
+    def __init__(self, terms: np.ndarray, texts: list[str] | None = None) -> None:
         self.terms = np.sort(terms)
         self._seen = np.zeros(1 << 16, bool)
         self._seen[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self._opens = None
+        if texts is None:
+            return
+        self._opens = np.zeros(1 << 16, bool)
+        data, bounds = text_buffer(pa.array(texts, pa.string()))
+        for lo, hi in row_chunks(bounds):
+            part = bounds[lo : hi + 1]
+            piece = data[part[0] : part[-1]]
+            for h, _, s, e in _term_blocks(piece, part - part[0]):
+                held = np.flatnonzero(self._find(h)[1])
+                self._opens[openings(piece, s[held], e[held])] = True
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash would be among the terms, and whether it is there."""
+        if not len(self.terms):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return at, self.terms[at] == h
 
     def counts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term number, occurrences) of the vocabulary's terms, by row."""
         cells = []
         n = len(self.terms)
-        for h, row in term_hashes(data, bounds):
-            if not n:
-                break
+        for h, row in term_hashes(data, bounds, self._opens) if n else ():
             some = np.flatnonzero(self._seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
             h, row = h[some], row[some]
-            at = np.minimum(np.searchsorted(self.terms, h), n - 1)
-            hit = self.terms[at] == h
+            at, hit = self._find(h)
             cells.append(row[hit] * n + at[hit])
         cell, count = np.unique(np.concatenate(cells) if cells else np.zeros(0, np.int64), return_counts=True)
         return cell // max(n, 1), cell % max(n, 1), count
@@ -85,21 +143,19 @@ def unlike_texts(texts: list[str], same: int = 10, of: int = 16) -> list[int]:
     """Indexes of texts without the near copies of earlier ones: those that
     share ``same`` of ``of`` word min-hashes with one kept.  Copies would make
     a chance word of their family look telling."""
-    kept, sketches, by = [], [], [{} for _ in range(of)]
+    kept, sketches, n = [], np.empty((of, len(texts)), np.uint64), 0
     salts = mix64(np.arange(1, of + 1, dtype=np.uint64))
     for i, text in enumerate(texts):
         data, bounds = text_buffer(pa.array([text]))
-        words = [h for h, _ in term_hashes(data, bounds)][:1]
-        if not words:
+        words, _ = next(term_hashes(data, bounds), (None, None))
+        if words is None:
             kept.append(i)
             continue
-        sketch = mix64(np.unique(words[0])[:, None] ^ salts).min(axis=0)
-        near = set().union(*(by[j].get(int(x), ()) for j, x in enumerate(sketch)))
-        if any(int((sketches[k] == sketch).sum()) >= same for k in near):
+        sketch = mix64(np.unique(words)[:, None] ^ salts).min(axis=0)
+        if ((sketches[:, :n] == sketch[:, None]).sum(axis=0, dtype=np.int32) >= same).any():
             continue
-        for j, x in enumerate(sketch):
-            by[j].setdefault(int(x), []).append(len(sketches))
-        sketches.append(sketch)
+        sketches[:, n] = sketch
+        n += 1
         kept.append(i)
     return kept
 
@@ -114,9 +170,12 @@ def telling_terms(texts: list[str], y: np.ndarray, least_g: float, least_own: in
         part = bounds[lo : hi + 1]
         pairs = [(h, r) for h, r in term_hashes(data[part[0] : part[-1]], part - part[0])]
         h, r = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.uint64),) * 2
-        one = np.unique(np.stack([h, r.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-        found.append(one[0])
-        seen.append(lo + one[1].astype(np.int64))
+        # Each pair of term and text once.
+        some, at = np.unique(h, return_inverse=True)
+        cell = np.sort(at * (hi - lo) + r.astype(np.int64))
+        cell = cell[np.diff(cell, prepend=-1) > 0]
+        found.append(some[cell // (hi - lo)])
+        seen.append(lo + cell % (hi - lo))
     terms, at = np.unique(np.concatenate(found), return_inverse=True)
     text = np.concatenate(seen)
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
@@ -139,10 +198,10 @@ def telling_terms(texts: list[str], y: np.ndarray, least_g: float, least_own: in
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over example vectors, opened block by block."""
+    """Exact top-k cosine over example vectors, opened by groups of blocks."""
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int) -> None:
-        self.n_blocks = -(-n_rows // BLOCK)
+        self.n_rows, self.n_blocks = n_rows, -(-n_rows // BLOCK)
         self._top = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self._top, (terms, rows // BLOCK), weights)
         order = np.lexsort((rows, terms))
@@ -154,21 +213,38 @@ class BlockMaxIndex:
         """(examples, cosines) of the k nearest with a cosine above 0, best
         first and ties by example number."""
         bound = weights @ self._top[terms]
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        best_row, best, lo, size = np.zeros(0, np.int64), np.zeros(0), 0, GROUP
+        while lo < len(order):
+            blocks = order[lo : lo + size]
+            if len(best) == k:
+                blocks = blocks[bound[blocks] >= best[-1] - 1e-12]
+            if not len(blocks):
                 break
-            cosine = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self._edge[t * self.n_blocks + block : t * self.n_blocks + block + 2]
-                cosine[self._row[lo:hi] - block * BLOCK] += w * self._weight[lo:hi]
-            cosine = np.round(cosine, 12)
-            hit = np.flatnonzero(cosine > 0)
-            row, value = np.concatenate([best_row, hit + block * BLOCK]), np.concatenate([best, cosine[hit]])
-            order = np.lexsort((row, -value))[:k]
-            best_row, best = row[order], value[order]
+            row, value = self._open(terms, weights, blocks)
+            if len(value) > k:  # all that tie with the k-th stay
+                near = value >= np.partition(value, len(value) - k)[len(value) - k]
+                row, value = row[near], value[near]
+            row, value = np.concatenate([best_row, row]), np.concatenate([best, value])
+            first = np.lexsort((row, -value))[:k]
+            best_row, best = row[first], value[first]
+            lo, size = lo + size, size * GROWTH
         return best_row, best
 
+    def _open(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of ``blocks`` with a cosine above 0, by number, and their cosines."""
+        cell = (terms * self.n_blocks)[:, None] + blocks
+        lo = self._edge[cell]
+        n = self._edge[cell + 1] - lo
+        upto = np.cumsum(n)
+        at = np.repeat(lo.ravel() - upto + n.ravel(), n.ravel()) + np.arange(upto[-1])
+        # Each example's products are added in the order of the terms.
+        cosine = np.bincount(self._row[at], np.repeat(weights, n.sum(axis=1)) * self._weight[at], self.n_rows)
+        row = np.flatnonzero(cosine > 0)
+        value = np.round(cosine[row], 12)
+        return row[value > 0], value[value > 0]
+
 
 class NeighbourVote:
     """The fitted classifier: vocabulary, weights, index and vote."""
@@ -253,7 +329,7 @@ def fit_votes(
     texts, ids = [texts[i] for i in kept], [ids[i] for i in kept]
     y = np.array([y[i] for i in kept], np.int64)
     size = labels.where(train).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    vocabulary = Vocabulary(telling_terms(texts, y, least_g) if len(texts) else np.zeros(0, np.uint64))
+    vocabulary = Vocabulary(telling_terms(texts, y, least_g) if len(texts) else np.zeros(0, np.uint64), texts)
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
     return NeighbourVote(vocabulary, idf, texts, y, ids, k, (size[0], size[1]))

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from gridframe.llm import quality, toxicity
-from gridframe.llm.common import text_buffer
+from gridframe.llm.common import text_buffer, word_spans
 
 from .cases import DOCS, awkward, awkward_rows, clashing, nothing, prose
 
@@ -82,6 +82,70 @@ def test_block_max_search_is_exact():
         assert np.allclose(value, cosine[want]) and (cosine[got] == cosine[want]).all()
 
 
+def test_blocks_are_opened_by_groups(monkeypatch):
+    r = np.random.default_rng(3)
+    n, v = 20_000, 30  # 313 blocks
+    dense = r.random((n, v)) * (r.random((n, v)) < 0.2)
+    rows, terms = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(rows, terms, dense[rows, terms], n, v)
+    opened, one = [], index._open
+    monkeypatch.setattr(index, "_open", lambda t, w, blocks: opened.append(len(blocks)) or one(t, w, blocks))
+    t, w = np.array([2, 7, 11]), np.array([0.2, 0.5, 0.3])
+    got, value = index.nearest(t, w, 15)
+    cosine = np.round(dense[:, t] @ w, 12)
+    want = np.lexsort((np.arange(n), -cosine))[:15]
+    assert np.allclose(value, cosine[want]) and (cosine[got] == cosine[want]).all()
+    assert 0 < len(opened) <= 3
+
+
+def test_words_are_hashed_only_when_they_open_like_a_term(monkeypatch):
+    texts = ["Blorgface an É x", "ÉTÉS blorghead", "été an", "Àb ab", "abc", "x÷×y étés"]
+    chosen = {"blorgface", "blor", "x", "été", "étés", "àb", "abc"}
+    every = np.concatenate([h for h, _ in toxicity.term_hashes(*text_buffer(pa.array(list(chosen))))])
+    filtered, plain = toxicity.Vocabulary(np.unique(every), texts + list(chosen)), toxicity.Vocabulary(np.unique(every))
+    rows = [*texts, "", None, "BLORGFACE", "blorx", "\x00", "X", "éTÉ", "ab", "", prose(1, 200), "x" * 5000, "xab", "é"]
+    rows += [t.swapcase() for t in rows if t]
+    data, bounds = text_buffer(pa.array(rows))
+    assert all(np.array_equal(a, b) for a, b in zip(filtered.counts(data, bounds), plain.counts(data, bounds), strict=True))
+    assert len(plain.counts(data, bounds)[0]) > 30
+    spans, one = [], toxicity.span_hash
+    monkeypatch.setattr(toxicity, "span_hash", lambda p, s, e: spans.append(len(s)) or one(p, s, e))
+    words = text_buffer(pa.array(["quorvex mibbler drantling zigging blorgface " * 1000]))
+    assert filtered.counts(*words)[2].max() == 1000
+    assert sum(spans) <= 5000  # the word that opens like a term, and its four beginnings
+
+
+def test_letter_runs_end_with_their_rows():
+    rows = ["ab", "cd e", "", "", "f", "1g", "h2", "", "éÉ", " ", "x"]
+    data, bounds = text_buffer(pa.array(rows))
+    for lo in range(len(rows) + 1):
+        part = bounds[lo:]
+        piece = data[part[0] :]
+        want = word_spans(piece, part - part[0], toxicity._LETTER[piece])
+        assert all(np.array_equal(a, b) for a, b in zip(toxicity.letter_runs(piece, part - part[0]), want, strict=True))
+
+
+def test_unlike_texts_by_comparing_all_pairs():
+    r = random.Random(9)
+    texts = [prose(i, 60) for i in range(60)] + ["", "1 2", "", " "]
+    for i in range(60):
+        words = texts[i].split()
+        for _ in range(r.randint(0, 25)):
+            words[r.randrange(len(words))] = prose(r.randrange(10**6), 1)
+        texts.append(" ".join(words))
+    r.shuffle(texts)
+    salts = toxicity.mix64(np.arange(1, 17, dtype=np.uint64))
+    kept, sketches = [], []
+    for i, text in enumerate(texts):
+        words = [h for h, _ in toxicity.term_hashes(*text_buffer(pa.array([text], pa.string())))][:1]
+        sketch = toxicity.mix64(words[0][:, None] ^ salts).min(axis=0).tolist() if words else None
+        if sketch and any(sum(a == b for a, b in zip(sketch, s, strict=True)) >= 10 for s in sketches):
+            continue
+        kept.append(i)
+        sketches += [sketch] if sketch else []
+    assert 64 < len(kept) < len(texts) and toxicity.unlike_texts(texts) == kept
+
+
 def test_gradients_and_chunks():
     net = quality.ByteConvNet()
     texts = [prose(1, 100), prose(2, 10), ""]
