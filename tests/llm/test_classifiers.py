@@ -115,6 +115,14 @@ def test_words_are_hashed_only_when_they_open_like_a_term(monkeypatch):
     assert sum(spans) <= 5000  # the word that opens like a term, and its four beginnings
 
 
+def test_fitted_filter_is_narrow_and_the_stage_keeps_what_scores_low(spark):
+    docs, labels, _ = corpus(spark, 300)
+    model = toxicity.fit_votes(docs, labels)
+    assert len(model.vocabulary.terms) and 0 < model.vocabulary._opens.mean() < 0.05
+    low = {x.doc_id for x in toxicity.score_toxicity(docs, labels, model).collect() if x.score < 0.5}
+    assert {x.doc_id for x in toxicity.remove_toxic(docs, labels).collect()} == low
+
+
 def test_letter_runs_end_with_their_rows():
     rows = ["ab", "cd e", "", "", "f", "1g", "h2", "", "éÉ", " ", "x"]
     data, bounds = text_buffer(pa.array(rows))
